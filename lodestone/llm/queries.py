@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filter, warc
+from pyspark.sql import functions as F
+
+from . import mixing, piece_codec, simhash, url_filter, warc
 from .common import documents
 
 
+def tokenizer_file() -> str:
+    """The model that the queries use; installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_mix_sources(spark, sf_dir):
     out = mixing.mix_sources(documents(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -15,6 +24,15 @@ def op6_url_filter(spark, sf_dir):
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_piece_codec(spark, sf_dir):
+    return piece_codec.token_digests(documents(spark, sf_dir), tokenizer_file())
+
+
+def op8_simhash(spark, sf_dir):
+    out = simhash.simhash_components(documents(spark, sf_dir), k=4, radius=4)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_warc(spark, sf_dir):
     return warc.archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -23,6 +41,8 @@ def queries():
     return {
         "op1_mix_sources": op1_mix_sources,
         "op6_url_filter": op6_url_filter,
+        "op7_piece_codec": op7_piece_codec,
+        "op8_simhash": op8_simhash,
         "op10_warc": op10_warc,
     }
 
