@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -64,3 +65,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+def plus(schema: T.StructType, **columns: str) -> T.StructType:
+    """A copy of schema with columns at its end (StructType.add changes the schema that it is called on)."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in columns.items())).fields])

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import plus, small_batches
 
 SPACE = "▁"
 #: Words remembered by a worker, and their length at most: memory stays bounded, results do not depend on it.
@@ -251,5 +251,5 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     small_batches(docs.sparkSession, 200)
     own = docs.drop("ids", "decoded")
-    schema = own.schema.add("ids", "array<int>").add("decoded", "string")
+    schema = plus(own.schema, ids="array<int>", decoded="string")
     return own.mapInArrow(run, schema)

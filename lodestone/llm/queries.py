@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, piece_codec, simhash, url_filter, warc
+from . import langid, mixing, piece_codec, simhash, url_filter, warc
 from .common import documents
 
 
@@ -20,6 +20,10 @@ def op1_mix_sources(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_language_id(spark, sf_dir):
+    return langid.identify_languages(documents(spark, sf_dir))
+
+
 def op6_url_filter(spark, sf_dir):
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -40,6 +44,7 @@ def op10_warc(spark, sf_dir):
 def queries():
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op3_language_id": op3_language_id,
         "op6_url_filter": op6_url_filter,
         "op7_piece_codec": op7_piece_codec,
         "op8_simhash": op8_simhash,

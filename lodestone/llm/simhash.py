@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import plus, small_batches, written
 from .components import connected_components
 
 SEED = 42
@@ -78,7 +78,7 @@ def with_fingerprints(docs: DataFrame, k: int = 4, text: str = "text", out: str
             yield pa.RecordBatch.from_arrays([*[c for c, n in zip(b.columns, b.schema.names, strict=True) if n != text], pa.array(majority_bits(flat, counts).view(np.int64))], [*[n for n in b.schema.names if n != text], out])
 
     small_batches(docs.sparkSession, 500)
-    schema = docs.drop(text).schema.add(out, "long")
+    schema = plus(docs.drop(text).schema, **{out: "long"})
     return docs.mapInArrow(run, schema)
 
 
