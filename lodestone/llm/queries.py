@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, mixing, piece_codec, simhash, url_filter, warc
+from . import langid, mixing, piece_codec, simhash, suffix_dedup, url_filter, warc
 from .common import documents
 
 
@@ -24,6 +24,10 @@ def op3_language_id(spark, sf_dir):
     return langid.identify_languages(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeat_report(documents(spark, sf_dir))
+
+
 def op6_url_filter(spark, sf_dir):
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -45,6 +49,7 @@ def queries():
     return {
         "op1_mix_sources": op1_mix_sources,
         "op3_language_id": op3_language_id,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op6_url_filter": op6_url_filter,
         "op7_piece_codec": op7_piece_codec,
         "op8_simhash": op8_simhash,
