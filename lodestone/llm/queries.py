@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, mixing, piece_codec, simhash, suffix_dedup, url_filter, warc
+from . import ann, langid, mixing, piece_codec, simhash, suffix_dedup, url_filter, warc
 from .common import documents
 
 
@@ -20,6 +20,10 @@ def op1_mix_sources(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_nearest(spark, sf_dir):
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_language_id(spark, sf_dir):
     return langid.identify_languages(documents(spark, sf_dir))
 
@@ -48,6 +52,7 @@ def op10_warc(spark, sf_dir):
 def queries():
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_nearest": op2_nearest,
         "op3_language_id": op3_language_id,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op6_url_filter": op6_url_filter,
