@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, written
 
-DIMS, SEED, CONFIDENCE = 8, 20240117, 0.995
+DIMS, SEED, CONFIDENCE = 8, 20240117, 0.97
 #: Rows of the sample that the kd-tree is fitted on at most; rows of a cell aimed at and of a piece of a cell; rows of a leaf.
 SAMPLE, CELL, PIECE, LEAF = 20_000, 8192, 16384, 32
 MAX_DEPTH = 12

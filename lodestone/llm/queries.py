@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, langid, mixing, piece_codec, simhash, suffix_dedup, url_filter, warc
+from . import ann, langid, mixing, piece_codec, simhash, suffix_dedup, syncmer, url_filter, warc
 from .common import documents
 
 
@@ -32,6 +32,10 @@ def op4_suffix_dedup(spark, sf_dir):
     return suffix_dedup.repeat_report(documents(spark, sf_dir))
 
 
+def op5_syncmers(spark, sf_dir):
+    return syncmer.fingerprint_edits(documents(spark, sf_dir))
+
+
 def op6_url_filter(spark, sf_dir):
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -55,6 +59,7 @@ def queries():
         "op2_nearest": op2_nearest,
         "op3_language_id": op3_language_id,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_syncmers": op5_syncmers,
         "op6_url_filter": op6_url_filter,
         "op7_piece_codec": op7_piece_codec,
         "op8_simhash": op8_simhash,
