@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, langid, mixing, piece_codec, simhash, suffix_dedup, syncmer, url_filter, warc
+from . import ann, langid, mixing, piece_codec, quality, simhash, suffix_dedup, syncmer, url_filter, warc
 from .common import documents
 
 
@@ -49,6 +49,10 @@ def op8_simhash(spark, sf_dir):
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_quality(spark, sf_dir):
+    return quality.score_quality(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_warc(spark, sf_dir):
     return warc.archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -63,6 +67,7 @@ def queries():
         "op6_url_filter": op6_url_filter,
         "op7_piece_codec": op7_piece_codec,
         "op8_simhash": op8_simhash,
+        "op9_quality": op9_quality,
         "op10_warc": op10_warc,
     }
 
