@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plus, small_batches, written
+from .common import mix64, plus, small_batches, written
 from .components import connected_components
 
 SEED = 42
@@ -151,10 +151,21 @@ def local_labels(n: int, links) -> np.ndarray:
     return label
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star links (rep, smallest rep) of the local components in each bucket; whole buckets, in any order."""
+def bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int, wide: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Star links (rep, smallest rep) of the local components in each bucket; whole buckets, in any order.
+
+    wide: more words of each fingerprint; a link then also needs most differing bits or fewer in all words together.
+    """
     o = np.lexsort((gray_rank(fp), key))
     key, fp, rep = key[o], fp[o], rep[o]
+    wide = None if wide is None else wide[o]
+
+    def close(i, j):
+        if wide is None:
+            return i, j
+        ok = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= most
+        return i[ok], j[ok]
+
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.append(start, len(key)))
 
@@ -168,11 +179,11 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int)
             if not len(i):
                 break
             i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
-            yield i, i + d
+            yield close(i, i + d)
         for s, n in zip(start[size > FAN].tolist(), size[size > FAN].tolist(), strict=True):
             index = GrayIndex(fp[s : s + n])
             for i, j in index.near(fp[s : s + n], radius):
-                yield s + i, s + j
+                yield close(s + i, s + j)
 
     label = local_labels(len(key), links())
     least = np.full(len(key), np.iinfo(np.int64).max)
@@ -217,28 +228,30 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET) ->
         blocks += 2
 
 
-def _whole_buckets(radius: int):
+def _whole_buckets(radius: int, most: int = 0):
+    """Batches of (key, fp, rep, more words of the fingerprint ...), sorted by key: the links of each bucket."""
+
     def run(batches):
-        key, fp, rep = [], [], []
-        held = 0
+        held: list[list[np.ndarray]] = []
+        size = 0
 
-        def out(k, f, r):
-            a, b = bucket_links(k, f, r, radius)
+        def out(c):
+            wide = np.stack(c[3:], 1).view(np.uint64) if len(c) > 3 else None
+            a, b = bucket_links(c[0], c[1].view(np.uint64), c[2], radius, wide, most)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            k, f, r = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            key.append(k), fp.append(f.view(np.uint64)), rep.append(r)
-            held += len(k)
-            if held < 1 << 17:
+            held.append([x.to_numpy(zero_copy_only=False) for x in batch.columns])
+            size += batch.num_rows
+            if size < 1 << 17:
                 continue
-            k, f, r = map(np.concatenate, (key, fp, rep))
-            cut = int(np.flatnonzero(k == k[-1])[0])  # the last bucket may go on
-            key, fp, rep, held = [k[cut:]], [f[cut:]], [r[cut:]], len(k) - cut
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.flatnonzero(cols[0] == cols[0][-1])[0])  # the last bucket may go on
+            held, size = [[x[cut:] for x in cols]], len(cols[0]) - cut
             if cut:
-                yield out(k[:cut], f[:cut], r[:cut])
-        if held:
-            yield out(*map(np.concatenate, (key, fp, rep)))
+                yield out([x[:cut] for x in cols])
+        if size:
+            yield out([np.concatenate(x) for x in zip(*held, strict=True)])
 
     return run
 
@@ -256,3 +269,79 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4, key: str =
     classes = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
     out = fps.join(classes, "fp")
     return out.select(F.col("doc_id").alias(key), "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+# Near-duplicates by similarity -------------------------------------------------------------------
+
+#: Words of 64 bits of a wide fingerprint; smallest shingle hashes that deal a text to buckets; levels of dealing.
+WORDS, KEYS, LEVELS = 4, 8, 3
+
+
+def expected_bits(similarity: float, bits: int) -> float:
+    """Bits in which texts with that share of common shingles differ on average."""
+    return bits * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+
+
+def _wide(docs: DataFrame, k: int) -> DataFrame:
+    """id, w0.. (words of the fingerprint; w0 is the plain one) and keys (smallest shingle hashes) for docs (id, text)."""
+
+    def run(batches):
+        for b in batches:
+            hashes = [shingle_hashes(t, k) for t in b.column(1).to_pylist()]
+            counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
+            flat = np.fromiter((h for hs in hashes for h in hs), np.uint64, int(counts.sum()))
+            words = [majority_bits(flat if w == 0 else mix64(flat + np.uint64(w)), counts) for w in range(WORDS)]
+            ends = np.cumsum(counts)
+            keys = [np.unique(flat[e - n : e])[:KEYS].view(np.int64) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(w.view(np.int64)) for w in words), pa.array(keys, pa.list_(pa.int64()))], ["id", *(f"w{i}" for i in range(WORDS)), "keys"])
+
+    small_batches(docs.sparkSession, 500)
+    return docs.mapInArrow(run, "id long, " + "".join(f"w{i} long, " for i in range(WORDS)) + "keys array<long>")
+
+
+def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, key: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
+    """key and component_id (the smallest key reachable) of every row of docs with a key, texts linked from a similarity on.
+
+    A text's fingerprint has WORDS x 64 bits; two texts are linked if they differ in no more bits than texts of that
+    similarity do on average, and a standard deviation. At so wide a radius blocks of bits no longer select, so texts meet in the
+    buckets of their KEYS smallest shingle hashes (similar texts share most of them); inside a bucket the Gray-order index finds
+    what is close. A bucket above its size is dealt again by pairs, then by triples, of these hashes.
+    Null and blank texts have equal fingerprints. Rows with null key take no part.
+    """
+    names = [f"w{i}" for i in range(WORDS)]
+    share = expected_bits(similarity, 1)
+    most = int(64 * WORDS * share + (64 * WORDS * share * (1 - share)) ** 0.5)
+    radius = int(64 * share + 2 * (64 * share * (1 - share)) ** 0.5)
+    fps = written(_wide(docs.select(docs[key].cast("long").alias("id"), "text").where("id is not null"), k), "wide")
+    classes = written(fps.groupBy(*names).agg(F.min("id").alias("rep"), F.min("keys").alias("keys")), "classes")
+    pool = classes.select("rep", F.array().cast("array<bigint>").alias("used"))
+    links = None
+    for level in range(LEVELS):
+        keyed = pool.join(classes, "rep") if level else classes.withColumn("used", F.array().cast("array<bigint>"))
+        keyed = keyed.select("rep", *names, "used", F.explode(F.array_except("keys", "used")).alias("own"))
+        keyed = keyed.withColumn("used", F.sort_array(F.concat("used", F.array("own")))).withColumn("key", F.xxhash64("used")).drop("own")
+        sizes = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+        big = sizes.where(F.col("n") > bucket).select("key")
+        ended = level == LEVELS - 1 or big.isEmpty()
+        mine = sizes if ended else sizes.where(F.col("n") <= bucket)
+        rows = keyed.join(mine.select("key"), "key", "left_semi").select("key", "w0", "rep", *names[1:])
+        found = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_whole_buckets(radius, most), "a long, b long").distinct(), "links")
+        links = found if links is None else links.unionByName(found)
+        if ended:
+            break
+        pool = written(keyed.join(big, "key", "left_semi").select("rep", "used").distinct(), "pool")
+    labels = connected_components(links)
+    told = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("label", "rep").alias("component_id"))
+    return fps.join(told, names).select(F.col("id").alias(key), "component_id")
+
+
+def one_of_each(docs: DataFrame, **kw) -> DataFrame:
+    """docs with one row, that of the smallest doc_id, of each group of near-duplicates; rows without doc_id all stay.
+
+    Of rows that share the doc_id that stays, one does.
+    """
+    kept = written(similar_components(docs, **kw).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
+    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if not kept.where("n > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where("doc_id is null"))
