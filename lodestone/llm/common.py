@@ -70,3 +70,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def plus(schema: T.StructType, **columns: str) -> T.StructType:
     """A copy of schema with columns at its end (StructType.add changes the schema that it is called on)."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in columns.items())).fields])
+
+
+def guarded(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
+    """docs with all columns but those used under neutral names, which clash with none of an operator's own, and the old names."""
+    return docs.toDF(*[c if c in used else f"_own_{i}" for i, c in enumerate(docs.columns)]), docs.columns

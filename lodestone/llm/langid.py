@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import plus, small_batches
+from .common import guarded, plus, small_batches
 
 TOP = 300
 MAX_LANGUAGES = 5000
@@ -174,7 +174,10 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs without the rows whose language can't be told: null text, or no letter in it. All rows with letters stay if no
     language could be learned."""
+    docs, names = guarded(docs, "doc_id", "text", "lang")
     profiles = learn_profiles(docs)
-    if not profiles.langs:
-        return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
-    return with_language(docs, profiles).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    if profiles.langs:
+        out = with_language(docs, profiles).where(F.col("lang_pred") != UNDETERMINED)
+    else:
+        out = docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
+    return out.select(*docs.columns).toDF(*names)

@@ -41,8 +41,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     whole = Window.partitionBy()
     per = per.withColumn("total", F.sum("source_size").over(whole) * share)
     per = per.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(below), F.lit(0.0))) / F.sum("weight").over(above))
+    per = per.withColumn("place", F.row_number().over(order))
     # The first level that its own cap does not undercut is the water level; with none, every source is at its cap.
-    per = per.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(whole)["level"])
+    per = per.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("place", "level"))).over(whole)["level"])
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight")))
     return per.select("source", "source_size", target.alias("target"))
 

@@ -162,20 +162,34 @@ class PieceModel:
         ids = dict(zip(flat, self.encode_words(flat), strict=True))
         return [[i for w in ws for i in ids[w]] for ws in cut]
 
-    def decode_bytes(self, ids: list[int]) -> bytes:
-        """Bytes of a run of ids, space marks as spaces."""
-        return b"".join(bytes((self.byte_of[i],)) if i in self.byte_of else b"" if self.kinds[i] == 3 else b" \xe2\x81\x87 " if self.kinds[i] == 2 else self.pieces[i].replace(SPACE, " ").encode() for i in ids)
+    def surface(self, ids: list[int]) -> str:
+        """The text of a run of ids, space marks as spaces. Each run of byte pieces is read as UTF-8 by itself."""
+        out, run = [], bytearray()
+        for i in ids:
+            if i in self.byte_of:
+                run.append(self.byte_of[i])
+                continue
+            if run:
+                out.append(_utf8(bytes(run)))
+                run.clear()
+            if self.kinds[i] == 2:
+                out.append(" ⁇ ")
+            elif self.kinds[i] != 3:
+                out.append(self.pieces[i].replace(SPACE, " "))
+        if run:
+            out.append(_utf8(bytes(run)))
+        return "".join(out)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: control pieces vanish, bytes that form no character become U+FFFD each, one leading space goes."""
-        out = _utf8(self.decode_bytes(ids))
+        out = self.surface(ids)
         first = next((i for i in ids if self.kinds[i] != 3), None)
         return out[1:] if first is not None and self.kinds[first] == 1 and self.pieces[first].startswith(SPACE) else out
 
     def learn(self, words: list[str]) -> dict[str, tuple[str, int, str]]:
         """(ids as text, number of ids, decoded text) of each word; short words are remembered."""
         for w, ids in zip(words, self.encode_words(words), strict=True):
-            self.cache[w] = (",".join(map(str, ids)), len(ids), _utf8(self.decode_bytes(ids)))
+            self.cache[w] = (",".join(map(str, ids)), len(ids), self.surface(ids))
         return self.cache
 
     def forget(self) -> None:

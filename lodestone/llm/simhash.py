@@ -338,10 +338,15 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, key
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
     """docs with one row, that of the smallest doc_id, of each group of near-duplicates; rows without doc_id all stay.
 
-    Of rows that share the doc_id that stays, one does.
+    Of rows that share the doc_id that stays, the one with the smallest hash of its text does.
     """
-    kept = written(similar_components(docs, **kw).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
+    told = similar_components(docs, **kw).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    kept = written(told.where("stays").select("doc_id", "n"), "kept")
     out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not kept.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+    many = kept.where("n > 1").select("doc_id")
+    if not many.isEmpty():
+        mark = F.xxhash64("text", F.isnull("text"))
+        first = docs.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(mark).alias("_mark"))
+        twice = docs.join(first, "doc_id").where(mark == F.col("_mark")).dropDuplicates(["doc_id"]).select(*docs.columns)
+        out = out.join(many, "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
     return out.unionByName(docs.where("doc_id is null"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, plus, small_batches, written
+from .common import guarded, mix64, plus, small_batches, written
 
 SPAN, GRAM = 200, 16
 #: Different fragments of a group in one shard; bytes handled at once (places must fit PLACE bits).
@@ -317,15 +317,16 @@ def without_repeats(docs: DataFrame, span: int = SPAN, group: int = GROUP) -> Da
     Null texts count as empty. Texts shorter than span lose nothing. Rows repeated in full repeat each other. Null doc_ids
     are told apart by their texts. Other columns stay.
     """
-    keyed = docs.withColumns({"id": F.coalesce(docs.doc_id.cast("long"), F.lit(-1)), "th": F.xxhash64("text")})
-    spans = repeated_spans(keyed.select("id", "th", "text"), span, group)
+    keyed = docs.withColumns({"_id": F.coalesce(docs.doc_id.cast("long"), F.lit(-1)), "_th": F.xxhash64("text")})
+    spans = repeated_spans(keyed.select(F.col("_id").alias("id"), F.col("_th").alias("th"), "text"), span, group)
+    spans = spans.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
     names = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
-    own = keyed.join(spans, ["id", "th"], "left").select(*names, "spans")
+    own = keyed.join(spans, ["_id", "_th"], "left").select(*names, "_spans")
 
     def strip(batches):
         for b in batches:
             kept, size, gone, many = [], [], [], []
-            for text, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for text, s in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "replace")
                 runs = removed_runs(s, span)
                 at, rest = 0, []
@@ -336,7 +337,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, group: int = GROUP) -> Da
                 size.append(len(raw)), gone.append(len(raw) - len(kept[-1])), many.append(len(runs))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (size, gone, many))], [*b.schema.names[:-1], "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return own.mapInArrow(strip, plus(own.drop("spans").schema, kept="binary", n_bytes="long", n_removed="long", n_spans="long"))
+    return own.mapInArrow(strip, plus(own.drop("_spans").schema, kept="binary", n_bytes="long", n_removed="long", n_spans="long"))
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
@@ -347,6 +348,7 @@ def repeat_report(docs: DataFrame) -> DataFrame:
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes taken out of text; a character that lost some of its bytes goes as a whole. Null texts stay."""
+    docs, names = guarded(docs, "doc_id", "text")
     out = without_repeats(docs)
 
     def decode(batches):
@@ -356,6 +358,6 @@ def deduplicated_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns) if b.schema.names[i] != "kept"], [n for n in b.schema.names if n != "kept"])
 
     out = out.drop("n_bytes", "n_removed", "n_spans")
-    return out.mapInArrow(decode, out.drop("kept").schema).select(*docs.columns)
+    return out.mapInArrow(decode, out.drop("kept").schema).select(*docs.columns).toDF(*names)
 
 
