@@ -1,6 +1,6 @@
 """SentencePiece (BPE with byte fallback) encoding and decoding by vectorised merge rounds.
 
-A text is cut into words at points that no piece of the vocabulary spans, so words can be encoded one by one and remembered.
+A text is cut into words at points that no piece of the vocabulary spans (before a space, and between signs and other characters), so words can be encoded one by one and remembered.
 Unseen words are encoded together: one flat numpy array holds their symbols; every round looks up the rank of each
 neighbouring pair, takes each word's smallest rank (segmented minimum), merges the leftmost pair with that rank in all words
 at once - and further copies of it to the right where no later merge could have come first - compacts the array, and goes
@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -72,10 +73,19 @@ class PieceModel:
         inner = {c for p in normal if len(p) > 1 for c in p}
         if any(a != SPACE and b == SPACE for p in normal for a, b in zip(p, p[1:], strict=False)):
             raise ValueError("a piece has a space mark behind another character; words cannot be cut there")
-        # ASCII characters of no longer piece stand alone.
-        alone = re.escape("".join(chr(i) for i in range(128) if chr(i) not in inner and chr(i) != " "))
-        self.words = re.compile(f" +[^ {alone}]*|[{alone}]|[^ {alone}]+" if alone else " +[^ ]*|[^ ]+", re.S)
+        # ASCII characters of no longer piece stand alone; ASCII signs never share a piece with other characters, but for `odd` ones.
+        alone = "".join(chr(i) for i in range(128) if chr(i) not in inner and chr(i) != " ")
+        signs = {c for c in inner if c.isascii() and not c.isalnum()}
+        near = {(a, b) for p in normal for a, b in zip(p, p[1:], strict=False) if a != SPACE}
+        odd = {c for pair in near for c in pair if (pair[0] in signs) != (pair[1] in signs)} - signs
+        a, s = re.escape(alone), re.escape("".join(sorted(signs)))
+        self.words = re.compile(f" *[^ {s}{a}]+| *[{s}]+|[{a}]| +" if alone else f" *[^ {s}]+| *[{s}]+| +", re.S)
+        self.wider = re.compile(f" +[^ {a}]*|[{a}]|[^ {a}]+" if alone else " +[^ ]*|[^ ]+", re.S)
+        self.odd = re.compile(f"[{re.escape(''.join(sorted(odd)))}]") if odd else None
+        self.text = [p.replace(SPACE, " ") if k == 1 else None for p, k in zip(self.pieces, self.kinds, strict=True)]
+        self.number = [str(i) for i in range(len(self.pieces))]
         self.cache: dict[str, tuple[str, int, str]] = {}
+        self.passing: list[str] = []
 
     def symbols(self, cps: np.ndarray) -> np.ndarray:
         uniq, back = np.unique(cps, return_inverse=True)
@@ -154,7 +164,10 @@ class PieceModel:
         return ids
 
     def cut(self, text: str) -> list[str]:
-        return self.words.findall(" " + text.replace(SPACE, " ")) if text else []
+        if not text:
+            return []
+        text = " " + text.replace(SPACE, " ")
+        return (self.wider if self.odd and self.odd.search(text) else self.words).findall(text)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [self.cut(t) for t in texts]
@@ -164,6 +177,8 @@ class PieceModel:
 
     def surface(self, ids: list[int]) -> str:
         """The text of a run of ids, space marks as spaces. Each run of byte pieces is read as UTF-8 by itself."""
+        with suppress(TypeError):  # a piece without a text of its own
+            return "".join([self.text[i] for i in ids])
         out, run = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -189,15 +204,17 @@ class PieceModel:
     def learn(self, words: list[str]) -> dict[str, tuple[str, int, str]]:
         """(ids as text, number of ids, decoded text) of each word; short words are remembered."""
         for w, ids in zip(words, self.encode_words(words), strict=True):
-            self.cache[w] = (",".join(map(str, ids)), len(ids), self.surface(ids))
+            self.cache[w] = (",".join([self.number[i] for i in ids]), len(ids), self.surface(ids))
+        self.passing += [w for w in words if len(w) > CACHE_CHARS]
         return self.cache
 
     def forget(self) -> None:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         else:
-            for w in [w for w in self.cache if len(w) > CACHE_CHARS]:
-                del self.cache[w]
+            for w in self.passing:
+                self.cache.pop(w, None)
+        self.passing.clear()
 
 
 def _utf8(b: bytes) -> str:
