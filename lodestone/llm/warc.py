@@ -103,3 +103,12 @@ def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFram
         F.when(base32_of_hex(F.sha1("payload")) == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error("payload does not match its digest")).alias("payload_digest"),
         "record_type", "refers_to",
     )
+
+
+def archive_sql() -> str:
+    """archive_round_trip over a table `pages`, every payload counting, as DuckDB SQL."""
+    digit = lambda g, shift: f"substr('{BASE32}', ((CAST('0x' || substr(h, {5 * g + 1}, 5) AS integer) >> {shift}) & 31) + 1, 1)"
+    digest = " || ".join(digit(g, shift) for g in range(8) for shift in (15, 10, 5, 0))
+    return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+SELECT page_id, CAST(strlen(body) AS bigint) AS payload_bytes, {digest} AS payload_digest,
+ CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM p"""

@@ -570,3 +570,15 @@ def test_archive(spark, tmp_path):
     assert records[7].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and records[7].endswith(b"\r\n\r\n<p>x</p>\r\n\r\n")
     assert b"WARC-Refers-To: <urn:lodestone:page:7>" in records[1] and records[1].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
     assert warc.archive_round_trip(df.limit(0)).count() == 0
+
+
+def test_archive_equals_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    pages = pd.DataFrame({"page_id": [1, 2, 3, 4], "url": ["u"] * 4, "html": ["é<p>", "x", "é<p>", None]})
+    con = duckdb.connect()
+    con.register("pages", pages)
+    want = sorted(con.sql(warc.archive_sql()).fetchall(), key=repr)
+    df = spark.createDataFrame([(i, "u", h) for i, h in zip(range(1, 5), ["é<p>", "x", "é<p>", None], strict=True)], "page_id long, url string, html string")
+    assert rows(warc.archive_round_trip(df), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
