@@ -163,5 +163,6 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     """docs with each row repeated as often as the mix takes it (0: gone). Rows that share a doc_id take the largest of
     their decisions; rows without doc_id are taken once."""
     copies = mix_sources(docs, **kw).where("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    out = docs.join(copies, "doc_id", "left").withColumn("_copies", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("_copies")))
+    # Both sides grow with the corpus: the same plan at every size, never a broadcast.
+    out = docs.join(copies.hint("merge"), "doc_id", "left").withColumn("_copies", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("_copies")))
     return out.where("_copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_n")).drop("_n")

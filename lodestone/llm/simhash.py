@@ -342,7 +342,8 @@ def one_of_each(docs: DataFrame, **kw) -> DataFrame:
     """
     told = similar_components(docs, **kw).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
     kept = written(told.where("stays").select("doc_id", "n"), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # Both sides grow with the corpus: the same plan at every size, never a broadcast.
+    out = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     many = kept.where("n > 1").select("doc_id")
     if not many.isEmpty():
         mark = F.xxhash64("text", F.isnull("text"))
