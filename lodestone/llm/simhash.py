@@ -274,7 +274,7 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4, key: str =
 # Near-duplicates by similarity -------------------------------------------------------------------
 
 #: Words of 64 bits of a wide fingerprint; smallest shingle hashes that deal a text to buckets; levels of dealing.
-WORDS, KEYS, LEVELS = 4, 8, 3
+WORDS, KEYS, LEVELS = 8, 8, 3
 
 
 def expected_bits(similarity: float, bits: int) -> float:
@@ -303,15 +303,15 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, key
     """key and component_id (the smallest key reachable) of every row of docs with a key, texts linked from a similarity on.
 
     A text's fingerprint has WORDS x 64 bits; two texts are linked if they differ in no more bits than texts of that
-    similarity do on average, and a standard deviation. At so wide a radius blocks of bits no longer select, so texts meet in the
+    similarity do on average, and one and a half standard deviations. At so wide a radius blocks of bits no longer select, so texts meet in the
     buckets of their KEYS smallest shingle hashes (similar texts share most of them); inside a bucket the Gray-order index finds
     what is close. A bucket above its size is dealt again by pairs, then by triples, of these hashes.
     Null and blank texts have equal fingerprints. Rows with null key take no part.
     """
     names = [f"w{i}" for i in range(WORDS)]
     share = expected_bits(similarity, 1)
-    most = int(64 * WORDS * share + (64 * WORDS * share * (1 - share)) ** 0.5)
-    radius = int(64 * share + 2 * (64 * share * (1 - share)) ** 0.5)
+    most = int(64 * WORDS * share + 1.5 * (64 * WORDS * share * (1 - share)) ** 0.5)
+    radius = int(64 * share + 2.5 * (64 * share * (1 - share)) ** 0.5)
     fps = written(_wide(docs.select(docs[key].cast("long").alias("id"), "text").where("id is not null"), k), "wide")
     classes = written(fps.groupBy(*names).agg(F.min("id").alias("rep"), F.min("keys").alias("keys")), "classes")
     pool = classes.select("rep", F.array().cast("array<bigint>").alias("used"))
