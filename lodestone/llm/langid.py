@@ -19,7 +19,7 @@ from .common import guarded, plus, small_batches
 TOP = 300
 MAX_LANGUAGES = 5000
 #: Letters of texts counted at once, and n-grams held by a task before it passes counts on.
-SLICE_CHARS, HELD = 2_000_000, 1_000_000
+SLICE_CHARS, HELD = 200_000, 1_000_000
 UNDETERMINED = "und"
 NONE = 0x1FFFFF  # beyond all code points: marks the places that a shorter n-gram does not use
 
