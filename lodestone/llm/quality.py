@@ -2,7 +2,8 @@
 
 Overlapping heuristics vote good, bad or nothing on each document. Expectation-maximisation over the counts of vote patterns (of
 all documents) estimates how each labeller votes on good and on bad documents, hence the posterior of each pattern; the
-posteriors then train a linear scorer on hashed words and word shapes.
+posteriors then train a linear scorer on hashed words and word shapes. Longer runs without blanks count by their pieces, so that
+every character takes part.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plus, small_batches
+from .common import mix64, plus, small_batches
 
 BAD, GOOD, NONE = 0, 1, 2
 #: Labellers: bounds of a measure, (bad below, good from, good to, bad above); between them a labeller does not vote.
@@ -39,6 +40,8 @@ LEAST_WORDS, LEAST_LINES = 20, 4
 RIGHT = 0.05
 #: Hashed features; documents that the scorer is trained on; passes over them.
 BUCKETS, TRAIN, PASSES = 1 << 14, 4000, 150
+#: Characters of a run without blanks above which it is cut into pieces; characters of a piece on average.
+LONG, PIECE = 64, 8
 PLAIN_SIGNS = ".,;:!?'\"()-’“”¿¡"
 
 
@@ -132,15 +135,30 @@ def label_model(counts: dict[int, int], rounds: int = 200) -> tuple[np.ndarray,
 
 
 @lru_cache(maxsize=200_000)
-def _buckets(word: str) -> tuple[int, int]:
-    """Buckets of a word and of its shape (runs of one kind of character)."""
+def _buckets(word: str, inside: bool = False) -> tuple[int, int]:
+    """Buckets of a word (or of a piece inside a long run) and of its shape (runs of one kind of character)."""
     shape = []
-    for ch in word[:40]:
+    for ch in word:
         kind = "A" if ch.isupper() else "a" if ch.isalpha() else "0" if ch.isdigit() else ch
         if not shape or shape[-1] != kind:
             shape.append(kind)
-    length = "" if len(word) < 16 else "+"
-    return xxhash.xxh32_intdigest(word[:64]) % BUCKETS, xxhash.xxh32_intdigest("\x00" + "".join(shape) + length) % BUCKETS
+    length = "\x03" if inside else "" if len(word) < 16 else "+"
+    return xxhash.xxh32_intdigest("\x03" * inside + word) % BUCKETS, xxhash.xxh32_intdigest("\x00" + "".join(shape) + length) % BUCKETS
+
+
+def pieces(run: str) -> list[str]:
+    """A run without blanks of more than LONG characters, cut after pairs of characters whose hash says so and at LONG at the latest.
+
+    Cuts depend on what stands there alone, so a change moves only those next to it; the pieces together are the run.
+    """
+    cps = np.frombuffer(run.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    cuts = np.flatnonzero(mix64(cps[:-1] << np.uint64(32) | cps[1:]) % np.uint64(PIECE) == 0) + 2
+    out, at = [], 0
+    for cut in [*cuts.tolist(), len(run)]:
+        while at < cut:
+            out.append(run[at : min(cut, at + LONG)])
+            at = min(cut, at + LONG)
+    return out
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -149,9 +167,15 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     counts = Counter(words)
     sums: Counter[int] = Counter()
     for w, c in counts.items():
-        a, b = _buckets(w)
-        sums[a] += c
-        sums[b] += c
+        if len(w) <= LONG:
+            a, b = _buckets(w)
+            sums[a] += c
+            sums[b] += c
+            continue
+        for piece, m in Counter(pieces(w)).items():
+            a, b = _buckets(piece, True)
+            sums[a] += c * m
+            sums[b] += c * m
     repeated = 1 - len(counts) / max(1, len(words))
     stutter = sum(map(str.__eq__, words, words[1:])) / max(1, len(words))
     sums[xxhash.xxh32_intdigest("\x02%d" % min(10, int(stutter * 20 + 0.9))) % BUCKETS] += len(words)

@@ -535,6 +535,23 @@ def test_quality(docs, empty, spark):
     assert sum(out[i] for i, _ in junk) <= 8
 
 
+def test_quality_reads_whole_runs():
+    """Texts without blanks count to their last character; a change in front moves few features."""
+    r = random.Random(3)
+    run = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(2000))
+    assert "".join(quality.pieces(run)) == run and max(map(len, quality.pieces("a" * 1000 + run))) <= quality.LONG
+    of = lambda t: dict(zip(*(x.tolist() for x in quality.features(t)), strict=True))
+    assert of(run) != of(run[:-1] + "x") != of(run[:64])
+    assert of("w" * 50 + "a") != of("w" * 50 + "1")
+    a, b = Counter(quality.pieces(run)), Counter(quality.pieces("x" + run))
+    assert sum((a & b).values()) >= 0.95 * sum(a.values())
+    # The scorer's weights on the later pieces reach the score.
+    tail = "".join(chr(0xAC00 + r.randrange(3000)) for _ in range(400))
+    w = quality.fit([(*quality.features(run[:64] + tail), 0.0), (*quality.features(run), 1.0)] * 5)
+    score = lambda t: (lambda at, x: float(x @ w[at] + w[-1]))(*quality.features(t))
+    assert score(run) > 0 > score(run[:64] + tail)
+
+
 def test_label_model_recovers_accuracies():
     r = np.random.default_rng(4)
     k, n = len(quality.LABELLERS), 20_000
