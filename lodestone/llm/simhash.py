@@ -275,6 +275,8 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4, key: str =
 
 #: Words of 64 bits of a wide fingerprint; smallest shingle hashes that deal a text to buckets; levels of dealing.
 WORDS, KEYS, LEVELS = 8, 8, 3
+#: Standard deviations above the expected bits at which pairs are still candidates; members of a group held by one task.
+SPREAD, GROUP = 5, 4096
 
 
 def expected_bits(similarity: float, bits: int) -> float:
@@ -282,38 +284,135 @@ def expected_bits(similarity: float, bits: int) -> float:
     return bits * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
 
 
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.array(shingle_hashes(text, k), np.uint64))
+
+
+def set_digest(shingles: np.ndarray) -> int:
+    """One signed 64-bit hash of a whole set."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
+
+
 def _wide(docs: DataFrame, k: int) -> DataFrame:
-    """id, w0.. (words of the fingerprint; w0 is the plain one) and keys (smallest shingle hashes) for docs (id, text)."""
+    """id, d (digest of the shingle set), w0.. (words of the set's fingerprint) and keys (smallest shingle hashes) for docs (id, text)."""
 
     def run(batches):
         for b in batches:
-            hashes = [shingle_hashes(t, k) for t in b.column(1).to_pylist()]
-            counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
-            flat = np.fromiter((h for hs in hashes for h in hs), np.uint64, int(counts.sum()))
+            sets = [shingle_set(t, k) for t in b.column(1).to_pylist()]
+            counts = np.fromiter(map(len, sets), np.int64, len(sets))
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets])
             words = [majority_bits(flat if w == 0 else mix64(flat + np.uint64(w)), counts) for w in range(WORDS)]
-            ends = np.cumsum(counts)
-            keys = [np.unique(flat[e - n : e])[:KEYS].view(np.int64) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(w.view(np.int64)) for w in words), pa.array(keys, pa.list_(pa.int64()))], ["id", *(f"w{i}" for i in range(WORDS)), "keys"])
+            keys = [x[:KEYS].view(np.int64) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_digest, sets), pa.int64()), *(pa.array(w.view(np.int64)) for w in words), pa.array(keys, pa.list_(pa.int64()))], ["id", "d", *(f"w{i}" for i in range(WORDS)), "keys"])
 
     small_batches(docs.sparkSession, 500)
-    return docs.mapInArrow(run, "id long, " + "".join(f"w{i} long, " for i in range(WORDS)) + "keys array<long>")
+    return docs.mapInArrow(run, "id long, d long, " + "".join(f"w{i} long, " for i in range(WORDS)) + "keys array<long>")
+
+
+def exact_labels(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The smallest number reachable for each of sets (of distinct values) over pairs of that Jaccard similarity or more.
+
+    A search from set to set: each reached one is compared with all that are not reached yet, so a group of near-copies costs
+    little more than its size, and no pair that could join two components is left out.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    ends = np.cumsum(size)
+    label = np.arange(len(sets))
+    left = np.flatnonzero(size)
+    flat_left = flat
+    mark = np.zeros(len(values), bool)
+    reached: list[int] = []
+    while len(left):
+        if reached:
+            at = reached.pop()
+        else:
+            at = int(left[0])
+            flat_left, left = flat_left[size[at] :], left[1:]
+            if not len(left):
+                break
+        own = flat[ends[at] - size[at] : ends[at]]
+        mark[own] = True
+        common = np.add.reduceat(mark[flat_left], np.cumsum(size[left]) - size[left], dtype=np.int64)
+        mark[own] = False
+        near = common >= similarity * (size[left] + size[at] - common) - 1e-9
+        if near.any():
+            label[left[near]] = label[at]
+            reached += left[near].tolist()
+            flat_left, left = flat_left[np.repeat(~near, size[left])], left[~near]
+    return label
+
+
+def _exact_groups(k: int, similarity: float):
+    """Batches of (group, d, text), sorted by group: star links (a, b) of the exact components of each group.
+
+    A text whose digest is not d belongs to another row of the same id and is left out.
+    """
+
+    def run(batches):
+        group, held = None, {}
+
+        def links(sets):
+            ds = sorted(sets)
+            label = exact_labels([sets[d] for d in ds], similarity)
+            a = np.array(ds, np.int64)
+            moved = label != np.arange(len(ds))
+            return a[label[moved]], a[moved]
+
+        for batch in batches:
+            found = []
+            for g, d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group:
+                    found.append(links(held))
+                    group, held = g, {}
+                if d not in held:
+                    x = shingle_set(t, k)
+                    if set_digest(x) == d:
+                        held[d] = x
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in links(held)], ["a", "b"])
+
+    return run
+
+
+def exact_links(texts: DataFrame, candidates: DataFrame, k: int, similarity: float, group: int = GROUP) -> DataFrame:
+    """Links (a, b) between digests whose shingle sets have that Jaccard similarity or more, inside each candidate component.
+
+    texts: id, text. candidates: d, rep (an id whose text has that digest), label (the component). The links join what any pairs
+    inside a component join. Members of a component of more than group are dealt to blocks, and every two blocks meet in a task.
+    """
+    sizes = candidates.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / F.lit(max(1, group // 2))).cast("int")).where("n > 1")
+    sizes = sizes.withColumn("blocks", F.when(F.col("n") <= group, F.lit(1)).otherwise(F.col("blocks")))
+    member = candidates.join(sizes.select("label", "blocks"), "label")
+    block = F.pmod(F.xxhash64("d", F.lit("block")), F.col("blocks")).cast("int")
+    # A block meets itself in its meetings with the others.
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), block))
+    member = member.select("d", F.col("rep").alias("id"), "label", block.alias("block"), F.explode(other).alias("other"))
+    member = member.select("id", "d", F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other")).alias("group"))
+    # Both sides grow with the corpus: the same plan at every size, never a broadcast.
+    rows = texts.join(member.hint("merge"), "id").select("group", "d", "text")
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_exact_groups(k, similarity), "a long, b long")
 
 
 def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, key: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
     """key and component_id (the smallest key reachable) of every row of docs with a key, texts linked from a similarity on.
 
-    A text's fingerprint has WORDS x 64 bits; two texts are linked if they differ in no more bits than texts of that
-    similarity do on average, and one and a half standard deviations. At so wide a radius blocks of bits no longer select, so texts meet in the
-    buckets of their KEYS smallest shingle hashes (similar texts share most of them); inside a bucket the Gray-order index finds
-    what is close. A bucket above its size is dealt again by pairs, then by triples, of these hashes.
-    Null and blank texts have equal fingerprints. Rows with null key take no part.
+    A link is a Jaccard similarity of the sets of shingle hashes, computed exactly. Candidates come from fingerprints of
+    WORDS x 64 bits that differ in no more bits than sets of that similarity do on average, and SPREAD standard deviations. At
+    so wide a radius blocks of bits no longer select, so texts meet in the buckets of their KEYS smallest shingle hashes
+    (similar texts share most of them); inside a bucket the Gray-order index finds what is close. A bucket above its size is
+    dealt again by pairs, then by triples, of these hashes. What candidates join is searched for exact links.
+    Null and blank texts have equal sets. Rows with null key take no part.
     """
     names = [f"w{i}" for i in range(WORDS)]
     share = expected_bits(similarity, 1)
-    most = int(64 * WORDS * share + 1.5 * (64 * WORDS * share * (1 - share)) ** 0.5)
-    radius = int(64 * share + 2.5 * (64 * share * (1 - share)) ** 0.5)
-    fps = written(_wide(docs.select(docs[key].cast("long").alias("id"), "text").where("id is not null"), k), "wide")
-    classes = written(fps.groupBy(*names).agg(F.min("id").alias("rep"), F.min("keys").alias("keys")), "classes")
+    most, radius = (int(n * share + SPREAD * (n * share * (1 - share)) ** 0.5) for n in (64 * WORDS, 64))
+    texts = docs.select(docs[key].cast("long").alias("id"), "text").where("id is not null")
+    fps = written(_wide(texts, k), "wide")
+    classes = written(fps.groupBy("d", *names).agg(F.min("id").alias("id"), F.min("keys").alias("keys")), "classes")
+    classes, ids = classes.withColumnRenamed("d", "rep").drop("id"), classes.select(F.col("d").alias("rep"), "id")
     pool = classes.select("rep", F.array().cast("array<bigint>").alias("used"))
     links = None
     for level in range(LEVELS):
@@ -330,9 +429,15 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, key
         if ended:
             break
         pool = written(keyed.join(big, "key", "left_semi").select("rep", "used").distinct(), "pool")
-    labels = connected_components(links)
-    told = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("label", "rep").alias("component_id"))
-    return fps.join(told, names).select(F.col("id").alias(key), "component_id")
+    # Candidate components, then the components of exact links inside them.
+    labels = connected_components(links).withColumnRenamed("node", "rep")
+    candidates = written(labels.join(ids, "rep").select(F.col("rep").alias("d"), F.col("id").alias("rep"), "label"), "candidates")
+    labels = connected_components(written(exact_links(texts, candidates, k, similarity), "links")).withColumnRenamed("node", "rep")
+    told = ids.join(labels, "rep", "left").select("rep", "id", F.coalesce("label", "rep").alias("label"))
+    told = written(told, "told")
+    least = told.groupBy("label").agg(F.min("id").alias("component_id"))
+    told = told.join(least, "label").select(F.col("rep").alias("d"), "component_id")
+    return fps.select("id", "d").join(told, "d").select(F.col("id").alias(key), "component_id")
 
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -510,6 +511,52 @@ def test_similar_texts(spark, bucket):
     assert (got[50], got[51], got[52], got[53]) == (50, 50, 52, 52)
 
 
+def jaccard(a, b, k=5):
+    a, b = (set(simhash.shingle_hashes(t, k)) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_exact_labels():
+    r = np.random.default_rng(8)
+    base = [r.choice(2**60, 60, replace=False).astype(np.uint64) for _ in range(6)]
+    sets = []
+    for i in range(120):
+        x = base[i % 6].copy()
+        n = int(r.integers(0, 14))
+        x[r.choice(60, n, replace=False)] = r.choice(2**60, n, replace=False)
+        sets.append(np.unique(x))
+    sets += [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+    close = lambda a, b: len(a) > 0 and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
+    assert simhash.exact_labels(sets, 0.8).tolist() == brute_components(sets, close)
+    assert simhash.exact_labels([], 0.8).tolist() == []
+
+
+@pytest.mark.parametrize("group", [simhash.GROUP, 4])
+def test_similar_texts_by_exact_similarity(spark, monkeypatch, group):
+    """Pairs on both sides of the similarity, repeated ids and groups over several tasks: the components of exact Jaccard."""
+    monkeypatch.setattr(simhash.exact_links, "__defaults__", (group,))
+    r = random.Random(12)
+    texts = []
+    for g in range(40):
+        w = prose(1500 + g, 120).split()
+        for n in (0, 1, 2, 2, 3, 3):  # each change of a word takes up to five shingles
+            v = list(w)
+            for at in r.sample(range(len(v)), n):
+                v[at] = "new" + str(r.random())
+            texts.append(" ".join(v))
+    sims = [jaccard(a, b) for g in range(0, 240, 6) for a, b in combinations(texts[g : g + 6], 2)]
+    assert sum(0.7 <= s < 0.8 for s in sims) > 20 and sum(0.8 <= s < 0.85 for s in sims) > 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(df).collect()}
+    want = []
+    for g in range(0, 240, 6):
+        want += [g + x for x in brute_components(texts[g : g + 6], lambda a, b: jaccard(a, b) >= 0.8)]
+    assert [got[i] for i in range(240)] == want
+    twice = df.unionByName(spark.createDataFrame([(0, prose(7000, 80)), (900, prose(7000, 80))], df.schema))
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.similar_components(twice).collect()}
+    assert (900, 0) in got and {(i, x) for i, x in enumerate(want)} <= got
+
+
 def test_one_of_each(docs, empty):
     out = simhash.one_of_each(docs)
     got = rows(out, "doc_id")
