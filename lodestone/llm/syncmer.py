@@ -1,9 +1,10 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is read as tokens (runs of non-blank characters, at most TOKEN long). Of all runs of K tokens those are chosen whose
-smallest inner run of S tokens, by hash, lies at the run's start or end. Whether a run is chosen depends on its own tokens
-alone, so a passage yields the same anchors wherever it stands. A fingerprint is the SKETCH smallest hashes of the chosen runs, and
-the likeness of two fingerprints estimates the share of anchors they have in common.
+A text is read as tokens: runs of non-blank characters; of a run of more than LONG characters, the GRAM characters from each of its
+characters on. Of all runs of K tokens those are chosen whose smallest inner run of S tokens, by hash, lies at the run's start or
+end. Whether a run is chosen depends on its own tokens alone, so a passage yields the same anchors wherever it stands. A
+fingerprint is all anchors, each with the number of the token that it starts at, and the likeness of two fingerprints is the
+share of distinct anchors they have in common.
 """
 
 from __future__ import annotations
@@ -11,18 +12,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN, K, S, SKETCH = 8, 4, 2, 64
+LONG, GRAM, K, S = 32, 8, 4, 2
+SIGN = "[^\\x20\\x09-\\x0D]"
+#: A whole run of LONG characters at most, or one character of a longer one; group 1 is the token.
+WHOLE = f"(?<!{SIGN}){SIGN}{{1,{LONG}}}+(?!{SIGN})"
+TOKENS = f"(?=({WHOLE}|{SIGN}{{1,{GRAM}}}))(?:{WHOLE}|{SIGN})"
 #: Cells of an even grid over ids, which are joined to buckets of about BUCKET rows.
 GRID, BUCKET = 4096, 2000
 
 
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the sketch of a text column: sorted distinct hashes. No token: empty; fewer than K: one hash of all of them.
+    """df with the anchors of a text column, in its order: out (hashes) and out_at (numbers of the tokens they start at).
 
-    Each step is a projection of its own, so that the arrays that lambdas read are made once a row.
+    No token: empty. No run chosen, or fewer than K tokens: one hash of all of them, at 0. Each step is a projection of its
+    own, so that the arrays that lambdas read are made once a row.
     """
     inner = K - S + 1
-    df = df.withColumn("_t", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]{1,%d}" % TOKEN), F.lit(0)))
+    df = df.withColumn("_t", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKENS), F.lit(1)))
     t = F.col("_t")
     hashes = F.transform(F.sequence(F.lit(0), F.size(t) - S), lambda i: F.xxhash64(*[F.get(t, i + j) for j in range(S)]))
     df = df.withColumn("_h", F.when(F.size(t) >= K, hashes))
@@ -33,21 +39,25 @@ def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
         edge = (at[0] <= F.least(*at[1:])) | (at[-1] <= F.least(*at[:-1]))
         return F.when((i <= F.size(h) - inner) & edge, F.xxhash64(first, *[F.get(h, i + j) for j in (*range(S, inner - 1, S), inner - 1)]))
 
-    chosen = F.slice(F.sort_array(F.array_distinct(F.array_compact(F.transform(h, anchor)))), 1, SKETCH)
-    few = F.when(F.size(t) > 0, F.array(F.xxhash64(F.array_join(t, " ")))).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(out, F.when(h.isNotNull(), chosen).otherwise(few)).drop("_t", "_h")
+    df = df.withColumn("_a", F.transform(h, anchor))
+    a = F.col("_a")
+    df = df.withColumn("_at", F.filter(F.transform(a, lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())).withColumn("_a", F.array_compact("_a"))
+    chosen = F.coalesce(F.size(a) > 0, F.lit(False))
+    all_of = F.when(F.size(t) > 0, F.array(F.xxhash64(F.array_join(t, " ")))).otherwise(F.array().cast("array<bigint>"))
+    df = df.withColumn(out, F.when(chosen, a).otherwise(all_of))
+    at_all = F.when(F.size(t) > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    return df.withColumn(f"{out}_at", F.when(chosen, F.col("_at")).otherwise(at_all)).drop("_t", "_h", "_a", "_at")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of the SKETCH smallest hashes of both sketches together, the share that both hold (0 to 1); both empty: 1."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    shared = F.size(F.array_intersect(both, F.array_intersect(a, b)))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(shared / F.size(both))
+    """Of the distinct anchors of both fingerprints together, the share that both hold (0 to 1); both empty: 1."""
+    shared, both = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    return F.when(both == 0, F.lit(1.0)).otherwise(shared / both)
 
 
-def as_string(sketch: Column) -> Column:
-    """16 lowercase hex digits a hash."""
-    return F.lower(F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+def as_string(sketch: Column, at: Column) -> Column:
+    """16 lowercase hex digits of the hash and 8 of the token's number an anchor, in the text's order."""
+    return F.lower(F.array_join(F.zip_with(sketch, at, lambda x, i: F.concat(F.lpad(F.hex(x), 16, "0"), F.lpad(F.hex(i), 8, "0"))), ""))
 
 
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
@@ -94,13 +104,14 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     if rows.isEmpty():
         return rows.sparkSession.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    rows = with_next(with_sketch(rows, "text", "sketch"), ["text", "sketch"])
+    rows = with_next(rows, ["text"])  # anchors are made after the exchange, which then carries texts alone
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "edited", "sketch", "next_sketch")
-    rows = with_sketch(rows, "edited", "edited_sketch")
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "next_text", "edited")
+    for c, out in (("text", "sketch"), ("next_text", "next_sketch"), ("edited", "edited_sketch")):
+        rows = with_sketch(rows, c, out).drop(c)
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", as_string(F.col("sketch")).alias("fingerprint"), as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", as_string(F.col("sketch"), F.col("sketch_at")).alias("fingerprint"), as_string(F.col("edited_sketch"), F.col("edited_sketch_at")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
     )

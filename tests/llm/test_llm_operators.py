@@ -316,6 +316,22 @@ def test_syncmers_are_context_free(spark):
     assert len(a & b) >= 0.4 * min(len(a), len(b))
 
 
+def test_syncmers_keep_all_anchors(spark):
+    """Long texts keep all anchors with places, runs without blanks survive an insertion, and every text with a token has an anchor."""
+    shared = prose(5, 100)
+    run = "".join(random.Random(4).choice("abcdefghijklmnop") for _ in range(3000))
+    texts = [prose(1, 5000) + " " + shared, shared + " " + prose(2, 5000), run, "x" + run, *(prose(3000 + i, 4) for i in range(30))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["s"], r["s_at"]) for r in syncmer.with_sketch(df, "text", "s").collect()}
+    assert len(got[0][0]) > 2500 and got[0][1] == sorted(set(got[0][1]))
+    both = set(got[0][0]) & set(got[1][0])
+    assert len(both) > 40
+    moved = {dict(zip(*got[0], strict=True))[h] - dict(zip(*got[1], strict=True))[h] for h in both}
+    assert 5000 in moved and len(moved) < 5
+    assert len(set(got[2][0]) & set(got[3][0])) > 0.95 * len(set(got[2][0]))
+    assert all(len(a) == len(b) >= 1 for a, b in got.values())
+
+
 def test_next_rows_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(syncmer, "BUCKET", 4)
     ids = [int(x) for x in np.random.default_rng(1).choice(10_000, 60, replace=False)]
