@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def crawl(edges: DataFrame, start: int, depth: int = 6, pages: int | None = None, same_section: bool = True) -> DataFrame:
-    """page, depth of all pages within depth links of start, breadth first; at most `pages` of them in the order (depth, page).
+def crawl(edges: DataFrame, start: int, depth: int | None = 6, pages: int | None = None, same_section: bool = True) -> DataFrame:
+    """page, depth of all pages within depth links of start (None: of all that can be reached), breadth first; at most `pages` of them in the order (depth, page).
 
     edges: src, dst and, to stay within a section, src_section and dst_section. Each round joins the frontier with the links and
     leaves out what was seen; rounds are checkpointed, so the plan does not grow with depth.
@@ -20,7 +22,7 @@ def crawl(edges: DataFrame, start: int, depth: int = 6, pages: int | None = None
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
     seen = spark.range(start, start + 1).select(F.col("id").alias("page"), F.lit(0).alias("depth"))
     frontier = seen
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         found = frontier.join(edges, F.col("page") == F.col("src")).select(F.col("dst").alias("page")).distinct()
         frontier = found.join(seen, "page", "left_anti").withColumn("depth", F.lit(d)).checkpoint()
         if frontier.isEmpty():

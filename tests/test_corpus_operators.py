@@ -324,6 +324,12 @@ def test_crawl(spark):
     assert [r["page"] for r in crawl.crawl(e, 1, pages=2).collect()] == [1, 2]
 
 
+def test_crawl_without_depth(spark):
+    """Until nothing new is found, also on a long path that ends in a loop."""
+    e = spark.createDataFrame([(i, i + 1, "a", "a") for i in range(1, 10)] + [(10, 1, "a", "a")], "src long, dst long, src_section string, dst_section string")
+    assert {(r["page"], r["depth"]) for r in crawl.crawl(e, 1, depth=None).collect()} == {(i, i - 1) for i in range(1, 11)}
+
+
 # Reports, sources, streams -----------------------------------------------------------------------
 
 
