@@ -3,31 +3,39 @@
 from __future__ import annotations
 
 from itertools import count
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 
-def crawl(edges: DataFrame, start: int, depth: int | None = 6, pages: int | None = None, same_section: bool = True) -> DataFrame:
-    """page, depth of all pages within depth links of start (None: of all that can be reached), breadth first; at most `pages` of them in the order (depth, page).
+
+def crawl(edges: DataFrame, start: int, depth: int | None = None, pages: int | None = None, same_section: bool = True) -> DataFrame:
+    """page, depth of all pages that can be reached from start (depth: within so many links), breadth first; at most `pages` of them in the order (depth, page).
 
     edges: src, dst and, to stay within a section, src_section and dst_section. Each round joins the frontier with the links and
-    leaves out what was seen; rounds are checkpointed, so the plan does not grow with depth.
+    leaves out what was seen. What was seen is one table in the shared folder that rounds append to, so neither the plan nor what a
+    round writes grows with depth.
     """
     if same_section:
         edges = edges.where(F.col("src_section").eqNullSafe(F.col("dst_section")))
-    edges = edges.select("src", "dst").distinct()
     spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    seen = spark.range(start, start + 1).select(F.col("id").alias("page"), F.lit(0).alias("depth"))
-    frontier = seen
+    folder = f"{shared_folder(spark)}/crawl-{uuid4().hex}"
+    edges.select("src", "dst").distinct().write.parquet(f"{folder}/links")
+    links = spark.read.parquet(f"{folder}/links")
+    schema = "page long, depth int"
+    spark.range(start, start + 1).select(F.col("id").alias("page"), F.lit(0).alias("depth")).write.parquet(f"{folder}/seen")
     for d in count(1) if depth is None else range(1, depth + 1):
-        found = frontier.join(edges, F.col("page") == F.col("src")).select(F.col("dst").alias("page")).distinct()
-        frontier = found.join(seen, "page", "left_anti").withColumn("depth", F.lit(d)).checkpoint()
-        if frontier.isEmpty():
+        seen = spark.read.schema(schema).parquet(f"{folder}/seen")
+        frontier = seen.where(F.col("depth") == d - 1)
+        found = frontier.join(links, F.col("page") == F.col("src")).select(F.col("dst").alias("page")).distinct()
+        found.join(seen, "page", "left_anti").withColumn("depth", F.lit(d)).write.parquet(f"{folder}/round-{d}")
+        fresh = spark.read.schema(schema).parquet(f"{folder}/round-{d}")
+        if fresh.isEmpty():
             break
-        seen = seen.unionByName(frontier).checkpoint()
+        fresh.write.mode("append").parquet(f"{folder}/seen")
+    seen = spark.read.schema(schema).parquet(f"{folder}/seen")
     return seen if pages is None else seen.orderBy("depth", "page").limit(pages)
 
 

@@ -597,13 +597,13 @@ def video_id(spark, sf_dir):
     return rows.select("url", U.video_id(F.col("url")).alias("video"))
 
 
-@query(r"""SELECT doc_id, printf('%03d_', doc_id) || substr(trim(regexp_replace(substr(text, 1, 150), '[^\p{L}\p{N} _-]', '', 'g'), ' '), 1, 100) || '.txt' AS name FROM documents""")
+@query(r"""SELECT doc_id, printf('%03d_', doc_id) || substr(trim(regexp_replace(text, '[^\p{L}\p{N} _-]', '', 'g'), ' '), 1, 100) || '.txt' AS name FROM documents""")
 def safe_filename(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", U.numbered_file_name(F.col("doc_id"), F.substring("text", 1, 150)).alias("name"))
+    return table(spark, sf_dir, "documents").select("doc_id", U.numbered_file_name(F.col("doc_id"), F.col("text")).alias("name"))
 
 
 LINKS_SQL = """SELECT e.src, s.section AS src_section, e.dst, d.section AS dst_section FROM (
- SELECT page_id AS src, 2 * page_id + 1 AS dst FROM pages UNION SELECT page_id, 2 * page_id + 2 FROM pages UNION SELECT page_id, (page_id * 7 + 3) % 250 FROM pages) e
+ SELECT page_id AS src, 2 * page_id + 1 AS dst FROM pages UNION SELECT page_id, 2 * page_id + 2 FROM pages UNION SELECT page_id, (page_id * 7 + 3) % (SELECT count(*) FROM pages) FROM pages) e
  JOIN (SELECT page_id, regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) AS section FROM pages) s ON e.src = s.page_id
  JOIN (SELECT page_id, regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) AS section FROM pages) d ON e.dst = d.page_id"""
 
@@ -611,15 +611,15 @@ LINKS_SQL = """SELECT e.src, s.section AS src_section, e.dst, d.section AS dst_s
 def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", U.section(F.col("url")).alias("section"))
     i = F.col("page_id")
-    edges = p.select(i.alias("src"), F.explode(F.array(2 * i + 1, 2 * i + 2, (i * 7 + 3) % 250)).alias("dst")).distinct()
+    edges = p.select(i.alias("src"), F.explode(F.array(2 * i + 1, 2 * i + 2, (i * 7 + 3) % max(1, p.count()))).alias("dst")).distinct()
     side = lambda n: p.select(i.alias(n), F.col("section").alias(f"{n}_section"))
     return edges.join(side("src"), "src").join(side("dst"), "dst")
 
 
-@query(f"""WITH RECURSIVE g AS ({LINKS_SQL}), r(page, depth) AS (SELECT 1::bigint, 0 UNION SELECT g.dst, r.depth + 1 FROM r JOIN g ON g.src = r.page AND g.src_section = g.dst_section WHERE r.depth < 6)
- SELECT page, min(depth) AS depth FROM r GROUP BY page""")
+@query(f"""WITH RECURSIVE g AS ({LINKS_SQL}), r(page) AS (SELECT 1::bigint UNION SELECT g.dst FROM r JOIN g ON g.src = r.page AND g.src_section = g.dst_section)
+ SELECT page FROM r""")
 def crawl_bfs(spark, sf_dir):
-    return crawl.crawl(link_graph(spark, sf_dir), 1, 6)
+    return crawl.crawl(link_graph(spark, sf_dir), 1).select("page")
 
 
 @query("SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)")
