@@ -157,7 +157,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id"
     them. An empty table gives no rows. Every usable row is indexed; only the tree's borders come from a sample.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 2000)
+    small_batches(spark)
     rows = written(usable(vectors, key, vector).distinct().withColumn("width", F.size("vec")), "vectors")
     out = None
     widths = [r["width"] for r in rows.select("width").distinct().limit(1000).collect()]

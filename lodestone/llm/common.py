@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_folder
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -16,38 +22,73 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = "/tmp/checkpoints"
-        sc.setCheckpointDir(named)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
+#: Tables that are still there, of all runs of this process; what is left of them goes when the driver ends.
+_TABLES: dict[str, SparkSession] = {}
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _TABLES[path] = spark
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back; a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder that is no longer read."""
+def remove(path: str) -> None:
+    """Delete a table that is no longer read."""
+    spark = _TABLES.pop(path)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts: keep a worker's batch at a few MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside go at the end, but for those given to the function that this yields. What is returned must not read others."""
+    before, kept = set(_TABLES), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._table)
+        return df
+
+    yield keep
+    for path in [p for p in _TABLES if p not in before and p not in kept]:
+        remove(path)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_TABLES):
+        with suppress(Exception):  # the JVM may have gone first
+            remove(path)
+
+
+#: Rows of an Arrow batch of texts, wherever this package deals texts to Python.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts: keep a worker's batch at a few MB. One value for all operators, so that lazy plans agree."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def gathered(batches, rows: int = 8192):
+    """Batches of numbers joined to about so many rows, which vectorised steps need to be worth their calls."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= rows:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def word_count(text: Column) -> Column:

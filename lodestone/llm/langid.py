@@ -130,7 +130,7 @@ def learn_profiles(docs: DataFrame) -> Profiles:
 
     Null lang or text is not learned from; a null doc_id is in the learned fold. Ties between n-grams go to the smaller code.
     """
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
     rows = docs.where(~held_out(docs.doc_id) & docs.lang.isNotNull() & docs.text.isNotNull()).select("text", "lang")
     counts = rows.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
@@ -159,7 +159,7 @@ def with_language(docs: DataFrame, profiles: Profiles, text: str = "text") -> Da
                 got += [p.judge(codes[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
     own = docs.drop("lang_pred", "score")
     return own.mapInArrow(run, plus(own.schema, lang_pred="string", score="double"))
 

@@ -267,7 +267,7 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
     Null texts count as empty, which has no ids. Repeated rows stay; columns besides doc_id and text are ignored. Words of any
     length are encoded exactly; memory grows with the longest text only. path: a model file that every executor can read.
     """
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
     return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -280,7 +280,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             ids = m.encode([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([m.decode(i) for i in ids], pa.string())], [*b.schema.names, "ids", "decoded"])
 
-    small_batches(docs.sparkSession, 200)
+    small_batches(docs.sparkSession)
     own = docs.drop("ids", "decoded")
     schema = plus(own.schema, ids="array<int>", decoded="string")
     return own.mapInArrow(run, schema)

@@ -213,7 +213,7 @@ def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     as empty; texts without a word score 0. Repeated rows and other columns stay. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
 
     def count(batches):
         sums: Counter[int] = Counter()

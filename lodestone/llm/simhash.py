@@ -1,30 +1,23 @@
-"""SimHash near-duplicates: fingerprints of word shingles, and a Gray-order hierarchical index that links close ones.
-
-Fingerprints that differ in at most r bits agree in two whole blocks at least if 64 bits are cut into r + 2 blocks, so each
-distinct fingerprint goes to the bucket of every pair of blocks. Buckets above BUCKET rows are dealt again by finer
-blocks (more of them must agree then), which bounds a bucket by the free bits that are left. A bucket is sorted by Gray rank;
-runs of FAN neighbours form a node that keeps the bits on which all of them agree (mask and pattern), runs of nodes form
-upper nodes, and a node keeps only what its parent does not hold yet. A query adds up differences on its way down and leaves a
-group as soon as they exceed r. Links that are found are reduced to a spanning star for each local component.
+"""SimHash near-duplicates: fingerprints of word shingles, linked by the Gray-order hierarchical index of gray.py.
+
+Components of fingerprints within a radius come from the index alone. Near-duplicates by similarity take the index for what lies
+close, complete it with buckets of shared small shingle hashes for what a similarity of 0.8 can set further apart, and decide
+links by the exact similarity of shingle sets.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, plus, small_batches, written
+from .common import mix64, plus, small_batches, temporary, written
 from .components import connected_components
+from .gray import FAN, fingerprint_links, gray_rank, local_labels, own_links
 
 SEED = 42
-#: Rows of a bucket above which it is dealt by finer blocks; children of a node; pairs held at once.
-BUCKET, FAN, HELD = 4096, 16, 1 << 20
 
 
 # Fingerprints ------------------------------------------------------------------------------------
@@ -77,206 +70,37 @@ def with_fingerprints(docs: DataFrame, k: int = 4, text: str = "text", out: str
             flat = np.fromiter((h for hs in hashes for h in hs), np.uint64, int(counts.sum()))
             yield pa.RecordBatch.from_arrays([*[c for c, n in zip(b.columns, b.schema.names, strict=True) if n != text], pa.array(majority_bits(flat, counts).view(np.int64))], [*[n for n in b.schema.names if n != text], out])
 
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
     schema = plus(docs.drop(text).schema, **{out: "long"})
     return docs.mapInArrow(run, schema)
 
 
-# The index ---------------------------------------------------------------------------------------
-
-
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """The place of x in the reflected Gray code: neighbours in that order share long masked patterns."""
-    x = x.astype(np.uint64, copy=True)
-    for s in (1, 2, 4, 8, 16, 32):
-        x ^= x >> np.uint64(s)
-    return x
-
-
-class GrayIndex:
-    """Nodes over fingerprints sorted by Gray rank; level 0 are the fingerprints."""
-
-    def __init__(self, fps: np.ndarray):
-        same = [np.full(len(fps), ~np.uint64(0))]  # bits on which all of a node's fingerprints agree
-        value = [fps]
-        while len(value[-1]) > FAN:
-            at = np.arange(0, len(value[-1]), FAN)
-            ones = np.bitwise_and.reduceat(value[-1] | ~same[-1], at)
-            zeros = np.bitwise_and.reduceat(~value[-1] | ~same[-1], at)
-            keep = np.bitwise_and.reduceat(same[-1], at) & (ones | zeros)
-            value.append(value[-1][at] & keep)
-            same.append(keep)
-        self.value = value
-        # What a node adds to its parent's bits.
-        self.own = [same[i] & ~np.repeat(same[i + 1], FAN)[: len(same[i])] if i + 1 < len(same) else same[i] for i in range(len(same))]
-
-    def near(self, queries: np.ndarray, radius: int):
-        """(query number, fingerprint number) pairs within radius, in parts."""
-        top = len(self.value[-1])
-        step = max(1, HELD // (top * FAN * 4))
-        for lo in range(0, len(queries), step):
-            q = np.repeat(np.arange(lo, min(lo + step, len(queries))), top)
-            node = np.tile(np.arange(top), min(step, len(queries) - lo))
-            sums = np.zeros(len(q), np.int64)
-            for level in range(len(self.value) - 1, -1, -1):
-                sums = sums + np.bitwise_count((queries[q] ^ self.value[level][node]) & self.own[level][node])
-                keep = sums <= radius
-                q, node, sums = q[keep], node[keep], sums[keep]
-                if level:
-                    below = len(self.value[level - 1])
-                    node = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                    q, sums = np.repeat(q, FAN), np.repeat(sums, FAN)
-                    keep = node < below
-                    q, node, sums = q[keep], node[keep], sums[keep]
-            yield q, node
-
-
-def local_labels(n: int, links) -> np.ndarray:
-    """The smallest number reachable for each of n, links as (i, j) arrays in parts."""
-    label = np.arange(n)
-    for i, j in links:
-        while True:
-            a, b = label[i], label[j]
-            apart = a != b
-            if not apart.any():
-                break
-            lo, hi = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
-            np.minimum.at(label, hi, lo)
-            while True:
-                jumped = label[label]
-                if (jumped == label).all():
-                    break
-                label = jumped
-            i, j = i[apart], j[apart]
-    return label
-
-
-def bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int, wide: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Star links (rep, smallest rep) of the local components in each bucket; whole buckets, in any order.
-
-    wide: more words of each fingerprint; a link then also needs most differing bits or fewer in all words together.
-    """
-    o = np.lexsort((gray_rank(fp), key))
-    key, fp, rep = key[o], fp[o], rep[o]
-    wide = None if wide is None else wide[o]
-
-    def close(i, j):
-        if wide is None:
-            return i, j
-        ok = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= most
-        return i[ok], j[ok]
-
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.append(start, len(key)))
-
-    def links():
-        small = np.repeat(size <= FAN, size)  # one node: its fingerprints against each other
-        bucket = np.repeat(np.arange(len(size)), size)
-        for d in range(1, FAN):
-            if d >= len(key):
-                break
-            i = np.flatnonzero(small[:-d] & (bucket[d:] == bucket[:-d]))
-            if not len(i):
-                break
-            i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
-            yield close(i, i + d)
-        for s, n in zip(start[size > FAN].tolist(), size[size > FAN].tolist(), strict=True):
-            index = GrayIndex(fp[s : s + n])
-            for i, j in index.near(fp[s : s + n], radius):
-                yield close(s + i, s + j)
-
-    label = local_labels(len(key), links())
-    least = np.full(len(key), np.iinfo(np.int64).max)
-    np.minimum.at(least, label, rep)
-    root = least[label]
-    linked = root != rep
-    return rep[linked], root[linked]
-
-
-def block_keys(fp: Column, radius: int, blocks: int) -> Column:
-    """Keys of all choices of blocks - radius blocks: number of the choice and the chosen bits' hash."""
-    size = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
-    low = [sum(size[:i]) for i in range(blocks)]
-    masks = [((1 << s) - 1) << b for s, b in zip(size, low, strict=True)]
-    keys = []
-    for n, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(masks[i] for i in chosen)
-        keys.append(F.xxhash64(F.lit(n), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))))
-    return F.array(*keys)
-
-
-def fingerprint_links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) between representatives that join all fingerprints within radius of each other, directly or by others.
-
-    fps: distinct fp (long) with rep (long). No pair within radius is lost; pairs are not listed one by one.
-    """
-    out, pool, blocks = None, fps, radius + 2
-    while True:
-        keyed = pool.select(F.explode(block_keys(F.col("fp"), radius, blocks)).alias("key"), "fp", "rep")
-        last = blocks >= 3 * radius or comb(blocks + 2, radius) > 2000
-        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        sizes = written(sizes.where("n > 1"), "buckets")
-        big = sizes.where(F.col("n") > bucket).select("key")
-        ended = last or big.isEmpty()
-        mine = keyed if ended else keyed.join(big, "key", "left_anti")
-        links = mine.join(sizes.select("key"), "key", "left_semi").repartition("key").sortWithinPartitions("key").mapInArrow(_whole_buckets(radius), "a long, b long")
-        links = written(links.distinct(), "links")
-        out = links if out is None else out.unionByName(links)
-        if ended:
-            return out
-        pool = written(keyed.join(big, "key", "left_semi").select("fp", "rep").distinct(), "pool")
-        blocks += 2
-
-
-def _whole_buckets(radius: int, most: int = 0):
-    """Batches of (key, fp, rep, more words of the fingerprint ...), sorted by key: the links of each bucket."""
-
-    def run(batches):
-        held: list[list[np.ndarray]] = []
-        size = 0
-
-        def out(c):
-            wide = np.stack(c[3:], 1).view(np.uint64) if len(c) > 3 else None
-            a, b = bucket_links(c[0], c[1].view(np.uint64), c[2], radius, wide, most)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for batch in batches:
-            held.append([x.to_numpy(zero_copy_only=False) for x in batch.columns])
-            size += batch.num_rows
-            if size < 1 << 17:
-                continue
-            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = int(np.flatnonzero(cols[0] == cols[0][-1])[0])  # the last bucket may go on
-            held, size = [[x[cut:] for x in cols]], len(cols[0]) - cut
-            if cut:
-                yield out([x[:cut] for x in cols])
-        if size:
-            yield out([np.concatenate(x) for x in zip(*held, strict=True)])
-
-    return run
-
-
 def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4, key: str = "doc_id") -> DataFrame:
     """key, fp (long), component_id (the smallest key reachable over links, itself included) for every row of docs.
 
     Null and blank texts have the fingerprint 0 and link like any other. Rows with a null key link others but get a null
     component. Repeated rows stay; other columns are ignored. An empty table gives no rows.
     """
-    fps = written(with_fingerprints(docs.select(docs[key].cast("long").alias("doc_id"), F.col("text")), k), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("rep"))
-    reps = written(reps, "classes")
-    labels = connected_components(fingerprint_links(reps, radius))
-    classes = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
-    out = fps.join(classes, "fp")
+    with temporary(docs.sparkSession) as keep:
+        fps = keep(written(with_fingerprints(docs.select(docs[key].cast("long").alias("doc_id"), F.col("text")), k), "fingerprints"))
+        classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
+        labels = connected_components(fingerprint_links(classes.select("fp", F.col("fp").alias("rep")), radius)).withColumnRenamed("node", "fp")
+        told = written(classes.join(labels, "fp", "left").select("fp", "id", F.coalesce("label", "fp").alias("label")), "told")
+        least = told.groupBy("label").agg(F.min("id").alias("component_id"))
+        told = keep(written(told.join(least, "label").select("fp", "component_id"), "told"))
+    out = fps.join(told, "fp")
     return out.select(F.col("doc_id").alias(key), "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 # Near-duplicates by similarity -------------------------------------------------------------------
 
-#: Words of 64 bits of a wide fingerprint; smallest shingle hashes that deal a text to buckets; levels of dealing.
-WORDS, KEYS, LEVELS = 8, 8, 3
-#: Standard deviations above the expected bits at which pairs are still candidates; members of a group held by one task.
-SPREAD, GROUP = 5, 4096
+#: Words of 64 bits of a wide fingerprint; smallest shingle hashes that deal a text to buckets at first, and how many more count
+#: with each further level of dealing; levels.
+WORDS, KEYS, MORE, LEVELS = 8, 8, 4, 3
+#: Rows of a bucket above which it is dealt again; standard deviations above the expected bits at which pairs are still candidates.
+BUCKET, SPREAD = 1024, 5
+#: Radius of the Gray-order index; members of a block that is compared exactly in one task.
+CLOSE, BLOCK = 4, 512
 
 
 def expected_bits(similarity: float, bits: int) -> float:
@@ -303,10 +127,10 @@ def _wide(docs: DataFrame, k: int) -> DataFrame:
             counts = np.fromiter(map(len, sets), np.int64, len(sets))
             flat = np.concatenate([np.zeros(0, np.uint64), *sets])
             words = [majority_bits(flat if w == 0 else mix64(flat + np.uint64(w)), counts) for w in range(WORDS)]
-            keys = [x[:KEYS].view(np.int64) for x in sets]
+            keys = [x[: KEYS + MORE * (LEVELS - 1)].view(np.int64) for x in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_digest, sets), pa.int64()), *(pa.array(w.view(np.int64)) for w in words), pa.array(keys, pa.list_(pa.int64()))], ["id", "d", *(f"w{i}" for i in range(WORDS)), "keys"])
 
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, "id long, d long, " + "".join(f"w{i} long, " for i in range(WORDS)) + "keys array<long>")
 
 
@@ -377,66 +201,170 @@ def _exact_groups(k: int, similarity: float):
     return run
 
 
-def exact_links(texts: DataFrame, candidates: DataFrame, k: int, similarity: float, group: int = GROUP) -> DataFrame:
-    """Links (a, b) between digests whose shingle sets have that Jaccard similarity or more, inside each candidate component.
+def bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, label: np.ndarray, wide: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star links (rep, smallest rep) of the local components in each bucket; whole buckets, in any order.
 
-    texts: id, text. candidates: d, rep (an id whose text has that digest), label (the component). The links join what any pairs
-    inside a component join. Members of a component of more than group are dealt to blocks, and every two blocks meet in a task.
+    A link needs radius differing bits or fewer in fp, and most or fewer in fp and wide (more words of each fingerprint) together.
+    Equal labels are linked already.
     """
-    sizes = candidates.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / F.lit(max(1, group // 2))).cast("int")).where("n > 1")
-    sizes = sizes.withColumn("blocks", F.when(F.col("n") <= group, F.lit(1)).otherwise(F.col("blocks")))
-    member = candidates.join(sizes.select("label", "blocks"), "label")
-    block = F.pmod(F.xxhash64("d", F.lit("block")), F.col("blocks")).cast("int")
-    # A block meets itself in its meetings with the others.
-    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), block))
-    member = member.select("d", F.col("rep").alias("id"), "label", block.alias("block"), F.explode(other).alias("other"))
-    member = member.select("id", "d", F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other")).alias("group"))
-    # Both sides grow with the corpus: the same plan at every size, never a broadcast.
-    rows = texts.join(member.hint("merge"), "id").select("group", "d", "text")
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_exact_groups(k, similarity), "a long, b long")
+    o = np.lexsort((gray_rank(fp), key))
+    key, fp, rep, label, wide = key[o], fp[o], rep[o], label[o], wide[o]
 
+    def close(i, j):
+        ok = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= most
+        return i[ok], j[ok]
+
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.append(start, len(key)))
+
+    def links():
+        small = np.repeat(size <= FAN, size)  # one node: its fingerprints against each other
+        bucket = np.repeat(np.arange(len(size)), size)
+        for d in range(1, min(FAN, len(key))):
+            i = np.flatnonzero(small[:-d] & (bucket[d:] == bucket[:-d]) & (label[d:] != label[:-d]))
+            yield close(*(x[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius] for x in (i, i + d)))
+        for s, n in zip(start[size > FAN].tolist(), size[size > FAN].tolist(), strict=True):
+            _, first, same = np.unique(label[s : s + n], return_index=True, return_inverse=True)
+            held = own_links(fp[s : s + n], radius, lambda i, j, s=s: tuple(x - s for x in close(s + i, s + j)), first[same])
+            yield s + np.arange(n), s + held
+
+    part = local_labels(len(key), links())
+    least = np.full(len(key), np.iinfo(np.int64).max)
+    np.minimum.at(least, part, rep)
+    root = least[part]
+    linked = root != rep
+    return rep[linked], root[linked]
+
+
+def _whole_buckets(radius: int, most: int):
+    """Batches of (key, fp, rep, label, more words of the fingerprint ...), sorted by key: the links of each bucket."""
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def out(c):
+            a, b = bucket_links(c[0], c[1].view(np.uint64), c[2], c[3], np.stack(c[4:], 1).view(np.uint64), radius, most)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            held.append([x.to_numpy(zero_copy_only=False) for x in batch.columns])
+            size += batch.num_rows
+            if size < 1 << 16:
+                continue
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.flatnonzero(cols[0] == cols[0][-1])[0])  # the last bucket may go on
+            held, size = [[x[cut:] for x in cols]], len(cols[0]) - cut
+            if cut:
+                yield out([x[:cut] for x in cols])
+        if size:
+            yield out([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return run
 
-def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, key: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
-    """key and component_id (the smallest key reachable) of every row of docs with a key, texts linked from a similarity on.
 
-    A link is a Jaccard similarity of the sets of shingle hashes, computed exactly. Candidates come from fingerprints of
-    WORDS x 64 bits that differ in no more bits than sets of that similarity do on average, and SPREAD standard deviations. At
-    so wide a radius blocks of bits no longer select, so texts meet in the buckets of their KEYS smallest shingle hashes
-    (similar texts share most of them); inside a bucket the Gray-order index finds what is close. A bucket above its size is
-    dealt again by pairs, then by triples, of these hashes. What candidates join is searched for exact links.
-    Null and blank texts have equal sets. Rows with null key take no part.
+def _far_links(classes: DataFrame, similarity: float, bucket: int) -> DataFrame:
+    """Candidate links (a, b) between representatives with different labels, from buckets of shared small shingle hashes.
+
+    classes: rep, label, w0.., keys. Texts of that similarity share some of their KEYS smallest hashes but for a few in a million
+    (0.2^8). A bucket whose rows have one label holds no news. A bucket above its size is dealt again by a second hash of KEYS +
+    MORE smallest ones, then by a third, with the same small chance to miss; one that is still too large becomes one candidate
+    group as a whole, which the exact comparison then takes apart. So no pair is lost to a bucket's size.
     """
     names = [f"w{i}" for i in range(WORDS)]
     share = expected_bits(similarity, 1)
     most, radius = (int(n * share + SPREAD * (n * share * (1 - share)) ** 0.5) for n in (64 * WORDS, 64))
-    texts = docs.select(docs[key].cast("long").alias("id"), "text").where("id is not null")
-    fps = written(_wide(texts, k), "wide")
-    classes = written(fps.groupBy("d", *names).agg(F.min("id").alias("id"), F.min("keys").alias("keys")), "classes")
-    classes, ids = classes.withColumnRenamed("d", "rep").drop("id"), classes.select(F.col("d").alias("rep"), "id")
-    pool = classes.select("rep", F.array().cast("array<bigint>").alias("used"))
-    links = None
+    pool, links = None, None
     for level in range(LEVELS):
-        keyed = pool.join(classes, "rep") if level else classes.withColumn("used", F.array().cast("array<bigint>"))
-        keyed = keyed.select("rep", *names, "used", F.explode(F.array_except("keys", "used")).alias("own"))
+        keyed = classes.withColumn("used", F.array().cast("array<bigint>")) if pool is None else pool.join(classes, "rep")
+        keyed = keyed.select("rep", "label", *names, "used", F.explode(F.array_except(F.slice("keys", 1, KEYS + MORE * level), "used")).alias("own"))
         keyed = keyed.withColumn("used", F.sort_array(F.concat("used", F.array("own")))).withColumn("key", F.xxhash64("used")).drop("own")
-        sizes = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-        big = sizes.where(F.col("n") > bucket).select("key")
-        ended = level == LEVELS - 1 or big.isEmpty()
-        mine = sizes if ended else sizes.where(F.col("n") <= bucket)
-        rows = keyed.join(mine.select("key"), "key", "left_semi").select("key", "w0", "rep", *names[1:])
+        sizes = keyed.select("key", "label").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        sizes = written(sizes.where("lo != hi").select("key", "n"), "buckets")
+        mine, big = sizes.where(F.col("n") <= bucket).select("key"), sizes.where(F.col("n") > bucket).select("key")
+        rows = keyed.join(mine, "key", "left_semi").select("key", "w0", "rep", "label", *names[1:])
         found = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_whole_buckets(radius, most), "a long, b long").distinct(), "links")
         links = found if links is None else links.unionByName(found)
-        if ended:
+        if big.isEmpty():
             break
-        pool = written(keyed.join(big, "key", "left_semi").select("rep", "used").distinct(), "pool")
-    # Candidate components, then the components of exact links inside them.
-    labels = connected_components(links).withColumnRenamed("node", "rep")
-    candidates = written(labels.join(ids, "rep").select(F.col("rep").alias("d"), F.col("id").alias("rep"), "label"), "candidates")
-    labels = connected_components(written(exact_links(texts, candidates, k, similarity), "links")).withColumnRenamed("node", "rep")
-    told = ids.join(labels, "rep", "left").select("rep", "id", F.coalesce("label", "rep").alias("label"))
-    told = written(told, "told")
-    least = told.groupBy("label").agg(F.min("id").alias("component_id"))
-    told = told.join(least, "label").select(F.col("rep").alias("d"), "component_id")
+        if level < LEVELS - 1:
+            pool = written(keyed.join(big, "key", "left_semi").select("rep", "used").distinct(), "pool")
+        else:
+            members = written(keyed.join(big, "key", "left_semi").select("key", "rep"), "members")
+            hub = members.groupBy("key").agg(F.min("rep").alias("b"))
+            links = links.unionByName(written(members.join(hub, "key").select(F.col("rep").alias("a"), "b").where("a != b").distinct(), "links"))
+    return links
+
+
+def _compared(texts: DataFrame, members: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Star links (a, b) of the exact components of each group. texts: id, text; members: id, d, group."""
+    # Both sides grow with the corpus: the same plan at every size, never a broadcast.
+    rows = texts.join(members.hint("merge"), "id").select("group", "d", "text")
+    return written(rows.repartition("group").sortWithinPartitions("group").mapInArrow(_exact_groups(k, similarity), "a long, b long"), "links")
+
+
+def exact_links(texts: DataFrame, candidates: DataFrame, k: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between digests whose shingle sets have that Jaccard similarity or more, inside each candidate component.
+
+    texts: id, text. candidates: d, rep (an id whose text has that digest), label (the component). The links join what any pairs
+    inside a component join. A component of more than `block` members is dealt to blocks. Its smallest digest, the pivot, goes to
+    every block: what links to it there is settled with all others of the kind, which is nearly all of a group of copies. The rest
+    of the component then meets every block of it, in parts of `block` members.
+    """
+    sizes = candidates.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "rep")).alias("pivot")).where("n > 1")
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
+    at = F.pmod(F.xxhash64("d", F.lit("block")), F.col("blocks")).cast("int")
+    member = candidates.join(sizes, "label").select("label", "d", F.col("rep").alias("id"), at.alias("block"), "blocks", "pivot")
+    member = written(member, "members")
+    group = lambda *c: F.xxhash64("label", *c).alias("group")
+    pivots = member.where("blocks > 1").select("label", "block", "pivot").distinct()
+    pivots = pivots.select(F.col("pivot.rep").alias("id"), F.col("pivot.d").alias("d"), group("block"))
+    links = _compared(texts, member.select("id", "d", group("block")).unionByName(pivots), k, similarity)
+    large = member.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    with_pivot = links.select(F.col("b").alias("d"), F.col("a").alias("p"))
+    rest = large.join(with_pivot, "d", "left").where("p is null or p != pivot.d").where("d != pivot.d").select("label", "id", "d", "blocks")
+    rest = written(rest, "rest")
+    if rest.isEmpty():
+        return links
+    parts = rest.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("d", F.lit("part")), F.col("parts")).cast("int")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    rest = rest.join(parts, "label").select("label", "id", "d", part.alias("part"), upto("blocks").alias("block"))
+    held = large.join(parts, "label").select("label", "id", "d", "block", upto("parts").alias("part"))
+    meet = held.unionByName(rest, allowMissingColumns=True).select("id", "d", group("block", "part")).distinct()
+    return links.unionByName(_compared(texts, meet, k, similarity))
+
+
+def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, key: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
+    """key and component_id (the smallest key reachable) of every row of docs with a key, texts linked from a similarity on.
+
+    A link is a Jaccard similarity of the sets of shingle hashes, computed exactly. Candidates come from SimHash fingerprints of the
+    sets: the Gray-order index joins those within CLOSE bits, and whole groups of near-copies at once. At a similarity of 0.8
+    fingerprints differ in about ten bits of 64, too many for any order to prune; there, texts meet in buckets of their smallest
+    shingle hashes (similar texts share most of them), in which fingerprints of WORDS x 64 bits may differ in as many bits as sets of
+    that similarity do on average, and SPREAD standard deviations. Inside candidate components exact links decide.
+    Null and blank texts have equal sets. Rows with null key take no part. An empty table gives no rows.
+    """
+    names = [f"w{i}" for i in range(WORDS)]
+    with temporary(docs.sparkSession) as keep:
+        texts = docs.select(docs[key].cast("long").alias("id"), "text").where("id is not null")
+        fps = keep(written(_wide(texts, k), "wide"))
+        classes = written(fps.groupBy("d", *names).agg(F.min("id").alias("id"), F.min("keys").alias("keys")).withColumnRenamed("d", "rep"), "classes")
+        first = written(classes.groupBy(F.col("w0").alias("fp")).agg(F.min("rep").alias("rep")), "first")
+        equal = classes.select("rep", F.col("w0").alias("fp")).join(first.withColumnRenamed("rep", "b"), "fp").select(F.col("rep").alias("a"), "b").where("a != b")
+        near = written(fingerprint_links(first, CLOSE).unionByName(equal), "near")
+        labels = connected_components(near).withColumnRenamed("node", "rep")
+        classes = written(classes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
+        # Candidate components, then the components of exact links inside them.
+        labels = connected_components(near.unionByName(_far_links(classes, similarity, bucket))).withColumnRenamed("node", "rep")
+        ids = classes.select("rep", "id")
+        candidates = written(labels.join(ids, "rep").select(F.col("rep").alias("d"), F.col("id").alias("rep"), "label"), "candidates")
+        labels = connected_components(exact_links(texts, candidates, k, similarity)).withColumnRenamed("node", "rep")
+        told = written(ids.join(labels, "rep", "left").select("rep", "id", F.coalesce("label", "rep").alias("label")), "told")
+        least = told.groupBy("label").agg(F.min("id").alias("component_id"))
+        told = keep(written(told.join(least, "label").select(F.col("rep").alias("d"), "component_id"), "told"))
     return fps.select("id", "d").join(told, "d").select(F.col("id").alias(key), "component_id")
 
 

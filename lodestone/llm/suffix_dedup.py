@@ -260,7 +260,7 @@ def _merge_shards(batches):
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, group: int = GROUP) -> DataFrame:
     """(id, th, spans): for each text that has some, the ranges [lo, hi) of starts of repeated windows. docs: id, th, text."""
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
 
     def cut(batches):
         for b in batches:

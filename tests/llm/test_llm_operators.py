@@ -13,7 +13,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, langid, mixing, piece_codec, quality, queries, simhash, suffix_dedup, syncmer, url_filter, warc
+from lodestone.llm import ann, gray, langid, mixing, piece_codec, quality, queries, simhash, suffix_dedup, syncmer, url_filter, warc
+from lodestone.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -463,8 +464,9 @@ def test_simhash(docs, empty):
     assert simhash.simhash_components(empty).count() == 0
 
 
-@pytest.mark.parametrize("bucket", [4096, 3])
-def test_fingerprint_links(spark, bucket):
+@pytest.mark.parametrize("run, most", [(gray.RUN, gray.TOP), (20, gray.TOP), (8, 10)])
+def test_fingerprint_links(spark, run, most):
+    """All links come from the index: over one run, over many, and over several levels of nodes."""
     r = random.Random(6)
     fps = set()
     for _ in range(12):
@@ -476,25 +478,33 @@ def test_fingerprint_links(spark, bucket):
             fps.add(x)
     fps = sorted(fps)
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), i) for i, f in enumerate(fps)], "fp long, rep long")
-    links = simhash.fingerprint_links(df, 4, bucket)
-    from lodestone.llm.components import connected_components
-
+    links = gray.fingerprint_links(df, 4, run, most)
     label = {r["node"]: r["label"] for r in connected_components(links).collect()}
     assert [label.get(i, i) for i in range(len(fps))] == brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 4)
 
 
+def test_links_of_a_dense_group(spark):
+    """20,000 fingerprints of one group: few links are listed, and queries leave the nodes that are their own component's."""
+    r = np.random.default_rng(4)
+    x = np.uint64(0x0123456789ABCDEF) ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 40, (30_000, 3)).astype(np.uint64), axis=1)
+    x = np.unique(x)[:20_000]
+    df = spark.createDataFrame([(int(v.view(np.int64)), i) for i, v in enumerate(x)], "fp long, rep long")
+    links = gray.fingerprint_links(df, 4)
+    assert links.count() < 10 * len(x)
+    assert {r["label"] for r in connected_components(links).collect()} == {0}
+
+
 def test_gray_index_finds_all():
     r = np.random.default_rng(3)
     x = np.unique(np.r_[r.integers(0, 2**63, 40, dtype=np.uint64), *(np.uint64(1 << 40) ^ (np.uint64(1) << r.integers(0, 64, 6).astype(np.uint64)) for _ in range(40))])
-    x = x[np.argsort(simhash.gray_rank(x))]
-    got = {p for q, n in simhash.GrayIndex(x).near(x, 4) for p in zip(q.tolist(), n.tolist(), strict=True)}
+    x = x[np.argsort(gray.gray_rank(x))]
+    got = {p for q, n, _, _ in gray.GrayIndex(x).near(x, 4) for p in zip(q.tolist(), n.tolist(), strict=True)}
     assert got == {tuple(p) for p in np.argwhere(np.bitwise_count(x[:, None] ^ x[None]) <= 4).tolist()}
+    assert (gray.at_place(gray.place(x)) == x).all()
 
 
 def test_components_of_paths(spark):
     """A long path and a star: the smallest node reaches all."""
-    from lodestone.llm.components import connected_components
-
     path = [(i, i + 1) for i in range(0, 60)]
     star = [(100, 200 + i) for i in range(50)] + [(500, 400), (400, 401)]
     r = random.Random(2)
@@ -547,7 +557,7 @@ def test_exact_labels():
     assert simhash.exact_labels([], 0.8).tolist() == []
 
 
-@pytest.mark.parametrize("group", [simhash.GROUP, 4])
+@pytest.mark.parametrize("group", [simhash.BLOCK, 2])
 def test_similar_texts_by_exact_similarity(spark, monkeypatch, group):
     """Pairs on both sides of the similarity, repeated ids and groups over several tasks: the components of exact Jaccard."""
     monkeypatch.setattr(simhash.exact_links, "__defaults__", (group,))
@@ -573,6 +583,21 @@ def test_similar_texts_by_exact_similarity(spark, monkeypatch, group):
     assert (900, 0) in got and {(i, x) for i, x in enumerate(want)} <= got
 
 
+def test_many_near_copies(spark):
+    """20,000 copies that differ in a word or two are one group, among texts that share a passage with them and stay apart."""
+    r = random.Random(31)
+    base = prose(8000, 150).split()
+    texts = []
+    for i in range(20_000):
+        v = list(base)
+        v[r.randrange(len(v))] = f"w{i}"
+        texts.append(" ".join(v))
+    texts += [" ".join([*prose(8100 + i, 40).split(), *base[:30], *prose(8500 + i, 40).split()]) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_components(df).collect()}
+    assert {got[i] for i in range(20_000)} == {0} and all(got[i] == i for i in range(20_000, 20_300))
+
+
 def test_one_of_each(docs, empty):
     out = simhash.one_of_each(docs)
     got = rows(out, "doc_id")
