@@ -1,12 +1,12 @@
 """Removal of repeated byte strings with suffix arrays.
 
-A byte goes if it lies in a SPAN-byte window that also starts anywhere else. Windows are dealt to shards by content: a
+A byte goes if it lies in a SPAN-byte window that also starts anywhere else. Windows are dealt to groups by content: a
 window's own smallest hash of GRAM bytes names its group, so equal windows always meet. Neighbouring windows of a text with the same
-minimal gram form a fragment. Fragments that occur twice as a whole are settled by counting; what differs inside a
-group is settled by suffix arrays: each shard joins its fragments, sorts their suffixes by Larsson-Sadakane refinement (ranks of
-depth h double to 2 h, only where they still tie), takes Kasai's common prefixes, and marks windows in runs of prefixes of
-SPAN bytes or more. A group with more than GROUP different fragments is split over shards; each then passes on the sorted
-digests of its windows, and sorted lists are merged by binary search. No text is compared with all others, and no group has to
+minimal gram form a fragment; equal fragments are one before any is moved, and weigh as many as they are. Shards hold the fragments of
+groups, GROUP of them at most of one group. Each shard joins its fragments, sorts their suffixes by Larsson-Sadakane refinement (ranks of
+depth h double to 2 h, only where they still tie), takes Kasai's common prefixes, and marks the windows in runs of prefixes of
+SPAN bytes or more that weigh two or more. Of a group that is split over shards, each shard passes on the sorted digests of its different
+windows, one a run, and these lists are merged by binary search. No text is compared with all others, and no group has to
 fit in one task.
 """
 
@@ -19,11 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import guarded, mix64, plus, small_batches, written
+from .common import guarded, mix64, plus, small_batches, temporary, written
 
 SPAN, GRAM = 200, 16
-#: Different fragments of a group in one shard; bytes handled at once (places must fit PLACE bits).
-GROUP, PLACE = 4096, 20
+#: Different fragments of a group in one shard, and on average in a range of digests that is merged at once; bytes handled at once
+#: (places must fit PLACE bits).
+GROUP, RANGE, PLACE = 256, 4096, 20
 CHUNK = 1 << PLACE
 KASAI_LANE = 256
 T_SCHEMA = "h long, fd long, id long, th long, s0 int, n int"
@@ -163,48 +164,72 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     return found[order]
 
 
-def repeated_windows(data: np.ndarray, valid: np.ndarray, span: int) -> np.ndarray:
-    """Which of the valid window starts of data have an equal window at another valid start."""
+def window_runs(data: np.ndarray, valid: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The valid window starts of data in the order of their suffixes, and the number of the run of equal windows that each is in."""
     order = suffix_array(data)
     prefix = common_prefixes(data, order, span)
     run = np.cumsum(prefix < span) - 1
     ok = valid[order]
-    many = np.bincount(run[ok], minlength=run[-1] + 1) > 1
+    return order[ok], run[ok]
+
+
+def repeated_windows(data: np.ndarray, valid: np.ndarray, span: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """Which of the valid window starts of data have an equal window at another valid start, or weigh more than one."""
+    starts, run = window_runs(data, valid, span)
     out = np.zeros(len(data), bool)
-    out[order[ok & many[run]]] = True
+    if len(starts):
+        out[starts] = np.bincount(run, None if weight is None else weight[starts])[run] > 1
     return out
 
 
-def _shard(span: int, group: int):
-    """Whole groups (h, salt) in: windows that repeat inside the shard (dig null), and the windows of split groups with digests."""
-    schema = pa.schema([("h", pa.int64()), ("fd", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("shard", pa.int64()), ("dig", pa.int64()), ("dig2", pa.int64())])
+SHARDS = "h long, fd long, lo int, hi int, r long, dig binary, fds binary, los binary, known binary"
+
+
+def _shard(span: int):
+    """Whole shards in, sorted by (h, salt): ranges of windows that repeat inside the shard (dig null), and for split groups the lists
+    of digests of different windows, a row for each range r of digests."""
+    names = [x.split()[0] for x in SHARDS.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
+
+    def batch(**cols):
+        n = len(next(iter(cols.values())))
+        return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names)
 
     def out(rows):
-        h, salts, fd, split, frag = (x for x in zip(*rows, strict=True))
+        h, salt, fd, split, many, ranges, frag = (x for x in zip(*rows, strict=True))
         length = np.fromiter(map(len, frag), np.int64, len(frag))
         begin = np.cumsum(length) - length
         raw = b"".join(frag)
         data = np.frombuffer(raw, np.uint8)
         own = np.repeat(np.arange(len(frag)), length)
-        at = np.arange(len(data))
-        valid = at + span <= (begin + length)[own]
-        hit = repeated_windows(data, valid, span)
+        valid = np.arange(len(data)) + span <= (begin + length)[own]
+        starts, run = window_runs(data, valid, span)
+        heavy = np.bincount(run, 1.0 + np.array(many, bool)[own[starts]]) > 1
+        hit = np.zeros(len(data), bool)
+        hit[starts] = heavy[run]
         edge = np.diff(np.r_[False, hit, False].astype(np.int8))
         lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # never across fragments: their last places are no windows
         o = own[lo]
         hs, fds = np.array(h, np.int64), np.array(fd, np.int64)
-        cols = [hs[o], fds[o], lo - begin[o], hi - begin[o]]
-        none = pa.nulls(len(o), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), none, none, none], schema=schema)
-        cut = np.flatnonzero(np.array(split, bool)[own] & valid)
-        for a in range(0, len(cut), 50_000):
-            c = cut[a : a + 50_000]
-            digs = [xxhash.xxh3_128_digest(raw[i : i + span]) for i in c.tolist()]
-            d = np.frombuffer(b"".join(digs), np.int64).reshape(-1, 2)
-            o = own[c]
-            start = (c - begin[o]).astype(np.int32)
-            shard = hs[o] * 31 + np.array(salts, np.int64)[o]
-            yield pa.RecordBatch.from_arrays([pa.array(hs[o]), pa.array(fds[o]), pa.array(start), pa.array(start + 1), pa.array(shard), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], schema=schema)
+        yield batch(h=hs[o], fd=fds[o], lo=(lo - begin[o]).astype(np.int32), hi=(hi - begin[o]).astype(np.int32))
+        # One window of each run; if a run is light, that is its only one.
+        first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        cut = starts[first]
+        known = heavy[run[first]]
+        of = own[cut]
+        there = np.array(split, bool)[of]
+        cut, known, of = cut[there], known[there], of[there]
+        if not len(cut):
+            return
+        dig = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + span]) for i in cut.tolist()), np.uint64).reshape(-1, 2)
+        r = ((dig[:, 0] >> np.uint64(32)) * np.array(ranges, np.uint64)[of] >> np.uint64(32)).astype(np.int64)
+        salts = np.array(salt, np.int64)[of]
+        by = np.lexsort((dig[:, 0], r, salts, hs[of]))
+        key = np.stack([hs[of], salts, r])[:, by]
+        at = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
+        parts = [np.split(x, at[1:]) for x in (dig[by], fds[of][by], (cut - begin[of])[by].astype(np.int32), known[by])]
+        for i in range(0, len(at), 64):
+            yield batch(h=key[0, at[i : i + 64]], r=key[2, at[i : i + 64]], **{c: [x.tobytes() for x in p[i : i + 64]] for c, p in zip(("dig", "fds", "los", "known"), parts, strict=True)})
 
     def run(batches):
         held, size, last = [], 0, None
@@ -215,51 +240,75 @@ def _shard(span: int, group: int):
                     held, size = [], 0
                 last = row[:2]
                 held.append(row)
-                size += len(row[4])
+                size += len(row[6])
         if held:
             yield from out(held)
 
     return run
 
 
-def merge_sorted(lists: list[np.ndarray]) -> list[np.ndarray]:
-    """For each sorted list of distinct values, which of them another list holds too: binary search of each in the merged rest."""
-    hit = [np.zeros(len(x), bool) for x in lists]
-    merged, first = np.zeros(0, lists[0].dtype if lists else np.int64), np.zeros((0, 2), np.int64)
-    for k, x in enumerate(lists):
-        at = np.searchsorted(merged, x)
-        found = (at < len(merged)) & (merged[np.minimum(at, max(len(merged) - 1, 0))] == x) if len(merged) else np.zeros(len(x), bool)
-        hit[k] |= found
-        for j, i in first[at[found]]:
-            hit[j][i] = True
-        fresh = np.flatnonzero(~found)
-        merged = np.insert(merged, at[fresh], x[fresh])
-        first = np.insert(first, at[fresh], np.stack([np.full(len(fresh), k), fresh], 1), axis=0)
-    return hit
-
-
-def _merge_shards(batches):
-    """Rows (dig, dig2, shard, h, fd, lo) with all rows of a digest in one task: those whose digest two shards hold."""
-    cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns] for b in batches), strict=True)] or [np.zeros(0, np.int64)] * 6
-    both = np.empty(len(cols[0]), [("a", np.int64), ("b", np.int64)])
-    both["a"], both["b"] = cols[0], cols[1]
-    _, value = np.unique(both, return_inverse=True)  # digests as numbers in order
-    lists, backs, rows = [], [], []
-    for shard in np.unique(cols[2]):
-        own = np.flatnonzero(cols[2] == shard)
-        distinct, back = np.unique(value[own], return_inverse=True)
-        lists.append(distinct), backs.append(back), rows.append(own)
-    keep = np.zeros(len(cols[0]), bool)
-    for hit, back, own in zip(merge_sorted(lists), backs, rows, strict=True):
-        keep[own] = hit[back]
-    yield pa.RecordBatch.from_arrays([pa.array(cols[3][keep]), pa.array(cols[4][keep]), pa.array(cols[5][keep].astype(np.int32))], ["h", "fd", "lo"])
+class MergedLists:
+    """Sorted lists of different digests that come one after another, merged by binary search.
+
+    What was merged is kept in sorted parts whose sizes double, so each list is searched for in few of them. A digest that two lists hold
+    is told once for each place (fd, lo) that did not know yet.
+    """
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []  # (first half, second half, fd, lo, known)
+
+    def add(self, a: np.ndarray, b: np.ndarray, fd: np.ndarray, lo: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fd, lo) of the places that are now known to repeat."""
+        told_fd, told_lo = [], []
+        for pa_, pb, pfd, plo, pknown in self.parts:
+            at = np.searchsorted(pa_, a)
+            found = np.zeros(len(a), bool)
+            left = np.flatnonzero(at < len(pa_))
+            while len(left):  # again where the first halves are equal and the second are not
+                left = left[pa_[at[left]] == a[left]]
+                same = pb[at[left]] == b[left]
+                here = at[left[same]]
+                found[left[same]] = True
+                new = here[~pknown[here]]
+                told_fd.append(pfd[new]), told_lo.append(plo[new])
+                pknown[here] = True
+                left = left[~same]
+                at[left] += 1
+                left = left[at[left] < len(pa_)]
+            new = found & ~known
+            told_fd.append(fd[new]), told_lo.append(lo[new])
+            a, b, fd, lo, known = (x[~found] for x in (a, b, fd, lo, known))
+        if len(a):
+            part = (a, b, fd, lo, known.copy())
+            while self.parts and len(self.parts[-1][0]) <= 2 * len(part[0]):
+                part = tuple(np.concatenate(x) for x in zip(self.parts.pop(), part, strict=True))
+                o = np.lexsort((part[1], part[0]))
+                part = tuple(x[o] for x in part)
+            self.parts.append(part)
+        return np.concatenate([np.zeros(0, np.int64), *told_fd]), np.concatenate([np.zeros(0, np.int32), *told_lo])
+
+
+def _merge_lists(batches):
+    """Rows (h, r, dig, fds, los, known), sorted by (h, r): the windows (h, fd, lo) whose digest lists of two shards hold."""
+    key, merged = None, MergedLists()
+    for b in batches:
+        h_, fd_, lo_ = [], [], []
+        for h, r, dig, fds, los, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (h, r) != key:
+                key, merged = (h, r), MergedLists()
+            d = np.frombuffer(dig, np.uint64).reshape(-1, 2)
+            fd, lo = merged.add(d[:, 0].copy(), d[:, 1].copy(), np.frombuffer(fds, np.int64), np.frombuffer(los, np.int32), np.frombuffer(known, bool))
+            h_.append(np.full(len(fd), h)), fd_.append(fd), lo_.append(lo)
+        if h_:
+            h, fd, lo = (np.concatenate(x) for x in (h_, fd_, lo_))
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(fd, pa.int64()), pa.array(lo.astype(np.int32))], ["h", "fd", "lo"])
 
 
 # The operator ------------------------------------------------------------------------------------
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, group: int = GROUP) -> DataFrame:
-    """(id, th, spans): for each text that has some, the ranges [lo, hi) of starts of repeated windows. docs: id, th, text."""
+def fragment_table(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """A row for each fragment of each text: h, fd (digest of its content), id, th, s0, n. docs: id, th, text."""
     small_batches(docs.sparkSession)
 
     def cut(batches):
@@ -268,36 +317,47 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, group: int = GROUP) -> Dat
             for number, s0, n, h, fd in fragments([(t or "").encode("utf-8", "replace") for t in b.column(2).to_pylist()], span):
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(fd.view(np.int64)), pa.array(ids[number]), pa.array(th[number]), pa.array(s0.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "fd", "id", "th", "s0", "n"])
 
-    t = written(docs.select("id", "th", "text").mapInArrow(cut, T_SCHEMA), "fragments")
-    kinds = t.groupBy("h", "fd").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "th", "s0", "n")).alias("rep"))
+    return written(docs.select("id", "th", "text").mapInArrow(cut, T_SCHEMA), "fragments")
+
+
+def judged_shards(docs: DataFrame, pieces: DataFrame, span: int = SPAN, group: int = GROUP) -> DataFrame:
+    """What the shards of all groups of two fragments or more (equal ones counted) say, as in SHARDS. pieces: fragment_table of docs."""
+    kinds = pieces.groupBy("h", "fd").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "th", "s0", "n")).alias("rep"))
     kinds = written(kinds, "kinds")
-    mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
-    # One text of each different fragment of a mixed group, split over shards where there are many.
+    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("d"), F.max("c").alias("most")).where("d > 1 or most > 1").drop("most")
+    # One text of each different fragment, in shards where a group has many.
     parts = F.ceil(F.col("d") / group).cast("long")
-    reps = kinds.join(mixed, "h").select("rep.*", "h", "fd", F.pmod("fd", parts).alias("salt"), (parts > 1).alias("split"))
-    lists = reps.groupBy("id", "th").agg(F.collect_list(F.struct("h", "salt", "fd", "split", "s0", "n")).alias("want"))
+    reps = kinds.join(several, "h").select("rep.*", "h", "fd", F.pmod("fd", parts).alias("salt"), (parts > 1).alias("split"), (F.col("c") > 1).alias("many"), F.ceil(F.col("d") / RANGE).cast("long").alias("ranges"))
+    lists = reps.groupBy("id", "th").agg(F.collect_list(F.struct("h", "salt", "fd", "split", "many", "ranges", "s0", "n")).alias("want"))
 
     def pick(batches):
         for b in batches:
             rows = []
             for text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "replace")
-                rows += [(w["h"], w["salt"], w["fd"], w["split"], raw[w["s0"] : w["s0"] + w["n"] + span - 1]) for w in want]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds_, strict=True)], ["h", "salt", "fd", "split", "frag"])
-
-    picked = docs.join(lists, ["id", "th"]).select("text", "want").mapInArrow(pick, "h long, salt long, fd long, split boolean, frag binary")
-    judged = picked.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_shard(span, group), "h long, fd long, lo int, hi int, shard long, dig long, dig2 long")
-    judged = written(judged, "windows")
-    apart = judged.where("dig is not null").select("dig", "dig2", "shard", "h", "fd", "lo").repartition("dig", "dig2").mapInArrow(_merge_shards, "h long, fd long, lo int")
-    inside = judged.where("dig is null").select("h", "fd", "lo", "hi").unionByName(apart.select("h", "fd", "lo", (F.col("lo") + 1).alias("hi")))
-    # What holds for a kind of fragment holds wherever it occurs.
-    ranges = inside.groupBy("h", "fd").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    told = kinds.where("c > 1").select("h", "fd", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("ranges"))
-    told = told.unionByName(ranges.join(kinds.where("c = 1").select("h", "fd"), ["h", "fd"]))
-    found = t.join(told, ["h", "fd"]).select("id", "th", F.explode(F.when(F.col("ranges").isNull(), F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))).otherwise(F.col("ranges"))).alias("r"), "s0")
-    return found.groupBy("id", "th").agg(F.collect_set(F.struct((F.col("s0") + F.col("r.lo")).alias("lo"), (F.col("s0") + F.col("r.hi")).alias("hi"))).alias("spans"))
+                rows += [(w["h"], w["salt"], w["fd"], w["split"], w["many"], w["ranges"], raw[w["s0"] : w["s0"] + w["n"] + span - 1]) for w in want]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds_, strict=True)], ["h", "salt", "fd", "split", "many", "ranges", "frag"])
+
+    picked = docs.join(lists, ["id", "th"]).select("text", "want").mapInArrow(pick, "h long, salt long, fd long, split boolean, many boolean, ranges long, frag binary")
+    judged = picked.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_shard(span), SHARDS)
+    return written(judged, "shards")
+
+
+def repeated_spans(docs: DataFrame, span: int = SPAN, group: int = GROUP) -> DataFrame:
+    """(id, th, spans): for each text that has some, the ranges [lo, hi) of starts of repeated windows. docs: id, th, text."""
+    with temporary(docs.sparkSession) as keep:
+        t = fragment_table(docs, span)
+        judged = judged_shards(docs, t, span, group)
+        lists = judged.where("dig is not null").select("h", "r", "dig", "fds", "los", "known")
+        apart = lists.repartition("h", "r").sortWithinPartitions("h", "r").mapInArrow(_merge_lists, "h long, fd long, lo int")
+        inside = judged.where("dig is null").select("h", "fd", "lo", "hi").unionByName(apart.select("h", "fd", "lo", (F.col("lo") + 1).alias("hi")))
+        # What holds for a kind of fragment holds wherever it occurs.
+        ranges = inside.groupBy("h", "fd").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+        found = t.join(ranges, ["h", "fd"]).select("id", "th", F.explode("ranges").alias("r"), "s0")
+        spans = found.groupBy("id", "th").agg(F.collect_set(F.struct((F.col("s0") + F.col("r.lo")).alias("lo"), (F.col("s0") + F.col("r.hi")).alias("hi"))).alias("spans"))
+        return keep(written(spans, "spans"))
 
 
 def removed_runs(spans: list[dict] | None, span: int) -> list[tuple[int, int]]:

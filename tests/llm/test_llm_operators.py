@@ -259,6 +259,46 @@ def test_split_groups_merge(spark):
         assert rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "sha") == sorted(((i, *w) for i, w in enumerate(brute_repeats(texts, 200))), key=repr)
 
 
+def test_groups_split_without_being_forced(spark):
+    """A phrase in thousands of texts: its group is split at the production size, and shards in different tasks find equal windows by merging."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the shards of so few texts would meet in one task
+    try:
+        _split_without_being_forced(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def _split_without_being_forced(spark):
+    r = random.Random(18)
+    phrase = prose(98, 9)
+    texts = [prose(20_000 + i, 24)[:110] + phrase + prose(30_000 + i, 30)[:120] for i in range(3000)]
+    texts += [texts[r.randrange(3000)][5:225] + f" tail {i}" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    keyed = df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
+    judged = suffix_dedup.judged_shards(keyed, suffix_dedup.fragment_table(keyed))
+    assert judged.where("dig is not null").select("h").distinct().count() > 0
+    merged = judged.where("dig is not null").select("h", "r", "dig", "fds", "los", "known").repartition("h", "r").sortWithinPartitions("h", "r")
+    assert merged.mapInArrow(suffix_dedup._merge_lists, "h long, fd long, lo int").count() > 0
+    out = suffix_dedup.without_repeats(df).withColumn("sha", F.sha2("kept", 256))
+    assert rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "sha") == sorted(((i, *w) for i, w in enumerate(brute_repeats(texts, 200))), key=repr)
+
+
+def test_merged_lists():
+    """Each place that repeats is told once, whatever the order of lists; equal first halves alone are no match."""
+    r = np.random.default_rng(21)
+    lists = [np.unique(r.integers(0, 400, (int(r.integers(1, 90)), 2)) // np.array([1, 100]), axis=0).astype(np.uint64) for _ in range(40)]
+    count = Counter(map(tuple, np.concatenate(lists).tolist()))
+    merged, got, at = suffix_dedup.MergedLists(), [], 0
+    places = []
+    for x in lists:
+        lo = np.arange(at, at + len(x), dtype=np.int32)
+        at += len(x)
+        places += map(tuple, x.tolist())
+        got += merged.add(x[:, 0].copy(), x[:, 1].copy(), lo.astype(np.int64), lo, np.zeros(len(x), bool))[1].tolist()
+    assert len(got) == len(set(got))
+    assert sorted(got) == [i for i, p in enumerate(places) if count[p] > 1]
+
+
 def test_suffix_array_and_prefixes():
     r = np.random.default_rng(0)
     for n, letters in ((500, 1), (800, 2), (900, 4), (1, 1), (9, 1)):
