@@ -4,22 +4,25 @@ A rule is a host (which stands for its subdomains too) and a path prefix. A url
 host at a label border with each path prefix of a length that rules have. The distinct candidate keys of the whole corpus are
 the key universe. Level 1 of a cascade encodes the listed keys of the universe, level 2 the unlisted keys that level 1 lets
 pass, level 3 the listed keys that level 2 lets pass, and so on until nothing passes wrongly. A key of the universe is listed
-exactly if the first level that rejects it is an even one, so each url is judged by a few bit tests and no join.
+exactly if the first level that rejects it is an even one, so each url is judged by a few bit tests and no join. Level 1 is
+sized so that about as many unlisted keys pass as are listed; each further level lets half of what it should not hold
+pass. So filters grow with the listed keys and the logarithm of the universe, not with the corpus.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, written
+from .common import mix64, temporary, written
 
-#: A rule table of the driver's own: bounded, so that building its keys there is safe. More rules need rule_keys as a DataFrame.
-BITS_PER_KEY, HASHES, MAX_LEVELS = 12, 6, 64
-MAX_FILTER_MB = 64
+#: Bits of the smallest filter.
+LEAST_BITS = 64
 #: The rules of the query.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -40,9 +43,13 @@ def split_rule(rule: str) -> tuple[str, str]:
     return host.lower(), slash + path
 
 
-def candidate_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
-    """Keys `host suffix + path prefix` of a url, longest first (equal lengths: the longer host first)."""
-    labels = F.split(host, r"\.")
+def candidate_keys(host: Column, path: Column, path_lengths: list[int], host_labels: int) -> Column:
+    """Keys `host suffix + path prefix` of a url, longest first (equal lengths: the longer host first).
+
+    Suffixes have host_labels labels at most, the most that any rule has: a longer one can't equal a rule, and a host of very
+    many labels costs no more than a short one.
+    """
+    labels = F.reverse(F.slice(F.reverse(F.split(host, r"\.")), 1, max(1, host_labels)))
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
     empty = F.array().cast("array<struct<n:int,h:int,key:string>>")
@@ -57,18 +64,19 @@ def candidate_keys(host: Column, path: Column, path_lengths: list[int]) -> Colum
 
 
 class Bloom:
-    def __init__(self, keys: int, salt: int):
-        self.bits = max(64, 1 << max(6, int(keys * BITS_PER_KEY - 1).bit_length()))
+    """A filter for so many keys that lets about the share `rate` of all others pass."""
+
+    def __init__(self, keys: int, rate: float, salt: int):
+        self.hashes = max(1, round(-math.log2(rate)))
+        self.bits = max(LEAST_BITS, 64 * math.ceil(keys * self.hashes / math.log(2) / 64))
         self.salt = salt
-        if self.bits / 8e6 > MAX_FILTER_MB:
-            raise ValueError(f"a filter for {keys} keys exceeds {MAX_FILTER_MB} MB; split the rule list by host")
         self.words = np.zeros(self.bits // 64, np.uint64)
 
     def places(self, h: np.ndarray) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
             a = mix64(h.astype(np.uint64) + np.uint64(self.salt * 2 + 1))
             b = mix64(a) | np.uint64(1)
-            return [((a + np.uint64(i) * b) & np.uint64(self.bits - 1)) for i in range(HASHES)]
+            return [(a + np.uint64(i) * b) % np.uint64(self.bits) for i in range(self.hashes)]
 
     def has(self, h: np.ndarray) -> np.ndarray:
         ok = np.ones(len(h), bool)
@@ -78,7 +86,7 @@ class Bloom:
 
 
 def _filled(bloom: Bloom, hashes: DataFrame) -> Bloom:
-    """Set the bits of all keys; words are OR-ed in the cluster, at most one row a filter word comes back."""
+    """Set the bits of all keys; words are OR-ed in the cluster, and what comes back is no larger than the filter."""
 
     def words(batches):
         own = np.zeros_like(bloom.words)
@@ -88,8 +96,8 @@ def _filled(bloom: Bloom, hashes: DataFrame) -> Bloom:
         at = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at].view(np.int64))], ["at", "word"])
 
-    for r in hashes.mapInArrow(words, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect():
-        bloom.words[r["at"]] = np.int64(r["word"]).view(np.uint64)
+    found = hashes.mapInArrow(words, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    bloom.words[found.column("at").to_numpy()] = found.column("word").to_numpy().view(np.uint64)
     return bloom
 
 
@@ -111,50 +119,54 @@ class Cascade:
 
 
 def build_cascade(universe: DataFrame) -> Cascade:
-    """universe: distinct keys as (h long, listed boolean), complete. Exact for these keys."""
-    levels, pool = [], universe
-    while len(levels) < MAX_LEVELS:
-        turn = len(levels) % 2 == 0
-        mine = pool.where(F.col("listed") == turn)
-        n = mine.count()
-        if n == 0:
-            break
-        level = _filled(Bloom(n, len(levels)), mine.select("h"))
-        levels.append(level)
-
-        def passing(batches, level=level, turn=turn):
-            for b in batches:
-                keep = (b.column(1).to_numpy(zero_copy_only=False) == turn) | level.has(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-                yield b.filter(pa.array(keep))
-
-        pool = written(pool.mapInArrow(passing, "h long, listed boolean"), "cascade")
-    else:
-        raise RuntimeError("the cascade did not end")
-    return Cascade(levels)
+    """universe: distinct keys as (h long, listed boolean), complete, no listed key with the hash of an unlisted one. Exact for these keys."""
+    with temporary(universe.sparkSession):
+        levels, pool = [], universe
+        n = {r["listed"]: r["n"] for r in universe.groupBy("listed").agg(F.count(F.lit(1)).alias("n")).collect()}
+        rate = min(0.5, max(1, n.get(True, 0)) / max(1, n.get(False, 0)))
+        while n.get(len(levels) % 2 == 0, 0):
+            turn = len(levels) % 2 == 0
+            level = _filled(Bloom(n[turn], rate if not levels else 0.5, len(levels)), pool.where(F.col("listed") == turn).select("h"))
+            levels.append(level)
+
+            def passing(batches, level=level, turn=turn):
+                for b in batches:
+                    keep = (b.column(1).to_numpy(zero_copy_only=False) == turn) | level.has(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+                    yield b.filter(pa.array(keep))
+
+            pool = written(pool.mapInArrow(passing, "h long, listed boolean"), "cascade")
+            n = {r["listed"]: r["n"] for r in pool.groupBy("listed").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return Cascade(levels)
+
+
+def _seed(keys: DataFrame, listed: list[str]) -> int:
+    """The first seed under which no unlisted key of keys (k) has the hash of a listed one."""
+    for seed in count():
+        own = [r[0] for r in keys.sparkSession.createDataFrame([(x,) for x in listed], "k string").select(F.xxhash64("k", F.lit(seed))).collect()]
+        if keys.where(F.xxhash64("k", F.lit(seed)).isin(own) & ~F.col("k").isin(listed)).isEmpty():
+            return seed
 
 
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, key: str = "page_id") -> DataFrame:
     """key, host, path, rule, verdict for every row of pages (columns key and url; others are ignored).
 
-    The longest fitting rule gives the verdict; without one the cascade does: a key that is not listed is allowed. Null urls and
-    urls without `://` have empty host and path, which no rule fits. Repeated rows stay. An empty table gives no rows.
+    rules are the caller's own table, held by the driver and by every task. The longest fitting rule gives the verdict; without one
+    the cascade does: a key that is not listed is allowed. Null urls and urls without `://` have empty host and path, which no rule
+    fits. Urls of any length are read whole. Repeated rows stay. An empty table gives no rows.
     """
     split = [(split_rule(r), v) for r, v in rules]
     lengths = sorted({len(p) for (_, p), _ in split})
     names = {h + p: v for (h, p), v in split}
-    if len(names) > 100_000:
-        raise ValueError("more than 100,000 rules: filter in parts")
+    labels = max((h.count(".") + 1 for (h, _), _ in split), default=1)
     rows = pages.select(F.col(key), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths))
+    rows = rows.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths, labels) if lengths else F.array().cast("array<string>"))
     listed, blocked = sorted(names), sorted(k for k, v in names.items() if v == "block")
-
-    def universe(of: list[str], within: list[str] | None = None) -> DataFrame:
-        keys = rows.select(F.explode("keys").alias("k")).distinct()
-        keys = keys.where(F.col("k").isin(within)) if within is not None else keys
-        return written(keys.select(F.xxhash64("k").alias("h"), F.col("k").isin(of).alias("listed")), "universe")
-
-    fits = build_cascade(universe(listed))
-    blocks = build_cascade(universe(blocked, listed))
+    with temporary(pages.sparkSession):
+        keys = written(rows.select(F.explode("keys").alias("k")).distinct(), "universe")
+        seed = _seed(keys, listed)
+        hashed = lambda of: (F.xxhash64("k", F.lit(seed)).alias("h"), F.col("k").isin(of).alias("listed"))
+        fits = build_cascade(keys.select(*hashed(listed)))
+        blocks = build_cascade(keys.where(F.col("k").isin(listed)).select(*hashed(blocked)))
 
     def judge(batches):
         for b in batches:
@@ -175,7 +187,7 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, ke
             )
 
     kind = dict(rows.dtypes)[key]
-    out = rows.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
+    out = rows.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k, F.lit(seed))))
     out = out.mapInArrow(judge, f"{key} {kind}, host string, path string, keys array<string>, place int, verdict string")
     return out.select(key, "host", "path", F.when(F.col("place") > 0, F.get("keys", F.col("place") - 1)).alias("rule"), "verdict")
 

@@ -412,19 +412,32 @@ def test_urls(spark):
 
 
 def test_cascade_needs_levels(spark):
-    """With few bits a key, the first level passes many wrongly; the cascade is still exact."""
-    keys = spark.range(4000).select(F.xxhash64("id").alias("h"), (F.col("id") % 7 == 0).alias("listed"))
-    old, url_filter.BITS_PER_KEY = url_filter.BITS_PER_KEY, 4
-    try:
-        cascade = url_filter.build_cascade(keys)
-    finally:
-        url_filter.BITS_PER_KEY = old
+    """Half of all keys pass each level wrongly; the cascade is still exact."""
+    keys = spark.range(4000).select(F.xxhash64("id").alias("h"), (F.col("id") % 2 == 0).alias("listed"))
+    cascade = url_filter.build_cascade(keys)
     got = keys.collect()
     h = np.array([r["h"] for r in got], np.int64).view(np.uint64)
     assert len(cascade.levels) > 2
     assert cascade.has(h).tolist() == [r["listed"] for r in got]
 
 
+def test_cascade_size_follows_the_list(spark):
+    """Four listed keys among 300,000: few bits in all, as the first level is sized against the universe."""
+    keys = spark.range(300_000).select(F.xxhash64("id").alias("h"), (F.col("id") < 4).alias("listed"))
+    cascade = url_filter.build_cascade(keys)
+    assert sum(x.bits for x in cascade.levels) < 5000
+    h = np.array([r["h"] for r in keys.collect()], np.int64).view(np.uint64)
+    assert cascade.has(h).sum() == 4
+
+
+def test_long_urls(spark):
+    """Hosts of thousands of labels and paths of 100,000 characters are read whole, and cost no square of their length."""
+    urls = ["http://" + "a." * 20_000 + "example.net/en/" + "x" * 100_000, "http://" + "net." * 5000 + "net", "http://" + "net." * 5000 + "net/fr/", "x" * 200_000, "http://" + "y" * 100_000 + ".org/fr/?" + "z" * 100_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = sorted(((i, *brute_rule(u)) for i, u in enumerate(urls)), key=repr)
+    assert rows(url_filter.filter_urls(df), "page_id", "host", "path", "rule", "verdict") == want
+
+
 # 7 -----------------------------------------------------------------------------------------------
 
 
