@@ -150,11 +150,11 @@ def local_labels(n: int, links) -> np.ndarray:
     return label
 
 
-def own_links(fp: np.ndarray, radius: int, close=None, start: np.ndarray | None = None) -> np.ndarray:
+def own_links(fp: np.ndarray, radius: int, close=None, start: np.ndarray | None = None, lead: np.uint64 = ALL, budget: int = 64) -> np.ndarray:
     """Local labels of fingerprints in Gray order, all links within radius between them taken into account.
 
     Neighbours in the order link first; the index then leaves out what is in one component already. close: a further test on
-    the pairs found; start: local labels that hold already.
+    the pairs found; start: local labels that hold already; lead, budget: pairs that differ in more bits of lead are not searched for.
     """
 
     def tested(i, j):
@@ -171,7 +171,7 @@ def own_links(fp: np.ndarray, radius: int, close=None, start: np.ndarray | None
     index = GrayIndex(fp, label=label)
     for lo in range(0, len(fp), FAN * FAN):
         part = np.arange(lo, min(lo + FAN * FAN, len(fp)))
-        found = [tested(part[i], j) for i, j, _, _ in index.near(fp[part], radius, label[part])]
+        found = [tested(part[i], j) for i, j, _, _ in index.near(fp[part], radius, label[part], lead=lead, budget=budget)]
         if any(len(i) for i, _ in found):
             label = local_labels(len(fp), [(np.arange(len(fp)), label), *found])
             index = GrayIndex(fp, label=label)
@@ -224,8 +224,8 @@ def _home_links(radius: int, run: int):
     """Star links (a, b) between the labels of the components of each run."""
 
     def linked(batches):
-        for _, lo, label in _runs(batches, 3, run):
-            part = own_links(at_place(lo), radius)
+        for space, lo, label in _runs(batches, 3, run):
+            part = own_links(at_place(lo), radius, lead=lead_mask(int(space[0])), budget=radius // ORDERS)
             moved = part != np.arange(len(part))
             yield pa.RecordBatch.from_arrays([pa.array(label[part[moved]]), pa.array(label[moved])], ["a", "b"])
 

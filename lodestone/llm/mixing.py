@@ -4,48 +4,61 @@ Every document of a source has the same expected number of copies r = target / s
 certain; the fraction is a probability. Probabilities are paired: word mass moves from one document to the other, in the
 one direction or the other at random so that each keeps its expectation, until one of the two is 0 or 1. The mass of a
 pair in words never changes, so a source's taken words miss its target by less than the size of the one document that
-is left over and rounded at the very end. Pairing runs in bounded buckets, and each bucket hands one residual per source
-up a reduction tree (fan-in FAN) until one bucket is left.
+is left over and rounded at the very end. Pairing runs in bounded buckets of one source, and each bucket hands one residual
+up a reduction tree (fan-in FAN) of its own source until one bucket is left. Rows that are equal in everything that counts are one
+unit, so neither a hot source nor a row repeated without end makes a bucket large.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, word_count, written
+from .common import guarded, mix64, temporary, word_count, written
 
-#: Rows in a bucket of the lowest level on average; buckets joined by a node of the tree.
-BUCKET_ROWS, FAN = 16384, 64
+#: Units in a bucket of the lowest level on average; buckets joined by a node of the tree; small units that the last node takes one by one.
+BUCKET_UNITS, FAN, TAIL = 16384, 64, 64
 EPS = 1e-9
-UNIT = "doc_id long, size long, source_size long, target double, copies long, p double, leaf long, seg long"
+#: mark: a hash of all that tells units apart; seg: of the source; n: rows of the unit; certain: copies of all its rows that are certain.
+NODE = "seg long, leaf long, leaves long, mark long, size long, p double, extra long"
+
+
+def ranked_sources(per: DataFrame) -> DataFrame:
+    """per (a row a source) with rank, from 0 in code-point order, null last; sorted by ranges, so that no task sees all."""
+    dealt = per.withColumn("_last", F.isnull("source")).repartitionByRange(F.col("_last"), F.col("source"))
+    dealt = written(dealt.withColumn("_part", F.spark_partition_id()), "sources")
+    ends = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
+    before, total = [0] * (max(ends, default=0) + 1), 0
+    for part in sorted(ends):
+        before[part], total = total, total + ends[part]
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_last", "source")) - 1
+    return dealt.withColumn("rank", place + F.get(F.array(*map(F.lit, before)), F.col("_part"))).drop("_last", "_part")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, max_repeats: float = 3.0) -> DataFrame:
-    """source, source_size, target from (source, size). Sources in code-point order, null last, take the weights in turn.
+    """source, source_size, units, target from (source, size). Sources in code-point order, null last, take the weights in turn.
 
-    A target stops at max_repeats times its source's size; the excess is shared again by weight until none is above: the
-    water level over caps sorted by cap / weight. Windows here run over one row per source.
+    A target stops at max_repeats times its source's size; the excess is shared again by weight until none is above: the water level
+    rises as long as caps lie below it, an aggregate over sources a step.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (rank % len(weights) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("cap", max_repeats * F.col("source_size"))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    below = order.rowsBetween(Window.unboundedPreceding, -1)
-    above = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    per = per.withColumn("total", F.sum("source_size").over(whole) * share)
-    per = per.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(below), F.lit(0.0))) / F.sum("weight").over(above))
-    per = per.withColumn("place", F.row_number().over(order))
-    # The first level that its own cap does not undercut is the water level; with none, every source is at its cap.
-    per = per.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("place", "level"))).over(whole)["level"])
-    target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight")))
-    return per.select("source", "source_size", target.alias("target"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("units"))
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights) + 1).cast("int"))
+    per = written(ranked_sources(per).withColumn("weight", weight).withColumn("cap", max_repeats * F.col("source_size")), "sources")
+    total, level, full = None, 0.0, -1
+    while True:
+        capped = F.col("cap") <= F.lit(level) * F.col("weight")
+        r = per.agg(
+            F.sum("source_size").alias("total"), F.count(F.when(capped, 1)).alias("full"),
+            F.sum(F.when(capped, F.col("cap"))).alias("caps"), F.sum(F.when(~capped, F.col("weight"))).alias("weights"),
+        ).first()
+        total = (r["total"] or 0) * share
+        if r["full"] == full or not r["weights"]:
+            break
+        full, level = r["full"], max(level, (total - (r["caps"] or 0.0)) / r["weights"])
+    target = F.least(F.col("cap"), F.lit(level) * F.col("weight")) if r["weights"] else F.col("cap")
+    return per.select("source", "source_size", "units", target.alias("target"))
 
 
 def pivot_rounds(seg: np.ndarray, size: np.ndarray, p: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
@@ -75,94 +88,138 @@ def pivot_rounds(seg: np.ndarray, size: np.ndarray, p: np.ndarray, key: np.ndarr
     return p
 
 
-def _node(level: int, last: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = ["seg", "size", "doc_id"] if last else ["seg", "doc_id", "size"]
-        pdf = pdf.sort_values(order, ascending=[True, not last, True], ignore_index=True)
-        seg, size, p, key = (pdf[c].to_numpy() for c in ("seg", "size", "p", "doc_id"))
-        if last:  # from large to small, so that what is left over at the end tends to be small
-            p = p.copy()
-            for _, rows in pdf.groupby("seg", sort=False).indices.items():
-                held = -1
-                for r in rows:
-                    if EPS < p[r] < 1 - EPS:
-                        if held >= 0:
-                            two = np.array([held, r])
-                            p[two] = pivot_rounds(np.zeros(2, int), size[two], p[two], key[two], 7919 + level)
-                            held = next((int(x) for x in two if 0 < p[x] < 1), -1)
-                        else:
-                            held = int(r)
-                if held >= 0:
-                    u = float(mix64(np.array([key[held]]).astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))[0] >> np.uint64(11)) * 2.0**-53
-                    p[held] = float(u < p[held])
-        else:
-            p = pivot_rounds(seg, size, p, key, level)
+def _one_by_one(rows: np.ndarray, size: np.ndarray, p: np.ndarray, key: np.ndarray, salt: int) -> None:
+    """Open rows of one source, from large to small, until none is open: what is left over at the end tends to be small."""
+    held = -1
+    for r in rows.tolist():
+        if EPS < p[r] < 1 - EPS:
+            if held < 0:
+                held = r
+                continue
+            two = np.array([held, r])
+            p[two] = pivot_rounds(np.zeros(2, int), size[two], p[two], key[two], salt)
+            held = next((x for x in two.tolist() if 0 < p[x] < 1), -1)
+    if held >= 0:
+        u = float(mix64(np.array([key[held]]).astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))[0] >> np.uint64(11)) * 2.0**-53
+        p[held] = float(u < p[held])
+
+
+def settle(seg: np.ndarray, leaf: np.ndarray, last: np.ndarray, mark: np.ndarray, size: np.ndarray, p: np.ndarray, level: int) -> np.ndarray:
+    """p after the pivotal steps of whole buckets (seg, leaf), rows in order of them. last: a bucket is its source's only one; there none stays open."""
+    # The smallest of a last bucket wait for its end.
+    bucket = np.cumsum(np.r_[True, (seg[1:] != seg[:-1]) | (leaf[1:] != leaf[:-1])]) - 1
+    by = np.lexsort((mark, -size, bucket))
+    p_, bucket, size, key = p[by], bucket[by], size[by], mark[by]
+    end = np.r_[np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+    waits = last[by] & (end[bucket] - np.arange(len(bucket)) <= TAIL)
+    p_[~waits] = pivot_rounds(bucket[~waits], size[~waits], p_[~waits], key[~waits], level)
+    open_ = np.flatnonzero(last[by] & (p_ > EPS) & (p_ < 1 - EPS))
+    for rows in np.split(open_, np.flatnonzero(np.diff(bucket[open_])) + 1) if len(open_) else ():
+        _one_by_one(rows, size, p_, key, 7919 + level)
+    out = np.empty_like(p_)
+    out[by] = p_
+    return out
+
+
+def _node(level: int):
+    """Batches sorted by (seg, leaf): each bucket's units with extra (the fraction's copy, where decided) and p (0 where decided)."""
+
+    def out(cols):
+        seg, leaf, leaves, mark, size, p, extra = cols
+        p = settle(seg, leaf, leaves == 1, mark, size, p, level)
         done = (p < EPS) | (p > 1 - EPS)
-        pdf["copies"] = pdf["copies"] + np.where(done, np.round(p), 0).astype("int64")
-        pdf["p"] = np.where(done, 0.0, p)
-        pdf["leaf"] = pdf["leaf"] // FAN
-        return pdf
+        extra = extra + np.where(done, np.round(p), 0).astype(np.int64)
+        fields = (seg, leaf // FAN, -(-leaves // FAN), mark, size, np.where(done, 0.0, p), extra)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in fields], [c.split()[0] for c in NODE.split(", ")])
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for b in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            size += b.num_rows
+            if size < BUCKET_UNITS:
+                continue
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+            cut = int(np.flatnonzero(same)[0])  # the last bucket may go on
+            held, size = [[x[cut:] for x in cols]], len(same) - cut
+            if cut:
+                yield out([x[:cut] for x in cols])
+        if size:
+            yield out([np.concatenate(x) for x in zip(*held, strict=True)])
 
     return run
 
 
+def mixed_units(docs: DataFrame, size: Column | None, weights: tuple[float, ...], share: float, max_repeats: float) -> DataFrame:
+    """A row a unit, which is all rows equal in doc_id, source, size and text: those, text_mark, mark, source_size, target, n (rows) and total (copies)."""
+    words = (word_count(F.col("text")) if size is None else F.coalesce(size, F.lit(0))).cast("long")
+    text = F.xxhash64("text", F.isnull("text")) if "text" in docs.columns else F.lit(0).cast("long")
+    thin = docs.select("doc_id", "source", words.alias("size"), text.alias("text_mark"))
+    with temporary(docs.sparkSession) as keep:
+        units = written(thin.groupBy("doc_id", "source", "size", "text_mark").agg(F.count(F.lit(1)).alias("n")), "mix-units")  # texts are read once
+        per = units.select("source", (F.col("size") * F.col("n")).alias("size"))
+        targets = source_targets(per, weights, share, max_repeats).withColumnRenamed("source", "_source")
+        r = F.when(F.col("source_size") > 0, F.least(F.lit(float(max_repeats)), F.col("target") / F.col("source_size"))).otherwise(0.0)
+        told = units.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        copies = F.when(F.col("size") > 0, r * F.col("n")).otherwise(0.0)
+        told = told.withColumn("copies", copies).withColumn("certain", F.floor(F.col("copies") + EPS).cast("long"))
+        told = told.withColumn("mark", F.xxhash64("doc_id", F.isnull("doc_id"), "source", F.isnull("source"), "size", "text_mark"))
+        told = keep(written(told, "mix-told"))
+        leaves = F.ceil(F.col("units") / BUCKET_UNITS).cast("long")
+        open_ = told.select(
+            F.xxhash64("source", F.isnull("source")).alias("seg"), F.pmod(F.xxhash64("mark", F.lit("leaf")), leaves).alias("leaf"), leaves.alias("leaves"), "mark", "size",
+            F.greatest(F.col("copies") - F.col("certain"), F.lit(0.0)).alias("p"), F.lit(0).cast("long").alias("extra"),
+        ).where("p > 0")
+        done, level = None, 0
+        while True:
+            made = open_.repartition("seg", "leaf").sortWithinPartitions("seg", "leaf").mapInArrow(_node(level), NODE)
+            made = written(made, "mix-node")
+            part = made.where("p = 0 and extra > 0").select("mark", "extra")
+            done = part if done is None else done.unionByName(part)
+            open_, level = made.where("p > 0"), level + 1
+            if open_.isEmpty():
+                break
+        taken = done.groupBy("mark").agg(F.max("extra").alias("extra"))
+        out = told.join(taken, "mark", "left").withColumn("total", F.col("certain") + F.coalesce("extra", F.lit(0)))
+        return keep(written(out.select("doc_id", "source", "size", "text_mark", "source_size", "target", "n", "total"), "mix-done"))
+
+
 def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, max_repeats: float = 3.0) -> DataFrame:
     """One row per row of docs (doc_id, source and text or an own size): doc_id, size, source_size, target, copies, taken.
 
-    size: words by default. Null text: size 0 and taken 0. Null source: a source of its own, last in order. Null doc_id counts as
-    -1 in the random choice only. Repeated rows are units of their own. An empty table gives no rows. Columns besides these
-    are ignored. A run with the same rows gives the same result, however they are partitioned.
+    size: words by default. Null text: size 0 and taken 0. Null source: a source of its own, last in order. Null and repeated doc_ids
+    are like any other; rows that are equal in id, source, size and text share their copies evenly. An empty table gives no rows.
+    Columns besides these are ignored. A run with the same rows gives the same result, however they are partitioned.
     """
-    thin = docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else F.coalesce(size, F.lit(0))).cast("long").alias("size"))
-    thin = written(thin, "mix-sizes")  # texts are read once
-    targets = source_targets(thin, weights, share, max_repeats)
-    n = thin.count()
-    leaves = max(1, math.ceil(n / BUCKET_ROWS))
-    r = F.when(F.col("source_size") > 0, F.least(F.lit(float(max_repeats)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    targets = targets.withColumnRenamed("source", "_source")
-    units = thin.join(targets, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id", "size", "source_size", "target",
-        F.when(F.col("size") > 0, F.floor(r + EPS)).otherwise(F.lit(0)).cast("long").alias("copies"),
-        F.when(F.col("size") > 0, F.greatest(r - F.floor(r + EPS), F.lit(0.0))).otherwise(0.0).alias("p"),
-        F.pmod(F.xxhash64("doc_id", F.lit("leaf")), F.lit(leaves)).alias("leaf"),
-        F.xxhash64("source", F.isnull("source")).alias("seg"),
-    )
-    done, level = [], 0
-    while True:
-        last = leaves == 1
-        made = units.withColumn("k", F.coalesce(F.col("doc_id"), F.lit(-1)))
-        made = made.groupBy("leaf").applyInPandas(_keyed(_node(level, last)), UNIT)
-        made = written(made, "mix-node")
-        if last:
-            done.append(made)
-            break
-        done.append(made.where("p = 0"))
-        units, level, leaves = made.where("p > 0"), level + 1, math.ceil(leaves / FAN)
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-
-
-def _keyed(run):
-    """Null doc_ids stay null in the result; the choice sees -1."""
-
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        missing = pdf["doc_id"].isna()
-        if not missing.any():
-            return run(pdf.drop(columns="k"))
-        own = pdf.assign(doc_id=pdf["k"]).drop(columns="k")
-        out = run(own)
-        out["doc_id"] = out["doc_id"].astype("Int64").mask(out["doc_id"] == -1)
-        return out
-
-    return f
+    units = mixed_units(docs, size, weights, share, max_repeats)
+    rows = units.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    copies = F.floor(F.col("total") / F.col("n")) + (F.col("_i") <= F.col("total") % F.col("n")).cast("long")
+    rows = rows.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return rows.withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it (0: gone). Rows that share a doc_id take the largest of
-    their decisions; rows without doc_id are taken once."""
-    copies = mix_sources(docs, **kw).where("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    """docs with each row repeated as often as the mix takes it (0: gone).
+
+    Each row takes its own decision, also where ids are null or repeated. Rows equal in id, source and text share their unit's
+    copies evenly, but for the few left over. An empty table gives no rows; all columns stay, whatever their names.
+    """
+    docs, names = guarded(docs, "doc_id", "source", "text")
+    units = mixed_units(docs, None, **({"weights": (5, 2, 1), "share": 1.0, "max_repeats": 3.0} | kw))
+    units = units.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_mark").alias("_text"), "n", "total").where("total > 0")
+    mark = F.xxhash64("text", F.isnull("text"))
+    same = docs.doc_id.eqNullSafe(F.col("_id")) & docs.source.eqNullSafe(F.col("_source")) & (mark == F.col("_text"))
     # Both sides grow with the corpus: the same plan at every size, never a broadcast.
-    out = docs.join(copies.hint("merge"), "doc_id", "left").withColumn("_copies", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("_copies")))
-    return out.where("_copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_n")).drop("_n")
+    out = docs.join(units.where("total % n = 0").hint("merge"), same).select(*docs.columns, F.expr("total div n").alias("_copies"))
+    odd = units.where("total % n != 0")
+    if not odd.isEmpty():
+        # Rows that are equal in all columns count as one; along the others of their unit they take what is left over in turn.
+        rows = docs.join(odd.hint("merge"), same).groupBy(*docs.columns, "_id", "_source", "_text", "n", "total").agg(F.count(F.lit(1)).alias("_m"))
+        order = Window.partitionBy("_id", "_source", "_text").orderBy(*docs.columns).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumn("_upto", F.sum("_m").over(order))
+        left = F.least("_upto", F.expr("total % n")) - F.least(F.col("_upto") - F.col("_m"), F.expr("total % n"))
+        out = out.unionByName(rows.select(*docs.columns, (F.col("_m") * F.expr("total div n") + left).alias("_copies")))
+    out = out.where("_copies > 0")
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_n")).drop("_n").toDF(*names)

@@ -95,7 +95,7 @@ def test_source_targets(spark):
 
 
 def test_mix(docs, empty, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(mixing, "BUCKET_UNITS", 3)
     out = mixing.mix_sources(docs)
     got = rows(out, "doc_id", "size", "source_size", "target", "taken")
     assert [(i, s) for i, s, *_ in got] == sorted(((i, len(WORD.findall(t or ""))) for i, t, _, _ in TEXTS), key=repr)
@@ -105,11 +105,51 @@ def test_mix(docs, empty, monkeypatch):
     assert mixing.mix_sources(empty).count() == 0
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
-    assert mixed.where("doc_id is null").count() == 1
+    copies = Counter()
+    for r in out.select("doc_id", "size", "copies").collect():
+        copies[r["doc_id"], r["size"]] += r["copies"]
+    assert Counter((r["doc_id"], len(WORD.findall(r["text"] or ""))) for r in mixed.collect()) == +copies
+
+
+def test_mix_of_repeated_and_null_ids(spark):
+    """A third of all rows equal, another third without id: targets are met, copies follow each row's own decision."""
+    texts = [(-1, "a b c", "x", i % 5) for i in range(700)] + [(None, prose(i, 1 + i % 40), "x", 0) for i in range(700)] + [(i, prose(i, 1 + i % 40), "y", 0) for i in range(700)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string, extra int").repartition(5)
+    out = mixing.mix_sources(df)
+    assert out.count() == 2100
+    for r in out.groupBy("source_size").agg(F.first("target").alias("t"), F.sum("taken").alias("k"), F.max("size").alias("m")).collect():
+        assert abs(r["t"] - r["k"]) <= r["m"]
+    spread = {r["copies"] for r in out.where("doc_id = -1").collect()}
+    assert max(spread) - min(spread) <= 1
+    mixed = mixing.mixed_documents(df)
+    words = {r["source"]: r["w"] for r in mixed.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("w")).collect()}
+    want = Counter()
+    for r in out.collect():
+        want["x" if r["doc_id"] in (None, -1) else "y"] += r["taken"]
+    assert words == want
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    """As many sources as a few documents each: ranks, weights and targets as computed one by one, no bucket over two sources."""
+    r = random.Random(41)
+    names = sorted({prose(i, 1) + str(i) for i in range(500)})
+    items = [(i, names[i % 500], r.randint(1, 60)) for i in range(1500)]
+    df = spark.createDataFrame(items, "doc_id long, source string, own long").repartition(6)
+    sizes = Counter()
+    for _, s, n in items:
+        sizes[s] += n
+    got = {x["source"]: x["target"] for x in mixing.source_targets(df.select("source", F.col("own").alias("size"))).collect()}
+    want = water_level([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(500)])
+    assert all(abs(got[k] - w) < 1e-6 for k, w in zip(names, want, strict=True))
+    out = {x["doc_id"]: x["taken"] for x in mixing.mix_sources(df, size=F.col("own")).collect()}
+    taken = Counter()
+    for i, s, _ in items:
+        taken[s] += out[i]
+    assert all(abs(taken[s] - got[s]) <= 60 for s in names)
 
 
 def test_mix_is_near(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(mixing, "BUCKET_UNITS", 50)
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), (F.col("id") % 3).cast("string").alias("source"))
     out = mixing.mix_sources(df, size=F.pmod(F.xxhash64("doc_id"), F.lit(100)) + 1)
     for r in out.groupBy("source_size").agg(F.first("target").alias("t"), F.sum("taken").alias("k"), F.max("size").alias("m")).collect():
