@@ -11,19 +11,22 @@ probability CONFIDENCE.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
 
 DIMS, SEED, CONFIDENCE = 8, 20240117, 0.97
-#: Rows of the sample that the kd-tree is fitted on at most; rows of a cell aimed at and of a piece of a cell; rows of a leaf.
-SAMPLE, CELL, PIECE, LEAF = 20_000, 8192, 16384, 32
-MAX_DEPTH = 12
+#: Rows of the sample that the kd-tree is fitted on, about; rows of a cell aimed at and of a piece of a cell; rows of a leaf.
+SAMPLE, CELL, PIECE, LEAF = 100_000, 8192, 16384, 32
+#: 2^MAX_DEPTH cells at most, which every task holds; beyond CELL rows each, cells are searched in pieces.
+MAX_DEPTH = 14
+RESULT = "query_id long, vec_id long, score double"
 
 
 def chi_square_bound(p: float, dims: int) -> float:
@@ -39,17 +42,29 @@ def chi_square_bound(p: float, dims: int) -> float:
     return hi
 
 
+@lru_cache(maxsize=64)
 def projection(width: int) -> np.ndarray:
     return np.random.default_rng([SEED, width]).standard_normal((width, DIMS))
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows by the power of two that brings their largest component near 1, which changes no digit: squares neither vanish nor overflow."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
+
+
+def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of products along rows, component by component in order."""
+    return np.add.accumulate(a * b, axis=1)[:, -1]
+
+
 def unit(v: np.ndarray) -> np.ndarray:
+    v = scaled(v)
     return v / np.sqrt((v * v).sum(1))[:, None]
 
 
 def cosines(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Cosine of one vector with each row, in double precision; equal rows give equal values."""
-    return (rows * q).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((q * q).sum()))
+    """Cosine of one vector with each row (scaled ones), in double precision; equal rows give equal values."""
+    return np.clip(dot(rows, q) / np.sqrt(dot(rows, rows) * dot(q[None], q[None])), -1.0, 1.0)
 
 
 class Cells:
@@ -114,10 +129,9 @@ class LocalTree:
         self.high = np.maximum.reduceat(rows[order], self.leaves[:, 0])
 
 
-def search(query: np.ndarray, seen: float, own_id: int, ids: np.ndarray, vectors: np.ndarray, units: np.ndarray, tree: LocalTree, dims: np.ndarray, k: int, bound: float) -> list[tuple[float, int]]:
+def search(query: np.ndarray, seen: float, own_id: int, ids: np.ndarray, vectors: np.ndarray, tree: LocalTree, dims: np.ndarray, k: int, bound: float) -> list[tuple[float, int]]:
     """The k best (score, id) of a cell that the incremental search verifies. seen: a known squared distance of the k-th neighbour."""
-    u = unit(query[None])[0]
-    away = box_distance(u @ dims, tree.low, tree.high)
+    away = box_distance(unit(query[None])[0] @ dims, tree.low, tree.high)
     order = np.argsort(away, kind="stable")
     kth = seen
     score, found = np.zeros(0), np.zeros(0, np.int64)
@@ -138,10 +152,33 @@ def search(query: np.ndarray, seen: float, own_id: int, ids: np.ndarray, vectors
         if len(score) >= k:
             kth = min(kth, 2 - 2 * float(score.min()))
         at, step = at + step, step * 2
-    del units
     return list(zip(score.tolist(), found.tolist(), strict=True))
 
 
+def _in_cell(k: int, bound: float):
+    """A cell's rows (id, vec) and the queries that reach it (q_id, q_vec, q_seen), all of one width: what the search finds."""
+
+    def run(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(held) and len(asked):
+            ids = held["id"].to_numpy()
+            v = scaled(np.stack(held["vec"].to_numpy()))
+            dims = projection(v.shape[1])
+            local = LocalTree(unit(v) @ dims)
+            asked_v = scaled(np.stack(asked["q_vec"].to_numpy()).astype(float))
+            for q, vec, seen in zip(asked["q_id"], asked_v, asked["q_seen"], strict=True):
+                found += [(q, i, s) for s, i in search(vec, seen, q, ids, v, local, dims, k, bound)]
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    return run
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, with rank; no list of all that was found is held."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """id and vec (doubles) of the rows that take part: vectors that are neither null nor zero, all components finite."""
     v = F.col(vector).cast("array<double>")
@@ -159,24 +196,33 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id"
     spark = vectors.sparkSession
     small_batches(spark)
     rows = written(usable(vectors, key, vector).distinct().withColumn("width", F.size("vec")), "vectors")
-    out = None
-    widths = [r["width"] for r in rows.select("width").distinct().limit(1000).collect()]
-    for width in widths:
-        part = _nearest_of(rows.where(F.col("width") == width).select("id", "vec"), width, k, every, confidence)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sizes = rows.groupBy("width").agg(F.count(F.lit(1)).alias("n"))
+    large = {r["width"]: r["n"] for r in sizes.where(F.col("n") > CELL).collect()}  # each has more than CELL rows
+    bound = chi_square_bound(confidence, DIMS)
+    # A width that fits in one cell is a cell: all such in one pass, however many widths there are.
+    few = rows.join(sizes.where(F.col("n") <= CELL).select("width"), "width", "left_semi")
+    asked = few.where(F.col("id") % every == 0).select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"), F.lit(4.0).alias("q_seen"), F.col("width").alias("q_width"))
+    out = few.groupBy("width").cogroup(asked.groupBy("q_width")).applyInPandas(_in_cell(k, bound), RESULT)
+    for width, n in sorted(large.items()):
+        out = out.unionByName(_nearest_of(rows.where(F.col("width") == width).select("id", "vec"), width, n, k, every, bound))
+    return _best(out, k).select("query_id", "rank", "vec_id", "score")
 
 
-def _nearest_of(rows: DataFrame, width: int, k: int, every: int, confidence: float) -> DataFrame:
+def _nearest_of(rows: DataFrame, width: int, n: int, k: int, every: int, bound: float) -> DataFrame:
     spark = rows.sparkSession
-    n = rows.count()
     dims = projection(width)
-    bound = chi_square_bound(confidence, DIMS)
     depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, n / CELL)))))
-    # A bounded sample, the same in every run: smallest hashes of the key.
-    sample = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(SAMPLE).select("vec").toPandas()
-    points = unit(np.stack(sample["vec"].to_numpy())) @ dims
-    cells = Cells(points, depth)
+
+    def project(batches):
+        for b in batches:
+            p = unit(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)) @ dims
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, i]) for i in range(DIMS)], [f"p{i}" for i in range(DIMS)])
+
+    # A sample of bounded size, the same in every run: small hashes of distinct rows.
+    part = F.pmod(F.xxhash64("id", "vec", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / n))
+    sample = rows.where(part).select("vec").mapInArrow(project, ", ".join(f"p{i} double" for i in range(DIMS))).toArrow()
+    points = np.stack([c.to_numpy() for c in sample.columns], 1)
+    cells = Cells(points[np.lexsort(points.T)], depth)
     tree = spark.sparkContext.broadcast(cells)  # 2^MAX_DEPTH cells at most
 
     def deal(batches):
@@ -191,29 +237,14 @@ def _nearest_of(rows: DataFrame, width: int, k: int, every: int, confidence: flo
     held = dealt.join(F.broadcast(pieces), "cell").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).drop("pieces")
     asked = dealt.where(F.col("id") % every == 0)
 
-    def in_cell(held_pdf: pd.DataFrame, asked_pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(held_pdf) and len(asked_pdf):
-            ids = held_pdf["id"].to_numpy()
-            v = np.stack(held_pdf["vec"].to_numpy())
-            u = unit(v)
-            local = LocalTree(u @ dims)
-            for q, vec, seen in zip(asked_pdf["q_id"], asked_pdf["q_vec"], asked_pdf["q_seen"], strict=True):
-                found += [(q, i, s) for s, i in search(np.asarray(vec, float), seen, q, ids, v, u, local, dims, k, bound)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
     def search_cells(queries: DataFrame) -> DataFrame:
         keyed = queries.join(F.broadcast(pieces), "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
         keyed = keyed.toDF(*[f"q_{c}" for c in keyed.columns])
         both = held.groupBy("cell", "piece").cogroup(keyed.groupBy("q_cell", "q_piece"))
-        return both.applyInPandas(in_cell, "query_id long, vec_id long, score double")
-
-    def best(found: DataFrame) -> DataFrame:
-        top = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))), 1, k)
-        return found.groupBy("query_id").agg(top.alias("top"))
+        return both.applyInPandas(_in_cell(k, bound), RESULT)
 
     first = written(search_cells(asked.withColumn("seen", F.lit(4.0))), "home")
-    known = best(first).select(F.col("query_id").alias("known_id"), F.when(F.size("top") == k, 2 + 2 * F.element_at("top", -1)["s"]).otherwise(4.0).alias("seen"))
+    known = _best(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("known_id"), (2 - 2 * F.col("score")).alias("seen"))
     again = asked.join(known, F.col("id") == F.col("known_id"), "left").select("id", "vec", F.col("cell").alias("home"), F.coalesce("seen", F.lit(4.0)).alias("seen"))
 
     def reach(batches):
@@ -230,4 +261,13 @@ def _nearest_of(rows: DataFrame, width: int, k: int, every: int, confidence: flo
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.concatenate(cell) if cell else at), b.column(3).take(pa.array(at))], ["id", "vec", "cell", "seen"])
 
     more = search_cells(again.mapInArrow(reach, "id long, vec array<double>, cell long, seen double"))
-    return best(first.unionByName(more)).select("query_id", F.posexplode("top").alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    return _best(first.unionByName(more), k).drop("rank")
+
+
+def nearest_sql(k: int = 5, every: int = 50) -> str:
+    """Exact nearest neighbours over a table `embeddings` of one width, as DuckDB SQL: what the search returns where it misses none."""
+    return f"""WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS double[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % {every} = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS integer) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
@@ -60,6 +61,9 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
     yield keep
     for path in [p for p in _TABLES if p not in before and p not in kept]:
         remove(path)
+    # Shuffle files go when their plans are collected: don't leave that to chance between large steps.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 @atexit.register

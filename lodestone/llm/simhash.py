@@ -274,21 +274,23 @@ def _far_links(classes: DataFrame, similarity: float, bucket: int) -> DataFrame:
     names = [f"w{i}" for i in range(WORDS)]
     share = expected_bits(similarity, 1)
     most, radius = (int(n * share + SPREAD * (n * share * (1 - share)) ** 0.5) for n in (64 * WORDS, 64))
-    pool, links = None, None
+    thin = classes.select("rep", "label", F.col("keys").alias("all"))
+    pool, links = thin.withColumn("used", F.array().cast("array<bigint>")), None
     for level in range(LEVELS):
-        keyed = classes.withColumn("used", F.array().cast("array<bigint>")) if pool is None else pool.join(classes, "rep")
-        keyed = keyed.select("rep", "label", *names, "used", F.explode(F.array_except(F.slice("keys", 1, KEYS + MORE * level), "used")).alias("own"))
-        keyed = keyed.withColumn("used", F.sort_array(F.concat("used", F.array("own")))).withColumn("key", F.xxhash64("used")).drop("own")
+        own = F.explode(F.array_except(F.slice("all", 1, KEYS + MORE * level), "used")).alias("own")
+        keyed = pool.select("rep", "label", "used", own).withColumn("used", F.sort_array(F.concat("used", F.array("own")))).drop("own")
+        keyed = keyed.withColumn("key", F.xxhash64("used"))
         sizes = keyed.select("key", "label").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         sizes = written(sizes.where("lo != hi").select("key", "n"), "buckets")
         mine, big = sizes.where(F.col("n") <= bucket).select("key"), sizes.where(F.col("n") > bucket).select("key")
-        rows = keyed.join(mine, "key", "left_semi").select("key", "w0", "rep", "label", *names[1:])
+        # Numbers of few bytes go to the buckets first; fingerprints only join what is left.
+        rows = keyed.select("key", "rep").join(mine, "key", "left_semi").join(classes, "rep").select("key", "w0", "rep", "label", *names[1:])
         found = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_whole_buckets(radius, most), "a long, b long").distinct(), "links")
         links = found if links is None else links.unionByName(found)
         if big.isEmpty():
             break
         if level < LEVELS - 1:
-            pool = written(keyed.join(big, "key", "left_semi").select("rep", "used").distinct(), "pool")
+            pool = written(keyed.join(big, "key", "left_semi").select("rep", "used").distinct(), "pool").join(thin, "rep")
         else:
             members = written(keyed.join(big, "key", "left_semi").select("key", "rep"), "members")
             hub = members.groupBy("key").agg(F.min("rep").alias("b"))

@@ -202,6 +202,30 @@ def test_nearest(spark, monkeypatch):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_of_extreme_sizes_and_many_widths(spark):
+    """Components whose squares vanish or overflow, and more widths than a list should hold."""
+    vs = [(50, [1e-200, 2e-200]), (1, [2e200, 4e200]), (2, [1e-308, -1e-308]), (3, [3.0, 1.0]), (4, [1e308, 1e308])]
+    got = rows(ann.nearest(spark.createDataFrame(vs, "vec_id long, embedding array<double>")), "query_id", "rank", "vec_id", "score")
+    want = [(1, 1.0), (4, 3 / math.sqrt(10)), (3, 1 / math.sqrt(2)), (2, -1 / math.sqrt(10))]
+    assert [g[2] for g in got] == [i for i, _ in want] and all(abs(g[3] - s) < 1e-12 for g, (_, s) in zip(got, want, strict=True))
+    vs = [(50 * w + i, [float((w * 7 + j * 3 + i) % 11 - 5) for j in range(w)]) for w in range(1, 1002) for i in range(2)]
+    df = spark.range(1, 1002).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("i"), F.col("id").cast("int").alias("w"))
+    df = df.select((50 * F.col("w") + F.col("i")).cast("long").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda j: (F.col("w") * 7 + j * 3 + F.col("i")) % 11 - 5.0).alias("embedding"))
+    got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df).collect()}
+    usable = {i for i, v in vs if any(v)}
+    assert got == {(50 * w, 50 * w + 1) for w in range(1, 1002) if {50 * w, 50 * w + 1} <= usable}
+
+
+def test_nearest_equals_sql(spark):
+    import duckdb
+
+    vs = [(int(i), [float(x) for x in row]) for i, row in enumerate(np.random.default_rng(6).normal(size=(400, 12)))] + [(500, [0.0] * 12), (550, None), (100, [1.0] * 11)]
+    df = spark.createDataFrame(vs, "vec_id long, embedding array<float>")
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    assert rows(ann.nearest(df, confidence=0.9999), "query_id", "rank", "vec_id", "score") == sorted(con.sql(ann.nearest_sql()).fetchall(), key=repr)
+
+
 def test_nearest_recall(spark):
     vs = [(int(i), [float(x) for x in row]) for i, row in enumerate(np.random.default_rng(5).normal(size=(3000, 32)))]
     df = spark.createDataFrame(vs, "vec_id long, embedding array<float>")
