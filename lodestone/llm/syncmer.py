@@ -17,8 +17,8 @@ SIGN = "[^\\x20\\x09-\\x0D]"
 #: A whole run of LONG characters at most, or one character of a longer one; group 1 is the token.
 WHOLE = f"(?<!{SIGN}){SIGN}{{1,{LONG}}}+(?!{SIGN})"
 TOKENS = f"(?=({WHOLE}|{SIGN}{{1,{GRAM}}}))(?:{WHOLE}|{SIGN})"
-#: Cells of an even grid over ids, which are joined to buckets of about BUCKET rows.
-GRID, BUCKET = 4096, 2000
+#: Rows of a range of ids, and ranges at most (their borders are one array of longs); beyond both, ranges grow.
+BUCKET, RANGES = 2000, 1 << 15
 
 
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -60,33 +60,38 @@ def as_string(sketch: Column, at: Column) -> Column:
     return F.lower(F.array_join(F.zip_with(sketch, at, lambda x, i: F.concat(F.lpad(F.hex(x), 16, "0"), F.lpad(F.hex(i), 8, "0"))), ""))
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
+def range_of(number: Column, borders: list[int]) -> Column:
+    """How many borders (ascending) lie below the number, by binary search."""
+    held = F.array(*map(F.lit, borders)).cast("array<bigint>")
+    here = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+
+    def step(s: Column, _: Column) -> Column:
+        above = (s["lo"] < s["hi"]) & (F.get(held, here(s)) < number)
+        return F.struct(F.when(above, here(s) + 1).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(F.when(s["lo"] < s["hi"], here(s)).otherwise(s["hi"])).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(borders)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(borders).bit_length() + 1)), start, step)["lo"]
+
+
+def with_next(docs: DataFrame, carried: list[str], bucket: int = BUCKET, ranges: int = RANGES) -> DataFrame:
     """docs with next_<c> for each carried column, from the next row by descending doc_id (ties by text); after the last, the first.
 
-    Ids are dealt to ranges of a bucket each, from an even grid's counts; the first row of a range is also sent to the range
-    above it, as what follows its last row. Null ids come last, in the lowest range.
+    Ids are dealt to ranges by approximate quantiles, which only balance them; the first row of a range is also sent to the range
+    above it, as what follows its last row. Null ids come last, in the lowest range. Rows that share one id share its range.
     """
-    ids = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    lo, hi = (ids["lo"], ids["hi"]) if ids["lo"] is not None else (0, 0)
-    cell = F.floor((F.col("doc_id").cast("double") - F.lit(float(lo))) * (GRID / (float(hi) - float(lo) + 1.0))).cast("int")
-    cell = F.least(F.greatest(F.coalesce(cell, F.lit(0)), F.lit(0)), F.lit(GRID - 1))
-    counts = docs.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).collect()  # GRID rows at most
-    found = {r["cell"]: r for r in counts}
-    bucket_of, top, size, bucket = [], {}, 0, 0
-    for c in range(GRID):
-        r = found.get(c)
-        if r and size and size + r["n"] > BUCKET:
-            bucket, size = bucket + 1, 0
-        bucket_of.append(bucket)
-        if r:
-            size += r["n"]
-            top[bucket] = r["top"] if r["top"] is not None else top.get(bucket)
+    n = docs.select("doc_id").count()
+    many = max(1, min(ranges, -(-n // bucket)))
+    shares = F.array(*(F.lit(i / many) for i in range(1, many)))
+    borders = docs.agg(F.percentile_approx("doc_id", shares, F.lit(20 * many)).alias("q")).first()["q"] if many > 1 else []
+    cell = range_of(F.col("doc_id").cast("long"), sorted(set(borders or []))) if borders else F.lit(0)
+    cell = F.coalesce(F.when(F.col("doc_id").isNotNull(), cell), F.lit(0))
+    rows = docs.withColumn("_b", cell).withColumn("_s", F.lit(0))
+    top = {r["_b"]: r["top"] for r in docs.select("doc_id").withColumn("_b", cell).groupBy("_b").agg(F.max("doc_id").alias("top")).collect()}  # a row a range
     heads = sorted(top)
-    rows = docs.withColumn("_b", F.get(F.array(*map(F.lit, bucket_of)), cell)).withColumn("_s", F.lit(0))
-    after = {top[b]: heads[(i + 1) % len(heads)] for i, b in enumerate(heads) if top[b] is not None}
-    if after:
-        to = F.create_map(*[x for k, v in after.items() for x in (F.lit(k).cast("long"), F.lit(v))])
-        first = docs.where(F.col("doc_id").isin(list(after))).withColumn("_b", to[F.col("doc_id").cast("long")]).withColumn("_s", F.lit(1))
+    if top and top[heads[-1]] is not None:
+        follows = {b: heads[(i + 1) % len(heads)] for i, b in enumerate(heads)}
+        by_range = lambda values: F.get(F.array(*(F.lit(values.get(b)).cast("long") for b in range(heads[-1] + 1))), F.col("_b"))
+        first = rows.where(F.col("doc_id") == by_range(top)).withColumn("_b", by_range(follows).cast("int")).withColumn("_s", F.lit(1))
     else:  # only null ids: one range, which begins again after its end
         first = rows.withColumn("_s", F.lit(1)).orderBy("text").limit(1)
     order = Window.partitionBy("_b").orderBy("_s", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_last())

@@ -437,13 +437,47 @@ def test_syncmers_keep_all_anchors(spark):
     assert all(len(a) == len(b) >= 1 for a, b in got.values())
 
 
-def test_next_rows_over_ranges(spark, monkeypatch):
-    monkeypatch.setattr(syncmer, "BUCKET", 4)
-    ids = [int(x) for x in np.random.default_rng(1).choice(10_000, 60, replace=False)]
-    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
-    got = {r["doc_id"]: r["next_text"] for r in syncmer.with_next(df, ["text"]).collect()}
-    order = sorted(ids, reverse=True)
-    assert got == {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
+def brute_syncmers(text):
+    """(hash, token number) of the closed syncmers of a text, in plain Python."""
+
+    def xx(*items):
+        seed = 42
+        for x in items:
+            seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x.to_bytes(8, "little", signed=True), seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    tokens = []
+    for run in WORD.findall(text or ""):
+        tokens += [run] if len(run) <= 32 else [run[i : i + 8] for i in range(len(run))]
+    inner = [xx(*tokens[i : i + 2]) for i in range(len(tokens) - 1)]
+    out = []
+    for i in range(len(tokens) - 3):
+        three = inner[i : i + 3]
+        if min(three) in (three[0], three[2]):
+            out.append((xx(three[0], three[2]), i))
+    return out or ([(xx(" ".join(tokens)), 0)] if tokens else [])
+
+
+def test_syncmers_match_plain_python(spark, docs):
+    r = random.Random(14)
+    texts = [t for _, t, _, _ in TEXTS] + ["".join(r.choice("ab\u3042\u3044\U0001f600 ") for _ in range(r.randint(0, 90))) for _ in range(60)]
+    texts += ["".join(r.choice("\u65e5\u672c\u8a9e\u6587") for _ in range(n)) for n in (31, 32, 33, 200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: list(zip(x["s"], x["s_at"], strict=True)) for x in syncmer.with_sketch(df, "text", "s").collect()}
+    assert got == {i: brute_syncmers(t) for i, t in enumerate(texts)}
+    out = syncmer.fingerprint_edits(docs).collect()
+    shown = {f"{h & (1 << 64) - 1:016x}" for t in texts for h, _ in brute_syncmers(t)}
+    assert all(x["fingerprint"][i : i + 16] in shown for x in out for i in range(0, len(x["fingerprint"]), 24))
+
+
+@pytest.mark.parametrize("ids", [range(60), [0, 1, 2, *range(2**62, 2**62 + 60)], [5], [3, 3, 3, 9], [-(2**63), 2**63 - 1, 0]])
+def test_next_rows_over_ranges(spark, ids):
+    """Ranges of four rows, ids beyond the precision of doubles, one far from all others, repeated ids, ids of either end."""
+    rows_ = [(int(i), f"t{i}-{k}") for k, i in enumerate(ids)] + [(None, "n1"), (None, "n2")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    got = {r["text"]: r["next_text"] for r in syncmer.with_next(df, ["text"], bucket=4).collect()}
+    order = [t for _, t in sorted(rows_, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))]
+    assert got == {t: order[(k + 1) % len(order)] for k, t in enumerate(order)}
 
 
 # 6 -----------------------------------------------------------------------------------------------
