@@ -278,10 +278,53 @@ def test_languages(docs, empty):
     assert langid.identify_languages(empty).count() == 0
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns
-    assert kept.count() == sum(any(c.isalpha() for c in t or "") for _, t, _, _ in TEXTS)
+    told = langid.with_language(docs, langid.learn_profiles(docs)).collect()
+    assert rows(kept, "doc_id", "text") == sorted(((r["doc_id"], r["text"]) for r in told if any(c.isalpha() for c in r["text"] or "") and r["score"] >= langid.LEAST_SCORE), key=repr)
     unlearned = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {g[0] for g in rows(langid.identify_languages(unlearned), "lang_pred")} == {"und"}
-    assert langid.keep_identified(unlearned).count() == kept.count()
+    assert langid.keep_identified(unlearned).count() == sum(any(c.isalpha() for c in t or "") for _, t, _, _ in TEXTS)
+
+
+def brute_language(text, profiles):
+    """(language, score) by the distance of ranks, in plain Python."""
+    own = brute_grams(text or "")
+    if not own or not profiles:
+        return "und", 0.0
+    top = sorted(own, key=lambda g: (-own[g], gram_code(g)))[:300]
+    apart = {lang: sum(abs(k - p[g]) if g in p else 300 for k, g in enumerate(top)) for lang, p in profiles.items()}
+    best = min(sorted(apart), key=apart.get)
+    return best, 1 - apart[best] / (300 * len(top))
+
+
+def gram_code(g):
+    c = [0 if x == " " else ord(x) for x in g]
+    return sum(x << 21 * (2 - k) for k, x in enumerate([langid.NONE] * (3 - len(c)) + c))
+
+
+@pytest.mark.parametrize("block", [5000, 1])
+def test_languages_against_plain_python(spark, monkeypatch, block):
+    """Profiles with ties at their end, distances and scores of all texts; the same when languages are compared one at a time."""
+    import zlib
+
+    monkeypatch.setattr(langid, "BLOCK", block)
+    r = random.Random(23)
+    letters = {"aa": "abcdefghij", "bb": "efghijklmnop", "cc": "klmnopqrstuvwxyz"}
+    docs = [(i, " ".join("".join(r.choice(letters[x]) for _ in range(r.randint(1, 7))) for _ in range(r.randint(0, 60))), x) for i, x in enumerate([*letters] * 30)]
+    docs += [(200, None, "aa"), (201, "", "bb"), (202, "12 !", None), (203, "abc xyz", None)]
+    counts = {x: Counter() for x in letters}
+    for i, t, x in docs:
+        if t is not None and x and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[x] += brute_grams(t)
+    assert any(sorted(c.values())[-300] == sorted(c.values())[-301] for c in counts.values())
+    profiles = {x: {g: k for k, g in enumerate(sorted(c, key=lambda g: (-c[g], gram_code(g)))[:300])} for x, c in counts.items()}
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in langid.identify_languages(df).collect()}
+    for i, t, _ in docs:
+        lang, score = brute_language(t, profiles)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-12
+    noise = spark.createDataFrame([(900, "日本語の文字" * 40, "aa")], df.schema).where("doc_id > 0")
+    kept = {x["doc_id"] for x in langid.keep_identified(df.unionByName(noise.withColumn("lang", F.lit(None).cast("string")))).collect()}
+    assert 900 not in kept and len(kept) > 80
 
 
 # 4 -----------------------------------------------------------------------------------------------
