@@ -57,18 +57,15 @@ def strip(c: Column) -> Column:
     return _sub(c, f"(?U)^[{BLANK}]+|[{BLANK}]+$", "")
 
 
-def _normalized(form: str):
+def normalized(c: Column, form: str) -> Column:
+    """Unicode normal form. The function counts as non-deterministic, so that the planner never evaluates it, or what goes into it, again in
+    a filter or a second projection."""
+
     @F.pandas_udf("string")
     def f(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else unicodedata.normalize(form, t))
-
-    return f
+        return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
 
-
-def normalized(c: Column, form: str) -> Column:
-    """Unicode normal form; ASCII texts, which it does not change, are not sent to Python."""
-    odd = _normalized(form)(F.when(c.rlike(r"[^\x00-\x7F]"), c))
-    return F.coalesce(odd, c)
+    return f.asNondeterministic()(c)
 
 
 def strip_tags(c: Column) -> Column:

@@ -6,9 +6,10 @@ import math
 from bisect import bisect_left
 from itertools import accumulate
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import token_estimate, word_count
 
@@ -56,59 +57,56 @@ def fixed_chunks(text: str, tokens: int = 800) -> list[str]:
     return [" ".join(words[a:b]) for a, b, _ in _packed([len(w) // 4 for w in words], tokens + 1)]
 
 
-def chunk_arrays(text: Column, method: str = "recursive", tokens: int = 800, least: int = 100) -> Column:
-    """array<string> of chunks; null text gives none."""
-
-    @F.pandas_udf("array<string>")
-    def f(s: pd.Series) -> pd.Series:
-        cut = (lambda t: recursive_chunks(t, tokens, least)) if method == "recursive" else (lambda t: fixed_chunks(t, tokens))
-        return s.map(lambda t: cut(t) if t else [])
-
-    return f(text)
-
-
-def exploded(docs: DataFrame, key: str, text: str, method: str = "recursive", tokens: int = 800, least: int = 100) -> DataFrame:
-    """key, pos, chunk of every chunk."""
-    cut = docs.select(key, chunk_arrays(F.col(text), method, tokens, least).alias("chunks"))
-    return cut.select(key, F.posexplode("chunks").alias("pos", "chunk"))
-
-
-def with_overlap(chunks: DataFrame, key: str, overlap: int = 150) -> DataFrame:
-    """chunk joined to the neighbouring words of the original chunks before and after it.
+def overlapped(chunks: list[str], overlap: int = 150) -> list[str]:
+    """Each chunk joined to the neighbouring words of the chunks before and after it.
 
     The ends take overlap / 10 words of their one neighbour; others take half of that from each side, rounded up from the one before
     and down from the one after.
     """
-    order = Window.partitionBy(key).orderBy("pos")
-    blanks = r"(?U)[\s\x1c-\x1f]+"
-    words = F.filter(F.split("chunk", blanks), lambda w: w != "")
-    rows = chunks.withColumn("_w", words)
-    rows = rows.withColumns({"_before": F.lag("_w").over(order), "_after": F.lead("_w").over(order)})
     if overlap == 0:
-        return rows.drop("_w", "_before", "_after")
-    last = lambda a, n: F.slice(a, F.greatest(F.lit(1), F.size(a) - n + 1), F.lit(n))
-    inner = F.col("_before").isNotNull() & F.col("_after").isNotNull()
-    before = F.when(inner, last(F.col("_before"), math.ceil(overlap / 20))).when(F.col("_before").isNotNull(), last(F.col("_before"), math.ceil(overlap / 10)))
-    after = F.when(inner, F.slice("_after", 1, overlap // 20)).when(F.col("_after").isNotNull(), F.slice("_after", 1, overlap // 10))
-    joined = F.concat(
-        F.when(before.isNotNull(), F.concat(F.array_join(before, " "), F.lit(" "))).otherwise(""),
-        F.col("chunk"),
-        F.when(after.isNotNull(), F.concat(F.lit(" "), F.array_join(after, " "))).otherwise(""),
-    )
-    return rows.withColumn("chunk", joined).drop("_w", "_before", "_after")
-
-
-def chunk_records(docs: DataFrame, key: str, text: str, url: str | None = None, method: str = "recursive", tokens: int = 800, overlap: int = 150, least: int = 100) -> DataFrame:
-    """chunk_id, content and figures of every chunk after overlap. Documents without chunks have no row."""
-    rows = with_overlap(exploded(docs, key, text, method, tokens, least), key, overlap)
-    total = F.count(F.lit(1)).over(Window.partitionBy(key))
-    rows = rows.withColumn("total_chunks", total.cast("int"))
-    name = F.coalesce(F.col(url or key).cast("string"), F.lit("unknown")) if not url or url == key else None
-    if name is None:
-        rows = rows.join(docs.select(key, url), key)
-        name = F.coalesce(F.col(url), F.lit("unknown"))
+        return chunks
+    words = [c.split() for c in chunks]
+    out = []
+    for i, chunk in enumerate(chunks):
+        inner = 0 < i < len(chunks) - 1
+        if i:
+            n = math.ceil(overlap / (20 if inner else 10))
+            chunk = " ".join(words[i - 1][max(0, len(words[i - 1]) - n) :]) + " " + chunk
+        if i < len(chunks) - 1:
+            chunk += " " + " ".join(words[i + 1][: overlap // (20 if inner else 10)])
+        out.append(chunk)
+    return out
+
+
+def exploded(docs: DataFrame, key: str | tuple[str, ...], text: str, method: str = "recursive", tokens: int = 800, least: int = 100, overlap: int = 0) -> DataFrame:
+    """The key columns, pos, total_chunks and chunk of every chunk; null and empty texts give none. One pass over each text, in Arrow batches."""
+    keys = [key] if isinstance(key, str) else list(key)
+    own = docs.select(*keys, text)
+
+    def run(batches):
+        for b in batches:
+            at, pos, total, out = [], [], [], []
+            for i, t in enumerate(b.column(len(keys)).to_pylist()):
+                chunks = (recursive_chunks(t, tokens, least) if method == "recursive" else fixed_chunks(t, tokens)) if t else []
+                at += [i] * len(chunks)
+                pos += range(len(chunks))
+                total += [len(chunks)] * len(chunks)
+                out += overlapped(chunks, overlap)
+            at = pa.array(at, pa.int64())
+            cols = [b.column(i).take(at) for i in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(pos, pa.int32()), pa.array(total, pa.int32()), pa.array(out, pa.string())], [*keys, "pos", "total_chunks", "chunk"])
+
+    schema = StructType([*own.schema.fields[: len(keys)], *StructType.fromDDL("pos int, total_chunks int, chunk string").fields])
+    return own.mapInArrow(run, schema)
+
+
+def chunk_records(docs: DataFrame, key: str, text: str, url: str | None = None, method: str = "recursive", tokens: int = 800, overlap: int = 150, least: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
+    """chunk_id, content and figures of every chunk after overlap, and the columns to keep. Documents without chunks have no row."""
+    names = list(dict.fromkeys([key, *([url] if url else []), *keep]))
+    rows = exploded(docs, tuple(names), text, method, tokens, least, overlap)
+    name = F.coalesce(F.col(url or key).cast("string"), F.lit("unknown"))
     return rows.select(
-        key, F.concat_ws("_", name, F.col("pos")).alias("chunk_id"), F.col("chunk").alias("content"), F.col("pos").alias("chunk_index"), "total_chunks",
+        key, *[c for c in keep if c != key], F.concat_ws("_", name, F.col("pos")).alias("chunk_id"), F.col("chunk").alias("content"), F.col("pos").alias("chunk_index"), "total_chunks",
         F.lit(method).alias("chunk_method"), F.lit(tokens).alias("chunk_size"), F.lit(overlap).alias("chunk_overlap"),
         token_estimate(F.col("chunk")).alias("estimated_tokens"), F.length("chunk").alias("character_count"), word_count(F.col("chunk")).alias("word_count"),
     )

@@ -3,8 +3,11 @@ do not depend on partitioning."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 SEED = 42
 
@@ -13,26 +16,44 @@ def rank_hash(key: Column, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
+#: Parts of a class by the first hex digits of the hash; only the one that the limit falls into is sorted.
+DIGITS = 3
+
+
+def _same(columns: list[str]) -> list[Column]:
+    return [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in columns]
+
+
+def _flagged(rows: DataFrame, columns: list[str], key: str, want: str) -> DataFrame:
+    """rows with _first: whether the row is among the `want` (a column, one value a class) first of its class by the hash.
+
+    Counts by the hash's first digits tell which part of a class the limit falls into; rows before it are in, rows after it are
+    out, and only that part is ranked. So no task sorts a class.
+    """
+    rows = rows.withColumn("_h", rank_hash(F.col(key))).withColumn("_d", F.conv(F.substring("_h", 1, DIGITS), 16, 10).cast("int"))
+    counts = rows.groupBy(*columns, "_d").agg(F.count(F.lit(1)).alias("_c"), F.max(want).alias("_w"))
+    upto = F.sum("_c").over(Window.partitionBy(*columns).orderBy("_d"))  # 16^DIGITS rows a class at most
+    border = counts.withColumn("_upto", upto).where("_upto >= _w and _upto - _c < _w")
+    border = border.select(*[F.col(c).alias(f"_k_{c}") for c in columns], F.col("_d").alias("_at"), (F.col("_w") - F.col("_upto") + F.col("_c")).alias("_left"))
+    rows = rows.join(border, _same(columns), "left").drop(*[f"_k_{c}" for c in columns])
+    clear = rows.where("_at is null or _d != _at").withColumn("_first", F.coalesce(F.col("_d") < F.col("_at"), F.col(want) > 0))
+    place = F.row_number().over(Window.partitionBy(*columns).orderBy("_h", key))
+    ranked = rows.where("_d = _at").withColumn("_first", place <= F.col("_left"))
+    return clear.unionByName(ranked).drop("_h", "_d", "_at", "_left")
+
+
 def _oversampled(df: DataFrame, columns: list[str], key: str, strategy: str | int) -> DataFrame:
     """Each row as often as its class needs: copies are dealt evenly in the order of the hash. Adds `copy` (0: the row itself)."""
     counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy()  # one row a class
-    if isinstance(strategy, int):
-        target = F.lit(strategy)
-    elif strategy == "equal":
-        target = F.floor(F.sum("_n").over(whole) / F.count(F.lit(1)).over(whole))
-    else:
-        target = F.max("_n").over(whole)
-    counts = counts.withColumn("_target", target.cast("long"))
-    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in columns]
-    renamed = counts.select(*[F.col(c).alias(f"_k_{c}") for c in columns], "_n", "_target")
-    rows = df.join(renamed, same)
-    place = F.row_number().over(Window.partitionBy(*columns).orderBy(rank_hash(F.col(key)), key)) - 1
-    # Classes that are large enough are not ranked; only small ones are sorted.
-    small = rows.where("_n < _target").withColumn("_i", place)
-    extra = F.floor((F.col("_target") - F.col("_n")) / F.col("_n")) + F.when(F.col("_i") < (F.col("_target") - F.col("_n")) % F.col("_n"), 1).otherwise(0)
+    if not isinstance(strategy, int):
+        most, total, classes = counts.agg(F.max("_n"), F.sum("_n"), F.count(F.lit(1))).first()
+        strategy = (total // classes if classes else 0) if strategy == "equal" else most or 0
+    rows = df.join(counts.select(*[F.col(c).alias(f"_k_{c}") for c in columns], "_n"), _same(columns)).drop(*[f"_k_{c}" for c in columns])
+    target = F.lit(strategy).cast("long")
+    small = _flagged(rows.where(F.col("_n") < target).withColumn("_odd", (target - F.col("_n")) % F.col("_n")), columns, key, "_odd")
+    extra = F.floor((target - F.col("_n")) / F.col("_n")) + F.when(F.col("_first"), 1).otherwise(0)
     small = small.withColumn("copy", F.explode(F.sequence(F.lit(0), extra.cast("int"))))
-    return rows.where("_n >= _target").withColumn("copy", F.lit(0)).select(*df.columns, "copy").unionByName(small.select(*df.columns, "copy"))
+    return rows.where(F.col("_n") >= target).withColumn("copy", F.lit(0)).select(*df.columns, "copy").unionByName(small.select(*df.columns, "copy"))
 
 
 def oversample(df: DataFrame, column: str, key: str, strategy: str | int = "auto") -> DataFrame:
@@ -55,36 +76,62 @@ def stratified_sample(df: DataFrame, size: int, columns: list[str], key: str) ->
     if not columns:
         return df.orderBy(rank_hash(F.col(key)), key).limit(size)
     strata = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    total = F.sum("_n").over(Window.partitionBy())
-    take = F.greatest(F.lit(1), F.least((F.lit(float(size)) * (F.col("_n") / total)).cast("long"), F.col("_n")))
+    total = strata.agg(F.sum("_n")).first()[0] or 1
+    take = F.greatest(F.lit(1), F.least((F.lit(float(size)) * (F.col("_n") / F.lit(total))).cast("long"), F.col("_n")))
     strata = strata.select(*[F.col(c).alias(f"_k_{c}") for c in columns], take.alias("_take"))
-    rows = df.join(strata, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in columns])
-    place = F.row_number().over(Window.partitionBy(*columns).orderBy(rank_hash(F.col(key)), key))
-    return rows.withColumn("_i", place).where("_i <= _take").select(*df.columns)
+    rows = df.join(strata, _same(columns)).drop(*[f"_k_{c}" for c in columns])
+    return _flagged(rows, columns, key, "_take").where("_first").select(*df.columns)
+
+
+def _nearest(k: int):
+    """Rows (id, x) of a block of a class and the seeds (s, sx) that ask: each seed's k nearest in the block, ties to the smaller id."""
+
+    def run(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(held) and len(asked):
+            held = held.sort_values("id", ignore_index=True)
+            ids, x = held["id"].to_numpy(), np.stack(held["x"].to_numpy())
+            for s, sx in zip(asked["s"].to_numpy(), asked["sx"], strict=True):
+                apart = ((x - np.asarray(sx)) ** 2).sum(1)
+                apart[ids == s] = np.inf
+                best = np.argsort(apart, kind="stable")[:k]
+                found += [(s, apart[i], ids[i], x[i]) for i in best if ids[i] != s]
+        return pd.DataFrame(found, columns=["s", "d", "id", "x"])
+
+    return run
 
 
 def smote(df: DataFrame, target: str, features: str, key: str, k: int = 5, block: int = 2000) -> DataFrame:
-    """df's (key, features, target) and synthetic rows of every smaller class, up to the largest class's count.
+    """df and synthetic rows of every smaller class, up to the largest class's count; columns as in df.
 
-    A synthetic row lies between a row and one of its k nearest of the same class at a seeded fraction. Only rows that get copies
-    look for neighbours, and each against its class, dealt to blocks whose local bests are merged.
+    A synthetic row lies between a row and one of its k nearest of the same class at a seeded fraction; its key is null. Other columns
+    of all rows become what the table has most often (ties to the smaller value) or, of numbers, its mean. Only rows that get copies look
+    for neighbours, each in the blocks of its class; of a block k come back, of which the k best stay. Rows with null class or features go.
     """
-    base = df.select(F.col(key).alias("id"), F.col(features).cast("array<double>").alias("x"), F.col(target).alias("y")).where("y is not null and x is not null")
+    base = df.where(F.col(target).isNotNull() & F.col(features).isNotNull()).select(F.col(key).alias("id"), F.col(features).cast("array<double>").alias("x"), F.col(target).alias("y"))
     grown = _oversampled(base.select("id", "y"), ["y"], "id", "auto").where("copy > 0")
-    seeds = grown.select(F.col("id").alias("s"), F.col("copy")).join(base.withColumnsRenamed({"id": "s", "x": "sx", "y": "sy"}), "s")
-    asked = seeds.select("s", "sx", "sy").distinct()
+    seeds = grown.select(F.col("id").alias("s"), "copy").join(base.withColumnsRenamed({"id": "s", "x": "sx", "y": "sy"}), "s")
+    asked = seeds.select("s", "sx", "sy").dropDuplicates(["s"])
     small = base.join(asked.select(F.col("sy").alias("y")).distinct(), "y", "left_semi")
     n = max(1, -(-small.count() // block))
     small = small.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)))
-    asked = asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    apart = F.aggregate(F.zip_with("x", "sx", lambda a, c: (a - c) * (a - c)), F.lit(0.0), lambda s, v: s + v)
-    pairs = small.join(asked, (F.col("y") == F.col("sy")) & (small.b == asked.b) & (F.col("id") != F.col("s"))).select("s", F.struct(apart.alias("d"), "id", "x").alias("m"))
-    local = F.slice(F.sort_array(F.collect_list("m")), 1, k)
-    near = pairs.groupBy("s", F.pmod(F.xxhash64(F.col("m.id")), F.lit(n)).alias("b")).agg(local.alias("m"))
-    near = near.groupBy("s").agg(F.slice(F.sort_array(F.flatten(F.collect_list("m"))), 1, k).alias("m"))
+    asked = asked.withColumn("sb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    kind = dict(base.dtypes)["id"]
+    near = small.groupBy("y", "b").cogroup(asked.groupBy("sy", "sb")).applyInPandas(_nearest(k), f"s {kind}, d double, id {kind}, x array<double>")
+    place = F.row_number().over(Window.partitionBy("s").orderBy("d", "id"))
+    near = near.withColumn("i", place).where(F.col("i") <= k).groupBy("s").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("m"))  # k rows a seed
     unit = lambda name: F.pmod(F.xxhash64("s", "copy", F.lit(name)), F.lit(1 << 30)) / (1 << 30)
     made = seeds.join(near, "s", "left").withColumn("o", F.when(F.size("m") > 0, F.element_at("m", (F.floor(unit("which") * F.size("m")) + 1).cast("int"))["x"]).otherwise(F.col("sx")))
     made = made.withColumn("t", unit("where")).select(
-        F.lit(None).cast("long").alias("id"), F.zip_with("sx", "o", lambda a, c: a + F.col("t") * (c - a)).alias("x"), F.col("sy").alias("y")
+        F.lit(None).cast(kind).alias("id"), F.zip_with("sx", "o", lambda a, c: a + F.col("t") * (c - a)).alias("x"), F.col("sy").alias("y")
     )
-    return base.select(F.col("id").cast("long"), "x", "y").unionByName(made).select(F.col("id").alias(key), F.col("x").alias(features), F.col("y").alias(target))
+    out = base.unionByName(made).select(F.col("id").alias(key), F.col("x").alias(features), F.col("y").alias(target))
+    for c in df.columns:
+        if c not in (key, features, target):
+            if isinstance(df.schema[c].dataType, NumericType):
+                value = df.agg(F.avg(c)).first()[0]
+            else:
+                most = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), c).first()
+                value = most and most[0]
+            out = out.withColumn(c, F.lit(value))
+    return out.select(*df.columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..schemas import REQUIRED, REQUIRED_IN_SEGMENT
+from ..session import shared_folder
 
 #: Relative change of a run's figure from which it is an anomaly.
 THRESHOLDS = {"total_segments": 0.4, "total_words": 0.4, "avg_segment_duration": 0.3, "missing_values": 2.0}
@@ -44,11 +45,22 @@ def validity_gate(results: DataFrame, valid: str = "is_valid") -> DataFrame:
 
 
 def run_anomalies(runs: DataFrame, order: str, thresholds: dict[str, float] | None = None) -> DataFrame:
-    """order, metric, change of each figure that moved by more than its threshold since the run before (which was not 0)."""
+    """order, metric, change of each figure that moved by more than its threshold since the run before (which was not 0).
+
+    Runs are sorted by ranges of their order; the last run of each range, a row a range, is what the first of the next one follows.
+    """
     limits = thresholds or THRESHOLDS
-    w = Window.orderBy(order)  # one row a run
-    rows = runs.select(order, *limits, *[F.lag(m).over(w).alias(f"_{m}") for m in limits])
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("now"), F.col(f"_{m}").cast("double").alias("was"), F.lit(float(x)).alias("most")) for m, x in limits.items()])
+    spark = runs.sparkSession
+    shared_folder(spark)
+    rows = runs.select(order, *limits).repartitionByRange(order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    # struct: a null order comes first, as it does in the sorting
+    last = rows.groupBy("_part").agg(F.max_by(F.struct(*limits), F.struct(F.col(order).isNotNull(), order)).alias("_last"))
+    held = sorted(last.collect())
+    follows = [(b["_part"], a["_last"]) for a, b in zip(held, held[1:])]
+    border = spark.createDataFrame(follows, last.schema)
+    w = Window.partitionBy("_part").orderBy(order)
+    rows = rows.withColumn("_was", F.lag(F.struct(*limits)).over(w)).join(F.broadcast(border), "_part", "left").withColumn("_was", F.coalesce("_was", "_last"))
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("now"), F.col("_was")[m].cast("double").alias("was"), F.lit(float(x)).alias("most")) for m, x in limits.items()])
     rows = rows.select(order, F.inline(pairs)).where("was is not null and was != 0")
     return rows.withColumn("change", F.abs(F.col("now") - F.col("was")) / F.col("was")).where("change > most").select(order, "metric", "change")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import bias, chunking, crawl, html, reports, sampling, segments, selection, validation
+from ..session import spread
 from ..streaming import sessions as streams
 from .corpus import chunk_report
 
@@ -28,8 +29,13 @@ def query(sql: str | None = None):
     return add
 
 
+#: Tables whose texts are worked on.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 # SQL forms of scalar functions -------------------------------------------------------------------
@@ -483,7 +489,7 @@ def stratified_sample(spark, sf_dir):
 
 @query()
 def smote(spark, sf_dir):
-    return sampling.smote(table(spark, sf_dir, "embeddings"), "label", "embedding", "vec_id")
+    return sampling.smote(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), "label", "embedding", "vec_id")
 
 
 # Selection, pages, urls --------------------------------------------------------------------------

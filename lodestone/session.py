@@ -7,7 +7,7 @@ import re
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -34,6 +34,16 @@ def share_code(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read over all cores, before work on whole texts: what is smaller than a file split for each core would be read by few
+    tasks, often by one. Larger tables stay as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < cores * split
+    return df.repartition(cores) if small else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it. Only where all run in one process may it be
     unset; then a temporary folder of this machine serves."""

@@ -5,6 +5,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from lodestone import config, schemas
 from lodestone.functions import text as T
 from lodestone.functions import urls as U
 from lodestone.operators import bias, chunking, crawl, html, reports, sampling, segments, selection, validation
-from lodestone.plans.corpus import prepared_chunks
+from lodestone.plans.corpus import chunk_report, prepared_chunks
 from lodestone.sources import readers, writers
 from lodestone.streaming import sessions
 
@@ -144,16 +145,25 @@ def test_fixed_chunks():
     assert chunking.fixed_chunks("a b c", 0) == ["a b c"] and chunking.fixed_chunks("", 5) == []
 
 
-def test_overlap(spark):
+def test_overlap():
     chunks = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 20), ("b", 5), ("c", 20))]
-    df = spark.createDataFrame([(1, i, c) for i, c in enumerate(chunks)] + [(2, 0, "only")], "k int, pos int, chunk string")
-    got = {(r["k"], r["pos"]): r["chunk"] for r in chunking.with_overlap(df, "k").collect()}
     w = [c.split() for c in chunks]
-    assert got[1, 0] == chunks[0] + " " + " ".join(w[1][:15])
-    assert got[1, 1] == " ".join(w[0][-8:]) + " " + chunks[1] + " " + " ".join(w[2][:7])
-    assert got[1, 2] == " ".join(w[1][-15:]) + " " + chunks[2]
-    assert got[2, 0] == "only"
-    assert {r["chunk"] for r in chunking.with_overlap(df, "k", 0).collect()} == {*chunks, "only"}
+    got = chunking.overlapped(chunks)
+    assert got[0] == chunks[0] + " " + " ".join(w[1][:15])
+    assert got[1] == " ".join(w[0][-8:]) + " " + chunks[1] + " " + " ".join(w[2][:7])
+    assert got[2] == " ".join(w[1][-15:]) + " " + chunks[2]
+    assert chunking.overlapped(["only"]) == ["only"] and chunking.overlapped(chunks, 0) == chunks
+
+
+def test_chunk_plans(spark):
+    """One pass over each text: cleaning once, chunking once, no window and no join back; repeated and null keys keep their own chunks."""
+    df = spark.createDataFrame([(1, "word " * 2000, "en"), (1, "other " * 2000, "de"), (None, "third " * 2000, None)], "doc_id int, text string, lang string")
+    out = prepared_chunks(df, keep=("lang",))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("MapInArrow") == 1 and "Window" not in plan and "Join" not in plan
+    first = {r["content"].split()[0] for r in out.collect() if r["chunk_index"] == 0}
+    assert first == {"word", "other", "third"}
+    assert {r["lang"]: r["chunks"] > 1 for r in chunk_report(df).collect()} == {"en": True, "de": True, None: True}
 
 
 def test_chunk_records(spark):
@@ -283,6 +293,35 @@ def test_smote(spark):
     out = sampling.smote(df, "y", "x", "id", block=4)
     assert {r["y"]: r["count"] for r in out.groupBy("y").count().collect()} == {0: 30, 1: 30}
     assert all(30 <= r["x"][0] <= 39 and r["x"][1] == 1.0 for r in out.where("id is null").collect())
+    more = df.withColumn("z", F.col("id").cast("double")).withColumn("g", F.when(F.col("id") < 25, "a").otherwise("b"))
+    out = sampling.smote(more, "y", "x", "id")
+    assert out.columns == more.columns and {(r["z"], r["g"]) for r in out.collect()} == {(19.5, "a")}
+
+
+def test_no_class_is_sorted(spark):
+    """The first rows of large classes by hash, cut inside a part of the hash, as ranking them all would give."""
+    df = spark.range(40_000).select("id", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") < 100, None).otherwise("b").alias("g"))
+    got = {(r["g"], r["id"]) for r in sampling.stratified_sample(df, 9000, ["g"], "id").collect()}
+    rows = df.withColumn("h", sampling.rank_hash(F.col("id"))).collect()
+    want = set()
+    for g in ("a", "b", None):
+        own = sorted((r["h"], r["id"]) for r in rows if r["g"] == g)
+        want |= {(g, i) for _, i in own[: max(1, int(9000 * (len(own) / 40_000)))]}
+    assert got == want
+
+
+def test_anomalies_over_ranges(spark):
+    """The same anomalies whether runs lie in one range or in many."""
+    r = np.random.default_rng(1)
+    runs = [(int(i), int(r.integers(0, 4)), 100, 1.0, 0) for i in r.permutation(400)]
+    df = spark.createDataFrame(runs, "run int, total_segments int, total_words int, avg_segment_duration double, missing_values int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(x["run"], x["metric"], x["change"]) for x in validation.run_anomalies(df, "run").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    n = [x[1] for x in sorted(runs)]
+    assert got == {(i, "total_segments", abs(n[i] - n[i - 1]) / n[i - 1]) for i in range(1, 400) if n[i - 1] and abs(n[i] - n[i - 1]) / n[i - 1] > 0.4}
 
 
 # Selection, pages --------------------------------------------------------------------------------
