@@ -53,5 +53,13 @@ def stage_validity(counts: DataFrame) -> DataFrame:
     return counts.agg(F.bool_and(F.col("n") > 0).alias("all_present"), F.sum("n").alias("total"))
 
 
-def anomaly_report(anomalies: DataFrame, message: str = "message") -> DataFrame:
-    return anomalies.agg(F.count(F.lit(1)).alias("anomaly_count"), F.sort_array(F.collect_list(message)).alias("anomalies"))
+def first_messages(anomalies: DataFrame, message: str, most: int) -> DataFrame:
+    """One row: n (of all anomalies) and the first `most` messages in order. The anomalies themselves stay rows, for a table that holds them all."""
+    total = anomalies.agg(F.count(F.lit(1)).alias("n")).withColumn("m", F.lit(None).cast("string"))
+    told = anomalies.select(F.lit(0).cast("long").alias("n"), F.col(message).alias("m")).orderBy("m").limit(most)
+    return total.unionByName(told).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("m")).alias("messages"))  # most + 1 rows
+
+
+def anomaly_report(anomalies: DataFrame, message: str = "message", most: int = 1000) -> DataFrame:
+    """anomaly_count of all, and the first `most` messages in order."""
+    return first_messages(anomalies, message, most).select(F.col("n").alias("anomaly_count"), F.col("messages").alias("anomalies"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..schemas import REQUIRED, REQUIRED_IN_SEGMENT
 from ..session import shared_folder
+from .reports import first_messages
 
 #: Relative change of a run's figure from which it is an anomaly.
 THRESHOLDS = {"total_segments": 0.4, "total_words": 0.4, "avg_segment_duration": 0.3, "missing_values": 2.0}
@@ -74,8 +75,9 @@ def empty_chunks(chunks: DataFrame, name: str, index: str, content: str) -> Data
     return chunks.where(strip(F.coalesce(content, F.lit(""))) == "").select(name, index, F.format_string("Empty content in %s, chunk %s", F.col(name).cast("string"), F.col(index).cast("string")).alias("message"))
 
 
-def alert_message(anomalies: DataFrame, message: str = "message", title: str = "Data Pipeline Anomalies Detected") -> DataFrame:
-    """One row with a bulleted message; none if there are no anomalies."""
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list(message)), lambda m: F.concat(F.lit("- "), m)), "\n")
-    out = anomalies.agg(F.count(F.lit(1)).alias("n"), F.concat(F.lit(f"{title}:\n\n"), listed).alias("message"))
-    return out.where("n > 0")
+def alert_message(anomalies: DataFrame, message: str = "message", title: str = "Data Pipeline Anomalies Detected", most: int = 1000) -> DataFrame:
+    """One row with a bulleted message of the first `most` anomalies in order, and how many more there are; none if there are none."""
+    out = first_messages(anomalies, message, most).where("n > 0")
+    listed = F.array_join(F.transform("messages", lambda m: F.concat(F.lit("- "), m)), "\n")
+    more = F.when(F.col("n") > most, F.concat(F.lit("\n... and "), (F.col("n") - most).cast("string"), F.lit(" more"))).otherwise("")
+    return out.select("n", F.concat(F.lit(f"{title}:\n\n"), listed, more).alias("message"))

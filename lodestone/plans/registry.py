@@ -321,11 +321,13 @@ def meeting_totals(spark, sf_dir):
 # Validation --------------------------------------------------------------------------------------
 
 
-@query(f"""SELECT video_id, string_agg(m, '; ' ORDER BY id) AS errors FROM (SELECT video_id, id,
- 'Segment ' || id || ' has invalid time range' AS m FROM ({SEGMENTS_SQL}) WHERE "start" >= "end") GROUP BY video_id
- UNION ALL SELECT DISTINCT video_id, '' FROM ({SEGMENTS_SQL}) WHERE video_id NOT IN (SELECT video_id FROM ({SEGMENTS_SQL}) WHERE "start" >= "end")""")
+@query(f"""WITH told AS (SELECT video_id, id, 0 AS k, 'Segment ' || id || ' missing field: text' AS m FROM ({SEGMENTS_SQL}) WHERE id % 3 = 1
+ UNION ALL SELECT video_id, id, 1, 'Segment ' || id || ' has invalid time range' FROM ({SEGMENTS_SQL}) WHERE "start" >= "end")
+SELECT video_id, string_agg(m, '; ' ORDER BY id, k) AS errors FROM told GROUP BY video_id
+UNION ALL SELECT DISTINCT video_id, '' FROM ({SEGMENTS_SQL}) WHERE video_id NOT IN (SELECT video_id FROM told)""")
 def validate_segments(spark, sf_dir):
-    rows = segments_view(spark, sf_dir).select("video_id", F.struct("id", "start", "end", "text").alias("s"))
+    text = F.when(F.col("id") % 3 != 1, F.col("text")).alias("text")  # a null field is left out of the JSON
+    rows = segments_view(spark, sf_dir).select("video_id", F.struct("id", "start", "end", text).alias("s"))
     records = rows.groupBy("video_id").agg(F.sort_array(F.collect_list("s")).alias("segments")).withColumn("title", F.lit("t"))
     record = F.to_json(F.struct("title", "video_id", "segments"))
     return records.select("video_id", F.array_join(validation.validation_errors(record), "; ").alias("errors"))
@@ -350,22 +352,22 @@ def run_anomalies(spark, sf_dir):
     return validation.run_anomalies(runs, "run")
 
 
-CHOPPED_SQL = "SELECT doc_id, unnest(c) AS content, generate_subscripts(c, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS c FROM documents)"
+CHOPPED_SQL = "SELECT doc_id, unnest(c) AS content, generate_subscripts(c, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text || chr(10) || ' ' || chr(9) || chr(10), chr(10)) AS c FROM documents)"
 
 
 @query(f"SELECT doc_id, pos, 'Empty content in ' || doc_id || ', chunk ' || pos AS message FROM ({CHOPPED_SQL}) WHERE trim(content, {ENDS}) = ''")
 def empty_content(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.concat("text", F.lit("\n \t\n")), "\n")).alias("pos", "content"))
     return validation.empty_chunks(lines, "doc_id", "pos", "content")
 
 
-@query(f"""SELECT count(*) AS anomaly_count, list('Segment ' || id || ' of ' || video_id ORDER BY 'Segment ' || id || ' of ' || video_id) AS anomalies FROM ({SEGMENTS_SQL}) WHERE "start" >= "end" """)
+@query(f"""SELECT count(*) AS anomaly_count, list('Segment ' || id || ' of ' || video_id ORDER BY 'Segment ' || id || ' of ' || video_id)[:1000] AS anomalies FROM ({SEGMENTS_SQL}) WHERE "start" >= "end" """)
 def anomaly_report(spark, sf_dir):
     bad = segments_view(spark, sf_dir).where("start >= `end`")
     return reports.anomaly_report(bad.select(F.concat(F.lit("Segment "), "id", F.lit(" of "), "video_id").alias("message")))
 
 
-@query(f"""SELECT count(*) AS n, 'Data Pipeline Anomalies Detected:' || chr(10) || chr(10) || string_agg('- ' || m, chr(10) ORDER BY m) AS message
+@query(f"""SELECT count(*) AS n, 'Data Pipeline Anomalies Detected:' || chr(10) || chr(10) || array_to_string(list('- ' || m ORDER BY m)[:1000], chr(10)) || CASE WHEN count(*) > 1000 THEN chr(10) || '... and ' || (count(*) - 1000) || ' more' ELSE '' END AS message
  FROM (SELECT 'Segment ' || id || ' of ' || video_id AS m FROM ({SEGMENTS_SQL}) WHERE "start" >= "end") HAVING count(*) > 0""")
 def alert_message(spark, sf_dir):
     bad = segments_view(spark, sf_dir).where("start >= `end`")
@@ -553,9 +555,11 @@ def _sql_content(x: str) -> str:
     return f"array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda l: trim(l, {ENDS})), lambda l: l <> ''), chr(10))"
 
 
-@query(f"SELECT page_id, {_sql_content('html')} AS content FROM pages")
+@query(f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Main' || chr(10) || 'part' ELSE {_sql_content('html')} END AS content FROM pages")
 def page_content(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html.content(F.col("html")).alias("content"))
+    """Every second page gets a <main>, which comes before <article>."""
+    whole = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<main><nav>x</nav> Main<p>part</p></main>"), F.col("html"))).otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", html.content(whole).alias("content"))
 
 
 @query(f"SELECT page_id, {_sql_content('html')} AS content FROM pages")
@@ -563,21 +567,37 @@ def article_content(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.article_content(F.col("html")).alias("content"))
 
 
-@query(f"SELECT page_id, {_sql_content('html')} AS content FROM pages")
+@query(f"SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'Inner' WHEN 2 THEN 'Role' WHEN 3 THEN NULL ELSE {_sql_content('html')} END AS content FROM pages")
 def post_content(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html.post_content(F.col("html")).alias("content"))
-
-
-@query("SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages")
+    """Posts with an article before a <main>, with a class before a <main>, with a role alone, and without any content."""
+    kind = F.col("page_id") % 4
+    whole = (
+        F.when(kind == 1, F.lit("<body><main>Main</main><div class='a content b'>Inner</div></body>"))
+        .when(kind == 2, F.lit('<body>text<div role="main">Role</div></body>'))
+        .when(kind == 3, F.lit("<p>no body</p>"))
+        .otherwise(F.concat(F.lit("<main>Main</main>"), F.col("html")))
+    )
+    return table(spark, sf_dir, "pages").select("page_id", html.post_content(whole).alias("content"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) WHEN 1 THEN 'Head ' || page_id ELSE 'Untitled' END AS title FROM pages")
 def page_title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+    """A third of the pages each: as they are, with a heading alone, with neither title nor heading."""
+    kind = F.col("page_id") % 3
+    head = F.concat(F.lit("<h1 class='x'> Head <b>"), F.col("page_id").cast("string"), F.lit("</b></h1>"))
+    whole = F.when(kind == 1, head).when(kind == 2, F.lit("<p>none</p>")).otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", html.title(whole).alias("title"))
 
 
 @query("""SELECT DISTINCT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h AS link FROM (
  SELECT page_id, url, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS h FROM pages) WHERE h LIKE '/%'
- AND NOT regexp_matches(lower(url[1:0] || h), '#|\\.pdf|\\.zip|mailto:|javascript:')""")
+ AND NOT regexp_matches(lower(url[1:0] || h), '#|\\.pdf|\\.zip|mailto:|javascript:')
+UNION SELECT page_id, CASE WHEN regexp_matches(url, '^[a-z]+://[^/?#]*/') THEN regexp_extract(url, '^([^?#]*/)', 1) ELSE regexp_extract(url, '^([^?#]*)', 1) || '/' END || 'side.html' FROM pages
+UNION SELECT page_id, 'https://other.org/x' FROM pages""")
 def page_links(spark, sf_dir):
-    return html.links(table(spark, sf_dir, "pages"))
+    """Each page's own links, and a relative one, one to another host, and three that are not followed."""
+    more = '<a href="side.html">s</a><a class="b" href="https://other.org/x">o</a><a href="#top">t</a><a href="file.PDF">p</a><a href="mailto:x@y">m</a>'
+    return html.links(table(spark, sf_dir, "pages").withColumn("html", F.concat("html", F.lit(more))))
 
 
 @query("SELECT page_id, regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) AS section, substr(md5(url), 1, 8) AS file_id FROM pages")
