@@ -49,6 +49,16 @@ def remove(path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files go when their plans are collected as garbage: between large steps, don't leave that to chance.
+
+    The scheduler holds its last job until the next one, so an empty one runs first.
+    """
+    gc.collect()
+    spark.range(1).write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables written inside go at the end, but for those given to the function that this yields. What is returned must not read others."""
@@ -61,9 +71,7 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
     yield keep
     for path in [p for p in _TABLES if p not in before and p not in kept]:
         remove(path)
-    # Shuffle files go when their plans are collected: don't leave that to chance between large steps.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
 
 
 @atexit.register

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import guarded, mix64, plus, small_batches, temporary, written
+from .common import guarded, mix64, plus, release, small_batches, temporary, written
 
 SPAN, GRAM = 200, 16
 #: Different fragments of a group in one shard, and on average in a range of digests that is merged at once; bytes handled at once
@@ -320,15 +320,21 @@ def fragment_table(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return written(docs.select("id", "th", "text").mapInArrow(cut, T_SCHEMA), "fragments")
 
 
+def wanted_fragments(pieces: DataFrame, group: int = GROUP) -> DataFrame:
+    """(id, th, want): which fragments of which texts stand for their kinds in the shards. pieces: fragment_table."""
+    with temporary(pieces.sparkSession) as keep:
+        kinds = pieces.groupBy("h", "fd").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "th", "s0", "n")).alias("rep"))
+        kinds = written(kinds, "kinds")
+        release(pieces.sparkSession)
+        several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("d"), F.max("c").alias("most")).where("d > 1 or most > 1").drop("most")
+        # One text of each different fragment, in shards where a group has many.
+        parts = F.ceil(F.col("d") / group).cast("long")
+        reps = kinds.join(several, "h").select("rep.*", "h", "fd", F.pmod("fd", parts).alias("salt"), (parts > 1).alias("split"), (F.col("c") > 1).alias("many"), F.ceil(F.col("d") / RANGE).cast("long").alias("ranges"))
+        return keep(written(reps.groupBy("id", "th").agg(F.collect_list(F.struct("h", "salt", "fd", "split", "many", "ranges", "s0", "n")).alias("want")), "wanted"))
+
+
 def judged_shards(docs: DataFrame, pieces: DataFrame, span: int = SPAN, group: int = GROUP) -> DataFrame:
     """What the shards of all groups of two fragments or more (equal ones counted) say, as in SHARDS. pieces: fragment_table of docs."""
-    kinds = pieces.groupBy("h", "fd").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "th", "s0", "n")).alias("rep"))
-    kinds = written(kinds, "kinds")
-    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("d"), F.max("c").alias("most")).where("d > 1 or most > 1").drop("most")
-    # One text of each different fragment, in shards where a group has many.
-    parts = F.ceil(F.col("d") / group).cast("long")
-    reps = kinds.join(several, "h").select("rep.*", "h", "fd", F.pmod("fd", parts).alias("salt"), (parts > 1).alias("split"), (F.col("c") > 1).alias("many"), F.ceil(F.col("d") / RANGE).cast("long").alias("ranges"))
-    lists = reps.groupBy("id", "th").agg(F.collect_list(F.struct("h", "salt", "fd", "split", "many", "ranges", "s0", "n")).alias("want"))
 
     def pick(batches):
         for b in batches:
@@ -340,6 +346,7 @@ def judged_shards(docs: DataFrame, pieces: DataFrame, span: int = SPAN, group: i
             kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds_, strict=True)], ["h", "salt", "fd", "split", "many", "ranges", "frag"])
 
+    lists = wanted_fragments(pieces, group)
     picked = docs.join(lists, ["id", "th"]).select("text", "want").mapInArrow(pick, "h long, salt long, fd long, split boolean, many boolean, ranges long, frag binary")
     judged = picked.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_shard(span), SHARDS)
     return written(judged, "shards")
@@ -350,11 +357,13 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, group: int = GROUP) -> Dat
     with temporary(docs.sparkSession) as keep:
         t = fragment_table(docs, span)
         judged = judged_shards(docs, t, span, group)
+        release(docs.sparkSession)
         lists = judged.where("dig is not null").select("h", "r", "dig", "fds", "los", "known")
         apart = lists.repartition("h", "r").sortWithinPartitions("h", "r").mapInArrow(_merge_lists, "h long, fd long, lo int")
         inside = judged.where("dig is null").select("h", "fd", "lo", "hi").unionByName(apart.select("h", "fd", "lo", (F.col("lo") + 1).alias("hi")))
-        # What holds for a kind of fragment holds wherever it occurs.
-        ranges = inside.groupBy("h", "fd").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+        # What holds for a kind of fragment holds wherever it occurs. The join reads tables on both sides, so that a kind that
+        # occurs very often is a skewed partition which can be split.
+        ranges = written(inside.groupBy("h", "fd").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
         found = t.join(ranges, ["h", "fd"]).select("id", "th", F.explode("ranges").alias("r"), "s0")
         spans = found.groupBy("id", "th").agg(F.collect_set(F.struct((F.col("s0") + F.col("r.lo")).alias("lo"), (F.col("s0") + F.col("r.hi")).alias("hi"))).alias("spans"))
         return keep(written(spans, "spans"))
