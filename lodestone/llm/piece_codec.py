@@ -272,15 +272,20 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """docs with `ids` (array of int) and `decoded` (text of these ids) added."""
+    """docs with `ids` (array of int) and `decoded` (text of these ids) added, whatever docs has of these names kept as `<name>_before`.
+
+    Null texts count as empty. Texts of any length are encoded whole; repeated rows stay. An empty table gives no rows. path: a
+    model file that every executor can read.
+    """
 
     def run(batches):
         m = model(path)
         for b in batches:
-            ids = m.encode([t or "" for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([m.decode(i) for i in ids], pa.string())], [*b.schema.names, "ids", "decoded"])
+            ids = m.encode([t or "" for t in b.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([m.decode(i) for i in ids], pa.string())], schema.names)
 
     small_batches(docs.sparkSession)
-    own = docs.drop("ids", "decoded")
+    own = docs.withColumnsRenamed({c: f"{c}_before" for c in ("ids", "decoded")})
+    at = own.columns.index("text")
     schema = plus(own.schema, ids="array<int>", decoded="string")
     return own.mapInArrow(run, schema)

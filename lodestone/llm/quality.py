@@ -42,6 +42,8 @@ RIGHT = 0.05
 BUCKETS, TRAIN, PASSES = 1 << 14, 4000, 150
 #: Characters of a run without blanks above which it is cut into pieces; characters of a piece on average.
 LONG, PIECE = 64, 8
+#: Columns of the result.
+RESULTS = ("weak", "score", "keep")
 PLAIN_SIGNS = ".,;:!?'\"()-’“”¿¡"
 
 
@@ -209,8 +211,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
 def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without text, with weak (posterior of the votes), score (of the linear scorer, 0 to 1) and keep (score of 0.5 or more).
 
-    Votes and their model cover all rows; the scorer is trained on about TRAIN of them (the smallest hashes of the key). Null texts count
-    as empty; texts without a word score 0. Repeated rows and other columns stay. An empty table gives no rows.
+    Votes and their model cover all rows; the scorer is trained on about TRAIN different rows (the smallest hashes of key and text, each
+    once, so neither null nor repeated keys weigh more). Null texts count as empty; texts without a word score 0. Texts of any length are
+    read whole. Repeated rows and other columns stay; columns that are named like the results are kept as `<name>_before`. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -232,21 +236,23 @@ def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             got = [features(t) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float64())), pa.array(posterior[votes(texts)] if texts else [], pa.float64())], ["at", "x", "y"])
 
-    part = F.pmod(F.xxhash64(key, F.lit("quality")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, TRAIN / max(1, total)))
-    sample = docs.where(part).select(text).mapInArrow(train, "at array<long>, x array<double>, y double").limit(2 * TRAIN)
-    rows = sorted(((np.array(r["at"], np.int64), np.array(r["x"]), float(r["y"])) for r in sample.collect()), key=lambda r: (r[2], len(r[0]), r[0].tolist()))
+    mark = F.pmod(F.xxhash64(key, text, F.lit("quality")), F.lit(1 << 30))
+    sample = docs.select(text, mark.alias("_mark")).where(F.col("_mark") < int((1 << 30) * min(1.0, TRAIN / max(1, total))))
+    sample = sample.dropDuplicates(["_mark"]).select(text).mapInArrow(train, "at array<long>, x array<double>, y double")
+    rows = sorted(((np.array(r["at"], np.int64), np.array(r["x"]), float(r["y"])) for r in sample.collect()), key=lambda r: (r[2], len(r[0]), r[0].tolist(), r[1].tolist()))
     shared = spark.sparkContext.broadcast((posterior, fit(rows)))  # 3^labellers and BUCKETS numbers
 
     def judge(batches):
         post, w = shared.value
         for b in batches:
-            texts = [t or "" for t in b.column(text).to_pylist()]
+            texts = [t or "" for t in b.column(at_text).to_pylist()]
             score = []
             for t in texts:
                 at, x = features(t)
                 score.append(1 / (1 + math.exp(-max(-40.0, min(40.0, float(x @ w[at]) + w[-1])))) if t.strip() else 0.0)
-            cols = [c for c, n in zip(b.columns, b.schema.names, strict=True) if n != text]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(post[votes(texts)] if texts else [], pa.float64()), pa.array(score, pa.float64()), pa.array([s >= 0.5 for s in score], pa.bool_())], [*[n for n in b.schema.names if n != text], "weak", "score", "keep"])
+            yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(b.columns) if i != at_text], pa.array(post[votes(texts)] if texts else [], pa.float64()), pa.array(score, pa.float64()), pa.array([s >= 0.5 for s in score], pa.bool_())], schema.names)
 
-    own = docs.drop("weak", "score", "keep")
-    return own.mapInArrow(judge, plus(own.drop(text).schema, weak="double", score="double", keep="boolean"))
+    own = docs.withColumnsRenamed({c: f"{c}_before" for c in RESULTS if c != text})
+    at_text = own.columns.index(text)
+    schema = plus(own.drop(text).schema, weak="double", score="double", keep="boolean")
+    return own.mapInArrow(judge, schema)

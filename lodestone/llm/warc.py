@@ -6,6 +6,8 @@ exact record headers are stored separately, one row a record. Records are rebuil
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from .common import fresh_path
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORD_DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
+#: For urls with signs that a header line can't hold: the escape itself, first, then those signs; and the line that says so.
+ESCAPES = (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"))
+ESCAPED = "X-Target-URI-Encoding: percent" + CRLF
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -32,8 +37,11 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, key:
 
     The payload is the html in UTF-8, null as empty. Among records with equal payloads of at least min_revisit_bytes the
     largest key is the response and the others are revisits that refer to it; smaller payloads are all responses. Null url: no
-    target line. Null keys sort below all others. Rows that repeat the largest key of their payload are all responses.
-    A digest shared by different bytes stops the job.
+    target line; a url with CR or LF is percent-encoded in the header, which says so, and decoded when read. Null keys sort below all others. Rows
+    that repeat the largest key of their payload are all responses. Record ids hold the key, or `none`, and a hash of the url and
+    the payload, so that rows that share a key have ids of their own unless they are equal. A payload that very many records share is one
+    row; joins against it rely on the splitting of skewed partitions. A digest shared by different bytes stops the job. An empty table
+    gives an empty archive; other columns are ignored.
     """
     body = F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b"").cast("binary"))
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), body.alias("payload"))
@@ -48,9 +56,12 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, key:
         "sha256", F.when(F.col("payload") == F.col("other"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("different payloads share "), F.col("sha256"))).cast("binary")).alias("payload"), "records",
     )
     stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
-    owner = thin.groupBy("sha256").agg(F.max(F.coalesce("key", F.lit(-(2**63)))).alias("owner"))
+    # The largest key and its record's id; null keys come last.
+    record_id = F.concat(F.lit("<urn:lodestone:page:"), F.coalesce(F.col("key").cast("string"), F.lit("none")), F.lit(":"), F.hex(F.xxhash64("url", F.isnull("url"), "sha256")), F.lit(">"))
+    thin = thin.withColumn("id", record_id)
+    owner = thin.groupBy("sha256").agg(F.max(F.struct(F.col("key").isNotNull().alias("has"), "key", "id")).alias("owner"))
     recs = thin.join(owner, "sha256")
-    is_owner = F.coalesce(F.col("key"), F.lit(-(2**63))) == F.col("owner")
+    is_owner = F.col("key").eqNullSafe(F.col("owner.key"))
     revisit = (F.col("bytes") >= min_revisit_bytes) & ~is_owner
     sha1 = F.concat(F.lit("sha1:"), base32_of_hex(F.col("sha1")))
     kind = F.when(revisit, "revisit").otherwise("response")
@@ -59,11 +70,11 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, key:
         "",
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", kind),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:lodestone:page:"), F.coalesce(F.col("key").cast("string"), F.lit("none")), F.lit(">"))),
+        line("WARC-Record-ID", F.col("id")),
         line("WARC-Date", F.lit(RECORD_DATE)),
-        F.when(F.col("url").isNotNull(), line("WARC-Target-URI", F.regexp_replace("url", "[\\r\\n]", ""))),
+        F.when(F.col("url").rlike("[\r\n]"), F.concat(line("WARC-Target-URI", reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), ESCAPES, F.col("url"))), F.lit(ESCAPED))).when(F.col("url").isNotNull(), line("WARC-Target-URI", F.col("url"))),
         line("WARC-Payload-Digest", sha1),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("WARC-Refers-To", F.concat(F.lit("<urn:lodestone:page:"), F.when(F.col("owner") == -(2**63), "none").otherwise(F.col("owner").cast("string")), F.lit(">"))))),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("WARC-Refers-To", F.col("owner.id")))),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))),
         F.lit(CRLF),
@@ -76,11 +87,12 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     headers = spark.read.parquet(f"{path}/headers")
     payloads = spark.read.parquet(f"{path}/payloads").select("sha256", "payload")
     field = lambda name: F.regexp_extract("header", f"\\r\\n{name}: ([^\\r\\n]*)", 1)
-    some = lambda c: F.when(c != "", c)
-    number = lambda name: F.regexp_extract("header", f"\\r\\n{name}: <urn:lodestone:page:(-?[0-9]+)>", 1).try_cast("long")
+    plain = reduce(lambda c, x: F.replace(c, F.lit(x[1]), F.lit(x[0])), ESCAPES[::-1], field("WARC-Target-URI"))
+    target = F.when(F.col("header").contains(ESCAPED), plain).when(F.col("header").contains("\r\nWARC-Target-URI: "), field("WARC-Target-URI"))
+    number = lambda name: F.regexp_extract("header", f"\\r\\n{name}: <urn:lodestone:page:(-?[0-9]+):", 1).try_cast("long")
     return headers.join(payloads, "sha256").select(
         "sha256", "header", "payload",
-        number("WARC-Record-ID").alias("key"), some(field("WARC-Target-URI")).alias("url"), field("WARC-Type").alias("record_type"),
+        number("WARC-Record-ID").alias("key"), target.alias("url"), field("WARC-Type").alias("record_type"),
         F.regexp_extract("header", "\\r\\nWARC-Payload-Digest: sha1:([^\\r\\n]*)", 1).alias("payload_digest"), number("WARC-Refers-To").alias("refers_to"),
     )
 

@@ -834,6 +834,98 @@ def test_quality_reads_whole_runs():
     assert score(run) > 0 > score(run[:64] + tail)
 
 
+def plain_measures(text):
+    """The labellers' measures of a text, written out."""
+    nan = math.nan
+    solid = [c for c in text if not c.isspace()]
+    letters = [c for c in solid if c.isalpha()]
+    signs = [c for c in solid if not c.isalnum() and c not in quality.PLAIN_SIGNS]
+    out = [len(letters) / len(solid) if solid else nan, sum(c.isupper() for c in letters) / len(letters) if len(letters) >= 20 else nan, len(signs) / len(solid) if solid else nan]
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    n = len(words)
+    repeated = 1 - len(set(lines)) / len(lines) if len(lines) >= 4 else nan
+    if n < 20:
+        return [*out, nan, repeated, *[nan] * 5]
+    bare = [w for w in words if len(w) < 4 and not any(c.isalnum() for c in w)]
+    return [
+        *out, len(set(words)) / math.sqrt(n), repeated, (sum(len(w) <= 3 for w in words) - len(bare)) / n, sum(map(len, words)) / n,
+        (text.count("!! ") + text.count("?? ")) / n, sum(a == b for a, b in zip(words, words[1:])) / n, len(bare) / n,
+    ]
+
+
+def test_votes_against_plain_python():
+    r = random.Random(77)
+    parts = ["word", "WORD", "a", "!!", "??", "|", "%%", "12", "é", "日本", "\n", "  ", "\t", ".", "same same", "xx!! "]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randint(0, 80))) for _ in range(300)] + ["", " ", "\n\n", "a" * 100]
+    got = quality.measures(texts)
+    want = np.array([plain_measures(t) for t in texts])
+    assert np.allclose(got, want, equal_nan=True)
+    for t, v in zip(texts, quality.votes(texts).tolist(), strict=True):
+        for k, (x, (low, good, upto, high)) in enumerate(zip(plain_measures(t), quality.LABELLERS.values(), strict=True)):
+            said = quality.BAD if x < low or x > high else quality.GOOD if good <= x <= upto else quality.NONE
+            assert v // 3**k % 3 == said
+
+
+def test_features_against_plain_python():
+    """Square roots of counts of words and shapes, scaled to length one."""
+    text = "The cat saw THE cat 12 times; the end the end"
+    words = text.split()
+
+    def shape(w):
+        kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w]
+        return "".join(k for i, k in enumerate(kinds) if not i or kinds[i - 1] != k)
+
+    counts = Counter()
+    for w in words:
+        counts[xxhash.xxh32_intdigest(w) % quality.BUCKETS] += 1
+        counts[xxhash.xxh32_intdigest("\0" + shape(w)) % quality.BUCKETS] += 1
+    counts[xxhash.xxh32_intdigest("\x02%d" % 0) % quality.BUCKETS] += len(words)
+    counts[xxhash.xxh32_intdigest("\x01%d" % int((1 - len(set(words)) / len(words)) * 10)) % quality.BUCKETS] += len(words)
+    norm = math.sqrt(sum(counts.values()))
+    got = dict(zip(*(x.tolist() for x in quality.features(text)), strict=True))
+    assert got.keys() == counts.keys() and all(abs(got[k] - math.sqrt(n) / norm) < 1e-12 for k, n in counts.items())
+
+
+def test_label_model_against_plain_python():
+    """One document at a time: the same posteriors as over counts of patterns."""
+    r = np.random.default_rng(9)
+    k = len(quality.LABELLERS)
+    vote = np.where(r.random((200, k)) < 0.5, 2, (r.random((200, k)) < 0.7).astype(int))
+    codes = (vote @ 3 ** np.arange(k)).tolist()
+    got, _, _ = quality.label_model(dict(Counter(codes)), rounds=5)
+    n = len(vote)
+    post = []
+    for v in vote.tolist():
+        g, b = v.count(1), v.count(0)
+        p = (g + 1) / (g + b + 2)
+        post.append(min(p, 0.3) if b >= 2 else p)
+    for _ in range(5):
+        table = {}
+        for j in range(k):
+            for c in (0, 1):
+                w = [(p if c else 1 - p) for p in post]
+                own = {v: sum(x for x, row in zip(w, vote.tolist(), strict=True) if row[j] == v) for v in (0, 1)}
+                own[c] += quality.RIGHT * n + 2
+                own[1 - c] += 0.1 * quality.RIGHT * n + 0.2
+                for v in (0, 1):
+                    table[j, c, v] = own[v] / (own[0] + own[1])
+        prior = min(0.99, max(0.01, sum(post) / n))
+        post = []
+        for row in vote.tolist():
+            odds = math.log(prior / (1 - prior)) + sum(math.log(table[j, 1, v]) - math.log(table[j, 0, v]) for j, v in enumerate(row) if v != 2)
+            post.append(1 / (1 + math.exp(-odds)))
+    assert np.allclose(got[codes], post)
+
+
+def test_quality_sample_and_names(spark):
+    """Repeated and null keys: the same scores however rows are dealt; columns named like the results stay."""
+    texts = [(None, ". ".join(prose(i * 7 + j, 8) for j in range(8)) + ".", i) for i in range(60)] + [(7, " ".join(w.upper() + "!!" for w in prose(1, 60).split()), 0)] * 60
+    df = spark.createDataFrame(texts, "doc_id long, text string, score int")
+    out = quality.score_quality(df)
+    assert out.columns == ["doc_id", "score_before", "weak", "score", "keep"]
+    assert rows(out, *out.columns) == rows(quality.score_quality(df.repartition(5)), *out.columns)
+
+
 def test_label_model_recovers_accuracies():
     r = np.random.default_rng(4)
     k, n = len(quality.LABELLERS), 20_000
@@ -867,8 +959,14 @@ def test_archive(spark, tmp_path):
     assert spark.read.parquet(f"{path}/payloads").count() == len({h or "" for _, _, h in pages})
     records = {r["key"]: bytes(r["record"]) for r in warc.record_bytes(warc.read_archive(spark, path)).collect()}
     assert records[7].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and records[7].endswith(b"\r\n\r\n<p>x</p>\r\n\r\n")
-    assert b"WARC-Refers-To: <urn:lodestone:page:7>" in records[1] and records[1].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
+    assert b"WARC-Refers-To: <urn:lodestone:page:7:" in records[1] and records[1].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
     assert warc.archive_round_trip(df.limit(0)).count() == 0
+    read = warc.read_archive(spark, path)
+    assert Counter((r["key"], r["url"], bytes(r["payload"])) for r in read.collect()) == Counter((i, u, (h or "").encode()) for i, u, h in pages)
+    ids = [r["i"] for r in read.select(F.regexp_extract("header", "WARC-Record-ID: ([^\r\n]*)", 1).alias("i")).collect()]
+    assert len(set(ids)) == len(set(pages))  # only equal rows share one
+    refers = {r["i"] for r in read.where("record_type = 'revisit'").select(F.regexp_extract("header", "WARC-Refers-To: ([^\r\n]*)", 1).alias("i")).collect()}
+    assert refers <= {r["i"] for r in read.where("record_type = 'response'").select(F.regexp_extract("header", "WARC-Record-ID: ([^\r\n]*)", 1).alias("i")).collect()}
 
 
 def test_archive_equals_sql(spark):
