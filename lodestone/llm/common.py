@@ -14,13 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_folder
+from ..session import shared_folder, spread
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 #: Tables that are still there, of all runs of this process; what is left of them goes when the driver ends.
@@ -38,10 +38,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._table = path
+    out._table = path  # for temporary() and replaced()
     return out
 
 
+def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    """new, where it no longer needs the table old was read from; that goes, if it is one of ours."""
+    if getattr(old, "_table", None) in _TABLES:
+        remove(old._table)
+    return new
+
+
 def remove(path: str) -> None:
     """Delete a table that is no longer read."""
     spark = _TABLES.pop(path)

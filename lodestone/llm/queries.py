@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import ann, langid, mixing, piece_codec, quality, simhash, suffix_dedup, syncmer, url_filter, warc
 from .common import documents
 
@@ -37,7 +38,7 @@ def op5_syncmers(spark, sf_dir):
 
 
 def op6_url_filter(spark, sf_dir):
-    return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return url_filter.filter_urls(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
 def op7_piece_codec(spark, sf_dir):
@@ -54,7 +55,7 @@ def op9_quality(spark, sf_dir):
 
 
 def op10_warc(spark, sf_dir):
-    return warc.archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.archive_round_trip(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
 def queries():

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from lodestone.llm import simhash
+from lodestone.llm import common, simhash
 
 from test_llm_operators import BASE, prose
 
@@ -41,10 +41,39 @@ def test_run_and_empty(spark, tmp_path):
     df = spark.createDataFrame([(1, prose(1, 50), "en", "a", 3)], "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(f"{tmp_path}/a/documents.parquet")
     df.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
-    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 1
+    before = set(common._TABLES)
+    out = corpus_pipeline.run(spark, f"{tmp_path}/a")
+    assert out.count() == 1 and set(common._TABLES) - before == {out._table}  # nothing else is left in the shared folder
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
 
 
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, ids string, decoded string, fp string, label string, rep string, key string, id string, d string, n string, total string, _copies string, score string, lang_pred string, kept string, _text string, _id string"
+
+
+def test_stages_on_odd_tables(spark):
+    """Each stage on nulls in any column, empty and very long texts, repeated rows, ties and columns whose names clash."""
+    long = prose(5, 30_000)
+    rows = [(1, prose(1, 80), "en", "a"), (1, prose(1, 80), "en", "a"), (None, prose(2, 80), None, None), (None, prose(2, 80), None, None), (2, None, "en", "a"), (3, "", None, "b"), (4, long, "en", "b"), (5, prose(3, 90), None, None), (6, prose(4, 70), "de", None)]
+    df = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), *["x"] * 16) for r in rows], CLASHING).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, "")
+        got = out.collect()
+        assert stage(spark, df.limit(0), "").count() == 0
+        if name == "encode":
+            assert out.columns == [*(f"{c}_before" if c in ("ids", "decoded") else c for c in df.columns), "ids", "decoded"] and len(got) == len(rows)
+            continue
+        assert out.columns == df.columns and all(r[c] == "x" for r in got for c in df.columns[5:])
+        kept = sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in got)
+        if name == "language":
+            assert (2, 0) not in kept and (3, 0) not in kept and (4, len(long)) in kept
+        elif name == "near_duplicates":
+            assert [i for i, _ in kept] == [0, 0, 1, 2, 4, 5, 6]
+        elif name == "repeated_passages":
+            assert len(got) == len(rows) and {r["text"] for r in got if r["doc_id"] == 1} == {""} and {r["text"] for r in got if r["doc_id"] == 4} == {long}
+        elif name == "mix":
+            assert {i for i, _ in kept} <= {0, 1, 4, 5, 6} and all(n for _, n in kept)
+
+
 def test_expected_bits():
     assert abs(simhash.expected_bits(1.0, 64)) < 1e-6 and 9 < simhash.expected_bits(0.8, 64) < 10.5
     assert np.isclose(simhash.expected_bits(0.0, 64), 32)
