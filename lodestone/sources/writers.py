@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,8 +21,8 @@ def snapshot(df: DataFrame, path: str, run: str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/run_id={run}")
 
 
-def transcript_file(df: DataFrame) -> DataFrame:
-    """value: a transcript file's text for each record."""
+def transcript_file(df: DataFrame, name: Column | None = None) -> DataFrame:
+    """value: a transcript file's text for each record; with a name, its file too."""
     rule = "=" * 80
     text = F.concat(F.lit("Video: "), "title", F.lit("\nVideo ID: "), "video_id", F.lit("\nURL: "), "url", F.lit(f"\n{rule}\n\n"), "transcript")
-    return df.select(text.alias("value"))
+    return df.select(text.alias("value"), *([] if name is None else [name.alias("file")]))

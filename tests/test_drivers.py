@@ -53,7 +53,7 @@ def test_transcribing_and_alerts(spark):
     assert drivers.deliver(alert, [broken, sent.append]) and sent == ["m"]
     assert not drivers.deliver(alert.limit(0), [sent.append])
     drivers.report_failure("clean", ValueError("x"), [broken, sent.append])
-    assert sent[-1] == "Pipeline error in clean: x"
+    assert sent[-1] == "Pipeline Error in step 'clean':\nx"
 
 
 @pytest.mark.parametrize("step", ["a"])
@@ -61,3 +61,165 @@ def test_observed(spark, step):
     df, seen = drivers.observed(spark.range(7), step)
     df.collect()
     assert seen.get["rows"] == 7
+
+
+FEED = """<feed>{}</feed>"""
+ENTRY = "<entry><title>{}</title><link>{}</link><summary>s</summary><tags><term>{}</term></tags></entry>"
+
+
+def test_fetching_posts(spark, tmp_path):
+    entries = [("Remote work", "http://b/1", "x"), ("Plain", "http://b/2", "x"), ("Short", "http://b/3", "DevOps"), ("Down", "http://b/4", "culture")]
+    (tmp_path / "feed.xml").write_text(FEED.format("".join(ENTRY.format(*e) for e in entries)))
+
+    def opener(url):
+        if url.endswith("4"):
+            raise OSError("down")
+        return "<article>" + ("few words" if url.endswith("3") else "A post of some words. " * 20) + "</article>"
+
+    out = drivers.fetch_posts(spark, f"{tmp_path}/feed.xml", f"{tmp_path}/posts", opener, most=4, rate=0)
+    assert (out["total"], out["successful"], out["failed"], out["relevant"]) == (4, 2, 2, 1)
+    assert {r["url"] for r in out["failed_posts"].collect()} == {"http://b/3", "http://b/4"}
+    out = drivers.fetch_posts(spark, f"{tmp_path}/feed.xml", f"{tmp_path}/posts2", opener, most=1, rate=0)
+    assert out["total"] == 1 and out["relevant"] == 1
+
+
+def sequential_crawl(base, sections, site, most):
+    """First in first out, one page at a time."""
+    seen, failed, order = set(), [], []
+    for path in sections:
+        queue, done = [base + path], 0
+        while queue and done < most:
+            url = queue.pop(0)
+            if url in seen:
+                continue
+            if url not in site:
+                failed.append(url)
+                continue
+            seen.add(url)
+            order.append(url)
+            done += 1
+            for x in site[url]:
+                if x.split("/")[3] == url.split("/")[3] and x not in queue and x not in seen:
+                    queue.append(x)
+    return order, failed
+
+
+def test_crawling_sections(spark, tmp_path):
+    base = "http://h/"
+    site = {
+        "http://h/a/0": ["http://h/a/1", "http://h/a/down", "http://h/b/0", "http://h/a/2"],
+        "http://h/a/1": ["http://h/a/3", "http://h/a/down", "http://h/a/0"],
+        "http://h/a/2": ["http://h/a/4", "http://h/a/1"],
+        "http://h/a/3": ["http://h/a/5", "http://h/a/down"],
+        "http://h/a/4": [], "http://h/a/5": [], "http://h/b/0": ["http://h/b/1"], "http://h/b/1": ["http://h/b/0"],
+    }
+
+    def opener(url):
+        return "<body><main>text</main>" + "".join(f'<a href="{x}">l</a>' for x in site[url])
+
+    for n, most in enumerate((3, 5, 50)):
+        out = drivers.crawl_sections(spark, base, ["a/0", "b/0", "a/2"], f"{tmp_path}/{n}", opener, most, rate=0)
+        order, failed = sequential_crawl(base, ["a/0", "b/0", "a/2"], site, most)
+        pages = spark.read.parquet(f"{tmp_path}/{n}")
+        assert {r["url"] for r in pages.where("html is not null").collect()} == set(order) and out["pages"] == len(order)
+        assert sorted(out["failed_urls"]) == sorted(failed)
+        assert {r["section"] for r in pages.where("content = 'text'").collect()} == {"a", "b"}
+
+
+def test_transcripts_and_videos(spark, tmp_path):
+    src = tmp_path / "t"
+    src.mkdir()
+    seg = [{"id": 0, "start": 0.0, "end": 5.0, "text": "hello there"}, {"id": 1, "start": 5.0, "end": 9.0, "text": "friends"}]
+    (src / "1.json").write_text(json.dumps({"title": "a", "video_id": "v1", "url": "u", "transcript": "x", "segments": seg}))
+    (src / "2.json").write_text(json.dumps({"title": "b", "video_id": "v2", "url": "u", "transcript": "x", "segments": []}))
+    (src / "3.json").write_text(json.dumps({"title": "c", "video_id": "v3"}))
+    (src / "4.json").write_text("not json")
+    assert drivers.clean_transcripts(spark, str(src), f"{tmp_path}/clean") == {"total": 4, "successful": 2, "failed": 2}
+    got = {r["video_id"]: (r["segment_count"], r["full_text"]) for r in spark.read.parquet(f"{tmp_path}/clean").collect()}
+    assert got == {"v1": (1, "hello there friends"), "v2": (0, "")}
+    listing = spark.createDataFrame([(1, "v1", "First: one"), (2, "v2", "[Private video]"), (3, "v3", "Third"), (4, "v4", None), (5, None, "x")], "position int, video_id string, title string")
+    hear = lambda: lambda path: ("heard " + path, [{"id": 0, "start": 0.0, "end": 1.0, "text": "heard"}])
+    out = drivers.process_videos(spark, listing, f"{tmp_path}/v", lambda v: None if v == "v3" else f"/{v}", hear)
+    assert {k: out[k] for k in ("successful", "failed", "skipped")} == {"successful": 2, "failed": 1, "skipped": 2}
+    assert [r["title"] for r in out["failed_videos"].collect()] == ["Third"]
+    assert {p.name for p in (tmp_path / "v" / "texts").iterdir() if p.is_dir()} == {"file=001_First one.txt", "file=004_Unknown Title.txt"}
+    again = drivers.process_videos(spark, listing, f"{tmp_path}/v", lambda v: f"/{v}", hear)
+    assert {k: again[k] for k in ("successful", "failed", "skipped")} == {"successful": 3, "failed": 0, "skipped": 2}
+    assert spark.read.json(f"{tmp_path}/v/records").count() == 3
+
+
+def test_validating_runs(spark, tmp_path):
+    def record(n, title="t"):
+        seg = [{"id": i, "start": 5.0 * i, "end": 5.0 * i + 5, "text": "two words"} for i in range(n)]
+        return json.dumps({"title": title, "video_id": "v", "segments": seg})
+
+    frame = lambda *r: spark.createDataFrame([(str(i), x) for i, x in enumerate(r)], "video_id string, record string")
+    bad = json.dumps({"title": "t", "segments": [{"id": 0, "start": 5.0, "end": 0.0, "text": "x"}]})
+    first = drivers.validate_records(spark, frame(record(4), bad), f"{tmp_path}/h", "r1")
+    assert {r["video_id"]: r["errors"] for r in first["errors"].collect()} == {"0": [], "1": ["Missing required field: video_id", "Segment 0 has invalid time range"]}
+    assert first["statistics"].first()["total_segments"] == 5 and first["anomalies"].count() == 0
+    second = drivers.validate_records(spark, frame(record(2)), f"{tmp_path}/h", "r2")
+    assert {r["message"] for r in second["anomalies"].collect()} >= {"Anomaly detected in total_segments: Changed by 60.0%"}
+
+
+def test_ordered_run(spark, tmp_path):
+    root, sent, slept, tries = str(tmp_path / "root"), [], [], []
+
+    def ingest():
+        for i in range(4):
+            text = "A sentence of some words. " * (300 if i else 1)
+            (tmp_path / "root" / "raw" / f"handbook_{i}.json").write_text(json.dumps({"content": text, "metadata": {"url": f"u{i}", "title": "t", "section": "s"}, "html": ""}))
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("down")
+        return "ok"
+
+    groups = drivers.corpus_plan(spark, root, "r1", {"pages": ingest, "posts": flaky}, senders=[sent.append])
+    out = drivers.run_plan(groups, retries=2, delay=7, senders=[sent.append], sleep=slept.append)
+    assert out["posts"] == "ok" and slept == [7, 7] and sent == ["Pipeline Error in step 'posts':\ndown"] * 2
+    assert out["clean"]["successful"] == 3 and out["validate"] == 3 and out["detect_anomalies"] == 0
+    assert out["statistics"]["cleaned"] == 3 and out["statistics"]["chunked"] == spark.read.parquet(f"{root}/curated/chunks/run_id=r1").count()
+    ran = []
+    with pytest.raises(drivers.StepFailed, match="gate"):
+        drivers.run_plan([{"gate": lambda: 1 / 0, "beside": lambda: ran.append("beside")}, {"later": lambda: ran.append("later")}], retries=1, sleep=slept.append)
+    assert ran == ["beside"]
+    import time
+
+    with pytest.raises(drivers.StepFailed, match="longer"):
+        drivers.run_plan([{"slow": lambda: time.sleep(1)}], timeout=0.1)
+
+
+def test_senders_and_logging(tmp_path):
+    posted, mails = [], []
+
+    class Server:
+        def __init__(self, host):
+            self.host = host
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            return False
+
+        def login(self, user, password):
+            mails.append((self.host, user, password))
+
+        def send_message(self, mail):
+            mails.append((mail["Subject"], mail["To"], mail.get_content().strip()))
+
+    drivers.webhook_sender("http://hook", lambda u, b: posted.append((u, json.loads(b))) or 200)("hi")
+    assert posted == [("http://hook", {"text": "hi"})]
+    with pytest.raises(OSError, match="500"):
+        drivers.webhook_sender("http://hook", lambda u, b: 500)("hi")
+    drivers.mail_sender({"smtp_server": "s", "username": "n", "password": "p", "from": "a@b", "to": "c@d"}, "Subject", Server)("hi")
+    assert mails == [("s", "n", "p"), ("Subject", "c@d", "hi")]
+    logger = drivers.set_up_logging(str(tmp_path / "logs"), "lodestone-test")
+    drivers.set_up_logging(str(tmp_path / "logs"), "lodestone-test")
+    logger.info("a line")
+    for h in logger.handlers:
+        h.flush()
+    files = list((tmp_path / "logs").iterdir())
+    assert len(logger.handlers) == 2 and len(files) == 1 and " - INFO - a line" in files[0].read_text()
