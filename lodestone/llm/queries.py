@@ -74,4 +74,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_nearest": ann.nearest_sql(), "op6_url_filter": url_filter.filter_sql(), "op10_warc": warc.archive_sql()}
+    return {"op2_nearest": ann.nearest_sql(), "op4_suffix_dedup": suffix_dedup.repeat_sql(), "op6_url_filter": url_filter.filter_sql(), "op10_warc": warc.archive_sql()}

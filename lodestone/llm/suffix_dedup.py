@@ -111,7 +111,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = key << np.uint64(8) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # places that tie are sorted further below
     k = key[order]
     last = np.flatnonzero(np.r_[k[1:] != k[:-1], True])
     rank = np.empty(n + 1, np.int64)
@@ -123,7 +123,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     while len(ties):
         at = order[ties]
         group, further = rank[at], rank[np.minimum(at + h, n)]
-        o = np.argsort(group * (n + 2) + further + 1, kind="stable")
+        o = np.argsort(group * (n + 2) + further + 1)
         at, group, further = at[o], group[o], further[o]
         order[ties] = at
         end = np.r_[(group[1:] != group[:-1]) | (further[1:] != further[:-1]), True]
@@ -430,3 +430,16 @@ def deduplicated_documents(docs: DataFrame) -> DataFrame:
     return out.mapInArrow(decode, out.drop("kept").schema).select(*docs.columns).toDF(*names)
 
 
+
+
+def repeat_sql(span: int = SPAN) -> str:
+    """repeat_report over a table `documents`, as DuckDB SQL: every window of every text is hashed and counted."""
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, i, md5_number(substr(x, CAST(2 * i + 1 AS bigint), {2 * span})) AS h FROM (SELECT r, x, unnest(generate_series(0, length(x) // 2 - {span})) AS i FROM d)),
+s AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, CASE WHEN i <= {span} + lag(i) OVER (PARTITION BY r ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM s)),
+c AS (SELECT r, min(i) AS lo, max(i) + {span} AS hi FROM g GROUP BY r, run),
+e AS (SELECT r, lo, hi FROM c UNION ALL SELECT r, length(x) // 2, length(x) // 2 FROM d),
+k AS (SELECT e.r, string_agg(substr(d.x, 2 * a + 1, 2 * (lo - a)), '' ORDER BY lo, hi) AS kept FROM (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo, hi), 0) AS a FROM e) e JOIN d USING (r) GROUP BY e.r)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(removed, 0)::bigint AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN k USING (r) LEFT JOIN (SELECT r, sum(hi - lo) AS removed, count(*) AS spans FROM c GROUP BY r) USING (r)"""
