@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
@@ -26,7 +27,7 @@ def duck():
 def plain(x):
     if hasattr(x, "tolist"):
         return plain(x.tolist())
-    if x is None or x != x:
+    if x is None or x is pd.NA or x != x:
         return "null"
     if isinstance(x, float):
         return f"{x:.9g}"
