@@ -39,9 +39,9 @@ def log_step(step: str, status: str, **figures: object) -> None:
     log.info("%s: %s %s", step, status, " ".join(f"{k}={v}" for k, v in figures.items()))
 
 
-def clean_pages(spark: SparkSession, source: str, target: str) -> dict:
+def clean_pages(spark: SparkSession, source: str, target: str, glob: str = "handbook_*.json") -> dict:
     """Landed pages, cleaned; valid ones are written to target. Returns the summary."""
-    pages = readers.read_pages(spark, source).select(F.col("metadata.url").alias("url"), "metadata", "content")
+    pages = readers.read_pages(spark, source, glob).select(F.col("metadata.url").alias("url"), "metadata", "content")
     folder = f"{shared_folder(spark)}/cleaned-{uuid4().hex}"
     cleaned, seen = observed(reports.cleaned_documents(pages, "url", "content", ("metadata",)), "clean")
     cleaned.write.parquet(folder)  # cleaned once, read by the records, the summary and the list of failures
@@ -162,9 +162,9 @@ def crawl_sections(spark: SparkSession, base: str, sections: list[str], target:
     return {"pages": len(seen), "failed": len(failed), "failed_urls": failed, "by_section": by_section}
 
 
-def clean_transcripts(spark: SparkSession, source: str, target: str) -> dict:
+def clean_transcripts(spark: SparkSession, source: str, target: str, glob: str = "*.json") -> dict:
     """Landed transcripts, cleaned, merged and written to target. Returns total, successful and failed (unreadable, or without segments)."""
-    records = readers.read_transcripts(spark, source)
+    records = readers.read_transcripts(spark, source, glob)
     good = F.col("_corrupt_record").isNull() & F.col("segments").isNotNull()
     folder = f"{shared_folder(spark)}/transcripts-{uuid4().hex}"
     records.withColumn("_good", good).drop("_corrupt_record").write.parquet(folder)

@@ -21,11 +21,17 @@ def open_url(url: str, timeout: float = 30.0) -> str:
         return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
 
 
+class Gone(OSError):
+    """What an opener raises for a page that no further attempt will bring."""
+
+
 def with_retry(opener: Opener, url: str, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None]:
-    """(text, None), or (None, error) after all attempts; before attempt n + 1 it waits 2^n seconds."""
+    """(text, None), or (None, error) after all attempts; before attempt n + 1 it waits 2^n seconds. After Gone there is none."""
     for attempt in range(attempts):
         try:
             return opener(url), None
+        except Gone as e:
+            return None, str(e)
         except Exception as e:  # noqa: BLE001  any failure of a page is its own
             error = str(e) or type(e).__name__
             if attempt + 1 < attempts:

@@ -14,27 +14,27 @@ def read_records(spark: SparkSession, path: str, schema: str, glob: str = "*.jso
     return spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", glob).json(path)
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return read_records(spark, path, schemas.PAGE, "handbook_*.json")
+def read_pages(spark: SparkSession, path: str, glob: str = "handbook_*.json") -> DataFrame:
+    return read_records(spark, path, schemas.PAGE, glob)
 
 
-def read_posts(spark: SparkSession, path: str) -> DataFrame:
-    return read_records(spark, path, schemas.POST, "blog_*.json")
+def read_posts(spark: SparkSession, path: str, glob: str = "blog_*.json") -> DataFrame:
+    return read_records(spark, path, schemas.POST, glob)
 
 
-def read_cleaned(spark: SparkSession, path: str) -> DataFrame:
+def read_cleaned(spark: SparkSession, path: str, glob: str = "cleaned_*.json") -> DataFrame:
     """Cleaned documents; records without content but with a full_text (transcripts) use that."""
     schema = f"{schemas.CLEANED}, full_text string, source string"
-    return read_records(spark, path, schema, "cleaned_*.json").withColumn("content", F.coalesce("content", "full_text"))
+    return read_records(spark, path, schema, glob).withColumn("content", F.coalesce("content", "full_text"))
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    return read_records(spark, path, schemas.TRANSCRIPT)
+def read_transcripts(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    return read_records(spark, path, schemas.TRANSCRIPT, glob)
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str, glob: str = "chunks_*.json") -> DataFrame:
     """Chunk files, arrays of chunks or single ones, with the file's name."""
-    return read_records(spark, path, schemas.CHUNK, "chunks_*.json").withColumn("file", F.col("_metadata.file_name"))
+    return read_records(spark, path, schemas.CHUNK, glob).withColumn("file", F.col("_metadata.file_name"))
 
 
 def read_feed(spark: SparkSession, path: str, row: str = "entry") -> DataFrame:

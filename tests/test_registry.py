@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
+from lodestone.plans import landed  # noqa: F401  adds its queries
 from lodestone.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
