@@ -390,10 +390,11 @@ def term_frequency(spark, sf_dir):
     return bias.term_frequency(table(spark, sf_dir, "documents"), F.col("text"), ["source"])
 
 
-@query(_sql_terms("SELECT conv_id, text FROM conversations", "conv_id"))
+@query(_sql_terms("SELECT conv_id, text FROM conversations WHERE conv_id % 3 <> 0 UNION ALL SELECT DISTINCT conv_id, 'He said she and the guys, a man' FROM conversations WHERE conv_id % 3 = 0", "conv_id"))
 def transcript_bias(spark, sf_dir):
+    """A third of the records have a whole text, which counts instead of their segments."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("segments"))
-    whole = bias.transcript_text(F.lit(None).cast("string"), F.col("segments"))
+    whole = bias.transcript_text(F.when(F.col("conv_id") % 3 == 0, F.lit("He said she and the guys, a man")), F.col("segments"))
     return bias.term_frequency(c, whole, ["conv_id"])
 
 
