@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,8 +67,18 @@ def run_anomalies(runs: DataFrame, order: str, thresholds: dict[str, float] | No
     return rows.withColumn("change", F.abs(F.col("now") - F.col("was")) / F.col("was")).where("change > most").select(order, "metric", "change")
 
 
+def percent(share: Column) -> Column:
+    """A share as a percentage of one decimal, exact halves to the even digit (the JVM's formats round decimal digits, and halves up)."""
+
+    @F.pandas_udf("string")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else f"{x * 100:.1f}%")
+
+    return f(share)
+
+
 def anomaly_message(metric: Column, change: Column) -> Column:
-    return F.concat(F.lit("Anomaly detected in "), metric, F.lit(": Changed by "), F.format_string("%.1f%%", change * 100))
+    return F.concat(F.lit("Anomaly detected in "), metric, F.lit(": Changed by "), percent(change))
 
 
 def empty_chunks(chunks: DataFrame, name: str, index: str, content: str) -> DataFrame:

@@ -310,6 +310,13 @@ def test_no_class_is_sorted(spark):
     assert got == want
 
 
+def test_percentages(spark):
+    """Exact halves go to the even digit, and what only looks like one to its nearer side."""
+    shares = [0.8125, 0.0025, 0.8175, 0.00015, 0.0035, 1.0, 12.34567, 0.6425]
+    df = spark.createDataFrame([(x,) for x in shares], "c double")
+    assert [r["m"] for r in df.select(validation.percent(F.col("c")).alias("m")).collect()] == [f"{x * 100:.1f}%" for x in shares]
+
+
 def test_anomalies_over_ranges(spark):
     """The same anomalies whether runs lie in one range or in many."""
     r = np.random.default_rng(1)
