@@ -204,3 +204,19 @@ def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     else:
         out = with_language(docs, profiles).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
     return out.select(*docs.columns).toDF(*names)
+
+
+def language_sql() -> str:
+    """identify_languages over a table `documents`, as DuckDB SQL: the fold's CRC-32 bit by bit, n-grams, ranks and distances."""
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, lang, coalesce(xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 4 = 2, false) AS held_out FROM documents),
+w AS (SELECT r, list_concat(list_concat([0], list_transform(string_split(w, ''), lambda c: unicode(CASE WHEN length(lower(c)) = 1 THEN lower(c) ELSE c END))), [0]) AS p FROM (SELECT r, unnest(regexp_extract_all(text, '\\p{{L}}+')) AS w FROM d)),
+i AS (SELECT r, p, unnest(generate_series(1, len(p) - 1)) AS k FROM w),
+g AS (SELECT r, {NONE}::bigint * 4398046511104 + {NONE}::bigint * 2097152 + p[k + 1] AS code FROM i WHERE k < len(p) - 1 UNION ALL SELECT r, {NONE}::bigint * 4398046511104 + p[k]::bigint * 2097152 + p[k + 1] FROM i
+  UNION ALL SELECT r, p[k]::bigint * 4398046511104 + p[k + 1]::bigint * 2097152 + p[k + 2] FROM i WHERE k < len(p) - 1),
+n AS (SELECT r, code, count(*) AS n FROM g GROUP BY r, code),
+profile AS (SELECT lang, code, k FROM (SELECT lang, code, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, code) - 1 AS k FROM n JOIN d USING (r) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, code) WHERE k < {TOP}),
+own AS (SELECT r, code, k FROM (SELECT r, code, row_number() OVER (PARTITION BY r ORDER BY n DESC, code) - 1 AS k FROM n) WHERE k < {TOP}),
+apart AS (SELECT o.r, l.lang, sum(CASE WHEN p.k IS NULL THEN {TOP} ELSE abs(p.k - o.k) END) AS apart, count(*) AS grams FROM own o CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile p ON p.lang = l.lang AND p.code = o.code GROUP BY o.r, l.lang),
+best AS (SELECT r, arg_min(lang, (apart, lang)) AS lang, min(apart) AS apart, max(grams) AS grams FROM apart GROUP BY r)
+SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, CASE WHEN best.lang IS NULL THEN 0.0::double ELSE 1.0::double - apart::double / ({TOP} * grams) END AS score FROM d LEFT JOIN best USING (r)"""

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sql_hash import xxh64
+
 LONG, GRAM, K, S = 32, 8, 4, 2
 SIGN = "[^\\x20\\x09-\\x0D]"
 #: A whole run of LONG characters at most, or one character of a longer one; group 1 is the token.
@@ -120,3 +122,33 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", as_string(F.col("sketch"), F.col("sketch_at")).alias("fingerprint"), as_string(F.col("edited_sketch"), F.col("edited_sketch_at")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
     )
+
+
+def fingerprint_sql() -> str:
+    """fingerprint_edits over a table `documents`, as DuckDB SQL."""
+    signed = lambda h: f"CASE WHEN {h} >= 9223372036854775808::uhugeint THEN ({h}::hugeint - 18446744073709551616::hugeint)::bigint ELSE {h}::bigint END"
+    bytes_of = lambda h: " || ".join(f"substr(lpad(hex({h}::ubigint), 16, '0'), {i}, 2)" for i in range(15, 0, -2))
+    tokens = xxh64("SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT unnest(ws) AS w FROM tok)", "x", "42::uhugeint", "h")
+    pairs = xxh64("SELECT a, b, hex(encode(b)) AS x, w.h AS seed FROM (SELECT DISTINCT a, b FROM p) JOIN w ON w.w = a", "x", "seed", "h")
+    first = xxh64(f"SELECT a, b, {bytes_of('a')} AS x, {bytes_of('b')} AS y FROM (SELECT DISTINCT a, b FROM chosen)", "x", "42::uhugeint", "g")
+    both = xxh64("SELECT * FROM first_hash", "y", "g", "h")
+    whole = xxh64("SELECT r, k, hex(encode(array_to_string(ws, ' '))) AS x FROM tok WHERE len(ws) > 0 AND NOT EXISTS (SELECT 1 FROM chosen c WHERE c.r = tok.r AND c.k = tok.k)", "x", "42::uhugeint", "h")
+    share = lambda a, b: f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::double ELSE len(list_intersect({a}, {b}))::double / len(list_distinct(list_concat({a}, {b}))) END"
+    return f"""WITH base AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS r, doc_id, coalesce(text, '') AS text FROM documents),
+nx AS (SELECT *, length(text) AS n, coalesce(lead(text) OVER (ORDER BY r), first_value(text) OVER (ORDER BY r)) AS nt, CASE WHEN r = count(*) OVER () THEN 1 ELSE r + 1 END AS nr FROM base),
+ed AS (SELECT *, substr(text, 1, n - n // 2) || substr(nt, 1, n // 2) AS edited FROM nx),
+tok AS (SELECT r, k, flatten(list_transform(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'), lambda w: CASE WHEN length(w) <= {LONG} THEN [w] ELSE list_transform(generate_series(1, length(w)), lambda i: substr(w, i, {GRAM})) END)) AS ws
+  FROM (SELECT r, 0 AS k, text AS t FROM ed UNION ALL SELECT r, 1, edited FROM ed)),
+w AS (SELECT w, h FROM ({tokens})),
+p AS (SELECT r, k, i, ws[i + 1] AS a, ws[i + 2] AS b FROM (SELECT r, k, ws, unnest(generate_series(0, len(ws) - 2)) AS i FROM tok WHERE len(ws) >= {K})),
+q AS (SELECT a, b, h FROM ({pairs})),
+o AS (SELECT r, k, i, h, {signed('h')} AS s FROM p JOIN q USING (a, b)),
+e AS (SELECT r, k, i, h AS a, lead(h, 2) OVER v AS b, s AS s0, lead(s) OVER v AS s1, lead(s, 2) OVER v AS s2 FROM o WINDOW v AS (PARTITION BY r, k ORDER BY i)),
+chosen AS (SELECT r, k, i, a, b FROM e WHERE s2 IS NOT NULL AND (s0 <= least(s1, s2) OR s2 <= least(s0, s1))),
+first_hash AS ({first}),
+z AS (SELECT a, b, h FROM ({both})),
+anchors AS (SELECT r, k, i, h::ubigint AS h FROM chosen JOIN z USING (a, b) UNION ALL SELECT r, k, 0, h::ubigint FROM ({whole})),
+f AS (SELECT r, k, list_distinct(list(h)) AS hs, string_agg(lower(lpad(hex(h), 16, '0') || lpad(hex(i::ubigint), 8, '0')), '' ORDER BY i) AS fp FROM anchors GROUP BY r, k),
+y AS (SELECT ed.*, coalesce(a.hs, []) AS ha, coalesce(b.hs, []) AS hb, coalesce(c.hs, []) AS hc, coalesce(a.fp, '') AS fa, coalesce(b.fp, '') AS fb
+  FROM ed LEFT JOIN f a ON a.r = ed.r AND a.k = 0 LEFT JOIN f b ON b.r = ed.r AND b.k = 1 LEFT JOIN f c ON c.r = ed.nr AND c.k = 0)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint, {share('ha', 'hb')} AS near_edited, {share('ha', 'hc')} AS near_next FROM y"""
