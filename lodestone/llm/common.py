@@ -7,6 +7,7 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
+from threading import get_ident
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Tables that are still there, of all runs of this process; what is left of them goes when the driver ends.
-_TABLES: dict[str, SparkSession] = {}
+_TABLES: dict[str, tuple] = {}
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _TABLES[path] = spark
+    sc = spark.sparkContext
+    _TABLES[path] = get_ident(), sc._jvm, sc._jsc.hadoopConfiguration()
     return path
 
 
@@ -51,9 +53,9 @@ def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def remove(path: str) -> None:
     """Delete a table that is no longer read."""
-    spark = _TABLES.pop(path)
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _, jvm, conf = _TABLES.pop(path)
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -68,7 +70,8 @@ def release(spark: SparkSession) -> None:
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables written inside go at the end, but for those given to the function that this yields. What is returned must not read others."""
+    """Tables that this thread writes inside go at the end, but for those given to the function that this yields. What is returned must
+    not read others."""
     before, kept = set(_TABLES), set()
 
     def keep(df: DataFrame) -> DataFrame:
@@ -76,7 +79,7 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
         return df
 
     yield keep
-    for path in [p for p in _TABLES if p not in before and p not in kept]:
+    for path in [p for p, (thread, *_) in list(_TABLES.items()) if thread == get_ident() and p not in before and p not in kept]:
         remove(path)
     release(spark)
 
