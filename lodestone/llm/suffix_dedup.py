@@ -111,7 +111,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = key << np.uint64(8) | padded[j : j + n]
-    order = np.argsort(key)  # places that tie are sorted further below
+    order = np.argsort(key)  # the default sort is several times as fast as the stable one; what ties is sorted further below
     k = key[order]
     last = np.flatnonzero(np.r_[k[1:] != k[:-1], True])
     rank = np.empty(n + 1, np.int64)
