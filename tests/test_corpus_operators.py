@@ -88,6 +88,11 @@ def test_fixing_and_sizes(spark):
 # Urls --------------------------------------------------------------------------------------------
 
 
+def test_file_names_of_long_titles(spark):
+    """Signs that are dropped don't count: the name comes from the whole title, however far its letters lie."""
+    assert one(spark, lambda c: U.numbered_file_name(F.lit(7), c), "#" * 5000 + "a b" + "!" * 5000 + "c" * 300) == "007_a b" + "c" * 97 + ".txt"
+
+
 def test_urls(spark):
     assert one(spark, U.section, "https://h.io/a/b?c") == "a" and one(spark, U.section, "https://h.io/") == "" and one(spark, U.section, "https://h.io") == ""
     assert one(spark, U.file_id, "x") == "9dd4e461"
