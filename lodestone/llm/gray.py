@@ -357,6 +357,8 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, run: int = RUN, most: int
     """
     with temporary(fps.sparkSession) as keep:
         home = written(_dealt(fps.select("fp", F.col("rep").alias("label"))).mapInArrow(_home_links(radius, run), "a long, b long"), "home")
-        parts = connected_components(home).withColumnRenamed("node", "rep")
-        told = written(fps.join(parts, "rep", "left").select("fp", F.coalesce("label", "rep").alias("label")), "told")
-        return keep(written(home.unionByName(_cross_links(told, radius, run, most)), "links"))
+        parts = connected_components(home)
+        told = fps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("label"))
+        cross = _cross_links(written(told, "told"), radius, run, most)
+        stars = parts.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        return keep(written(stars.unionByName(cross), "links"))
