@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import guarded, mix64, temporary, word_count, written
 
 #: Units in a bucket of the lowest level on average; buckets joined by a node of the tree; small units that the last node takes one by one.
-BUCKET_UNITS, FAN, TAIL = 16384, 64, 64
+BUCKET_UNITS, FAN, TAIL = 2048, 64, 64
 EPS = 1e-9
 #: mark: a hash of all that tells units apart; seg: of the source; n: rows of the unit; certain: copies of all its rows that are certain.
 NODE = "seg long, leaf long, leaves long, mark long, size long, p double, extra long"
