@@ -30,3 +30,13 @@ def connected_components(links: DataFrame) -> DataFrame:
             moved = moved.select(F.coalesce("a_to", "a").alias("x"), F.coalesce("b_to", "b").alias("y")).where("x != y")
             links = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
         return keep(labels)
+
+
+def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, label) after more links (a, b) between reps: only links between different components are followed, once for each pair of them."""
+    with temporary(labels.sparkSession) as keep:
+        side = lambda c: labels.select(F.col("rep").alias(c), F.col("label").alias(f"{c}_label"))
+        apart = links.join(side("a"), "a").join(side("b"), "b").where("a_label != b_label")
+        apart = apart.select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b")).distinct()
+        new = connected_components(apart).toDF("label", "new")
+        return keep(written(labels.join(new, "label", "left").select("rep", F.coalesce("new", "label").alias("label")), "labels"))

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, plus, small_batches, temporary, written
-from .components import connected_components
+from .components import connected_components, merged_labels
 from .gray import FAN, fingerprint_links, gray_rank, local_labels, own_links
+from .sql_hash import xxh64
 
 SEED = 42
 
@@ -92,11 +93,27 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4, key: str =
     return out.select(F.col("doc_id").alias(key), "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def components_sql(k: int = 4, radius: int = 4) -> str:
+    """doc_id, fingerprint and component_id over a table `documents`, as DuckDB SQL: every pair of fingerprints is compared."""
+    hashed = xxh64("SELECT s, hex(encode(s)) AS x FROM (SELECT DISTINCT s FROM s)", "x", f"{SEED}::uhugeint", "h")
+    bits = " + ".join(f"CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN {1 << b}::uhugeint ELSE 0::uhugeint END" for b in range(64))
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT r, unnest(CASE WHEN len(w) >= {k} THEN list_transform(generate_series(1, len(w) - {k - 1}), lambda i: array_to_string(w[i : i + {k - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+h AS (SELECT s, h::ubigint AS h FROM ({hashed})),
+f AS (SELECT r, {bits} AS fp FROM s JOIN h USING (s) GROUP BY r),
+t AS (SELECT doc_id, coalesce(fp, 0::uhugeint)::ubigint AS fp FROM d LEFT JOIN f USING (r)),
+u AS (SELECT fp, min(doc_id) AS id FROM t GROUP BY fp),
+l AS (SELECT a.fp AS a, b.fp AS b FROM u a JOIN u b ON a.fp <> b.fp AND bit_count((xor(a.fp, b.fp) >> 32)::bigint) + bit_count((xor(a.fp, b.fp) & 4294967295)::bigint) <= {radius}),
+c(a, b) AS (SELECT fp, fp FROM u UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b),
+m AS (SELECT c.a AS fp, min(u.id) AS component_id FROM c JOIN u ON u.fp = c.b GROUP BY c.a)
+SELECT doc_id, lpad(lower(hex(fp)), 16, '0') AS fingerprint, CASE WHEN doc_id IS NOT NULL THEN component_id END AS component_id FROM t JOIN m USING (fp)"""
+
+
 # Near-duplicates by similarity -------------------------------------------------------------------
 
-#: Words of 64 bits of a wide fingerprint; smallest shingle hashes that deal a text to buckets at first, and how many more count
-#: with each further level of dealing; levels.
-WORDS, KEYS, MORE, LEVELS = 8, 8, 4, 3
+#: Words of 64 bits of a wide fingerprint; smallest shingle hashes that deal a text to buckets at first, and those that do where some of
+#: the first have too large a bucket; how many of these must have a bucket of their own for a text to be told by them.
+WORDS, KEYS, ALL_KEYS, ENOUGH = 8, 8, 24, 12
 #: Rows of a bucket above which it is dealt again; standard deviations above the expected bits at which pairs are still candidates.
 BUCKET, SPREAD = 1024, 5
 #: Radius of the Gray-order index; members of a block that is compared exactly in one task.
@@ -127,7 +144,7 @@ def _wide(docs: DataFrame, k: int) -> DataFrame:
             counts = np.fromiter(map(len, sets), np.int64, len(sets))
             flat = np.concatenate([np.zeros(0, np.uint64), *sets])
             words = [majority_bits(flat if w == 0 else mix64(flat + np.uint64(w)), counts) for w in range(WORDS)]
-            keys = [x[: KEYS + MORE * (LEVELS - 1)].view(np.int64) for x in sets]
+            keys = [x[:ALL_KEYS].view(np.int64) for x in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_digest, sets), pa.int64()), *(pa.array(w.view(np.int64)) for w in words), pa.array(keys, pa.list_(pa.int64()))], ["id", "d", *(f"w{i}" for i in range(WORDS)), "keys"])
 
     small_batches(docs.sparkSession)
@@ -169,34 +186,38 @@ def exact_labels(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def _exact_groups(k: int, similarity: float):
-    """Batches of (group, d, text), sorted by group: star links (a, b) of the exact components of each group.
+    """Batches of (group, d, text, pivot), sorted by group: star links (a, b) of the exact components of each group.
 
-    A text whose digest is not d belongs to another row of the same id and is left out.
+    What is linked to the group's pivot (a digest) has it as the star's centre. A text whose digest is not d belongs to another row of
+    the same id and is left out.
     """
 
     def run(batches):
-        group, held = None, {}
+        group, held, pivot = None, {}, None
 
-        def links(sets):
+        def links(sets, pivot):
             ds = sorted(sets)
             label = exact_labels([sets[d] for d in ds], similarity)
             a = np.array(ds, np.int64)
+            if pivot in sets:
+                at = ds.index(pivot)
+                label[label == label[at]] = at
             moved = label != np.arange(len(ds))
             return a[label[moved]], a[moved]
 
         for batch in batches:
             found = []
-            for g, d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for g, d, t, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if g != group:
-                    found.append(links(held))
-                    group, held = g, {}
+                    found.append(links(held, pivot))
+                    group, held, pivot = g, {}, p
                 if d not in held:
                     x = shingle_set(t, k)
                     if set_digest(x) == d:
                         held[d] = x
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in links(held)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in links(held, pivot)], ["a", "b"])
 
     return run
 
@@ -236,15 +257,19 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, label: np.nda
     return rep[linked], root[linked]
 
 
-def _whole_buckets(radius: int, most: int):
-    """Batches of (key, fp, rep, label, more words of the fingerprint ...), sorted by key: the links of each bucket."""
+def _linked_buckets(radius: int, most: int, run_rows: int):
+    """Batches of (key, fp, rep, label, more words of the fingerprint ...), sorted by key: the links of each bucket; of one of more than
+    run_rows rows those in each run of so many, in the order that the rows come in."""
 
     def run(batches):
         held: list[list[np.ndarray]] = []
         size = 0
 
         def out(c):
-            a, b = bucket_links(c[0], c[1].view(np.uint64), c[2], c[3], np.stack(c[4:], 1).view(np.uint64), radius, most)
+            new = np.r_[True, c[0][1:] != c[0][:-1]]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            part = np.cumsum(new | ((np.arange(len(new)) - first) % run_rows == 0))
+            a, b = bucket_links(part, c[1].view(np.uint64), c[2], c[3], np.stack(c[4:], 1).view(np.uint64), radius, most)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -253,7 +278,8 @@ def _whole_buckets(radius: int, most: int):
             if size < 1 << 16:
                 continue
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = int(np.flatnonzero(cols[0] == cols[0][-1])[0])  # the last bucket may go on
+            first = int(np.flatnonzero(cols[0] == cols[0][-1])[0])
+            cut = first + (len(cols[0]) - first) // run_rows * run_rows  # the last bucket may go on: its whole runs go now
             held, size = [[x[cut:] for x in cols]], len(cols[0]) - cut
             if cut:
                 yield out([x[:cut] for x in cols])
@@ -263,70 +289,98 @@ def _whole_buckets(radius: int, most: int):
     return run
 
 
-def _far_links(classes: DataFrame, similarity: float, bucket: int) -> DataFrame:
-    """Candidate links (a, b) between representatives with different labels, from buckets of shared small shingle hashes.
+def _far_labels(classes: DataFrame, similarity: float, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Labels (rep, label) of candidate components, from buckets of shared small shingle hashes: those that the fingerprints tell, and those
+    that groups which are candidates as a whole join further.
 
     classes: rep, label, w0.., keys. Texts of that similarity share some of their KEYS smallest hashes but for a few in a million
-    (0.2^8). A bucket whose rows have one label holds no news. A bucket above its size is dealt again by a second hash of KEYS +
-    MORE smallest ones, then by a third, with the same small chance to miss; one that is still too large becomes one candidate
-    group as a whole, which the exact comparison then takes apart. So no pair is lost to a bucket's size.
+    (0.2^8). A bucket whose rows have one label holds no news. A bucket above its size is searched in runs, each bucket's in the order
+    of another word of the fingerprints, which brings near-copies together: what has one label then is done. Where all but a
+    bucket's worth of rows have one label, the others become candidates with it. Hashes whose buckets are larger still belong to passages
+    that many texts share. Texts with such a hash meet again in the buckets of all others of their ALL_KEYS smallest hashes; texts
+    that have too few others, as the passage is most of them, are one candidate group, which the exact comparison takes apart.
+    So no pair is lost to a bucket's size.
     """
     names = [f"w{i}" for i in range(WORDS)]
     share = expected_bits(similarity, 1)
     most, radius = (int(n * share + SPREAD * (n * share * (1 - share)) ** 0.5) for n in (64 * WORDS, 64))
-    thin = classes.select("rep", "label", F.col("keys").alias("all"))
-    pool, links = thin.withColumn("used", F.array().cast("array<bigint>")), None
-    for level in range(LEVELS):
-        own = F.explode(F.array_except(F.slice("all", 1, KEYS + MORE * level), "used")).alias("own")
-        keyed = pool.select("rep", "label", "used", own).withColumn("used", F.sort_array(F.concat("used", F.array("own")))).drop("own")
-        keyed = keyed.withColumn("key", F.xxhash64("used"))
-        sizes = keyed.select("key", "label").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    linked = lambda rows: written(rows.mapInArrow(_linked_buckets(radius, most, bucket), "a long, b long").distinct(), "links")
+
+    def searched(keyed: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """labels after a search of all buckets of keyed (key, rep); members (key, rep) of those that are too large and mixed still; and for
+        each such key the label b that most of its rows have, and how many others there are."""
+        told = keyed.join(labels, "rep")
+        sizes = told.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         sizes = written(sizes.where("lo != hi").select("key", "n"), "buckets")
-        mine, big = sizes.where(F.col("n") <= bucket).select("key"), sizes.where(F.col("n") > bucket).select("key")
         # Numbers of few bytes go to the buckets first; fingerprints only join what is left.
-        rows = keyed.select("key", "rep").join(mine, "key", "left_semi").join(classes, "rep").select("key", "w0", "rep", "label", *names[1:])
-        found = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_whole_buckets(radius, most), "a long, b long").distinct(), "links")
-        links = found if links is None else links.unionByName(found)
-        if big.isEmpty():
-            break
-        if level < LEVELS - 1:
-            pool = written(keyed.join(big, "key", "left_semi").select("rep", "used").distinct(), "pool").join(thin, "rep")
-        else:
-            members = written(keyed.join(big, "key", "left_semi").select("key", "rep"), "members")
-            hub = members.groupBy("key").agg(F.min("rep").alias("b"))
-            links = links.unionByName(written(members.join(hub, "key").select(F.col("rep").alias("a"), "b").where("a != b").distinct(), "links"))
-    return links
+        fat = lambda rows: rows.join(classes.drop("label"), "rep").select("key", "w0", "rep", "label", *names[1:])
+        small = fat(told.join(sizes.where(F.col("n") <= bucket).select("key"), "key", "left_semi"))
+        found = linked(small.repartition("key").sortWithinPartitions("key"))
+        members = written(keyed.join(sizes.where(F.col("n") > bucket).select("key"), "key", "left_semi"), "members")
+        if not members.isEmpty():
+            order = F.get(F.array(*names), F.pmod("key", F.lit(WORDS)).cast("int"))
+            rows = fat(members.join(labels, "rep")).withColumn("_o", order).repartitionByRange("key", "_o").sortWithinPartitions("key", "_o").drop("_o")
+            found = found.unionByName(linked(rows))
+        labels = merged_labels(labels, found)
+        counts = members.join(labels, "rep").groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+        counts = counts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top"))
+        counts = counts.where("top.c < n").select("key", F.col("top.label").alias("b"), (F.col("n") - F.col("top.c")).alias("others"))
+        return labels, members, written(counts, "counts")
+
+    def hubs(members: DataFrame, of: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links of the members of some keys (key, b) to their b: they are candidates as a whole."""
+        rows = members.join(of.select("key", "b"), "key").join(labels, "rep").where("label != b")
+        return written(rows.select(F.col("rep").alias("a"), "b").distinct(), "hubs")
+
+    hashed = lambda k: F.explode(F.transform(k, lambda x: F.xxhash64(x))).alias("key")
+    labels, members, counts = searched(classes.select("rep", hashed(F.slice("keys", 1, KEYS))), classes.select("rep", "label"))
+    whole = hubs(members, counts.where(F.col("others") <= bucket), labels)
+    wide = counts.where(F.col("others") > bucket).select("key", "b")
+    if not wide.isEmpty():
+        members = members.join(wide.select("key"), "key", "left_semi")
+        further = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", hashed(F.col("keys")))
+        further = written(further.join(wide.select("key", F.lit(True).alias("wide")), "key", "left"), "further")
+        labels, more, counts = searched(further.where("wide is null").select("key", "rep"), labels)
+        whole = whole.unionByName(hubs(more, counts.where(F.col("others") <= bucket), labels))
+        wider = counts.where(F.col("others") > bucket).select("key", "b")
+        told = further.join(wider.select("key", F.lit(True).alias("wider")), "key", "left").groupBy("rep")
+        few = told.agg(F.count_if(F.col("wide").isNull() & F.col("wider").isNull()).alias("own"), F.count(F.lit(1)).alias("all"))
+        few = few.where((F.col("own") < ENOUGH) & (F.col("own") * 2 < F.col("all"))).select("rep")
+        last = members.unionByName(more).join(few, "rep", "left_semi")
+        whole = whole.unionByName(hubs(last, wide.unionByName(wider), labels))
+    return labels, merged_labels(labels, whole)
 
 
 def _compared(texts: DataFrame, members: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Star links (a, b) of the exact components of each group. texts: id, text; members: id, d, group."""
+    """Star links (a, b) of the exact components of each group. texts: id, text; members: id, d, group, pivot."""
     # Both sides grow with the corpus: the same plan at every size, never a broadcast.
-    rows = texts.join(members.hint("merge"), "id").select("group", "d", "text")
+    rows = texts.join(members.hint("merge"), "id").select("group", "d", "text", "pivot")
     return written(rows.repartition("group").sortWithinPartitions("group").mapInArrow(_exact_groups(k, similarity), "a long, b long"), "links")
 
 
 def exact_links(texts: DataFrame, candidates: DataFrame, k: int, similarity: float, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between digests whose shingle sets have that Jaccard similarity or more, inside each candidate component.
 
-    texts: id, text. candidates: d, rep (an id whose text has that digest), label (the component). The links join what any pairs
-    inside a component join. A component of more than `block` members is dealt to blocks. Its smallest digest, the pivot, goes to
-    every block: what links to it there is settled with all others of the kind, which is nearly all of a group of copies. The rest
-    of the component then meets every block of it, in parts of `block` members.
+    texts: id, text. candidates: d, rep (an id whose text has that digest), label (the component), core (its part that fingerprints
+    alone join). The links join what any pairs inside a component join. A component of more than `block` members is dealt to blocks. A
+    member of its largest core, the pivot, goes to every block: what links to it there is settled with all others of the kind, which is
+    nearly all of a group of copies. The rest of the component then meets every block of it, in parts of `block` members.
     """
-    sizes = candidates.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "rep")).alias("pivot")).where("n > 1")
+    cores = candidates.groupBy("label", "core").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "rep")).alias("first"))
+    sizes = cores.groupBy("label").agg(F.sum("c").alias("n"), F.max_by("first", F.struct("c", "core")).alias("pivot")).where("n > 1")
     sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
     at = F.pmod(F.xxhash64("d", F.lit("block")), F.col("blocks")).cast("int")
     member = candidates.join(sizes, "label").select("label", "d", F.col("rep").alias("id"), at.alias("block"), "blocks", "pivot")
     member = written(member, "members")
     group = lambda *c: F.xxhash64("label", *c).alias("group")
     pivots = member.where("blocks > 1").select("label", "block", "pivot").distinct()
-    pivots = pivots.select(F.col("pivot.rep").alias("id"), F.col("pivot.d").alias("d"), group("block"))
-    links = _compared(texts, member.select("id", "d", group("block")).unionByName(pivots), k, similarity)
+    pivots = pivots.select(F.col("pivot.rep").alias("id"), F.col("pivot.d").alias("d"), group("block"), F.col("pivot.d").alias("pivot"))
+    links = _compared(texts, member.select("id", "d", group("block"), F.col("pivot.d").alias("pivot")).unionByName(pivots).distinct(), k, similarity)
     large = member.where("blocks > 1")
     if large.isEmpty():
         return links
-    with_pivot = links.select(F.col("b").alias("d"), F.col("a").alias("p"))
-    rest = large.join(with_pivot, "d", "left").where("p is null or p != pivot.d").where("d != pivot.d").select("label", "id", "d", "blocks")
+    settled = links.select(F.col("b").alias("d"), F.col("a").alias("p"))
+    rest = large.join(settled, "d", "left").where("p is null or p != pivot.d").where("d != pivot.d").select("label", "id", "d", "blocks").distinct()
     rest = written(rest, "rest")
     if rest.isEmpty():
         return links
@@ -335,7 +389,7 @@ def exact_links(texts: DataFrame, candidates: DataFrame, k: int, similarity: flo
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     rest = rest.join(parts, "label").select("label", "id", "d", part.alias("part"), upto("blocks").alias("block"))
     held = large.join(parts, "label").select("label", "id", "d", "block", upto("parts").alias("part"))
-    meet = held.unionByName(rest, allowMissingColumns=True).select("id", "d", group("block", "part")).distinct()
+    meet = held.unionByName(rest, allowMissingColumns=True).select("id", "d", group("block", "part"), F.lit(None).cast("long").alias("pivot")).distinct()
     return links.unionByName(_compared(texts, meet, k, similarity))
 
 
@@ -360,10 +414,10 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, key
         labels = connected_components(near).withColumnRenamed("node", "rep")
         classes = written(classes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
         # Candidate components, then the components of exact links inside them.
-        labels = connected_components(near.unionByName(_far_links(classes, similarity, bucket))).withColumnRenamed("node", "rep")
+        cores, labels = _far_labels(classes, similarity, bucket)
         ids = classes.select("rep", "id")
-        candidates = written(labels.join(ids, "rep").select(F.col("rep").alias("d"), F.col("id").alias("rep"), "label"), "candidates")
-        labels = connected_components(exact_links(texts, candidates, k, similarity)).withColumnRenamed("node", "rep")
+        candidates = labels.join(cores.withColumnRenamed("label", "core"), "rep").join(ids, "rep").select(F.col("rep").alias("d"), F.col("id").alias("rep"), "label", "core")
+        labels = connected_components(exact_links(texts, written(candidates, "candidates"), k, similarity)).withColumnRenamed("node", "rep")
         told = written(ids.join(labels, "rep", "left").select("rep", "id", F.coalesce("label", "rep").alias("label")), "told")
         least = told.groupBy("label").agg(F.min("id").alias("component_id"))
         told = keep(written(told.join(least, "label").select(F.col("rep").alias("d"), "component_id"), "told"))
