@@ -74,4 +74,12 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_nearest": ann.nearest_sql(), "op4_suffix_dedup": suffix_dedup.repeat_sql(), "op6_url_filter": url_filter.filter_sql(), "op10_warc": warc.archive_sql()}
+    return {
+        "op2_nearest": ann.nearest_sql(),
+        "op3_language_id": langid.language_sql(),
+        "op4_suffix_dedup": suffix_dedup.repeat_sql(),
+        "op5_syncmers": syncmer.fingerprint_sql(),
+        "op6_url_filter": url_filter.filter_sql(),
+        "op8_simhash": simhash.components_sql(),
+        "op10_warc": warc.archive_sql(),
+    }
