@@ -62,9 +62,11 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1))[:, None]
 
 
-def cosines(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Cosine of one vector with each row (scaled ones), in double precision; equal rows give equal values."""
-    return np.clip(dot(rows, q) / np.sqrt(dot(rows, rows) * dot(q[None], q[None])), -1.0, 1.0)
+def cosines(q: np.ndarray, rows: np.ndarray, squares: np.ndarray | None = None) -> np.ndarray:
+    """Cosine of one vector with each row (scaled ones), in double precision; equal rows give equal values. squares: the rows' products
+    with themselves."""
+    squares = dot(rows, rows) if squares is None else squares
+    return np.clip(dot(rows, q) / np.sqrt(squares * dot(q[None], q[None])), -1.0, 1.0)
 
 
 class Cells:
@@ -129,7 +131,7 @@ class LocalTree:
         self.high = np.maximum.reduceat(rows[order], self.leaves[:, 0])
 
 
-def search(query: np.ndarray, seen: float, own_id: int, ids: np.ndarray, vectors: np.ndarray, tree: LocalTree, dims: np.ndarray, k: int, bound: float) -> list[tuple[float, int]]:
+def search(query: np.ndarray, seen: float, own_id: int, ids: np.ndarray, vectors: np.ndarray, squares: np.ndarray, tree: LocalTree, dims: np.ndarray, k: int, bound: float) -> list[tuple[float, int]]:
     """The k best (score, id) of a cell that the incremental search verifies. seen: a known squared distance of the k-th neighbour."""
     away = box_distance(unit(query[None])[0] @ dims, tree.low, tree.high)
     order = np.argsort(away, kind="stable")
@@ -144,7 +146,7 @@ def search(query: np.ndarray, seen: float, own_id: int, ids: np.ndarray, vectors
         take = take[away[take] <= kth * bound]
         rows = np.concatenate([tree.order[a:b] for a, b in tree.leaves[take]])
         rows = rows[ids[rows] != own_id]
-        score = np.r_[score, cosines(query, vectors[rows])]
+        score = np.r_[score, cosines(query, vectors[rows], squares[rows])]
         found = np.r_[found, ids[rows]]
         if len(score) > k:
             best = np.lexsort((found, -score))[:k]
@@ -164,10 +166,11 @@ def _in_cell(k: int, bound: float):
             ids = held["id"].to_numpy()
             v = scaled(np.stack(held["vec"].to_numpy()))
             dims = projection(v.shape[1])
+            squares = dot(v, v)
             local = LocalTree(unit(v) @ dims)
             asked_v = scaled(np.stack(asked["q_vec"].to_numpy()).astype(float))
             for q, vec, seen in zip(asked["q_id"], asked_v, asked["q_seen"], strict=True):
-                found += [(q, i, s) for s, i in search(vec, seen, q, ids, v, local, dims, k, bound)]
+                found += [(q, i, s) for s, i in search(vec, seen, q, ids, v, squares, local, dims, k, bound)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
