@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import ann, langid, mixing, piece_codec, quality, simhash, suffix_dedup, syncmer, url_filter, warc
+from . import ann, langid, mixing, piece_codec, quality, simhash, suffix_dedup, syncmer, url_filter, warc, yinyang
 from .common import documents
 
 
@@ -58,6 +58,10 @@ def op10_warc(spark, sf_dir):
     return warc.archive_round_trip(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
+def op11_yinyang(spark, sf_dir):
+    return yinyang.cluster_report(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def queries():
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -70,6 +74,7 @@ def queries():
         "op8_simhash": op8_simhash,
         "op9_quality": op9_quality,
         "op10_warc": op10_warc,
+        "op11_yinyang": op11_yinyang,
     }
 
 
@@ -82,4 +87,5 @@ def oracle_sql():
         "op6_url_filter": url_filter.filter_sql(),
         "op8_simhash": simhash.components_sql(),
         "op10_warc": warc.archive_sql(),
+        "op11_yinyang": yinyang.cluster_sql(),
     }
