@@ -73,7 +73,7 @@ def test_report_adds_up(spark):
     vectors = made(5, 200, 64, 20)
     rows = yinyang.cluster_report(frame(spark, vectors)).collect()
     want = plain(vectors, 40, 5, 64)
-    assert sorted((r["vec_id"], r["cluster"], r["distance"]) for r in rows) == want
+    assert sorted(((r["vec_id"], r["cluster"], r["distance"]) for r in rows), key=repr) == want
     assert {r["inertia"] for r in rows} == {sum(d for *_, d in want)}
     for r in rows:
         assert r["cluster_inertia"] == sum(d for _, c, d in want if c == r["cluster"])
