@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import ann, langid, mixing, piece_codec, quality, simhash, suffix_dedup, syncmer, url_filter, warc, yinyang
+from . import ann, hyperminhash, langid, mixing, piece_codec, quality, simhash, suffix_dedup, syncmer, url_filter, warc, yinyang
 from .common import documents
 
 
@@ -62,6 +62,10 @@ def op11_yinyang(spark, sf_dir):
     return yinyang.cluster_report(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
 
+def op13_hyperminhash(spark, sf_dir):
+    return hyperminhash.near_components(documents(spark, sf_dir))
+
+
 def queries():
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -75,6 +79,7 @@ def queries():
         "op9_quality": op9_quality,
         "op10_warc": op10_warc,
         "op11_yinyang": op11_yinyang,
+        "op13_hyperminhash": op13_hyperminhash,
     }
 
 
@@ -88,4 +93,5 @@ def oracle_sql():
         "op8_simhash": simhash.components_sql(),
         "op10_warc": warc.archive_sql(),
         "op11_yinyang": yinyang.cluster_sql(),
+        "op13_hyperminhash": hyperminhash.components_sql(),
     }
