@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import ann, hyperminhash, langid, mixing, piece_codec, quality, simhash, suffix_dedup, syncmer, url_filter, warc, yinyang
+from . import alignment, ann, hyperminhash, langid, mixing, piece_codec, quality, simhash, suffix_dedup, syncmer, url_filter, warc, yinyang
 from .common import documents
 
 
-def tokenizer_file() -> str:
-    """The model that the queries use; installed on every machine."""
+def tokenizer_file(name: str = "piece_bpe_32k.model") -> str:
+    """A model that the queries use; installed on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op1_mix_sources(spark, sf_dir):
@@ -62,6 +62,10 @@ def op11_yinyang(spark, sf_dir):
     return yinyang.cluster_report(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
 
+def op12_alignment(spark, sf_dir):
+    return alignment.align(documents(spark, sf_dir), ("bytes", tokenizer_file("byte_bpe_50k.json")), ("pieces", tokenizer_file()))
+
+
 def op13_hyperminhash(spark, sf_dir):
     return hyperminhash.near_components(documents(spark, sf_dir))
 
@@ -79,6 +83,7 @@ def queries():
         "op9_quality": op9_quality,
         "op10_warc": op10_warc,
         "op11_yinyang": op11_yinyang,
+        "op12_alignment": op12_alignment,
         "op13_hyperminhash": op13_hyperminhash,
     }
 
