@@ -1,8 +1,8 @@
 """Near-duplicates by HyperMinHash: compressed registers, banding, a collision-corrected estimate, exact verification.
 
 The hashes of a document's distinct shingles are dealt to REGISTERS buckets by their leading bits. A register keeps of its bucket's
-smallest hash the number of leading zeros and the BITS bits that follow them, 16 bits in all. Four registers are a band: one long.
-Documents with an equal band meet. There a pair is a candidate if the share of equal registers, corrected for registers that agree by
+smallest hash the number of leading zeros and the BITS bits that follow them, 16 bits in all. Two neighbours folded to one (the
+smaller hash of both), three such are a band. Documents with an equal band meet. There a pair is a candidate if the share of equal registers, corrected for registers that agree by
 chance (which the sizes of the two sets tell), lies less than SPREAD standard deviations below the similarity asked for. Inside the
 components of candidates, links are decided on full sets of shingles.
 """
@@ -13,24 +13,25 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, temporary, written
+from .common import replaced, small_batches, temporary, written
 from .components import connected_components, merged_labels
 from .gray import local_labels
 from .simhash import exact_links, set_digest, shingle_set
 
-#: Registers, bits behind the leading one, bands of four registers. Sets of a similarity of 0.85 share no band with a chance of
-#: (1 - 0.85^4)^32, some 6 in 10^11.
-REGISTERS, BITS, BANDS = 128, 10, 32
+#: Registers, bits behind the leading one, bands of three folded registers. Sets of a similarity of 0.85 share no band with a chance of
+#: (1 - 0.85^3)^21, some 2 in 10^9.
+REGISTERS, BITS, BANDS = 128, 10, 21
 #: Bands of the first search: groups of near copies are joined by these, and have no news for the others.
-FIRST = 8
+FIRST = 6
 #: Rows of a bucket that are searched together; standard deviations; rows of a bucket that are compared pair by pair.
 BUCKET, SPREAD, SMALL = 1024, 6, 32
-#: Bands of its own that tell a document where buckets of others are too large and mixed (it shares half its bands with each partner).
-ENOUGH = 20
-NAMES = [f"w{i}" for i in range(BANDS)]
+#: Bands of its own that tell a document where buckets of others are too large and mixed (it shares three of five with each partner).
+ENOUGH = 14
+#: Columns of four registers each.
+NAMES = [f"w{i}" for i in range(REGISTERS // 4)]
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -148,14 +149,14 @@ def _linked_buckets(similarity: float, run_rows: int):
 
 
 def with_registers(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, id, n (distinct shingles), d (digest of their set) and w0.. (bands of four registers) for docs (doc_id, id, text)."""
+    """doc_id, id, n (distinct shingles), d (digest of their set) and w0.. (four registers each) for docs (doc_id, id, text)."""
 
     def run(batches):
         for b in batches:
             sets = [shingle_set(t, k) for t in b.column("text").to_pylist()]
-            bands = registers(sets).view(np.int64)
+            bands = registers(sets).view(np.int64)  # four registers each
             cols = [b.column("doc_id"), b.column("id"), pa.array(map(len, sets), pa.int64()), pa.array(map(set_digest, sets), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(bands[:, i]) for i in range(BANDS))], ["doc_id", "id", "n", "d", *NAMES])
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(bands[:, i]) for i in range(len(NAMES)))], ["doc_id", "id", "n", "d", *NAMES])
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, "doc_id long, id long, n long, d long, " + ", ".join(f"{w} long" for w in NAMES))
@@ -163,7 +164,7 @@ def with_registers(docs: DataFrame, k: int) -> DataFrame:
 
 def candidate_labels(classes: DataFrame, similarity: float, bucket: int) -> tuple[DataFrame, DataFrame]:
     """Labels (rep, label) of candidate components: those that registers tell, and those that groups which are candidates as a whole join
-    further. classes: rep, n and the bands.
+    further. classes: rep, n and the registers.
 
     A bucket whose rows have one label holds no news. A larger one than `bucket` is searched in runs, each bucket's in the order of
     another band, which brings near copies together. Where all but a bucket's worth of rows have one label then, the others become
@@ -174,27 +175,35 @@ def candidate_labels(classes: DataFrame, similarity: float, bucket: int) -> tupl
     linked = lambda rows: written(rows.mapInArrow(_linked_buckets(similarity, bucket), "a long, b long").distinct(), "links")
     labels = classes.select("rep", F.col("rep").alias("label"))
 
-    def keyed(bands: range) -> DataFrame:
-        keys = F.array_compact(F.array(*(F.when(F.col(f"w{i}") != 0, F.xxhash64(F.lit(i), f"w{i}")) for i in bands)))
-        return classes.select("rep", F.explode(keys).alias("key"))
+    def folded(i: int) -> Column:
+        """Of registers 2 i and 2 i + 1 the larger code."""
+        of = lambda j: F.shiftrightunsigned(F.col(f"w{j // 4}"), 16 * (j % 4)).bitwiseAND(F.lit(0xFFFF))
+        return F.greatest(of(2 * i), of(2 * i + 1))
+
+    def band(i: int) -> Column:
+        three = [folded(3 * i + j) for j in range(3)]
+        return F.when(three[0] + three[1] + three[2] != 0, F.xxhash64(F.lit(i), *three))
+
+    def keyed(bands: range, labels: DataFrame | None) -> DataFrame:
+        rows = classes.withColumn("label", F.col("rep")) if labels is None else classes.join(labels, "rep")
+        return rows.select("rep", "label", F.explode(F.array_compact(F.array(*map(band, bands)))).alias("key"))
 
     def searched(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """labels after a search of all buckets of rows (rep, key), and the members of those that were too large for one."""
-        told = rows.join(labels, "rep")
-        sizes = told.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        sizes = written(sizes.where("lo != hi").select("key", "c"), "buckets")
-        fat = lambda x: x.join(classes, "rep").select("key", "rep", "label", "n", *NAMES)
-        small = fat(told.join(sizes.where(F.col("c") <= bucket).select("key"), "key", "left_semi"))
-        found = linked(small.repartition("key").sortWithinPartitions("key"))
-        members = written(rows.join(sizes.where(F.col("c") > bucket).select("key"), "key", "left_semi"), "members")
+        """labels after a search of all buckets of rows (rep, label, key), and the members of those that were too large for one."""
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        # The same plan at every size, never a broadcast: both sides grow with the corpus.
+        hits = written(rows.join(sizes.where("lo != hi").select("key", "c").hint("merge"), "key"), "hits")
+        fat = lambda x: x.join(classes.hint("merge"), "rep").select("key", "rep", "label", "n", *NAMES)
+        found = linked(fat(hits.where(F.col("c") <= bucket)).repartition("key").sortWithinPartitions("key"))
+        members = hits.where(F.col("c") > bucket).select("key", "rep", "label")
         if not members.isEmpty():
-            order = F.get(F.array(*NAMES), F.pmod("key", F.lit(BANDS)).cast("int"))
-            large = fat(members.join(labels, "rep")).withColumn("_o", order).repartitionByRange("key", "_o").sortWithinPartitions("key", "_o").drop("_o")
+            order = F.get(F.array(*NAMES), F.pmod("key", F.lit(len(NAMES))).cast("int"))
+            large = fat(members).withColumn("_o", order).repartitionByRange("key", "_o").sortWithinPartitions("key", "_o").drop("_o")
             found = found.unionByName(linked(large))
-        return merged_labels(labels, found), members
+        return merged_labels(labels, found), members.select("key", "rep")
 
-    labels, members = searched(keyed(range(FIRST)), labels)
-    labels, more = searched(keyed(range(FIRST, BANDS)), labels)
+    labels, members = searched(keyed(range(FIRST), None), labels)
+    labels, more = searched(keyed(range(FIRST, BANDS), labels), labels)
     members = members.unionByName(more)
     counts = members.join(labels, "rep").groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     counts = counts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top"))
@@ -208,7 +217,7 @@ def candidate_labels(classes: DataFrame, similarity: float, bucket: int) -> tupl
     whole = hubs(members.join(counts.where(F.col("others") <= bucket).select("key"), "key", "left_semi"))
     wide = written(members.join(counts.where(F.col("others") > bucket).select("key"), "key", "left_semi"), "wide")
     if not wide.isEmpty():
-        filled = sum((F.col(w) != 0).cast("int") for w in NAMES)
+        filled = sum(band(i).isNotNull().cast("int") for i in range(BANDS))
         lost = wide.groupBy("rep").agg(F.count(F.lit(1)).alias("lost"))
         own = classes.select("rep", filled.alias("all")).join(lost, "rep").withColumn("own", F.col("all") - F.col("lost"))
         few = own.where((F.col("own") < ENOUGH) & (F.col("own") * 2 < F.col("all"))).select("rep")
@@ -227,14 +236,19 @@ def near_components(docs: DataFrame, k: int = 3, similarity: float = 0.85, key:
     with temporary(docs.sparkSession) as keep:
         number = docs[key].cast("long")
         texts = docs.select(number.alias("doc_id"), F.coalesce(number, F.xxhash64("text")).alias("id"), "text")
-        fps = written(with_registers(texts, k), "registers")
+        every = written(with_registers(texts, k), "registers")
         least = [F.min(c).alias(c) for c in ("doc_id", "id", "n", *NAMES)]
-        classes = written(fps.where("n > 0").groupBy(F.col("d").alias("rep")).agg(*least), "classes")
-        fps = keep(written(fps.select("doc_id", "n", "d"), "sizes"))
+        classes = written(every.where("n > 0").groupBy(F.col("d").alias("rep")).agg(*least), "classes")
+        fps = replaced(every, keep(written(every.select("doc_id", "n", "d"), "sizes")))
         cores, labels = candidate_labels(classes.select("rep", "n", *NAMES), similarity, bucket)
         ids = classes.select("rep", "id", "doc_id")
         candidates = labels.join(cores.withColumnRenamed("label", "core"), "rep").join(ids, "rep").select(F.col("rep").alias("d"), F.col("id").alias("rep"), "label", "core")
-        links = exact_links(texts.select("id", "text"), written(candidates, "candidates"), k, similarity)
+        candidates = written(candidates, "candidates")
+        # Texts of components of several sets, once; comparing them reads no others.
+        several = candidates.groupBy("label").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        asked = candidates.join(several, "label", "left_semi").select(F.col("rep").alias("id")).distinct()
+        texts = written(texts.select("id", "text").join(asked.hint("merge"), "id", "left_semi"), "texts")
+        links = exact_links(texts, candidates, k, similarity)
         labels = connected_components(links).withColumnRenamed("node", "rep")
         told = written(ids.join(labels, "rep", "left").select("rep", "doc_id", F.coalesce("label", "rep").alias("label")), "told")
         first = told.groupBy("label").agg(F.min("doc_id").alias("component_id"))
