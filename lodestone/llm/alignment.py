@@ -11,6 +11,7 @@ Corpus-wide counts of linked id pairs go back to the documents by blocks: a bloc
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -29,6 +30,9 @@ from .common import small_batches, temporary, written
 RUN, GATHER, BLOCK_PAIRS = 8192, 1 << 18, 1 << 21
 #: Words that a worker remembers, and their length at most: memory stays bounded, results do not depend on it.
 CACHE_WORDS, CACHE_CHARS = 250_000, 64
+#: Words that are encoded as one text. Fixed value: how byte-level BPE cuts texts.
+TOGETHER = 400
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Groups with more links are linked by their distinct ids. Documents lie this many bits apart on the sweep's line.
 LARGE_GROUP, SPAN = 4096, 40
 #: No token of either kind reaches over a space between two characters that are not blank, so texts are encoded word by word.
@@ -49,24 +53,40 @@ class Tokens:
         self.passing: dict[str, bytes] = {}
         self.bad: set[str] = set()
 
-    def words(self, words: list[str]) -> list[list[int]]:
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        """Ids of ` text` for each text."""
         raise NotImplementedError
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Encode what is not remembered, each word once."""
+        """Encode what is not remembered, each word once, many in one text: words are encoded alike wherever they stand."""
         self.passing.clear()
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
             self.bad.clear()
-        new = list(dict.fromkeys(w for ws in texts for w in ws if w not in self.cache))
-        for w, ids in zip(new, self.words(new) if new else [], strict=True):
-            (self.cache if len(w) <= CACHE_CHARS else self.passing)[w] = np.array(ids, np.uint16).tobytes()
-            if b"".join(map(self.of.__getitem__, ids)) != f" {w}".encode():
-                self.bad.add(w)
+        new = sorted(dict.fromkeys(w for ws in texts for w in ws if w not in self.cache), key=lambda w: (not w.isascii() and max(w) >= "\u0250"))
+        groups = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
+        joined = [" ".join(ws) for ws in groups]
+        for ws, text, ids in zip(groups, joined, self.encoded(joined) if joined else [], strict=True):
+            if b"".join([self.of[i] for i in ids]) == f" {text}".encode():
+                found = np.array(ids, np.uint16)
+                ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in ws), np.int64, len(ws)))
+                cuts = (2 * (np.searchsorted(np.cumsum(self.lengths[found]), ends) + 1)).tolist()
+                raw = found.tobytes()
+                parts = [raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
+            else:  # some word is not given back by its tokens: one by one
+                each = self.encoded(ws)
+                parts = [np.array(x, np.uint16).tobytes() for x in each]
+                self.bad.update(w for w, x in zip(ws, each, strict=True) if b"".join([self.of[i] for i in x]) != f" {w}".encode())
+            for w, part in zip(ws, parts, strict=True):
+                (self.cache if len(w) <= CACHE_CHARS else self.passing)[w] = part
 
     def ids(self, text: str, words: list[str]) -> np.ndarray | None:
         """All ids of ` text`; None if their bytes differ from it."""
-        found = np.frombuffer(b"".join([self.cache[w] if w in self.cache else self.passing[w] for w in words]), np.uint16)
+        try:
+            raw = b"".join(map(self.cache.__getitem__, words))
+        except KeyError:
+            raw = b"".join([self.cache[w] if w in self.cache else self.passing[w] for w in words])
+        found = np.frombuffer(raw, np.uint16)
         whole = not self.bad or self.bad.isdisjoint(words) or b"".join([self.of[i] for i in found.tolist()]) == f" {text}".encode()
         return found if whole else None
 
@@ -85,9 +105,26 @@ class ByteLevel(Tokens):
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
         entries = sorted((i, t) for t, i in self.model.get_vocab().items())
         super().__init__([bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for _, t in entries])
-
-    def words(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)["model"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in held["merges"]]
+        made = [held["vocab"]["".join(m)] for m in merges]
+        self.quick = None
+        if made == list(range(256, 256 + len(made))):  # the order of ids is that of merges
+            import tiktoken
+
+            self.quick = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(self.of[: 256 + len(made)])}, special_tokens={})
+
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        """Latin texts by the faster of two libraries, which cuts and merges these alike; others, whose letters depend on a library's version of
+        Unicode, by the tokenizer itself."""
+        if self.quick is None:
+            return [e.ids for e in self.model.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        out: list = [self.quick.encode_ordinary(f" {t}") if t.isascii() or max(t) < "\u0250" else None for t in texts]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.model.encode_batch_fast([f" {texts[i]}" for i in rest], add_special_tokens=False) if rest else [], strict=True):
+            out[i] = e.ids
+        return out
 
 
 class Pieces(Tokens):
@@ -102,8 +139,8 @@ class Pieces(Tokens):
             raise ValueError("a piece has a space mark behind another character; words cannot be cut there")
         super().__init__([bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
 
-    def words(self, words: list[str]) -> list[list[int]]:
-        return self.model.encode(words, num_threads=1)
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
 
 
 @lru_cache(maxsize=4)

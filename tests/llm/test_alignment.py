@@ -123,6 +123,14 @@ def test_empty_table(spark):
     assert rows(alignment.align(frame(spark, [(1, None), (2, "")]), A, B)) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x24F), max_size=60))
+def test_latin_texts_by_the_faster_library(text):
+    held = alignment.loaded(*A)
+    assert held.quick is not None
+    assert held.encoded([text]) == [held.model.encode(f" {text}", add_special_tokens=False).ids]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("ab ' \n\t▁ é日\x85　\x1c12."), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_words_are_encoded_like_whole_texts(text):
