@@ -90,7 +90,6 @@ def queries():
 
 def oracle_sql():
     return {
-        "op2_nearest": ann.nearest_sql(),
         "op3_language_id": langid.language_sql(),
         "op4_suffix_dedup": suffix_dedup.repeat_sql(),
         "op5_syncmers": syncmer.fingerprint_sql(),

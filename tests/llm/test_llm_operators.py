@@ -9,11 +9,13 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import ann, gray, langid, mixing, piece_codec, quality, queries, simhash, suffix_dedup, syncmer, url_filter, warc
+from lodestone.llm.common import temporary
 from lodestone.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -189,7 +191,8 @@ def brute_nearest(vectors, k=5, every=50):
 
 def test_nearest(spark, monkeypatch):
     monkeypatch.setattr(ann, "CELL", 40)
-    monkeypatch.setattr(ann, "PIECE", 30)
+    monkeypatch.setattr(ann, "PIECE", 180)
+    monkeypatch.setattr(ann, "PAST", 2)
     r = np.random.default_rng(2)
     vs = [(int(i), [float(x) for x in r.normal(size=6)]) for i in range(160)]
     vs += [(i, [1.0, 2.0, 0.0, 0.0, 0.0, 1.0]) for i in range(200, 290)]  # copies: ties
@@ -226,17 +229,40 @@ def test_nearest_equals_sql(spark):
     assert rows(ann.nearest(df, confidence=0.9999), "query_id", "rank", "vec_id", "score") == sorted(con.sql(ann.nearest_sql()).fetchall(), key=repr)
 
 
-def test_nearest_recall(spark):
-    vs = [(int(i), [float(x) for x in row]) for i, row in enumerate(np.random.default_rng(5).normal(size=(3000, 32)))]
-    df = spark.createDataFrame(vs, "vec_id long, embedding array<float>")
-    vs = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in df.collect()]
-    got = {(q, i) for q, _, i, _ in rows(ann.nearest(df), "query_id", "rank", "vec_id", "score")}
-    m = np.array([v for _, v in vs])
+def recall_and_share(spark, m):
+    """Of the five nearest the share found, and the share of all rows that a query verifies."""
+    table = pa.table({"vec_id": np.arange(len(m)), "embedding": pa.array(m.tolist(), pa.list_(pa.float64()))})
+    df = spark.createDataFrame(table).repartition(4)
+    with temporary(spark):
+        best, waves = ann.searched(df, 5, 50, "vec_id", "embedding", ann.CONFIDENCE)
+        got = {(r["query_id"], r["vec_id"]) for r in best.collect()}
+        verified = sum(w.agg(F.sum("verified")).first()[0] or 0 for w in waves)
     u = m / np.sqrt((m * m).sum(1))[:, None]
-    s = u[::50] @ u.T
-    s[np.arange(60), np.arange(0, 3000, 50)] = -2
-    want = {(50 * q, int(i)) for q in range(60) for i in np.argsort(-s[q])[:5]}
-    assert len(got & want) / len(want) >= 0.9
+    queries = np.arange(0, len(m), 50)
+    want = set()
+    for lo in range(0, len(queries), 200):
+        q = queries[lo : lo + 200]
+        s = u[q] @ u.T
+        s[np.arange(len(q)), q] = -2
+        want |= {(int(i), int(j)) for i, row in zip(q, np.argpartition(-s, 5, axis=1)[:, :5], strict=True) for j in row}
+    return len(got & want) / len(want), verified / len(queries) / len(m), len(waves)
+
+
+def test_nearest_without_structure(spark, monkeypatch):
+    """On normal components, in one cell and in many: the same share of rows is verified, in the order of projections."""
+    m = np.random.default_rng(5).normal(size=(6000, 64))
+    for cell in (1 << 20, 500):
+        monkeypatch.setattr(ann, "CELL", cell)
+        recall, share, waves = recall_and_share(spark, m)
+        assert recall >= 0.9 and share < 0.4 and (waves == 1) == (cell > 6000)
+
+
+def test_nearest_of_clusters(spark):
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(2000, 64))
+    m = centres[r.integers(0, 2000, 200_000)] + r.normal(size=(200_000, 64)) * 0.25
+    recall, share, waves = recall_and_share(spark, m)
+    assert recall >= 0.9 and share < 0.05 and waves > 1
 
 
 # 3 -----------------------------------------------------------------------------------------------
