@@ -3,10 +3,11 @@
 Every document of a source has the same expected number of copies r = target / source size. floor(r) copies are
 certain; the fraction is a probability. Probabilities are paired: word mass moves from one document to the other, in the
 one direction or the other at random so that each keeps its expectation, until one of the two is 0 or 1. The mass of a
-pair in words never changes, so a source's taken words miss its target by less than the size of the one document that
-is left over and rounded at the very end. Pairing runs in bounded buckets of one source, and each bucket hands one residual
-up a reduction tree (fan-in FAN) of its own source until one bucket is left. Rows that are equal in everything that counts are one
-unit, so neither a hot source nor a row repeated without end makes a bucket large.
+pair in words never changes. Pairing runs in bounded buckets of one source, and each bucket hands one residual
+up a reduction tree (fan-in FAN) of its own source until one bucket is left. There what is still open is settled from large to small, each
+against the pool of all smaller ones, so that a source's taken words miss its target by the smallest, if the pool can bear the
+others. Rows that are equal in everything that counts are one unit, so neither a hot source nor a row repeated without end makes a
+bucket large.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import guarded, mix64, temporary, word_count, written
 
-#: Units in a bucket of the lowest level on average; buckets joined by a node of the tree; small units that the last node takes one by one.
-BUCKET_UNITS, FAN, TAIL = 2048, 64, 64
+#: Units in a bucket of the lowest level on average; buckets joined by a node of the tree; small units that the last node settles from large to small.
+BUCKET_UNITS, FAN, TAIL = 2048, 64, 512
 EPS = 1e-9
 #: mark: a hash of all that tells units apart; seg: of the source; n: rows of the unit; certain: copies of all its rows that are certain.
 NODE = "seg long, leaf long, leaves long, mark long, size long, p double, extra long"
@@ -88,20 +89,40 @@ def pivot_rounds(seg: np.ndarray, size: np.ndarray, p: np.ndarray, key: np.ndarr
     return p
 
 
-def _one_by_one(rows: np.ndarray, size: np.ndarray, p: np.ndarray, key: np.ndarray, salt: int) -> None:
-    """Open rows of one source, from large to small, until none is open: what is left over at the end tends to be small."""
-    held = -1
-    for r in rows.tolist():
-        if EPS < p[r] < 1 - EPS:
-            if held < 0:
-                held = r
-                continue
-            two = np.array([held, r])
-            p[two] = pivot_rounds(np.zeros(2, int), size[two], p[two], key[two], salt)
-            held = next((x for x in two.tolist() if 0 < p[x] < 1), -1)
-    if held >= 0:
-        u = float(mix64(np.array([key[held]]).astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))[0] >> np.uint64(11)) * 2.0**-53
-        p[held] = float(u < p[held])
+def _coin(key: int, salt: int) -> float:
+    """A number from 0 to 1 that depends on the unit alone."""
+    return float(mix64(np.array([key]).astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D + salt))[0] >> np.uint64(11)) * 2.0**-53
+
+
+def _downwards(rows: np.ndarray, size: np.ndarray, p: np.ndarray, key: np.ndarray, salt: int) -> None:
+    """Open rows of one source, from large to small, until none is open: each is settled by its coin, and the words that this gives
+    or takes are moved from or to the pool of all smaller open ones, in proportion to what they have or lack.
+
+    So the largest are settled first and the last one left, the smallest, is the only one that can miss the target. If the pool can't
+    bear one side of the coin, the other is taken; if neither, the one that misses less.
+    """
+    a = size[rows].astype(float)
+    q = p[rows]
+    for i in range(len(rows)):
+        if q[i] < EPS or q[i] > 1 - EPS:
+            continue
+        rest = q[i + 1 :]
+        pool = a[i + 1 :]
+        up, down = (1 - q[i]) * a[i], q[i] * a[i]  # words that the pool gives if the unit is taken, or gets if it is not
+        has, lacks = float((rest * pool).sum()), float(((1 - rest) * pool).sum())
+        fine = (up <= has * (1 + EPS), down <= lacks * (1 + EPS))
+        if fine[0] != fine[1]:
+            taken = fine[0]
+        elif not fine[0] and len(rest):
+            taken = up - has < down - lacks
+        else:
+            taken = _coin(int(key[rows[i]]), salt) < q[i]
+        if taken:
+            rest *= max(0.0, 1 - up / has) if has > 0 else 0.0
+        else:
+            rest[:] = 1 - (1 - rest) * (max(0.0, 1 - down / lacks) if lacks > 0 else 0.0)
+        q[i] = float(taken)
+    p[rows] = np.round(q)
 
 
 def settle(seg: np.ndarray, leaf: np.ndarray, last: np.ndarray, mark: np.ndarray, size: np.ndarray, p: np.ndarray, level: int) -> np.ndarray:
@@ -115,7 +136,7 @@ def settle(seg: np.ndarray, leaf: np.ndarray, last: np.ndarray, mark: np.ndarray
     p_[~waits] = pivot_rounds(bucket[~waits], size[~waits], p_[~waits], key[~waits], level)
     open_ = np.flatnonzero(last[by] & (p_ > EPS) & (p_ < 1 - EPS))
     for rows in np.split(open_, np.flatnonzero(np.diff(bucket[open_])) + 1) if len(open_) else ():
-        _one_by_one(rows, size, p_, key, 7919 + level)
+        _downwards(rows, size, p_, key, 7919 + level)
     out = np.empty_like(p_)
     out[by] = p_
     return out
