@@ -1,7 +1,10 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is read as tokens: runs of non-blank characters; of a run of more than LONG characters, the GRAM characters from each of its
-characters on. Of all runs of K tokens those are chosen whose smallest inner run of S tokens, by hash, lies at the run's start or
+A text is read as tokens: of each run of non-blank characters, in turn, capitals with the small letters behind them, small letters,
+digits, signs, or one letter of a script without cases, 16 of a kind at most; small letters also end behind q, x, j or z, and digits
+behind a 0. So runs of any length are cut alike, by what stands there: what follows moves no cut, and a change only those up to the
+next end. Of all runs of K tokens those are
+chosen whose smallest inner run of S tokens, by hash, lies at the run's start or
 end. Whether a run is chosen depends on its own tokens alone, so a passage yields the same anchors wherever it stands. A
 fingerprint is all anchors, each with the number of the token that it starts at, and the likeness of two fingerprints is the
 share of distinct anchors they have in common.
@@ -9,16 +12,16 @@ share of distinct anchors they have in common.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sql_hash import xxh64
 
-LONG, GRAM, K, S = 32, 8, 4, 2
-SIGN = "[^\\x20\\x09-\\x0D]"
-#: A whole run of LONG characters at most, or one character of a longer one; group 1 is the token.
-WHOLE = f"(?<!{SIGN}){SIGN}{{1,{LONG}}}+(?!{SIGN})"
-TOKENS = f"(?=({WHOLE}|{SIGN}{{1,{GRAM}}}))(?:{WHOLE}|{SIGN})"
+K, S = 4, 2
+CAPITAL, SMALL, SIGN = r"[\p{Lu}\p{Lt}]", r"[\p{Ll}\p{Lm}\p{M}]", r"[^\p{L}\p{N}\p{M}\x20\x09-\x0D]"
+TOKENS = rf"{CAPITAL}{{0,16}}{SMALL}{{0,15}}?[qxjz]|{CAPITAL}{{0,16}}{SMALL}{{1,16}}|{CAPITAL}{{1,16}}|\p{{N}}{{0,15}}?0|\p{{N}}{{1,16}}|\p{{Lo}}|{SIGN}{{1,16}}"
 #: Rows of a range of ids, and ranges at most (their borders are one array of longs); beyond both, ranges grow.
 BUCKET, RANGES = 2000, 1 << 15
 
@@ -30,7 +33,7 @@ def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     own, so that the arrays that lambdas read are made once a row.
     """
     inner = K - S + 1
-    df = df.withColumn("_t", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKENS), F.lit(1)))
+    df = df.withColumn("_t", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKENS), F.lit(0)))
     t = F.col("_t")
     hashes = F.transform(F.sequence(F.lit(0), F.size(t) - S), lambda i: F.xxhash64(*[F.get(t, i + j) for j in range(S)]))
     df = df.withColumn("_h", F.when(F.size(t) >= K, hashes))
@@ -75,8 +78,9 @@ def range_of(number: Column, borders: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(borders).bit_length() + 1)), start, step)["lo"]
 
 
-def with_next(docs: DataFrame, carried: list[str], bucket: int = BUCKET, ranges: int = RANGES) -> DataFrame:
+def with_next(docs: DataFrame, carried: list[str], bucket: int = BUCKET, ranges: int = RANGES, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """docs with next_<c> for each carried column, from the next row by descending doc_id (ties by text); after the last, the first.
+    made adds columns, that may be carried, to rows when they are dealt to their ranges.
 
     Ids are dealt to ranges by approximate quantiles, which only balance them; the first row of a range is also sent to the range
     above it, as what follows its last row. Null ids come last, in the lowest range. Rows that share one id share its range.
@@ -98,6 +102,8 @@ def with_next(docs: DataFrame, carried: list[str], bucket: int = BUCKET, ranges:
         first = rows.withColumn("_s", F.lit(1)).orderBy("text").limit(1)
     order = Window.partitionBy("_b").orderBy("_s", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_last())
     out = rows.unionByName(first)
+    if made is not None:  # once, where the ranges are dealt to; the window over them needs no further exchange
+        out = made(out.repartition("_b"))
     for c in carried:
         out = out.withColumn(f"next_{c}", F.lead(c).over(order))
     return out.where("_s = 0").drop("_b", "_s")
@@ -111,13 +117,13 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     if rows.isEmpty():
         return rows.sparkSession.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    rows = with_next(rows, ["text"])  # anchors are made after the exchange, which then carries texts alone
+    # Anchors are made after the exchange, which then carries texts alone, and carried on to the row before.
+    rows = with_next(rows, ["text", "sketch"], made=lambda dealt: with_sketch(dealt, "text", "sketch"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "next_text", "edited")
-    for c, out in (("text", "sketch"), ("next_text", "next_sketch"), ("edited", "edited_sketch")):
-        rows = with_sketch(rows, c, out).drop(c)
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sketch", "sketch_at", "next_sketch", "edited")
+    rows = with_sketch(rows, "edited", "edited_sketch").drop("edited")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_string(F.col("sketch"), F.col("sketch_at")).alias("fingerprint"), as_string(F.col("edited_sketch"), F.col("edited_sketch_at")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
@@ -137,7 +143,7 @@ def fingerprint_sql() -> str:
     return f"""WITH base AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS r, doc_id, coalesce(text, '') AS text FROM documents),
 nx AS (SELECT *, length(text) AS n, coalesce(lead(text) OVER (ORDER BY r), first_value(text) OVER (ORDER BY r)) AS nt, CASE WHEN r = count(*) OVER () THEN 1 ELSE r + 1 END AS nr FROM base),
 ed AS (SELECT *, substr(text, 1, n - n // 2) || substr(nt, 1, n // 2) AS edited FROM nx),
-tok AS (SELECT r, k, flatten(list_transform(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'), lambda w: CASE WHEN length(w) <= {LONG} THEN [w] ELSE list_transform(generate_series(1, length(w)), lambda i: substr(w, i, {GRAM})) END)) AS ws
+tok AS (SELECT r, k, regexp_extract_all(t, '{TOKENS}') AS ws
   FROM (SELECT r, 0 AS k, text AS t FROM ed UNION ALL SELECT r, 1, edited FROM ed)),
 w AS (SELECT w, h FROM ({tokens})),
 p AS (SELECT r, k, i, ws[i + 1] AS a, ws[i + 2] AS b FROM (SELECT r, k, ws, unnest(generate_series(0, len(ws) - 2)) AS i FROM tok WHERE len(ws) >= {K})),
