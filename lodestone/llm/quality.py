@@ -236,8 +236,10 @@ def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             got = [features(t) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float64())), pa.array(posterior[votes(texts)] if texts else [], pa.float64())], ["at", "x", "y"])
 
+    # Of different rows, however often each is repeated: the rate follows their number, so copies don't take the sample's place.
     mark = F.pmod(F.xxhash64(key, text, F.lit("quality")), F.lit(1 << 30))
-    sample = docs.select(text, mark.alias("_mark")).where(F.col("_mark") < int((1 << 30) * min(1.0, TRAIN / max(1, total))))
+    different = docs.select(mark.alias("_mark")).agg(F.approx_count_distinct("_mark", 0.01)).first()[0]
+    sample = docs.select(text, mark.alias("_mark")).where(F.col("_mark") < int((1 << 30) * min(1.0, TRAIN / max(1, different))))
     sample = sample.dropDuplicates(["_mark"]).select(text).mapInArrow(train, "at array<long>, x array<double>, y double")
     rows = sorted(((np.array(r["at"], np.int64), np.array(r["x"]), float(r["y"])) for r in sample.collect()), key=lambda r: (r[2], len(r[0]), r[0].tolist(), r[1].tolist()))
     shared = spark.sparkContext.broadcast((posterior, fit(rows)))  # 3^labellers and BUCKETS numbers
