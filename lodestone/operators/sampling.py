@@ -3,12 +3,13 @@ do not depend on partitioning."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..session import temporary, written
+from .neighbours import CELL, nearest_in_class
+
 SEED = 42
 
 
@@ -83,55 +84,51 @@ def stratified_sample(df: DataFrame, size: int, columns: list[str], key: str) ->
     return _flagged(rows, columns, key, "_take").where("_first").select(*df.columns)
 
 
-def _nearest(k: int):
-    """Rows (id, x) of a block of a class and the seeds (s, sx) that ask: each seed's k nearest in the block, ties to the smaller id."""
-
-    def run(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(held) and len(asked):
-            held = held.sort_values("id", ignore_index=True)
-            ids, x = held["id"].to_numpy(), np.stack(held["x"].to_numpy())
-            for s, sx in zip(asked["s"].to_numpy(), asked["sx"], strict=True):
-                apart = ((x - np.asarray(sx)) ** 2).sum(1)
-                apart[ids == s] = np.inf
-                best = np.argsort(apart, kind="stable")[:k]
-                found += [(s, apart[i], ids[i], x[i]) for i in best if ids[i] != s]
-        return pd.DataFrame(found, columns=["s", "d", "id", "x"])
-
-    return run
+def _filling(df: DataFrame, columns: list[str]) -> dict[str, object]:
+    """What fills each column: the mean of numbers, of others the most frequent value (ties to the smaller). One pass for each kind."""
+    numbers = [c for c in columns if isinstance(df.schema[c].dataType, NumericType)]
+    others = [c for c in columns if c not in numbers]
+    out = df.agg(*(F.avg(c).alias(c) for c in numbers)).first().asDict() if numbers else {}
+    if others:
+        values = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in others))
+        counts = df.select(F.inline(values)).where("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+        most = {r["c"]: r["v"] for r in counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), "v")).alias("v")).collect()}  # a row a column
+        out |= {c: most.get(c) for c in others}
+    return out
 
 
-def smote(df: DataFrame, target: str, features: str, key: str, k: int = 5, block: int = 2000) -> DataFrame:
+def smote(df: DataFrame, target: str, features: str, key: str, k: int = 5, cell: int = CELL) -> DataFrame:
     """df and synthetic rows of every smaller class, up to the largest class's count; columns as in df.
 
     A synthetic row lies between a row and one of its k nearest of the same class at a seeded fraction; its key is null. Other columns
     of all rows become what the table has most often (ties to the smaller value) or, of numbers, its mean. Only rows that get copies look
-    for neighbours, each in the blocks of its class; of a block k come back, of which the k best stay. Rows with null class or features go.
+    for neighbours, exactly, by the index of neighbours.py. Rows with null class or features, or a null or non-finite number in
+    these, go; so do rows without key. An empty table stays empty.
     """
-    base = df.where(F.col(target).isNotNull() & F.col(features).isNotNull()).select(F.col(key).alias("id"), F.col(features).cast("array<double>").alias("x"), F.col(target).alias("y"))
-    grown = _oversampled(base.select("id", "y"), ["y"], "id", "auto").where("copy > 0")
-    seeds = grown.select(F.col("id").alias("s"), "copy").join(base.withColumnsRenamed({"id": "s", "x": "sx", "y": "sy"}), "s")
-    asked = seeds.select("s", "sx", "sy").dropDuplicates(["s"])
-    small = base.join(asked.select(F.col("sy").alias("y")).distinct(), "y", "left_semi")
-    n = max(1, -(-small.count() // block))
-    small = small.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)))
-    asked = asked.withColumn("sb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    kind = dict(base.dtypes)["id"]
-    near = small.groupBy("y", "b").cogroup(asked.groupBy("sy", "sb")).applyInPandas(_nearest(k), f"s {kind}, d double, id {kind}, x array<double>")
-    place = F.row_number().over(Window.partitionBy("s").orderBy("d", "id"))
-    near = near.withColumn("i", place).where(F.col("i") <= k).groupBy("s").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("m"))  # k rows a seed
-    unit = lambda name: F.pmod(F.xxhash64("s", "copy", F.lit(name)), F.lit(1 << 30)) / (1 << 30)
-    made = seeds.join(near, "s", "left").withColumn("o", F.when(F.size("m") > 0, F.element_at("m", (F.floor(unit("which") * F.size("m")) + 1).cast("int"))["x"]).otherwise(F.col("sx")))
-    made = made.withColumn("t", unit("where")).select(
-        F.lit(None).cast(kind).alias("id"), F.zip_with("sx", "o", lambda a, c: a + F.col("t") * (c - a)).alias("x"), F.col("sy").alias("y")
-    )
+    with temporary(df.sparkSession) as keep:
+        out, _ = synthesised(df, target, features, key, k, cell)
+        filled = _filling(df, [c for c in df.columns if c not in (key, features, target)])
+        for c, v in filled.items():
+            out = out.withColumn(c, F.lit(v).cast(df.schema[c].dataType if isinstance(v, str) else "double"))
+        return keep(written(out.select(*df.columns), "smote"))
+
+
+def synthesised(df: DataFrame, target: str, features: str, key: str, k: int, cell: int) -> tuple[DataFrame, list[DataFrame]]:
+    """key, features and target of all rows and the synthetic ones, and how many rows each was compared with in each wave."""
+    x = F.col(features).cast("array<double>")
+    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    base = df.where(F.col(target).isNotNull() & F.col(key).isNotNull() & fine).select(F.col(key).alias("id"), x.alias("x"), F.col(target).alias("y"))
+    base = written(base, "base")
+    grown = written(_oversampled(base.select("id", "y"), ["y"], "id", "auto").where("copy > 0").select("id", "copy"), "grown")
+    points = base.select("id", "x", F.col("y").cast("string").alias("c"))
+    small = points.join(points.join(grown, "id", "left_semi").select("c").distinct(), "c", "left_semi")
+    near, compared = nearest_in_class(small, grown, k, cell)
+    near = near.withColumn("i", F.row_number().over(Window.partitionBy("s").orderBy("d", "id")))
+    near = near.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("i", F.col("x").alias("o")))).alias("m"))  # k rows each
+    unit = lambda name: F.pmod(F.xxhash64("id", "copy", F.lit(name)), F.lit(1 << 30)) / (1 << 30)
+    made = grown.join(base.dropDuplicates(["id"]), "id").join(near.withColumnRenamed("s", "id"), "id", "left")
+    other = F.when(F.size("m") > 0, F.element_at("m", (F.floor(unit("which") * F.size("m")) + 1).cast("int"))["o"]).otherwise(F.col("x"))
+    made = made.select("y", "x", other.alias("o"), unit("where").alias("t"))
+    made = made.select(F.lit(None).cast(dict(base.dtypes)["id"]).alias("id"), F.zip_with("x", "o", lambda a, c: a + F.col("t") * (c - a)).alias("x"), "y")
     out = base.unionByName(made).select(F.col("id").alias(key), F.col("x").alias(features), F.col("y").alias(target))
-    for c in df.columns:
-        if c not in (key, features, target):
-            if isinstance(df.schema[c].dataType, NumericType):
-                value = df.agg(F.avg(c)).first()[0]
-            else:
-                most = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), c).first()
-                value = most and most[0]
-            out = out.withColumn(c, F.lit(value))
-    return out.select(*df.columns)
+    return out, compared
