@@ -1,4 +1,4 @@
-"""Streaming extensions: sessions of events, and run-over-run checks of micro-batches."""
+"""Streaming extensions: sessions of events and counts in windows."""
 
 from __future__ import annotations
 
