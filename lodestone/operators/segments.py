@@ -64,9 +64,10 @@ def meeting_totals(segments: DataFrame, max_gap: float = 2.0, key: str = "video_
 
 
 def process_transcripts(transcripts: DataFrame) -> DataFrame:
-    """transcript_totals for records with a `segments` array; a null array stops the job, an empty one has zero counts."""
-    held = F.when(F.col("segments").isNull(), F.raise_error("a transcript has no segments").cast("array<struct<id:int,start:double,end:double,text:string,speaker:string>>")).otherwise(F.col("segments"))
-    rows = transcripts.select("video_id", F.posexplode_outer(held).alias("id", "s"))
+    """transcript_totals for records with a `segments` array; an empty array has zero counts, a null one null counts and text: such a record is
+    told apart and stops no other."""
+    rows = transcripts.select("video_id", F.posexplode("segments").alias("id", "s"))
     rows = rows.where("s is not null").select("video_id", "id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("text"))
-    out = transcripts.select("video_id").join(transcript_totals(rows), "video_id", "left")
-    return out.select("video_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("segment_count", "word_count")], F.coalesce("full_text", F.lit("")).alias("full_text"))
+    out = transcripts.select("video_id", F.col("segments").isNotNull().alias("_has")).join(transcript_totals(rows), "video_id", "left")
+    filled = lambda c, nothing: F.when(F.col("_has"), F.coalesce(c, F.lit(nothing))).alias(c)
+    return out.select("video_id", filled("segment_count", 0), filled("word_count", 0), filled("full_text", ""))

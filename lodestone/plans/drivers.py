@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import json
 import logging
-import smtplib
-import sys
-import time
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from datetime import date
-from email.message import EmailMessage
-from pathlib import Path
 from urllib.parse import urljoin
-from urllib.request import Request, urlopen
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import urls
-from ..operators import chunking, html, reports, segments, selection, validation
-from ..schemas import SEGMENT
-from ..session import shared_folder
-from ..sources import fetching, readers, writers
+from ..operators import chunking, crawl, html, reports, segments, selection, validation
+from ..session import temporary, written
+from ..sources import fetching, files, readers, writers
 
 log = logging.getLogger("lodestone")
 
@@ -42,16 +31,16 @@ def log_step(step: str, status: str, **figures: object) -> None:
 def clean_pages(spark: SparkSession, source: str, target: str, glob: str = "handbook_*.json") -> dict:
     """Landed pages, cleaned; valid ones are written to target. Returns the summary."""
     pages = readers.read_pages(spark, source, glob).select(F.col("metadata.url").alias("url"), "metadata", "content")
-    folder = f"{shared_folder(spark)}/cleaned-{uuid4().hex}"
-    cleaned, seen = observed(reports.cleaned_documents(pages, "url", "content", ("metadata",)), "clean")
-    cleaned.write.parquet(folder)  # cleaned once, read by the records, the summary and the list of failures
-    cleaned = spark.read.parquet(folder)
-    record = cleaned.where("is_valid").select(
-        "content", "metadata",
-        F.struct("original_length", "cleaned_length", F.lit("lodestone").alias("processor"), "word_count").alias("processing"),
-    )
-    writers.write_records(record, target, "parquet")
-    out = reports.cleaning_summary(cleaned).first().asDict() | {"failed_urls": reports.failed_documents(cleaned, "url")}
+    with temporary(spark) as keep:
+        cleaned, seen = observed(reports.cleaned_documents(pages, "url", "content", ("metadata",)), "clean")
+        cleaned = written(cleaned, "cleaned")  # cleaned once, read by the records, the summary and the list of failures
+        record = cleaned.where("is_valid").select(
+            "content", "metadata",
+            F.struct("original_length", "cleaned_length", F.lit("lodestone").alias("processor"), "word_count").alias("processing"),
+        )
+        writers.write_records(record, target, "parquet")
+        failed = keep(written(reports.failed_documents(cleaned, "url"), "failed"))
+        out = reports.cleaning_summary(cleaned).first().asDict() | {"failed_urls": failed}
     log_step("clean", "done", rows=seen.get["rows"])
     return out
 
@@ -79,131 +68,124 @@ def check_environment(spark: SparkSession, folders: list[str]) -> dict[str, bool
     return out
 
 
-def copy_folder(spark: SparkSession, source: str, target: str) -> int:
-    """Copy a folder between file systems; the number of files copied."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    a, b = (jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
-    from_, to = a.getFileSystem(conf), b.getFileSystem(conf)
-    files = from_.listFiles(a, True)
-    n = 0
-    while files.hasNext():
-        f = files.next().getPath()
-        rest = f.toString()[len(from_.makeQualified(a).toString()) :].lstrip("/")
-        jvm.org.apache.hadoop.fs.FileUtil.copy(from_, f, to, jvm.org.apache.hadoop.fs.Path(b, rest), False, True, conf)
-        n += 1
-    return n
+def publish(spark: SparkSession, source: str, target: str) -> dict:
+    """Copy a folder between file systems on the executors. Returns files, copied (not there before), failed (differ when read back), and
+    the pointer of the copy: digest and size."""
+    with temporary(spark):
+        told = written(files.copy_folder(spark, source, target), "copied")
+        out = told.agg(F.count(F.lit(1)).alias("files"), F.count_if("copied").alias("copied"), F.count_if(~F.col("verified")).alias("failed")).first().asDict()
+        pointer = files.folder_pointer(told).first()
+    log_step("publish", "done", **out)
+    return out | {"digest": pointer["digest"], "size": pointer["size"]}
 
 
 # Ingestion ---------------------------------------------------------------------------------------
 
 
-def fetch_posts(spark: SparkSession, feed: str, target: str, opener: fetching.Opener = fetching.open_url, most: int = 20, rate: float = 2.0) -> dict:
-    """A landed feed's posts, fetched and written to target. Returns total, successful, failed, relevant, and the failed posts (title, url)."""
+def fetch_posts(spark: SparkSession, feed: str, target: str, opener: fetching.Opener = fetching.open_url, most: int | None = 20, rate: float = 2.0) -> dict:
+    """A landed feed's posts, at most `most` of them (None: all), fetched and written to target. Returns total, successful, failed, relevant, and
+    the failed posts (title, url)."""
     entries = readers.read_feed(spark, feed).withColumn("position", F.monotonically_increasing_id())
-    relevant = selection.is_relevant(F.col("title"), F.col("summary"), F.transform("tags", lambda t: t["term"]))
-    folder = f"{shared_folder(spark)}/posts-{uuid4().hex}"
-    selection.select_posts(entries.withColumn("_relevant", relevant), most, "position", "_relevant").drop("_relevant").write.parquet(f"{folder}/entries")
-    entries = spark.read.parquet(f"{folder}/entries")
-    fetched = fetching.fetch(entries.select(F.col("link").alias("url")).where("url != ''"), opener=opener, rate=rate)
-    contents = fetched.where("html is not null").select(F.col("url").alias("link"), html.post_content(F.col("html")).alias("content"))
-    writers.write_records(selection.posts(entries, contents), target, "parquet")
-    posts = spark.read.parquet(target)
-    made = posts.agg(F.count(F.lit(1)).alias("n"), F.count_if("processing.is_relevant").alias("r")).first()
-    failed = entries.join(posts.select(F.col("metadata.url").alias("link")), "link", "left_anti")
-    failed = failed.select(F.coalesce("title", F.lit("Unknown")).alias("title"), F.coalesce("link", F.lit("Unknown")).alias("url"))
-    total = entries.count()
+    with temporary(spark) as keep:
+        if most is not None:
+            relevant = selection.is_relevant(F.col("title"), F.col("summary"), F.transform("tags", lambda t: t["term"]))
+            entries = selection.select_posts(entries.withColumn("_relevant", relevant), most, "position", "_relevant").drop("_relevant")
+        entries = written(entries, "entries")
+        fetched = fetching.fetch(entries.select(F.col("link").alias("url")).where("url != ''"), opener=opener, rate=rate)
+        contents = fetched.where("html is not null").select(F.col("url").alias("link"), html.post_content(F.col("html")).alias("content"))
+        writers.write_records(selection.posts(entries, contents), target, "parquet")
+        posts = spark.read.parquet(target)
+        made = posts.agg(F.count(F.lit(1)).alias("n"), F.count_if("processing.is_relevant").alias("r")).first()
+        failed = entries.join(posts.select(F.col("metadata.url").alias("link")), "link", "left_anti")
+        failed = keep(written(failed.select(F.coalesce("title", F.lit("Unknown")).alias("title"), F.coalesce("link", F.lit("Unknown")).alias("url")), "failed"))
+        total = entries.count()
     log_step("posts", "done", total=total, successful=made["n"])
     return {"total": total, "successful": made["n"], "failed": total - made["n"], "relevant": made["r"], "failed_posts": failed}
 
 
-def crawl_sections(spark: SparkSession, base: str, sections: list[str], target: str, opener: fetching.Opener = fetching.open_url, most: int = 50, rate: float = 1.0) -> dict:
-    """Pages of each section, first in first out from its start over the links found, until `most` were read; written to target.
+def crawl_sections(spark: SparkSession, base: str, sections: list[str], target: str, opener: fetching.Opener = fetching.open_url, most: int = 50, rate: float = 1.0, rounds: int | None = None) -> dict:
+    """Pages of all sections, crawled at once: each section first in first out from its start over the links found, until `most` of its pages
+    were read; written to target (url, html, error, scraped_at, section, title, content, start, round).
 
-    A round fetches as many of the queue as the section still lacks, on the executors. Pages that fail don't count, and come again if a
-    later page links to them; what one section read the others skip. The driver holds urls only: those read, and the queue, which has
-    the links of `most` pages at most. Returns pages, failed, and pages by section.
+    A round fetches as many of each section's queue as it still lacks. Pages that fail don't count, and come again if a later page
+    links to them; a page that two sections reach is read once (see crawl_together). Returns pages, failed, the failed urls (a table)
+    and pages by section.
     """
-    seen: set[str] = set()
-    failed: list[str] = []
-    by_section: dict[str, int] = {}
-    rounds = 0
-    for path in sections:
-        queue, done = [urljoin(base, path)], 0
-        while queue and done < most:
-            batch, queue = [u for u in queue[: most - done] if u not in seen], queue[most - done :]
-            if not batch:
-                continue
-            rounds += 1
-            got = fetching.fetch(spark.createDataFrame([(u,) for u in batch], "url string"), opener=opener, rate=rate)
-            got = got.select(
-                "url", "html", "error", "scraped_at", urls.section(F.col("url")).alias("section"), html.title(F.col("html")).alias("title"),
-                F.when(F.col("html").isNotNull(), html.content(F.col("html"))).alias("content"), F.lit(rounds).alias("round"),
-            )
-            got.write.mode("append").partitionBy("round").parquet(target)
-            got = spark.read.parquet(target).where(F.col("round") == rounds)
-            links = got.where("html is not null").select("url", "section", F.posexplode_outer(html.hrefs(F.col("html"))).alias("at", "href"))
-            link = urls.absolute_url(F.col("url"), F.col("href"))
-            links = links.select("url", "section", "at", link.alias("link"))
-            links = links.select("url", "at", F.when(urls.is_followed(F.col("link"), base) & (urls.section(F.col("link")) == F.col("section")), F.col("link")).alias("link"))
-            found: dict[str, list[tuple[int, str]]] = {}
-            for r in links.collect():  # the links of `most` pages at most
-                found.setdefault(r["url"], []).append((r["at"] or 0, r["link"]))
-            for i, u in enumerate(batch):
-                if u not in found:
-                    failed.append(u)
-                    continue
-                seen.add(u)
-                done += 1
-                for _, x in sorted(found[u], key=lambda z: z[0]):
-                    if x and x not in seen and x not in queue and x not in batch[i + 1 :]:
-                        queue.append(x)
-        by_section[path] = done
-    log_step("crawl", "done", pages=len(seen), failed=len(failed))
-    return {"pages": len(seen), "failed": len(failed), "failed_urls": failed, "by_section": by_section}
+    numbered = spark.createDataFrame([(i, urljoin(base, s)) for i, s in enumerate(sections)], "start int, page string")
+
+    def visit(pages: DataFrame, r: int) -> DataFrame:
+        got = fetching.fetch(pages.select(F.col("page").alias("url")), opener=opener, rate=rate).join(pages.withColumnRenamed("page", "url"), "url")
+        got.select(
+            "url", "html", "error", "scraped_at", urls.section(F.col("url")).alias("section"), html.title(F.col("html")).alias("title"),
+            F.when(F.col("html").isNotNull(), html.content(F.col("html"))).alias("content"), "start",
+        ).write.mode("overwrite").parquet(f"{target}/round={r}")
+        read = spark.read.parquet(f"{target}/round={r}").where("html is not null")
+        return read.select("start", F.col("url").alias("page"))
+
+    def links(pages: DataFrame, r: int) -> DataFrame:
+        read = spark.read.parquet(f"{target}/round={r}").select("start", F.col("url").alias("page"), "section", html.hrefs(F.col("html")).alias("hrefs"))
+        found = pages.join(read, ["start", "page"]).select("start", "position", "section", "page", F.posexplode("hrefs").alias("number", "href"))
+        found = found.withColumn("link", urls.absolute_url(F.col("page"), F.col("href")))
+        return found.where(urls.is_followed(F.col("link"), base) & (urls.section(F.col("link")) == F.col("section"))).select("start", "position", "number", "link")
+
+    with temporary(spark) as keep:
+        read = crawl.crawl_together(numbered, links, most, visit, rounds)
+        by_start = {r["start"]: r["n"] for r in read.groupBy("start").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a section
+        tried = spark.read.parquet(target)
+        failed = keep(written(tried.where("html is null").select("url", "error").join(read.select(F.col("page").alias("url")), "url", "left_anti").dropDuplicates(["url"]), "failed"))
+        out = {"pages": sum(by_start.values()), "failed": failed.count(), "failed_urls": failed, "by_section": {s: by_start.get(i, 0) for i, s in enumerate(sections)}}
+    log_step("crawl", "done", pages=out["pages"], failed=out["failed"])
+    return out
 
 
 def clean_transcripts(spark: SparkSession, source: str, target: str, glob: str = "*.json") -> dict:
     """Landed transcripts, cleaned, merged and written to target. Returns total, successful and failed (unreadable, or without segments)."""
     records = readers.read_transcripts(spark, source, glob)
     good = F.col("_corrupt_record").isNull() & F.col("segments").isNotNull()
-    folder = f"{shared_folder(spark)}/transcripts-{uuid4().hex}"
-    records.withColumn("_good", good).drop("_corrupt_record").write.parquet(folder)
-    records = spark.read.parquet(folder)
-    told = segments.process_transcripts(records.where("_good"))
-    out = records.where("_good").select("title", "video_id", "url").join(told, "video_id")
-    writers.write_records(out, target, "parquet")
-    total, successful = records.agg(F.count(F.lit(1)), F.count_if("_good")).first()
+    with temporary(spark):
+        records = written(records.withColumn("_good", good).drop("_corrupt_record"), "transcripts")
+        told = segments.process_transcripts(records.where("_good"))
+        out = records.where("_good").select("title", "video_id", "url").join(told, "video_id")
+        writers.write_records(out, target, "parquet")
+        total, successful = records.agg(F.count(F.lit(1)), F.count_if("_good")).first()
     log_step("transcripts", "done", total=total, successful=successful)
     return {"total": total, "successful": successful, "failed": total - successful}
 
 
-def process_videos(spark: SparkSession, listing: DataFrame, target: str, download: Callable[[str], str | None], model: Callable[[], Callable[[str], tuple[str, list[dict]]]]) -> dict:
+def process_videos(spark: SparkSession, listing: DataFrame, target: str, download: Callable[[str], bytes | None] | None, model: Callable[[], Callable[[list[bytes]], list[fetching.Heard]]]) -> dict:
     """Videos of a listing (position, video_id, title) that are neither private nor done: downloaded, transcribed and written to target.
 
-    download(video_id) gives the path of a recording or None, on the executors. target/texts has a transcript text each in a folder
-    named by position and title, target/records the records. Returns successful, failed, skipped.
+    download(video_id) gives the bytes of a recording or None, on the executors; without it, only what was landed in target/audio (a file
+    named by video_id) is heard. target/audio keeps recordings, target/texts has a transcript text each, named by position and title,
+    target/records the records of each run. What a run before left is not done again: recordings are not downloaded, texts not
+    heard twice. Returns successful, failed, skipped.
     """
-    fs = check_environment(spark, [f"{target}/texts"])
-    done = readers.read_transcript_texts(spark, f"{target}/texts") if fs[f"{target}/texts"] else spark.createDataFrame([], "video_id string")
-    folder = f"{shared_folder(spark)}/videos-{uuid4().hex}"
-    done.select("video_id").write.parquet(f"{folder}/done")
-    done = spark.read.parquet(f"{folder}/done")
-    todo = selection.pending_videos(listing, done).select("position", "title", "video_id", F.concat(F.lit("https://www.youtube.com/watch?v="), "video_id").alias("url"))
-
-    def fetch(parts):
-        for part in parts:
-            yield part.assign(path=[download(v) for v in part["video_id"]])
-
-    todo.mapInPandas(fetch, "position int, title string, video_id string, url string, path string").write.parquet(f"{folder}/recordings")
-    recordings = spark.read.parquet(f"{folder}/recordings")
-    heard = fetching.transcribe(recordings.where("path is not null"), model)
-    heard.join(recordings.select("video_id", "position"), "video_id").where("transcript != ''").write.parquet(f"{folder}/heard")
-    heard = spark.read.parquet(f"{folder}/heard")
-    named = writers.transcript_file(heard, urls.numbered_file_name(F.col("position"), F.col("title")))
-    named.write.mode("append").partitionBy("file").option("fileExtension", "txt").text(f"{target}/texts")
-    heard.drop("position").write.mode("append").json(f"{target}/records")
-    failed = recordings.join(heard.select("video_id"), "video_id", "left_anti")
-    status = {r["status"]: r["n"] for r in selection.video_status(listing, done.unionByName(heard.select("video_id")), failed.select("video_id")).collect()}
+    there = check_environment(spark, [f"{target}/audio", f"{target}/texts"])
+    nothing = lambda schema: spark.createDataFrame([], schema)
+    with temporary(spark) as keep:
+        done = readers.read_transcript_texts(spark, f"{target}/texts") if there[f"{target}/texts"] else nothing("video_id string")
+        done = written(done.select("video_id"), "done")
+        todo = selection.pending_videos(listing, done).select("position", "title", "video_id", F.concat(F.lit("https://www.youtube.com/watch?v="), "video_id").alias("url"))
+        todo = written(todo, "todo")
+        audio = lambda: files.listed(spark, f"{target}/audio").select(F.col("file").alias("video_id"))
+
+        if download is not None:
+
+            def fetch(parts):
+                for part in parts:
+                    for v in part["video_id"]:  # a recording a batch
+                        yield part[["video_id"]][part["video_id"] == v].head(1).assign(value=[download(v)])
+
+            missing = todo.select("video_id").distinct().join(audio(), "video_id", "left_anti")
+            got = missing.mapInPandas(fetch, "video_id string, value binary").where("value is not null")
+            files.write_files(got.withColumnRenamed("video_id", "name"), f"{target}/audio")
+        heard = fetching.recordings(spark, f"{target}/audio").withColumnRenamed("file", "video_id").join(todo, "video_id")
+        heard = written(fetching.transcribe(heard, model).where("transcript != ''"), "heard")
+        writers.write_transcripts(heard, f"{target}/texts", urls.numbered_file_name(F.col("position"), F.col("title")))
+        heard.drop("position").write.mode("append").json(f"{target}/records")
+        failed = keep(written(todo.join(heard.select("video_id"), "video_id", "left_anti"), "failed"))
+        rows = selection.video_status(listing, done.unionByName(heard.select("video_id")), failed.select("video_id")).collect()  # a row a status
+    status = {r["status"]: r["n"] for r in rows}
     log_step("videos", "done", **status)
     return {k: status.get(k, 0) for k in ("successful", "failed", "skipped")} | {"failed_videos": failed.select("title", "url")}
 
@@ -214,149 +196,18 @@ def process_videos(spark: SparkSession, listing: DataFrame, target: str, downloa
 def validate_records(spark: SparkSession, records: DataFrame, history: str, run: str, record: str = "record", key: str = "video_id") -> dict[str, DataFrame]:
     """errors (key, errors) of JSON records (text), the run's statistics, added to the history, and the anomalies since the run before."""
     errors = records.select(key, validation.validation_errors(F.col(record)).alias("errors"))
-    held = records.select(key, F.explode(F.from_json(F.get_json_object(record, "$.segments"), f"array<struct<{SEGMENT.replace(' int', ':int').replace(' double', ':double').replace(' string', ':string')}>>")).alias("s"))
+    held = records.select(key, F.explode(validation.segments_of(F.col(record))).alias("s"))
     flat = held.select(F.lit(run).alias("run"), F.col("s.text").alias("text"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
     statistics = segments.segment_statistics(flat, "run").drop("run")
-    writers.append_history(statistics, history, run)
-    runs = spark.read.json(history)
+    writers.write_history(statistics, history, run)
+    runs = writers.read_history(spark, history)
     anomalies = validation.run_anomalies(runs, "run", validation.THRESHOLDS).where(F.col("run") == run)
     return {"errors": errors, "statistics": runs.where(F.col("run") == run), "anomalies": anomalies.withColumn("message", validation.anomaly_message(F.col("metric"), F.col("change")))}
 
 
-# The ordered run ---------------------------------------------------------------------------------
-
-
-class StepFailed(RuntimeError):
-    """A step that failed in all its attempts; steps after its group did not run."""
-
-
-def run_plan(groups: list[dict[str, Callable[[], object]]], retries: int = 2, delay: float = 300.0, timeout: float = 7200.0, senders: list[Callable[[str], None]] | None = None, sleep: Callable[[float], None] = time.sleep) -> dict[str, object]:
-    """Groups of steps in order; the steps of a group run side by side. Returns each step's result.
-
-    A step that raises is tried again after a delay, `retries` times; each failure is sent. If a step of a group fails for good or takes longer
-    than timeout seconds, the others of the group end, and no later group begins.
-    """
-
-    def attempt(name: str, step: Callable[[], object]) -> object:
-        for n in range(retries + 1):
-            try:
-                out = step()
-                log_step(name, "done")
-                return out
-            except Exception as e:
-                log.exception("%s failed (attempt %d)", name, n + 1)
-                report_failure(name, e, senders or [])
-                if n == retries:
-                    raise StepFailed(name) from e
-                sleep(delay)
-        return None
-
-    results: dict[str, object] = {}
-    for group in groups:
-        pool = ThreadPoolExecutor(max(1, len(group)))
-        try:
-            futures = {name: pool.submit(attempt, name, step) for name, step in group.items()}
-            end = time.monotonic() + timeout
-            failures = []
-            for name, future in futures.items():
-                try:
-                    results[name] = future.result(max(0.0, end - time.monotonic()))
-                except TimeoutError as e:
-                    report_failure(name, e, senders or [])
-                    failures.append(StepFailed(f"{name} took longer than {timeout} s"))
-                except StepFailed as e:
-                    failures.append(e)
-        finally:
-            pool.shutdown(wait=False, cancel_futures=True)
-        if failures:
-            raise failures[0]
-    return results
-
-
-def corpus_plan(spark: SparkSession, root: str, run: str, ingests: dict[str, Callable[[], object]], settings: Settings | None = None, senders: list[Callable[[str], None]] | None = None) -> list[dict[str, Callable[[], object]]]:
-    """The groups of a whole run over root: environment, ingests side by side, cleaning, chunking, gate and anomalies side by side, statistics, a
-    snapshot. The gate stops the run if more documents are invalid than valid."""
-    raw, clean, chunks = f"{root}/raw", f"{root}/processed/cleaned", f"{root}/processed/chunked"
-    summary: dict[str, dict] = {}
-
-    def cleaning():
-        summary["clean"] = clean_pages(spark, raw, clean)
-        return summary["clean"]
-
-    def gate():
-        if summary["clean"]["failed"] > summary["clean"]["successful"]:
-            raise ValueError("more invalid documents than valid ones")
-        return summary["clean"]["successful"]
-
-    def empty():
-        found = validation.empty_chunks(spark.read.parquet(chunks), "chunk_id", "chunk_index", "content")
-        deliver(validation.alert_message(found), senders or [])
-        return found.count()
-
-    def statistics():
-        counts = reports.stage_counts({"cleaned": spark.read.parquet(clean), "chunked": spark.read.parquet(chunks)})
-        writers.append_history(counts, f"{root}/statistics", run)
-        return {r["stage"]: r["n"] for r in counts.collect()}
-
-    return [
-        {"check_environment": lambda: check_environment(spark, [raw, clean, chunks, f"{root}/curated"])},
-        ingests,
-        {"clean": cleaning},
-        {"chunk": lambda: chunk_pages(spark, clean, chunks, settings)},
-        {"validate": gate, "detect_anomalies": empty},
-        {"statistics": statistics},
-        {"snapshot": lambda: writers.snapshot(spark.read.parquet(chunks), f"{root}/curated/chunks", run)},
-    ]
-
-
 # Alerts ------------------------------------------------------------------------------------------
 
 
-def set_up_logging(folder: str, name: str = "lodestone") -> logging.Logger:
-    """A logger that writes to the console and to a file of the day in a folder of the driver."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    logger = logging.getLogger(name)
-    logger.setLevel(logging.INFO)
-    form = logging.Formatter("%(asctime)s - %(name)s - %(levelname)s - %(message)s", "%Y-%m-%d %H:%M:%S")
-    for h in list(logger.handlers):
-        logger.removeHandler(h)
-        h.close()
-    for h in (logging.StreamHandler(sys.stdout), logging.FileHandler(Path(folder) / f"{name}_{date.today():%Y%m%d}.log", encoding="utf-8")):
-        h.setFormatter(form)
-        logger.addHandler(h)
-    return logger
-
-
-def mail_sender(settings: dict, subject: str, transport: Callable = smtplib.SMTP_SSL) -> Callable[[str], None]:
-    """A sender by mail. settings: smtp_server, username, password, from, to."""
-
-    def send(message: str) -> None:
-        mail = EmailMessage()
-        mail["Subject"], mail["From"], mail["To"] = subject, settings["from"], settings["to"]
-        mail.set_content(message)
-        with transport(settings["smtp_server"]) as server:
-            server.login(settings["username"], settings["password"])
-            server.send_message(mail)
-
-    return send
-
-
-def _post(url: str, body: bytes) -> int:
-    with urlopen(Request(url, body, {"Content-Type": "application/json"}), timeout=30) as r:
-        return r.status
-
-
-def webhook_sender(url: str, post: Callable[[str, bytes], int] = _post) -> Callable[[str], None]:
-    """A sender to a webhook that takes {"text": message}."""
-
-    def send(message: str) -> None:
-        status = post(url, json.dumps({"text": message}).encode())
-        if status != 200:
-            raise OSError(f"the webhook answered {status}")
-
-    return send
-
-
 def deliver(alert: DataFrame, senders: list[Callable[[str], None]]) -> bool:
     """Hand an alert's message, if there is one, to every sender; one that fails does not stop the others."""
     row = alert.first()

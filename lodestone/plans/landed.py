@@ -3,32 +3,24 @@ or run from there, and compared with SQL over the tables."""
 
 from __future__ import annotations
 
-import os
-from uuid import uuid4
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import config, schemas
 from ..functions import text as T
-from ..operators import chunking, validation
-from ..session import shared_folder
-from ..sources import fetching, readers, writers
+from ..operators import chunking
+from ..session import fresh_path, written
+from ..sources import fetching, files, readers, writers
 from . import drivers
-from .registry import CHUNKS_SQL, CLEANED_SQL, SEGMENTS_SQL, query, segments_view, sql_words, table
+from .registry import CHUNKS_SQL, CLEANED_SQL, EXACT, INSIDE_SQL, QUOTA, ROUNDS, SEGMENTS_SQL, STARTS, link_graph, query, segments_view, sql_merged, sql_rounds, sql_transcript, sql_words, table
 
 #: Records of an array that lands in one file.
 BLOCK = 500
 LANDED = "*.txt"
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
-
-
 def landed(rows: DataFrame, name: str, value: Column | None = None, opening: str = "[", closing: str = "]", between: str = ",", block: int = BLOCK) -> str:
     """A folder with the rows as files of about `block` records each: JSON arrays, or value between opening and closing."""
-    path = fresh_folder(rows.sparkSession, name)
+    path = fresh_path(rows.sparkSession, name)
     many = max(1, -(-rows.count() // block))
     one = F.to_json(F.struct(*rows.columns)) if value is None else value
     texts = rows.select(one.alias("value")).withColumn("block", F.pmod(F.xxhash64("value"), F.lit(many)))
@@ -104,39 +96,84 @@ def landed_feed(spark, sf_dir):
 
 @query(f"""SELECT 'Talk ' || video_id AS title, video_id, 'http://v/' || video_id AS url, string_agg(text, ' ' ORDER BY id) AS transcript FROM ({SEGMENTS_SQL}) GROUP BY video_id""")
 def transcript_files(spark, sf_dir):
-    """Transcript texts, a file each, written and read back."""
+    """Transcript texts, a file each in one folder, written and read back."""
     rows = transcript_records(spark, sf_dir).withColumn("transcript", F.array_join(F.col("segments")["text"], " "))
-    path = fresh_folder(spark, "texts")
-    writers.transcript_file(rows, F.concat("video_id", F.lit(".txt"))).write.partitionBy("file").option("lineSep", " ").text(path)
-    got = readers.read_transcript_texts(spark, path)
-    return got.withColumn("transcript", F.regexp_replace("transcript", " $", ""))
+    path = fresh_path(spark, "texts")
+    writers.write_transcripts(rows, path, F.concat("video_id", F.lit(".txt")))
+    return readers.read_transcript_texts(spark, path)
 
 
-@query("SELECT 'docs' AS run, lang AS name, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'pages', 'all', count(*) FROM pages")
+@query("SELECT 'docs' AS run, lang AS name, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'pages/1', 'all', count(*) FROM pages")
 def statistics_history(spark, sf_dir):
-    """Statistics of two runs, added one after the other."""
-    path = fresh_folder(spark, "history")
-    count = F.count(F.lit(1)).alias("n")
-    writers.append_history(table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("name")).agg(count), path, "docs")
-    writers.append_history(table(spark, sf_dir, "pages").groupBy(F.lit("all").alias("name")).agg(count), path, "pages")
-    return spark.read.json(path).select("run", "name", "n")
+    """Statistics of two runs, one of them written again after an attempt over half its rows: a row a figure stays."""
+    path = fresh_path(spark, "history")
+    d, count = table(spark, sf_dir, "documents"), F.count(F.lit(1)).alias("n")
+    writers.write_history(d.where("doc_id % 2 = 0").groupBy(F.col("source").alias("name")).agg(count), path, "docs")
+    writers.write_history(table(spark, sf_dir, "pages").groupBy(F.lit("all").alias("name")).agg(count), path, "pages/1")
+    writers.write_history(d.groupBy(F.col("lang").alias("name")).agg(count), path, "docs")
+    return writers.read_history(spark, path).select("run", "name", "n")
 
 
 @query("SELECT n_nationkey, n_name, v AS run_id FROM nation, (SELECT unnest([1, 2]) AS v) WHERE v = 1 OR n_nationkey < 10")
 def snapshots(spark, sf_dir):
     """Two versions of a table, copied to another folder, read back together."""
-    path = fresh_folder(spark, "versions")
+    path = fresh_path(spark, "versions")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     writers.snapshot(nation, path, "1")
     writers.snapshot(nation.where("n_nationkey < 10"), path, "2")
-    drivers.copy_folder(spark, path, f"{path}-copy")
-    return spark.read.parquet(f"{path}-copy").select("n_nationkey", "n_name", "run_id")
+    copy = fresh_path(spark, "copy")
+    drivers.publish(spark, path, copy)
+    return spark.read.parquet(copy).select("n_nationkey", "n_name", "run_id")
+
+
+def document_files(spark: SparkSession, sf_dir: str, version: int) -> str:
+    """A folder with a file a document; in the second version every tenth has one more line, every seventh is gone, every ninth has a copy."""
+    d = table(spark, sf_dir, "documents").select(F.concat("doc_id", F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).alias("value"), "doc_id")
+    if version == 2:
+        d = d.withColumn("value", F.when(F.col("doc_id") % 10 == 0, F.concat("value", F.lit("\nmore"))).otherwise(F.col("value"))).where("doc_id % 7 != 0")
+        d = d.unionByName(d.where("doc_id % 9 = 0").withColumn("name", F.concat(F.lit("copy-"), "name")))
+    path = fresh_path(spark, f"files-{version}")
+    files.write_files(d, path)
+    return path
+
+
+FILES_1 = "SELECT doc_id || '.txt' AS file, sha256(coalesce(text, '')) AS digest, octet_length(encode(coalesce(text, ''))) AS size FROM documents"
+_CHANGED = "SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 10 = 0 THEN chr(10) || 'more' ELSE '' END AS text FROM documents WHERE doc_id % 7 <> 0"
+FILES_2 = f"SELECT p || doc_id || '.txt' AS file, sha256(text) AS digest, octet_length(encode(text)) AS size FROM ({_CHANGED}), (SELECT unnest(['', 'copy-']) AS p) WHERE p = '' OR doc_id % 9 = 0"
+
+
+@query(f"""SELECT file, CASE WHEN a.digest IS NULL THEN 'added' WHEN b.digest IS NULL THEN 'removed' ELSE 'changed' END AS change, a.digest AS old_digest, b.digest AS new_digest
+ FROM ({FILES_1}) a FULL JOIN ({FILES_2}) b USING (file) WHERE a.digest IS DISTINCT FROM b.digest""")
+def version_changes(spark, sf_dir):
+    """What differs between two versions of a folder, by their manifests."""
+    old, new = (written(files.manifest(spark, document_files(spark, sf_dir, v)), "manifest") for v in (1, 2))
+    return files.manifest_diff(old, new)
+
+
+def sql_pointer(rows: str) -> str:
+    level = f"SELECT sha256(file || ':' || digest) AS h, size AS s, 1 AS n FROM ({rows})"
+    level = f"SELECT substr(h, 1, {files.DIGITS}) AS k, * FROM ({level})"
+    for digits in range(files.DIGITS, 0, -2):
+        level = f"SELECT substr(k, 1, {digits - 2}) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h, sum(s) AS s, sum(n) AS n FROM ({level}) GROUP BY k"
+    return f"SELECT sha256(string_agg(h, '' ORDER BY h)) AS digest, sum(s)::bigint AS size, sum(n)::bigint AS files FROM ({level})"
+
+
+@query(f"SELECT 1 AS version, * FROM ({sql_pointer(FILES_1)}) UNION ALL SELECT 2, * FROM ({sql_pointer(FILES_2)})")
+def version_pointers(spark, sf_dir):
+    """Digest, size and number of files of two versions of a folder; the second is told of a copy of it."""
+    first = files.folder_pointer(files.manifest(spark, document_files(spark, sf_dir, 1)))
+    copy = fresh_path(spark, "copy")
+    told = drivers.publish(spark, document_files(spark, sf_dir, 2), copy)
+    second = files.folder_pointer(files.manifest(spark, copy))
+    if second.first()["digest"] != told["digest"]:
+        raise ValueError("the copy differs")
+    return first.withColumn("version", F.lit(1)).unionByName(second.withColumn("version", F.lit(2)))
 
 
 @query("SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")
 def partitioned_records(spark, sf_dir):
     """Records written as JSON in folders by language, and read back with it."""
-    path = fresh_folder(spark, "records")
+    path = fresh_path(spark, "records")
     writers.write_records(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), path, "json", ("lang",))
     return spark.read.json(path).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
 
@@ -148,88 +185,130 @@ def partitioned_records(spark, sf_dir):
 def cleaned_pages(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     rows = d.select(F.col("text").alias("content"), F.struct(F.concat(F.lit("u"), "doc_id").alias("url")).alias("metadata"))
-    target = fresh_folder(spark, "cleaned")
+    target = fresh_path(spark, "cleaned")
     drivers.clean_pages(spark, landed(rows, "raw"), target, LANDED)
     return spark.read.parquet(target).select("metadata.url", "content", F.col("processing.word_count").alias("word_count"), F.col("processing.cleaned_length").alias("cleaned_length"))
 
 
 @query(f"SELECT count(*) AS documents, sum(n)::bigint AS chunks, avg(n) AS average_chunks FROM (SELECT d.doc_id, count(c.doc_id) AS n FROM documents d LEFT JOIN ({CHUNKS_SQL}) c ON c.doc_id = d.doc_id GROUP BY d.doc_id)")
 def chunked_pages(spark, sf_dir):
-    source, target = fresh_folder(spark, "clean"), fresh_folder(spark, "chunked")
+    source, target = fresh_path(spark, "clean"), fresh_path(spark, "chunked")
     rows = table(spark, sf_dir, "documents").select(F.struct(F.col("doc_id").cast("string").alias("url")).alias("metadata"), F.col("text").alias("content"))
     rows.write.parquet(source)
     return spark.createDataFrame([drivers.chunk_pages(spark, source, target)], "documents long, chunks long, average_chunks double")
 
 
-def _half_down(url: str) -> str:
-    if int(url.rsplit("/", 1)[1]) % 5 == 0:
-        raise fetching.Gone("down")
-    return "<body><article>A post of some words, at " + url + ". " + "More words. " * 10 + "</article></body>"
+def mirrored(rows: DataFrame) -> str:
+    """A mirror of pages (url, html): a folder with a file a url, named by the url's digest."""
+    path = fresh_path(rows.sparkSession, "mirror")
+    files.write_files(rows.select(F.concat(F.md5("url"), F.lit(".html")).alias("name"), F.col("html").alias("value")), path)
+    return path
 
 
-@query("SELECT 'http://p/' || p_partkey AS url, CASE WHEN p_partkey % 5 = 0 THEN 'down' END AS error, p_partkey % 5 <> 0 AS fetched FROM part WHERE p_partkey % 2 = 1")
+@query("SELECT url, CASE WHEN min(page_id) % 5 <> 0 THEN md5(min(html)) END AS html, min(page_id) % 5 = 0 AS failed FROM pages GROUP BY url HAVING min(page_id) % 7 <> 1")
 def fetched_pages(spark, sf_dir):
-    """Urls that were not seen, each fetched once; those that fail have their error."""
-    u = table(spark, sf_dir, "part").select(F.concat(F.lit("http://p/"), "p_partkey").alias("url"), "p_partkey")
-    out = fetching.fetch(u.unionByName(u), u.where("p_partkey % 2 = 0"), _half_down, attempts=1, rate=0)
-    return out.select("url", "error", F.col("html").isNotNull().alias("fetched"))
+    """Urls that were not seen, each fetched once from a mirror of four fifths of the pages; those that fail have an error."""
+    pages = table(spark, sf_dir, "pages")
+    one = pages.groupBy("url").agg(F.min("page_id").alias("page_id"), F.min("html").alias("html"))
+    mirror = mirrored(one.where("page_id % 5 != 0"))
+    out = fetching.fetch(pages, one.where("page_id % 7 = 1"), fetching.mirror(mirror), attempts=1, rate=0)
+    return out.select("url", F.md5("html").alias("html"), F.col("error").isNotNull().alias("failed"))
 
 
 @query("""SELECT 'http://p/' || p_partkey AS url, p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN 'culture' ELSE 'x' END AS tag, p_partkey % 3 = 0 AS is_relevant,
  'A post of some words, at http://p/' || p_partkey || '. ' || trim(repeat('More words. ', 10)) AS content FROM part WHERE p_partkey % 5 <> 0""")
 def fetched_posts(spark, sf_dir):
     """A feed's posts, all of them, fetched, projected and written; those that can't be fetched are left out."""
-    target = fresh_folder(spark, "posts")
-    n = table(spark, sf_dir, "part").count()
-    drivers.fetch_posts(spark, feed_of_parts(spark, sf_dir), target, _half_down, n, 0)
+    target = fresh_path(spark, "posts")
+    url = F.concat(F.lit("http://p/"), "p_partkey").alias("url")
+    html = F.concat(F.lit("<body><article>A post of some words, at http://p/"), "p_partkey", F.lit(". " + "More words. " * 10 + "</article></body>")).alias("html")
+    mirror = mirrored(table(spark, sf_dir, "part").where("p_partkey % 5 != 0").select(url, html))
+    drivers.fetch_posts(spark, feed_of_parts(spark, sf_dir), target, fetching.mirror(mirror), None, 0)
     return spark.read.parquet(target).select("metadata.url", "metadata.title", F.col("metadata.categories")[0].alias("tag"), "processing.is_relevant", "content")
 
 
-def _numbered(many: int):
-    """Pages of a site: page i links to 2 i + 1 and 2 i + 2; pages in 3 of 10 can't be read."""
+SECTION_OF = "(SELECT page_id, regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) AS section FROM pages)"
+
 
-    def opener(url: str) -> str:
-        i = int(url.rsplit("/", 1)[1])
-        if i >= many or i % 10 == 3:
-            raise fetching.Gone(url)
-        return f'<title>{i}</title><main>text {i}</main><a href="{2 * i + 1}">a</a><a href="http://h/s/{2 * i + 2}">b</a><a href="http://h/other/1">c</a>'
+@query(f"SELECT 'http://h/' || section || '/' || page AS url, 'Page ' || page AS title, section, start, round FROM ({sql_rounds(INSIDE_SQL, 'page % 10 <> 3')}) r JOIN {SECTION_OF} s ON s.page_id = r.page")
+def crawled_sections(spark, sf_dir):
+    """Sections of the pages' link graph crawled at once from a mirror that lacks every tenth page, each up to a number of pages."""
+    edges = link_graph(spark, sf_dir).where("src_section = dst_section")
+    at = lambda section, page: F.concat(F.lit("http://h/"), section, F.lit("/"), page.cast("string"))
+    sections = table(spark, sf_dir, "pages").select(F.col("page_id").alias("src"), F.regexp_extract("url", "^https?://[^/]+/([^/?#]*)", 1).alias("section"))
+    hrefs = edges.groupBy("src").agg(F.array_sort(F.collect_set(F.struct("dst", "dst_section"))).alias("d"))
+    anchors = F.array_join(F.transform("d", lambda d: F.concat(F.lit('<a href="'), at(d["dst_section"], d["dst"]), F.lit('">x</a>'))), "")
+    html = F.concat(F.lit("<title>Page "), F.col("src").cast("string"), F.lit("</title><main>text</main>"), F.coalesce(anchors, F.lit("")))
+    pages = sections.join(hrefs, "src", "left").where("src % 10 != 3").select(at(F.col("section"), F.col("src")).alias("url"), html.alias("html"))
+    starts = {r["src"]: r["section"] for r in sections.where(F.col("src").isin([p for _, p in STARTS])).collect()}  # a row a start
+    target = fresh_path(spark, "crawl")
+    paths = [f"{starts.get(p, '')}/{p}" for _, p in STARTS]
+    drivers.crawl_sections(spark, "http://h/", paths, target, fetching.mirror(mirrored(pages)), QUOTA, 0, ROUNDS)
+    return spark.read.parquet(target).where("html is not null").select("url", "title", "section", "start", "round")
 
-    return opener
 
+HEARD_SQL = "SELECT conv_id, count(*) AS n, string_agg(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' '), ' ' ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id"
 
-@query("""WITH RECURSIVE m AS (SELECT count(*) AS n FROM nation), r(i) AS (SELECT 0::bigint UNION ALL SELECT j FROM (SELECT unnest([2 * i + 1, 2 * i + 2]) AS j FROM r), m WHERE j < n AND j % 10 <> 3)
-SELECT 'http://h/s/' || i AS url, i::varchar AS title, 'text ' || i AS content, 's' AS section FROM r""")
-def crawled_section(spark, sf_dir):
-    """A section crawled over the links of its own pages, without a limit that binds."""
-    target = fresh_folder(spark, "crawl")
-    many = table(spark, sf_dir, "nation").count()
-    drivers.crawl_sections(spark, "http://h/", ["s/0"], target, _numbered(many), many + 1, 0)
-    return spark.read.parquet(target).where("html is not null").select("url", "title", "content", "section")
 
+def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """video_id and value: each conversation as captions (WebVTT), a cue of nine seconds and a half a turn."""
+    at = lambda s, ms: F.format_string(f"%02d:%02d:%02d.{ms}", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+    begin = F.col("turn") * 10
+    text = F.trim(F.regexp_replace("text", "[ \\t\\n\\r\\f\\x0B]+", " "))
+    cue = F.concat(at(begin, "000"), F.lit(" --> "), at(begin + 9, "500"), F.lit("\n"), text)
+    cues = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("video_id")).agg(F.sort_array(F.collect_list(F.struct("turn", cue.alias("cue")))).alias("c"))
+    return cues.select("video_id", F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.col("c")["cue"], "\n\n"), F.lit("\n")).alias("value"))
 
-@query(f"""SELECT video_id, count(*) AS segments, string_agg('heard ' || id, ' ' ORDER BY id) AS transcript FROM ({SEGMENTS_SQL}) GROUP BY video_id""")
+
+@query(f"SELECT conv_id::varchar AS video_id, n AS segments, transcript FROM ({HEARD_SQL})")
 def transcribed(spark, sf_dir):
-    """A model run over recordings; here it reads what it hears from the path."""
-    seg = segments_view(spark, sf_dir).groupBy("video_id").agg(F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), ",").alias("path"))
+    """Landed recordings (captions of the conversations), read as bytes and heard in batches."""
+    path = fresh_path(spark, "recordings")
+    files.write_files(captions(spark, sf_dir).withColumnRenamed("video_id", "name"), path)
+    heard = fetching.transcribe(fetching.recordings(spark, path), fetching.captions)
+    return heard.select(F.col("file").alias("video_id"), F.size("segments").cast("long").alias("segments"), "transcript")
+
+
+def video_run(spark: SparkSession, sf_dir: str) -> tuple[str, dict]:
+    """Videos named after the conversations, of which every seventh recording is missing and every eleventh private; done in two runs, the second
+    of which finds what the first could not. Returns the folder and what the second run says."""
+    held = captions(spark, sf_dir)
+    target = fresh_path(spark, "videos")
+    number = F.col("video_id").cast("int")
+    listing = held.select(number.alias("position"), "video_id", F.when(number % 11 == 0, "[Private video]").otherwise(F.concat(F.lit("Talk: "), "video_id")).alias("title"))
+    land = lambda rows: files.write_files(rows.withColumnRenamed("video_id", "name"), f"{target}/audio")
+    land(held.where("video_id % 7 != 0 and video_id % 2 = 0"))
+    drivers.process_videos(spark, listing, target, None, fetching.captions)
+    land(held.where("video_id % 7 != 0 and video_id % 2 = 1"))
+    return target, drivers.process_videos(spark, listing, target, None, fetching.captions)
+
 
-    def model():
-        def hear(path: str):
-            ids = path.split(",")
-            return " ".join(f"heard {i}" for i in ids), [{"id": int(i), "start": 0.0, "end": 1.0, "text": "heard"} for i in ids]
+@query(f"SELECT conv_id::varchar AS video_id, 'Talk: ' || conv_id AS title, 'https://www.youtube.com/watch?v=' || conv_id AS url, transcript FROM ({HEARD_SQL}) WHERE conv_id % 7 <> 0 AND conv_id % 11 <> 0")
+def video_texts(spark, sf_dir):
+    """The transcripts of two runs over recordings, read from their files."""
+    return readers.read_transcript_texts(spark, f"{video_run(spark, sf_dir)[0]}/texts").select("video_id", "title", "url", "transcript")
 
-        return hear
 
-    rec = seg.select(F.lit("t").alias("title"), "video_id", F.lit("u").alias("url"), "path")
-    return fetching.transcribe(rec, model).select("video_id", F.size("segments").cast("long").alias("segments"), "transcript")
+@query("""SELECT count(*) FILTER (c % 7 <> 0 AND c % 11 <> 0) AS successful, count(*) FILTER (c % 7 = 0 AND c % 11 <> 0) AS failed, count(*) FILTER (c % 11 = 0) AS skipped
+ FROM (SELECT DISTINCT conv_id AS c FROM conversations)""")
+def video_summary(spark, sf_dir):
+    """What the second run says of all videos: texts of the first count, recordings that are missing still have failed."""
+    out = video_run(spark, sf_dir)[1]
+    return spark.createDataFrame([{k: out[k] for k in ("successful", "failed", "skipped")}], "successful long, failed long, skipped long")
 
 
-@query(f"""SELECT video_id, count(*) AS segments FROM ({SEGMENTS_SQL}) GROUP BY video_id""")
+_SHIFTED = f"""SELECT video_id, id, "start" + CASE WHEN video_id::bigint % 2 = 1 THEN 0.25 ELSE 0 END AS "start", "end", speaker, {sql_transcript('text')} AS text FROM ({SEGMENTS_SQL})"""
+
+
+@query(f"""SELECT video_id, title, segments, word_count, {sql_transcript('full_text')} AS full_text FROM (SELECT video_id, 'Talk ' || video_id AS title, count(*) AS segments, sum({sql_words('text')})::bigint AS word_count,
+ string_agg(text, ' ' ORDER BY id) AS full_text FROM ({sql_merged(_SHIFTED, EXACT)}) GROUP BY video_id)""")
 def cleaned_transcripts(spark, sf_dir):
-    """Transcripts landed, cleaned and written; no segment of theirs is lost to a record that can't be read."""
-    target = fresh_folder(spark, "cleaned")
-    source = landed(transcript_records(spark, sf_dir).withColumn("segments", F.transform("segments", lambda s: s.withField("start", s["start"] + 0.25))), "raw", block=50)
+    """Transcripts landed, cleaned, merged and written, with their texts; in every second record no segment begins where one ends."""
+    target = fresh_path(spark, "cleaned")
+    shift = F.when(F.col("video_id") % 2 == 1, 0.25).otherwise(0.0)
+    source = landed(transcript_records(spark, sf_dir).withColumn("segments", F.transform("segments", lambda s: s.withField("start", s["start"] + shift))), "raw", block=50)
     drivers.clean_transcripts(spark, source, target, LANDED)
-    return spark.read.parquet(target).select("video_id", F.col("segment_count").alias("segments"))
+    return spark.read.parquet(target).select("video_id", "title", F.col("segment_count").alias("segments"), "word_count", "full_text")
 
 
 @query(f"""WITH a AS (SELECT '1' AS run, * FROM ({SEGMENTS_SQL}) WHERE CAST(video_id AS bigint) % 2 = 0 UNION ALL SELECT '2', * FROM ({SEGMENTS_SQL})),
@@ -240,64 +319,6 @@ SELECT metric, 'Anomaly detected in ' || metric || ': Changed by ' || printf('%.
 def validated_runs(spark, sf_dir):
     """Two runs of validation, the second over twice the records: statistics kept in a history, and what moved too far."""
     rows = transcript_records(spark, sf_dir).select("video_id", F.to_json(F.struct("title", "video_id", "segments")).alias("record"))
-    history = fresh_folder(spark, "history")
+    history = fresh_path(spark, "history")
     drivers.validate_records(spark, rows.where("video_id % 2 = 0"), history, "1")
     return drivers.validate_records(spark, rows, history, "2")["anomalies"].select("metric", "message")
-
-
-@query("SELECT unnest(['a', 'b', 'c', 'd']) AS step, unnest(['1', '2', '3', '6']) AS result")
-def ordered_run(spark, sf_dir):
-    """Groups of steps in order, one of which fails at first."""
-    tried: list[int] = []
-    results: dict[str, int] = {}
-
-    def flaky():
-        tried.append(1)
-        if len(tried) < 2:
-            raise OSError("down")
-        return results.setdefault("b", 2)
-
-    groups = [{"a": lambda: results.setdefault("a", 1), "b": flaky}, {"c": lambda: results.setdefault("c", results["a"] + results["b"])}, {"d": lambda: sum(results.values())}]
-    out = drivers.run_plan(groups, retries=1, delay=0)
-    return spark.createDataFrame([(k, str(v)) for k, v in out.items()], "step string, result string")
-
-
-@query("SELECT unnest(['Data Pipeline Anomalies Detected:' || chr(10) || chr(10) || '- m1' || chr(10) || '- m2', 'Pipeline Error in step ''clean'':' || chr(10) || 'x']) AS message")
-def sent_alerts(spark, sf_dir):
-    """What senders get of anomalies and of a step that failed; one sender always fails."""
-    sent: list[str] = []
-
-    def broken(_: str) -> None:
-        raise OSError("down")
-
-    anomalies = spark.createDataFrame([("m2",), ("m1",)], "message string")
-    drivers.deliver(validation.alert_message(anomalies), [broken, sent.append])
-    drivers.report_failure("clean", ValueError("x"), [broken, sent.append])
-    return spark.createDataFrame([(x,) for x in sent], "message string")
-
-
-@query("SELECT unnest(['data', 'logs', 'data']) AS folder, unnest([false, false, true]) AS was_there")
-def checked_folders(spark, sf_dir):
-    root = fresh_folder(spark, "environment")
-    first = drivers.check_environment(spark, [f"{root}/data", f"{root}/logs"])
-    again = drivers.check_environment(spark, [f"{root}/data"])
-    return spark.createDataFrame([(k.rsplit("/", 1)[1], v) for x in (first, again) for k, v in x.items()], "folder string, was_there boolean")
-
-
-# Settings, schemas -------------------------------------------------------------------------------
-
-
-@query("SELECT unnest(['a.b', 'a.c', 'a.missing', 'list']) AS path, unnest(['x-value', '${LODESTONE_UNSET}', 'default', '[${LODESTONE_QUERY}]']) AS value")
-def settings_tree(spark, sf_dir):
-    os.environ["LODESTONE_QUERY"] = "value"
-    tree = config.substituted({"a": {"b": "x-${LODESTONE_QUERY}", "c": "${LODESTONE_UNSET}"}, "list": ["${LODESTONE_QUERY}"]})
-    found = [(p, config.lookup(tree, p, "default")) for p in ("a.b", "a.c", "a.missing", "list")]
-    return spark.createDataFrame([(p, "[" + ",".join(v) + "]" if isinstance(v, list) else v) for p, v in found], "path string, value string")
-
-
-@query("""SELECT unnest(['title', 'video_id', 'url', 'transcript', 'full_text', 'segments']) AS name, unnest([true, true, false, false, false, true]) AS required,
- unnest(['string', 'string', 'string', 'string', 'string', 'array<struct<id:int,start:double,end:double,text:string,speaker:string>>']) AS type""")
-def transcript_schema(spark, sf_dir):
-    """The transcript schema, saved and loaded."""
-    fields = schemas.loaded(schemas.saved(schemas.parsed(schemas.TRANSCRIPT))).fields
-    return spark.createDataFrame([(f.name, f.name in schemas.REQUIRED, f.dataType.simpleString()) for f in fields], "name string, required boolean, type string")

@@ -339,6 +339,26 @@ def missing_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(told, lambda m: F.replace(m, F.lit("Missing required field: "), F.lit(""))), ",").alias("missing"))
 
 
+@query("SELECT 'OBJECT<' || string_agg(DISTINCT k || ': ' || CASE WHEN json_type(props, '$.' || k) IN ('UBIGINT', 'BIGINT') THEN 'BIGINT' ELSE json_type(props, '$.' || k) END, ', ') || '>' AS schema, count(DISTINCT event_id) AS records, 0::bigint AS broken FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+def props_schema(spark, sf_dir):
+    """The schema that all events' properties have together."""
+    return validation.inferred_schema(table(spark, sf_dir, "events"), "props")
+
+
+_FOUND = "CASE WHEN json_type(p, '$.' || k) IN ('UBIGINT', 'BIGINT') THEN 'BIGINT' WHEN json_type(p, '$.' || k) = 'VARCHAR' THEN 'STRING' ELSE json_type(p, '$.' || k) END"
+
+
+@query(f"""WITH r AS (SELECT props AS p FROM events UNION ALL SELECT '{{"k": "' || event_type || '", "user": ' || user_id || ', "late": ' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'null' END || '}}' FROM events WHERE event_id % 10 = 0),
+f AS (SELECT k AS field, replace({_FOUND}, 'NULL', 'VOID') AS found, count(*) AS records FROM (SELECT p, unnest(json_keys(p)) AS k FROM r) GROUP BY 1, 2), t AS (SELECT * FROM (VALUES ('k', 'BIGINT'), ('user', 'BIGINT'), ('tags', 'ARRAY<STRING>')) v(field, stored))
+SELECT field, stored, found, coalesce(records, 0) AS records, CASE WHEN found IS NULL THEN 'missing' WHEN stored IS NULL THEN 'new' WHEN stored <> found THEN 'retyped' WHEN records < (SELECT count(*) FROM r) THEN 'partial' ELSE 'same' END AS status FROM t FULL JOIN f USING (field)""")
+def props_drift(spark, sf_dir):
+    """Events' properties, and those of a later version for every tenth, against a stored schema."""
+    e = table(spark, sf_dir, "events")
+    later = F.concat(F.lit('{"k": "'), "event_type", F.lit('", "user": '), "user_id", F.lit(', "late": '), F.when(F.col("event_id") % 2 == 0, "true").otherwise("null"), F.lit("}"))
+    rows = e.select("props").unionByName(e.where("event_id % 10 = 0").select(later.alias("props")))
+    return validation.schema_drift(rows, "props", "k bigint, user bigint, tags array<string>")
+
+
 @query(f"""SELECT count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS invalid, true AS passed FROM (SELECT is_valid AS ok FROM ({CLEANED_SQL}))""")
 def validity_gate(spark, sf_dir):
     return validation.validity_gate(reports.cleaned_documents(table(spark, sf_dir, "documents"), "doc_id", "text"))
@@ -361,10 +381,21 @@ def empty_content(spark, sf_dir):
     return validation.empty_chunks(lines, "doc_id", "pos", "content")
 
 
-@query(f"""SELECT count(*) AS anomaly_count, list('Segment ' || id || ' of ' || video_id ORDER BY 'Segment ' || id || ' of ' || video_id)[:1000] AS anomalies FROM ({SEGMENTS_SQL}) WHERE "start" >= "end" """)
+BAD_SEGMENTS = f"""SELECT 'Segment ' || id || ' of ' || video_id AS m FROM ({SEGMENTS_SQL}) WHERE "start" >= "end" """
+
+
+@query(f"SELECT m AS message, row_number() OVER (ORDER BY m) AS number, count(*) OVER () AS total FROM ({BAD_SEGMENTS})")
 def anomaly_report(spark, sf_dir):
+    """All anomalies in order, a row each."""
     bad = segments_view(spark, sf_dir).where("start >= `end`")
-    return reports.anomaly_report(bad.select(F.concat(F.lit("Segment "), "id", F.lit(" of "), "video_id").alias("message")))
+    return reports.anomaly_list(bad.select(F.concat(F.lit("Segment "), "id", F.lit(" of "), "video_id").alias("message")))
+
+
+@query(f"SELECT count(*) AS anomaly_count, list(m ORDER BY m) AS anomalies FROM ({BAD_SEGMENTS} AND video_id::bigint % 10 = 0)")
+def anomaly_summary(spark, sf_dir):
+    """The report of some records' anomalies in one row, whole."""
+    bad = segments_view(spark, sf_dir).where("start >= `end` and video_id % 10 = 0")
+    return reports.anomaly_report(bad.select(F.concat(F.lit("Segment "), "id", F.lit(" of "), "video_id").alias("message")), most=None)
 
 
 @query(f"""SELECT count(*) AS n, 'Data Pipeline Anomalies Detected:' || chr(10) || chr(10) || array_to_string(list('- ' || m ORDER BY m)[:1000], chr(10)) || CASE WHEN count(*) > 1000 THEN chr(10) || '... and ' || (count(*) - 1000) || ' more' ELSE '' END AS message
@@ -556,11 +587,18 @@ def _sql_content(x: str) -> str:
     return f"array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda l: trim(l, {ENDS})), lambda l: l <> ''), chr(10))"
 
 
-@query(f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Main' || chr(10) || 'part' ELSE {_sql_content('html')} END AS content FROM pages")
+def variants(df: DataFrame, column: str, **more: Column) -> DataFrame:
+    """page_id, kind and html: every page as it is (kind `own`), and once more for each variant of it."""
+    kinds = F.array(F.struct(F.lit("own").alias("kind"), F.col(column).alias("html")), *(F.struct(F.lit(k).alias("kind"), v.alias("html")) for k, v in more.items()))
+    return df.select("page_id", F.inline(kinds))
+
+
+@query(f"SELECT page_id, 'own' AS kind, {_sql_content('html')} AS content FROM pages UNION ALL SELECT page_id, 'main', 'Main' || chr(10) || 'part' FROM pages")
 def page_content(spark, sf_dir):
-    """Every second page gets a <main>, which comes before <article>."""
-    whole = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<main><nav>x</nav> Main<p>part</p></main>"), F.col("html"))).otherwise(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", html.content(whole).alias("content"))
+    """Every page as it is, and once more with a <main>, which comes before <article>."""
+    pages = table(spark, sf_dir, "pages")
+    main = F.concat(F.lit("<main><nav>x</nav> Main<p>part</p></main>"), F.col("html"))
+    return variants(pages, "html", main=main).select("page_id", "kind", html.content(F.col("html")).alias("content"))
 
 
 @query(f"SELECT page_id, {_sql_content('html')} AS content FROM pages")
@@ -568,26 +606,24 @@ def article_content(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.article_content(F.col("html")).alias("content"))
 
 
-@query(f"SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'Inner' WHEN 2 THEN 'Role' WHEN 3 THEN NULL ELSE {_sql_content('html')} END AS content FROM pages")
+@query(f"""SELECT page_id, unnest(['own', 'main']) AS kind, {_sql_content('html')} AS content FROM pages UNION ALL SELECT page_id, 'class', 'Inner' FROM pages
+ UNION ALL SELECT page_id, 'role', 'Role' FROM pages UNION ALL SELECT page_id, 'none', NULL FROM pages""")
 def post_content(spark, sf_dir):
-    """Posts with an article before a <main>, with a class before a <main>, with a role alone, and without any content."""
-    kind = F.col("page_id") % 4
-    whole = (
-        F.when(kind == 1, F.lit("<body><main>Main</main><div class='a content b'>Inner</div></body>"))
-        .when(kind == 2, F.lit('<body>text<div role="main">Role</div></body>'))
-        .when(kind == 3, F.lit("<p>no body</p>"))
-        .otherwise(F.concat(F.lit("<main>Main</main>"), F.col("html")))
-    )
-    return table(spark, sf_dir, "pages").select("page_id", html.post_content(whole).alias("content"))
-
-
-@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) WHEN 1 THEN 'Head ' || page_id ELSE 'Untitled' END AS title FROM pages")
+    """Every page as it is, with a <main> behind which its article still comes first; and posts with a class before a <main>, with a
+    role alone, and without any content."""
+    held = variants(
+        table(spark, sf_dir, "pages"), "html", main=F.concat(F.lit("<main>Main</main>"), F.col("html")),
+        **{"class": F.lit("<body><main>Main</main><div class='a content b'>Inner</div></body>")}, role=F.lit('<body>text<div role="main">Role</div></body>'), none=F.lit("<p>no body</p>"),
+    )
+    return held.select("page_id", "kind", html.post_content(F.col("html")).alias("content"))
+
+
+@query("""SELECT page_id, 'own' AS kind, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages UNION ALL SELECT page_id, 'heading', 'Head ' || page_id FROM pages
+ UNION ALL SELECT page_id, 'none', 'Untitled' FROM pages""")
 def page_title(spark, sf_dir):
-    """A third of the pages each: as they are, with a heading alone, with neither title nor heading."""
-    kind = F.col("page_id") % 3
+    """Every page as it is, and once more with a heading alone, and with neither title nor heading."""
     head = F.concat(F.lit("<h1 class='x'> Head <b>"), F.col("page_id").cast("string"), F.lit("</b></h1>"))
-    whole = F.when(kind == 1, head).when(kind == 2, F.lit("<p>none</p>")).otherwise(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", html.title(whole).alias("title"))
+    return variants(table(spark, sf_dir, "pages"), "html", heading=head, none=F.lit("<p>none</p>")).select("page_id", "kind", html.title(F.col("html")).alias("title"))
 
 
 @query("""SELECT DISTINCT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h AS link FROM (
@@ -649,6 +685,36 @@ def crawl_bfs(spark, sf_dir):
     return crawl.crawl(link_graph(spark, sf_dir), 1).select("page")
 
 
+#: Three crawls at once, two of them in one section where pages are contested; pages of each, rounds of all.
+STARTS, QUOTA, ROUNDS = ((0, 1), (1, 2), (2, 11)), 40, 6
+
+
+def sql_rounds(links: str, readable: str = "true") -> str:
+    """start, page, position, round of a crawl of STARTS over links (src, dst), a round a step: queues q, pages taken t, pages read s."""
+    parts = [f"g AS ({links})", "q1 AS (SELECT s::integer AS s, page::bigint AS page, 0 AS found, 0 AS parent, 0::bigint AS number FROM (VALUES " + ", ".join(map(str, STARTS)) + ") v(s, page))", "s0 AS (SELECT 0 AS s, 0::bigint AS page, 0 AS position, 0 AS round WHERE false)"]
+    for r in range(1, ROUNDS + 1):
+        parts += [
+            f"k{r} AS MATERIALIZED (SELECT q.s, q.page, row_number() OVER (PARTITION BY q.s ORDER BY found, parent, number, page) AS rank, coalesce(d.done, 0) AS done FROM q{r} q LEFT JOIN (SELECT s, count(*) AS done FROM s{r - 1} GROUP BY s) d ON d.s = q.s)",
+            f"t{r} AS MATERIALIZED (SELECT s, page, rank, done FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY s) AS i FROM k{r} WHERE rank + done <= {QUOTA}) WHERE i = 1)",
+            f"f{r} AS MATERIALIZED (SELECT s, page, (row_number() OVER (PARTITION BY s ORDER BY rank) + done)::integer AS position, {r} AS round FROM t{r} WHERE {readable})",
+            f"s{r} AS MATERIALIZED (SELECT * FROM s{r - 1} UNION ALL SELECT * FROM f{r})",
+            f"""q{r + 1} AS MATERIALIZED (SELECT s, page, min(o).a AS found, min(o).b AS parent, min(o).c AS number FROM (
+  SELECT s, page, {{'a': found, 'b': parent, 'c': number}} AS o FROM q{r} WHERE NOT EXISTS (SELECT 1 FROM t{r} t WHERE t.s = q{r}.s AND t.page = q{r}.page)
+  UNION ALL SELECT f.s, g.dst, {{'a': {r}, 'b': f.position, 'c': g.dst}} FROM f{r} f JOIN g ON g.src = f.page) WHERE page NOT IN (SELECT page FROM s{r}) GROUP BY s, page)""",
+        ]
+    return "WITH " + ",\n".join(parts) + f"\nSELECT s AS start, page, position, round FROM s{ROUNDS}"
+
+
+INSIDE_SQL = f"SELECT DISTINCT src, dst FROM ({LINKS_SQL}) WHERE src_section = dst_section"
+
+
+@query(sql_rounds(INSIDE_SQL))
+def crawl_quota(spark, sf_dir):
+    """Several sections crawled at once, each up to a number of pages."""
+    starts = spark.createDataFrame(STARTS, "start int, page long")
+    return crawl.crawl_sections(link_graph(spark, sf_dir), starts, QUOTA, ROUNDS)
+
+
 @query("SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)")
 def unseen_urls(spark, sf_dir):
     p = table(spark, sf_dir, "pages")

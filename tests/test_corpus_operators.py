@@ -4,6 +4,7 @@ import json
 import random
 import re
 import unicodedata
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 from lodestone import config, schemas
 from lodestone.functions import text as T
 from lodestone.functions import urls as U
-from lodestone.operators import bias, chunking, crawl, html, reports, sampling, segments, selection, validation
+from lodestone.operators import bias, chunking, crawl, html, neighbours, reports, sampling, segments, selection, validation
 from lodestone.plans.corpus import chunk_report, prepared_chunks
+from lodestone.session import temporary
 from lodestone.sources import readers, writers
-from lodestone.streaming import sessions
+from lodestone.streaming import runs, sessions
 
 
 def one(spark, column, value):
@@ -222,8 +224,9 @@ def test_transcripts(spark):
     records = spark.createDataFrame([("a", []), ("b", [(0, 0.0, 5.0, "hi um", "x")])], "video_id string, segments array<struct<id:int,start:double,end:double,text:string,speaker:string>>")
     done = {r["video_id"]: (r["segment_count"], r["word_count"], r["full_text"]) for r in segments.process_transcripts(records).collect()}
     assert done == {"a": (0, 0, ""), "b": (1, 1, "hi")}
-    with pytest.raises(Exception, match="no segments"):
-        segments.process_transcripts(records.withColumn("segments", F.lit(None).cast(records.schema["segments"].dataType))).collect()
+    none = records.withColumn("segments", F.when(F.col("video_id") == "b", F.col("segments")))
+    done = {r["video_id"]: (r["segment_count"], r["word_count"], r["full_text"]) for r in segments.process_transcripts(none).collect()}
+    assert done == {"a": (None, None, None), "b": (1, 1, "hi")}  # a record without segments stops no other
     assert segments.meeting_totals(df).count() == 2
 
 
@@ -238,6 +241,23 @@ def test_validation(spark):
     assert got[0] == []
     assert got[1] == ["Missing required field: video_id", "Segment 0 has invalid time range", "Segment 1 missing field: id", "Segment 1 missing field: text", "Segment 1 has invalid time range"]
     assert got[2] == [f"Missing required field: {k}" for k in schemas.REQUIRED]
+    odd = spark.createDataFrame([("[1]",), ("not json",), (None,), ('{"title": 1, "video_id": null, "segments": {"a": 1}}',), ('{"title": 1, "video_id": 2, "segments": [7, {"id": 1, "start": "2", "end": 1.5, "text": null}]}',)], "x string")
+    got = [r["e"] for r in odd.select(validation.validation_errors(F.col("x")).alias("e")).collect()]
+    assert got[:3] == [[f"Missing required field: {k}" for k in schemas.REQUIRED]] * 3 and got[3] == []
+    assert got[4] == [f"Segment 0 missing field: {k}" for k in schemas.REQUIRED_IN_SEGMENT] + ["Segment 1 has invalid time range"]
+
+
+def test_schema_of_records(spark):
+    rows = spark.createDataFrame([(1, '{"a": 1, "b": "x"}'), (2, '{"a": 2.5, "c": {"d": [1]}}'), (3, '{"a": null}'), (4, "broken"), (5, None), (6, '{"a": 3, "b": "y"}')], "i int, r string")
+    told = validation.inferred_schema(rows, "r").first()
+    assert (told["records"], told["broken"]) == (5, 1) and told["schema"].startswith("OBJECT<a: DECIMAL") and "c: OBJECT<d: ARRAY<BIGINT>>" in told["schema"]
+    got = {(r["field"], r["found"]): (r["stored"], r["records"], r["status"]) for r in validation.schema_drift(rows, "r", "a bigint, b string, z int").collect()}
+    assert got == {
+        ("a", "BIGINT"): ("BIGINT", 2, "partial"), ("a", "DECIMAL(2,1)"): ("BIGINT", 1, "retyped"), ("a", "VOID"): ("BIGINT", 1, "retyped"),
+        ("b", "STRING"): ("STRING", 2, "partial"), ("c", "OBJECT<d: ARRAY<BIGINT>>"): (None, 1, "new"), ("z", None): ("INT", 0, "missing"),
+    }
+    assert {r["status"] for r in validation.schema_drift(rows.where("i = 1"), "r", "a bigint, b string").collect()} == {"same"}
+    assert [r["status"] for r in validation.schema_drift(rows.limit(0), "r", "a bigint").collect()] == ["missing"]
 
 
 def test_anomalies(spark):
@@ -294,13 +314,41 @@ def test_sampling(spark):
 
 
 def test_smote(spark):
-    df = spark.createDataFrame([(i, [float(i), 1.0], 0 if i < 30 else 1) for i in range(40)], "id long, x array<double>, y int")
-    out = sampling.smote(df, "y", "x", "id", block=4)
+    df = spark.createDataFrame([(i, [float(i), 1.0], 0 if i < 30 else 1, "b" if i % 2 else "a", i % 3 == 0, 2.0 * i, None) for i in range(40)], "id long, x array<double>, y int, g string, f boolean, v double, n string")
+    out = sampling.smote(df, "y", "x", "id", cell=4)
     assert {r["y"]: r["count"] for r in out.groupBy("y").count().collect()} == {0: 30, 1: 30}
     assert all(30 <= r["x"][0] <= 39 and r["x"][1] == 1.0 for r in out.where("id is null").collect())
-    more = df.withColumn("z", F.col("id").cast("double")).withColumn("g", F.when(F.col("id") < 25, "a").otherwise("b"))
-    out = sampling.smote(more, "y", "x", "id")
-    assert out.columns == more.columns and {(r["z"], r["g"]) for r in out.collect()} == {(19.5, "a")}
+    assert out.columns == df.columns and {(r["g"], r["f"], r["v"], r["n"]) for r in out.collect()} == {("a", False, 39.0, None)}
+    odd = spark.createDataFrame([(1, [1.0], "a"), (2, [2.0], "a"), (3, [3.0], "b"), (4, None, "b"), (5, [None], "b"), (6, [float("nan")], "b"), (7, [1.0], None), (None, [1.0], "b")], "id long, x array<double>, y string")
+    assert sorted((r["y"], r["x"]) for r in sampling.smote(odd, "y", "x", "id").collect()) == [("a", [1.0]), ("a", [2.0]), ("b", [3.0]), ("b", [3.0])]
+    assert sampling.smote(odd.limit(0), "y", "x", "id").collect() == []
+
+
+@pytest.mark.parametrize("structure", [True, False])
+def test_neighbours_in_classes(spark, monkeypatch, structure):
+    """All pairs give the same neighbours, ties included; with structure, few rows are compared."""
+    monkeypatch.setattr(neighbours, "PIECE", 150)
+    monkeypatch.setattr(neighbours, "PAST", 100)
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(30, 8)) * (20 if structure else 0)
+    rows = [(i, [float(round(v, 2)) for v in centres[r.integers(0, 30)] + r.normal(size=8)], "abc"[i % 7 % 3]) for i in range(2400)]
+    rows += [(3000 + i, rows[0][1], "a") for i in range(20)]  # copies: ties
+    points = spark.createDataFrame(rows, "id long, x array<double>, c string").repartition(4)
+    with temporary(spark):
+        best, waves = neighbours.nearest_in_class(points, points.where("id % 4 = 0").select("id"), 5, cell=60)
+        got = sorted((x["s"], x["d"], x["id"]) for x in best.collect())
+        compared = sum(w.agg(F.sum("compared")).first()[0] for w in waves)
+    want, pairs = [], 0
+    for c in "abc":
+        ids = np.array([i for i, _, y in rows if y == c])
+        x = np.array([v for _, v, y in rows if y == c])
+        for j in np.flatnonzero(ids % 4 == 0):
+            d = neighbours.distances(x, x[j])
+            o = [i for i in np.lexsort((ids, d)) if i != j][:5]
+            want += [(int(ids[j]), float(d[i]), int(ids[i])) for i in o]
+            pairs += len(ids)
+    assert got == sorted(want)
+    assert len(waves) > 1 and compared < pairs * (0.25 if structure else 1.01)
 
 
 def test_no_class_is_sorted(spark):
@@ -395,6 +443,18 @@ def test_reports(spark):
     assert reports.anomaly_report(docs.select(F.lit("m").alias("message"))).first()["anomaly_count"] == 3
 
 
+def test_all_anomalies_are_listed(spark):
+    """No cap on the list; the message of an alert is bounded, and says how many it leaves out."""
+    rows = spark.range(2500).select(F.format_string("m%06d", F.col("id") % 2400).alias("message")).repartition(6)
+    want = sorted(f"m{i % 2400:06d}" for i in range(2500))
+    got = sorted((r["number"], r["message"], r["total"]) for r in reports.anomaly_list(rows).collect())
+    assert got == [(i + 1, m, 2500) for i, m in enumerate(want)]
+    assert reports.anomaly_report(rows, most=None).first()["anomalies"] == want
+    assert validation.alert_message(rows).first()["message"].endswith("\n... and 1500 more")
+    assert validation.alert_message(rows, most=None).first()["message"].count("\n- ") == 2500
+    assert reports.anomaly_list(rows.limit(0)).collect() == []
+
+
 def test_sources(spark, tmp_path):
     d = tmp_path / "in"
     d.mkdir()
@@ -410,13 +470,13 @@ def test_sources(spark, tmp_path):
     assert readers.read_cleaned(spark, str(d)).first()["content"] == "spoken"
     t = readers.read_transcript_texts(spark, str(d))
     assert tuple(t.first()) == ("T: x", "i", "http://u", "Body\nline\n")
-    assert writers.transcript_file(t).first()["value"] == (d / "t.txt").read_text()
+    assert t.select(writers.transcript_text().alias("x")).first()["x"] == (d / "t.txt").read_text()
     assert [r["title"] for r in readers.read_feed(spark, f"{d}/feed.xml").collect()] == ["A", "B"]
     out = str(tmp_path / "out")
     writers.write_records(pages.select("content", "metadata.section"), out, partition_by=("section",))
     assert spark.read.json(out).count() == 2
     for run in ("r1", "r2"):
-        writers.append_history(spark.range(1), f"{tmp_path}/h", run)
+        writers.write_history(spark.range(1), f"{tmp_path}/h", run)
         writers.snapshot(spark.range(2), f"{tmp_path}/v", run)
     assert spark.read.json(f"{tmp_path}/h").count() == 2 and spark.read.parquet(f"{tmp_path}/v").select("run_id").distinct().count() == 2
     s = schemas.parsed(schemas.TRANSCRIPT)
@@ -443,3 +503,28 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda d: sorted((r["user_id"], r["session_start"], r["n"]) for r in d.collect())
     assert key(spark.table("sess")) == key(sessions.sessions(df))
     assert sessions.windowed_counts(df).agg(F.sum("n")).first()[0] == 60
+
+
+def test_run_checks_of_a_stream_equal_batch(spark, tmp_path):
+    """Runs that come out of order within the watermark are compared in order, across micro-batches and a restart; later ones are left out."""
+    metrics = ("total_segments", "total_words", "avg_segment_duration", "missing_values")
+    schema = "series string, run int, ts timestamp, total_segments int, total_words int, avg_segment_duration double, missing_values int"
+    r = random.Random(8)
+    rows = [(s, i, datetime(2024, 1, 1) + timedelta(hours=2 * i), r.choice([0, 10, 12, 30]), r.choice([50, 60, 100]), r.choice([5.0, 6.0, 9.0]), r.choice([0, 1, 9, None])) for s in ("a", "b") for i in range(30)]
+    late = [("a", 99, datetime(2024, 1, 1, 1), 1, 1, 1.0, 1)]
+    end = [("z", 0, datetime(2025, 1, 1), 1, 1, 1.0, 1)]
+    parts = [[x for x in rows if x[1] < 12], [x for x in rows if 12 <= x[1] < 22], late, [x for x in rows if x[1] >= 22], end, [("z", 1, datetime(2025, 1, 2), 1, 1, 1.0, 1)]]
+    parts[0][3], parts[0][7] = parts[0][7], parts[0][3]
+    parts[1].append(parts[0].pop(11))  # one run of the first part comes with the second
+    for n, part in enumerate(parts):
+        r.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        q = runs.run_checks(stream, "series", "ts", late="3 hours").writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").format("parquet").start(f"{tmp_path}/out")
+        q.awaitTermination()
+    got = sorted((x["series"], x["ts"], x["metric"], x["change"]) for x in spark.read.parquet(f"{tmp_path}/out").collect())
+    want = []
+    for s in ("a", "b"):
+        one = spark.createDataFrame([x for x in rows if x[0] == s], schema)
+        want += [(s, x["ts"], x["metric"], x["change"]) for x in validation.run_anomalies(one, "ts").collect()]
+    assert got == sorted(want) and len(got) > 20 and {x[2] for x in got} == set(metrics)
