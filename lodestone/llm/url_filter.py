@@ -16,7 +16,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, temporary, written
@@ -43,24 +43,22 @@ def split_rule(rule: str) -> tuple[str, str]:
     return host.lower(), slash + path
 
 
-def candidate_keys(host: Column, path: Column, path_lengths: list[int], host_labels: int) -> Column:
-    """Keys `host suffix + path prefix` of a url, longest first (equal lengths: the longer host first).
-
-    Suffixes have host_labels labels at most, the most that any rule has: a longer one can't equal a rule, and a host of very
-    many labels costs no more than a short one.
-    """
+def suffixes_of(host: Column, host_labels: int) -> Column:
+    """The host and its suffixes at label borders, of host_labels labels at most, the most that any rule has: a longer one can't equal a
+    rule, and a host of very many labels costs no more than a short one."""
     labels = F.reverse(F.slice(F.reverse(F.split(host, r"\.")), 1, max(1, host_labels)))
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
-    empty = F.array().cast("array<struct<n:int,h:int,key:string>>")
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
+
 
-    def with_prefix(k: int) -> Column:
-        prefix = F.substring(path, 1, k)
-        key = lambda s: F.struct((-F.length(s) - k).alias("n"), (-F.length(s)).alias("h"), F.concat(s, prefix).alias("key"))
-        return F.when(F.length(path) >= k, F.transform(suffixes, key)).otherwise(empty)
+def candidate_keys(suffixes: Column, path: Column, path_lengths: list[int]) -> Column:
+    """Keys `host suffix + path prefix` of a url, longest first (equal lengths: the longer host first)."""
+    held = F.filter(F.array(*map(F.lit, path_lengths)).cast("array<int>"), lambda k: k <= F.length(path))
 
-    keys = [with_prefix(k) for k in sorted(set(path_lengths), reverse=True)]
-    return F.transform(F.array_sort(F.flatten(F.array(*keys))), lambda x: x["key"])
+    def with_prefix(k: Column) -> Column:
+        return F.transform(suffixes, lambda s: F.struct((-F.length(s) - k).alias("n"), (-F.length(s)).alias("h"), F.concat(s, F.substring(path, F.lit(1), k)).alias("key")))
+
+    return F.transform(F.array_sort(F.flatten(F.transform(held, with_prefix))), lambda x: x["key"])
 
 
 class Bloom:
@@ -139,36 +137,55 @@ def build_cascade(universe: DataFrame) -> Cascade:
         return Cascade(levels)
 
 
-def _seed(keys: DataFrame, listed: list[str]) -> int:
-    """The first seed under which no unlisted key of keys (k) has the hash of a listed one."""
+def rule_table(spark: SparkSession, rules: DataFrame | tuple[tuple[str, str], ...]) -> DataFrame:
+    """k (host, lower-cased in A-Z, and path), host, path, verdict of rules (rule, verdict), a row a rule. A rule that is given twice has the
+    verdict of the last in a list, and in a table, which has no order, blocks if any says so. Null rules are left out."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([(r, v, i) for i, (r, v) in enumerate(rules)], "rule string, verdict string, nth long")
+    else:
+        rules = rules.select("rule", "verdict", F.when(F.col("verdict") == "block", 1).otherwise(0).cast("long").alias("nth"))
+    host = F.translate(F.regexp_extract("rule", "(?s)^([^/]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = rules.where("rule is not null").select(host.alias("host"), F.regexp_extract("rule", "(?s)^[^/]*(.*)$", 1).alias("path"), "verdict", "nth")
+    rows = rows.groupBy("host", "path").agg(F.max_by("verdict", "nth").alias("verdict"))
+    return rows.withColumn("k", F.concat("host", "path"))
+
+
+def _seed(keys: DataFrame) -> int:
+    """The first seed under which no unlisted key of keys (k, listed) has the hash of a listed one."""
     for seed in count():
-        own = [r[0] for r in keys.sparkSession.createDataFrame([(x,) for x in listed], "k string").select(F.xxhash64("k", F.lit(seed))).collect()]
-        if keys.where(F.xxhash64("k", F.lit(seed)).isin(own) & ~F.col("k").isin(listed)).isEmpty():
+        if keys.groupBy(F.xxhash64("k", F.lit(seed)).alias("h")).agg(F.min("listed").alias("a"), F.max("listed").alias("b")).where("a != b").isEmpty():
             return seed
 
 
-def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, key: str = "page_id") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame | tuple[tuple[str, str], ...] = RULES, key: str = "page_id") -> DataFrame:
     """key, host, path, rule, verdict for every row of pages (columns key and url; others are ignored).
 
-    rules are the caller's own table, held by the driver and by every task. The longest fitting rule gives the verdict; without one
-    the cascade does: a key that is not listed is allowed. Null urls and urls without `://` have empty host and path, which no rule
-    fits. Urls of any length are read whole. Repeated rows stay. An empty table gives no rows.
+    rules: a table (rule, verdict), of any length, or a short list. The longest fitting rule gives the verdict; without one the
+    cascade does: a key that is not listed is allowed. Which keys of the corpus are listed is told once, by a join when the cascades
+    are built; urls are judged by the cascades alone, which every task holds: some bits for each listed key that occurs. Null urls and urls
+    without `://` have empty host and path, which no rule fits. Urls of any length are read whole. Repeated rows stay. An empty
+    table gives no rows; without rules, all urls are allowed.
     """
-    split = [(split_rule(r), v) for r, v in rules]
-    lengths = sorted({len(p) for (_, p), _ in split})
-    names = {h + p: v for (h, p), v in split}
-    labels = max((h.count(".") + 1 for (h, _), _ in split), default=1)
-    rows = pages.select(F.col(key), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths, labels) if lengths else F.array().cast("array<string>"))
-    listed, blocked = sorted(names), sorted(k for k, v in names.items() if v == "block")
-    with temporary(pages.sparkSession):
-        keys = written(rows.select(F.explode("keys").alias("k")).distinct(), "universe")
-        seed = _seed(keys, listed)
-        hashed = lambda of: (F.xxhash64("k", F.lit(seed)).alias("h"), F.col("k").isin(of).alias("listed"))
-        fits = build_cascade(keys.select(*hashed(listed)))
-        blocks = build_cascade(keys.where(F.col("k").isin(listed)).select(*hashed(blocked)))
+    spark = pages.sparkSession
+    with temporary(spark):
+        listed = written(rule_table(spark, rules), "rules")
+        labels = listed.agg(F.max(F.size(F.split("host", r"\."))).alias("n")).first()["n"] or 1
+        lengths = sorted(r["n"] for r in listed.select(F.length("path").alias("n")).distinct().collect())  # as many as paths have lengths
+        rows = pages.select(F.col(key), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+        rows = rows.withColumn("suffixes", suffixes_of(F.col("host"), labels))
+        rows = rows.withColumn("keys", candidate_keys(F.col("suffixes"), F.col("path"), lengths) if lengths else F.array().cast("array<string>")).drop("suffixes")
+        told = listed.select("k", F.lit(True).alias("listed"), (F.col("verdict") == "block").alias("block"))
+        told = told.groupBy("k").agg(F.max("listed").alias("listed"), F.max("block").alias("block"))
+        universe = rows.select(F.explode("keys").alias("k")).distinct().join(told, "k", "left")
+        universe = written(universe.select("k", F.coalesce("listed", F.lit(False)).alias("listed"), F.coalesce("block", F.lit(False)).alias("block")), "universe")
+        seed = _seed(universe)
+        hashed = F.xxhash64("k", F.lit(seed)).alias("h")
+        fits = build_cascade(universe.select(hashed, "listed"))
+        blocks = build_cascade(universe.where("listed").select(hashed, F.col("block").alias("listed")))
+        shared = spark.sparkContext.broadcast((fits, blocks))
 
     def judge(batches):
+        fits, blocks = shared.value
         for b in batches:
             h = b.column("hashes")
             flat, offsets = h.flatten().to_numpy(zero_copy_only=False).view(np.uint64), h.offsets.to_numpy()
