@@ -47,14 +47,12 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, key:
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), body.alias("payload"))
     rows = rows.select("key", "url", "payload", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
     thin = rows.drop("payload")
-    # Each payload once: of equal digests, the first whole value; lengths and a second digest must agree.
+    # Each payload once: of equal digests, any whole value, which moves the bytes once; lengths and a second digest must agree.
     stored = rows.groupBy("sha256").agg(
-        F.max("payload").alias("payload"), F.min("payload").alias("other"),
-        F.count(F.lit(1)).alias("records"),
-    )
-    stored = stored.select(
-        "sha256", F.when(F.col("payload") == F.col("other"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("different payloads share "), F.col("sha256"))).cast("binary")).alias("payload"), "records",
+        F.any_value("payload").alias("payload"), F.min("bytes").alias("least"), F.max("bytes").alias("most"), F.min("sha1").alias("first"), F.max("sha1").alias("last"), F.count(F.lit(1)).alias("records"),
     )
+    same = (F.col("least") == F.col("most")) & (F.col("first") == F.col("last"))
+    stored = stored.select("sha256", F.when(same, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("different payloads share "), F.col("sha256"))).cast("binary")).alias("payload"), "records")
     stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
     # The largest key and its record's id; null keys come last.
     record_id = F.concat(F.lit("<urn:lodestone:page:"), F.coalesce(F.col("key").cast("string"), F.lit("none")), F.lit(":"), F.hex(F.xxhash64("url", F.isnull("url"), "sha256")), F.lit(">"))
@@ -97,22 +95,35 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def record_bytes(records: DataFrame) -> DataFrame:
-    """Whole WARC records as bytes: header, block (empty for revisits), two line ends."""
+def record_of(header: Column, record_type: Column, payload: Column) -> Column:
+    """A whole WARC record as bytes: header, block (empty for revisits), two line ends."""
     end = F.lit((CRLF * 2).encode()).cast("binary")
-    block = F.when(F.col("record_type") == "revisit", F.lit(b"").cast("binary")).otherwise(F.col("payload"))
-    return records.select("key", F.concat(F.encode("header", "UTF-8"), block, end).alias("record"))
+    block = F.when(record_type == "revisit", F.lit(b"").cast("binary")).otherwise(payload)
+    return F.concat(F.encode(header, "UTF-8"), block, end)
+
+
+def record_bytes(records: DataFrame) -> DataFrame:
+    return records.select("key", record_of(F.col("header"), F.col("record_type"), F.col("payload")).alias("record"))
 
 
 def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Write the archive to the shared folder, read it back, and describe every record from what was read."""
+    """Write the archive to the shared folder, read it back, and describe every record from what was read.
+
+    Each record's bytes are rebuilt, and its block is cut out of them by its own header: a block whose length or digest differs from what
+    the header says (of revisits: a payload whose digest does) stops the job.
+    """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_archive(pages, path, min_revisit_bytes)
-    got = read_archive(spark, path)
+    got = read_archive(spark, path).withColumn("record", record_of(F.col("header"), F.col("record_type"), F.col("payload")))
+    said = F.regexp_extract("header", "\\r\\nContent-Length: ([0-9]+)\\r\\n", 1).cast("int")
+    begin = F.octet_length(F.encode("header", "UTF-8"))
+    got = got.withColumn("block", F.substring("record", begin + 1, said)).withColumn("whole", F.octet_length("record") == begin + said + 4)
+    body = F.when(F.col("record_type") == "revisit", F.col("payload")).otherwise(F.col("block"))
+    fine = F.col("whole") & (base32_of_hex(F.sha1(body)) == F.col("payload_digest"))
     return got.select(
-        F.col("key").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.when(base32_of_hex(F.sha1("payload")) == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error("payload does not match its digest")).alias("payload_digest"),
+        F.col("key").alias("page_id"), F.octet_length(body).cast("long").alias("payload_bytes"),
+        F.when(fine, F.col("payload_digest")).otherwise(F.raise_error("a record does not match its header")).alias("payload_digest"),
         "record_type", "refers_to",
     )
 
