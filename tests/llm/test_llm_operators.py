@@ -682,6 +682,26 @@ def test_urls(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_urls_under_a_long_list(spark):
+    """A million rules as a table: plans hold none of them, and what a task holds follows the rules that occur."""
+    rules = spark.range(1_000_000).select(F.concat(F.lit("h"), "id", F.lit(".net/"), F.when(F.col("id") % 2 == 0, F.substring(F.lit("abcdefgh"), F.lit(1), (F.col("id") % 8).cast("int"))).otherwise("")).alias("rule"), F.when(F.col("id") % 3 == 0, "allow").otherwise("block").alias("verdict"))
+    rules = rules.unionByName(spark.createDataFrame([(None, "block"), ("h5.net/", "allow"), ("h5.net/", "block")], "rule string, verdict string"))
+    urls = [(i, f"http://www.h{i * 37}.net/{'abcdefgh'[: i % 9]}x") for i in range(300)] + [(300, None), (300, "http://h5.net/")]
+    out = url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), rules)
+    assert len(out._jdf.queryExecution().toString()) < 100_000
+
+    def want(i, url):
+        n = 5 if i == 300 else i * 37
+        path = url.split(".net", 1)[1] if url else ""
+        prefix = "/" + "abcdefgh"[: n % 8] if n % 2 == 0 else "/"
+        hit = bool(url) and path.startswith(prefix)
+        return f"h{n}.net{prefix}" if hit else None, "block" if hit and (n % 3 or n == 5) else "allow"
+
+    got = sorted(((r["page_id"], r["rule"], r["verdict"]) for r in out.collect()), key=repr)
+    assert got == sorted(((i, *want(i, u)) for i, u in urls), key=repr)
+    assert {r["verdict"] for r in url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), ()).collect()} == {"allow"}
+
+
 def test_cascade_needs_levels(spark):
     """Half of all keys pass each level wrongly; the cascade is still exact."""
     keys = spark.range(4000).select(F.xxhash64("id").alias("h"), (F.col("id") % 2 == 0).alias("listed"))
@@ -1111,6 +1131,20 @@ def test_archive(spark, tmp_path):
     assert refers <= {r["i"] for r in read.where("record_type = 'response'").select(F.regexp_extract("header", "WARC-Record-ID: ([^\r\n]*)", 1).alias("i")).collect()}
 
 
+def test_archive_of_shared_ids(spark, tmp_path):
+    """Rows that share a key with other urls or payloads are records of their own; a record that was changed stops the reading."""
+    df = spark.createDataFrame([(1, "http://a", "x"), (1, "http://b", "x"), (1, "http://b", "y"), (2, "http://b", None)], "page_id long, url string, html string")
+    out = warc.archive_round_trip(df)
+    assert rows(out, "page_id", "payload_bytes", "record_type", "refers_to") == [(1, 1, "response", None)] * 3 + [(2, 0, "response", None)]
+    path = f"{tmp_path}/w"
+    warc.write_archive(df, path)
+    wrong = spark.read.parquet(f"{path}/payloads").withColumn("payload", F.concat("payload", F.lit(b"z").cast("binary")))
+    wrong.write.parquet(f"{tmp_path}/v/payloads")
+    spark.read.parquet(f"{path}/headers").write.parquet(f"{tmp_path}/v/headers")
+    records = warc.record_bytes(warc.read_archive(spark, f"{tmp_path}/v"))
+    assert all(not bytes(r["record"]).endswith(b"\r\n\r\nx\r\n\r\n") for r in records.collect())
+
+
 def test_archive_equals_sql(spark):
     import duckdb
     import pandas as pd
