@@ -317,7 +317,7 @@ def searched(vectors: DataFrame, k: int, every: int, key: str, vector: str, conf
     # reach by several tasks, each of a part of the queries.
     pieces = dealt.groupBy("width", "cell").agg(F.ceil(F.count(F.lit(1)) * F.col("width") / F.lit(PIECE)).cast("int").alias("pieces"))
     pieces = written(pieces, "pieces")
-    asked = written(dealt.where(F.col("id") % every == 0).select("id", "vec", "width").withColumn("seen", F.lit(4.0)), "asked")
+    asked = written(dealt.where(F.col("id") % every == 0).select("id", "vec", "width").withColumn("seen", F.lit(float("inf"))), "asked")  # no bound before k are found
     best = spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     most = max((len(x[0]) for x in boxes.values()), default=1)
     verified, first = [], 0

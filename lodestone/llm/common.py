@@ -1,21 +1,14 @@
-"""Helpers shared by the training-data operators: shared folders, checked cuts of lineage, small numeric tools."""
+"""Helpers shared by the training-data operators: tables of a run, batches of texts, small numeric tools."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager, suppress
-from threading import get_ident
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_folder, spread
+from ..session import _TABLES, fresh_path, release, remove, replaced, spread, temporary, written  # noqa: F401  tables of a run, for all operators
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -24,73 +17,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-#: Tables that are still there, of all runs of this process; what is left of them goes when the driver ends.
-_TABLES: dict[str, tuple] = {}
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    sc = spark.sparkContext
-    _TABLES[path] = get_ident(), sc._jvm, sc._jsc.hadoopConfiguration()
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back; a lost executor costs no recomputation."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._table = path  # for temporary() and replaced()
-    return out
-
-
-def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
-    """new, where it no longer needs the table old was read from; that goes, if it is one of ours."""
-    if getattr(old, "_table", None) in _TABLES:
-        remove(old._table)
-    return new
-
-
-def remove(path: str) -> None:
-    """Delete a table that is no longer read."""
-    _, jvm, conf = _TABLES.pop(path)
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Shuffle files go when their plans are collected as garbage: between large steps, don't leave that to chance.
-
-    The scheduler holds its last job until the next one, so an empty one runs first.
-    """
-    gc.collect()
-    spark.range(1).write.format("noop").mode("overwrite").save()
-    spark.sparkContext._jvm.System.gc()
-
-
-@contextmanager
-def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables that this thread writes inside go at the end, but for those given to the function that this yields. What is returned must
-    not read others."""
-    before, kept = set(_TABLES), set()
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.add(df._table)
-        return df
-
-    yield keep
-    for path in [p for p, (thread, *_) in list(_TABLES.items()) if thread == get_ident() and p not in before and p not in kept]:
-        remove(path)
-    release(spark)
-
-
-@atexit.register
-def _remove_all() -> None:
-    for path in list(_TABLES):
-        with suppress(Exception):  # the JVM may have gone first
-            remove(path)
-
-
 #: Rows of an Arrow batch of texts, wherever this package deals texts to Python.
 BATCH_ROWS = 500
 

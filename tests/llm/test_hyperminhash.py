@@ -31,9 +31,9 @@ def sets(text, k=3):
     return {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)} if len(ws) >= k else ({tuple(ws)} if ws else set())
 
 
-def plain(docs, percent=85):
+def plain(docs, percent=85, k=3):
     """Sizes and smallest reachable ids by all pairs that share a shingle."""
-    held = [sets(t) for _, t in docs]
+    held = [sets(t, k) for _, t in docs]
     up = list(range(len(docs)))
 
     def top(x):

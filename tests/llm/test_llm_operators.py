@@ -275,6 +275,16 @@ def test_nearest_of_extreme_sizes_and_many_widths(spark):
     assert got == {(50 * w, 50 * w + 1) for w in range(1, 1002) if {50 * w, 50 * w + 1} <= usable}
 
 
+def test_all_candidates_if_there_are_few(spark):
+    """Also those that lie opposite, whatever their projections: nothing stops before k are found."""
+    r = np.random.default_rng(3)
+    vs = [(50 * w + i, [float(x) * (-1) ** i for x in r.normal(size=w)] if not i else None) for w in range(1, 121) for i in range(3)]
+    of = {i // 50: v for i, v in vs if v}
+    df = spark.createDataFrame([(i, v or [-x for x in of[i // 50]]) for i, v in vs], "vec_id long, embedding array<double>")
+    got = {(x["query_id"], x["vec_id"]) for x in ann.nearest(df).collect()}
+    assert got == {(50 * w, 50 * w + i) for w in range(1, 121) for i in (1, 2)}
+
+
 def test_nearest_equals_sql(spark):
     import duckdb
 

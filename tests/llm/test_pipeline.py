@@ -1,10 +1,14 @@
 """The pipeline's stages on a small corpus, each judged on its own input."""
 
+import random
+
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from lodestone.llm import common, simhash
 
+from test_hyperminhash import changed, plain, words
 from test_llm_operators import BASE, prose
 
 
@@ -77,3 +81,28 @@ def test_stages_on_odd_tables(spark):
 def test_expected_bits():
     assert abs(simhash.expected_bits(1.0, 64)) < 1e-6 and 9 < simhash.expected_bits(0.8, 64) < 10.5
     assert np.isclose(simhash.expected_bits(0.0, 64), 32)
+
+
+@pytest.mark.parametrize("bucket", [16, 1024])
+def test_near_duplicates_in_large_mixed_buckets(spark, bucket):
+    """Groups of near copies, pairs on both sides of 0.8 and a passage that many texts share to different shares, with buckets that most
+    of them are too many for: the components are those of all pairs."""
+    r = random.Random(14)
+    texts = []
+    for g in range(2):
+        ws = words(40 + g, 150)
+        texts += [changed(ws, r.sample(range(150), r.randint(0, 4)), f"g{i}x") for i in range(50)]
+    for n in (12, 30, 60, 200):  # a changed word takes up to five of n - 4 shingles out; from about n / 45 changes on pairs are apart
+        ws = words(200 + n, n)
+        for many in range(1, max(3, n // 20)):
+            texts += [changed(ws, [11 * j % n for j in range(many)], f"p{many}x"), changed(ws, [(11 * j + 6) % n for j in range(many)], f"q{many}x")]
+        texts.append(ws)
+    passage = words(900, 120)
+    for i in range(80):
+        texts.append(words(1000 + i, r.choice([3, 8, 15, 20, 30, 60])) + passage + words(2000 + i, r.choice([0, 2, 8])))
+    docs = [(i + 1, " ".join(t)) for i, t in enumerate(texts)]
+    r.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((x["doc_id"], x["component_id"]) for x in simhash.similar_components(df, k=5, similarity=0.8, bucket=bucket).collect())
+    want = sorted((i, c) for i, _, c in plain(docs, 80, 5))
+    assert got == want and 20 < len({c for _, c in want}) < len(docs)
