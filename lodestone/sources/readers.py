@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
-def read_records(spark: SparkSession, path: str, schema: str, glob: str = "*.json") -> DataFrame:
-    """JSON files of one record, or an array of records, each; unreadable ones come with _corrupt_record."""
-    return spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", glob).json(path)
+def read_records(spark: SparkSession, path: str, schema: str, glob: str = "*.json", lines: bool = False) -> DataFrame:
+    """JSON files of one record, or an array of records, each; unreadable ones come with _corrupt_record.
+
+    Such a file is read by one task, whole. lines: files of a record a line, of any size, which are split over tasks.
+    """
+    return spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", not lines).option("mode", "PERMISSIVE").option("pathGlobFilter", glob).json(path)
 
 
 def read_pages(spark: SparkSession, path: str, glob: str = "handbook_*.json") -> DataFrame:
