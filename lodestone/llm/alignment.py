@@ -58,13 +58,16 @@ class Tokens:
         raise NotImplementedError
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Encode what is not remembered, each word once, many in one text: words are encoded alike wherever they stand."""
+        """Encode what is not remembered, each word once, many in one text: words are encoded alike wherever they stand. Only words with a
+        blank at an end (the first or last of a text) would grow together with their neighbour's space; those are encoded alone."""
         self.passing.clear()
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
             self.bad.clear()
         new = sorted(dict.fromkeys(w for ws in texts for w in ws if w not in self.cache), key=lambda w: (not w.isascii() and max(w) >= "\u0250"))
-        groups = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
+        alone = [w for w in new if w != w.strip()]
+        new = [w for w in new if w == w.strip()]
+        groups = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)] + [[w] for w in alone]
         joined = [" ".join(ws) for ws in groups]
         for ws, text, ids in zip(groups, joined, self.encoded(joined) if joined else [], strict=True):
             if b"".join([self.of[i] for i in ids]) == f" {text}".encode():

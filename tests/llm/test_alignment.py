@@ -144,6 +144,12 @@ def test_words_are_encoded_like_whole_texts(text):
         assert (got.tolist() if got is not None else None) == (ids if same else None)
 
 
+def test_words_with_blanks_at_their_ends_are_encoded_alone(spark):
+    """Texts of one batch are encoded together; blanks at the end of one must not merge with the space before the next one's first word."""
+    docs = [(1, "ends in a blank "), (2, "next text"), (3, "the  "), (4, "  the"), (5, " "), (6, "and so on\t "), (7, "on"), (8, " \n a b ")]
+    assert rows(alignment.align(frame(spark, docs).coalesce(1), A, B)) == plain(docs)
+
+
 def test_packed_pairs():
     r = np.random.default_rng(1)
     for n in (0, 1, 1000):
