@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import _TABLES, fresh_path, release, remove, replaced, spread, temporary, written  # noqa: F401  tables of a run, for all operators
+from ..session import _TABLES, fresh_path, release, remove, replaced, small_batches, spread, temporary, written  # noqa: F401  for all operators
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -17,15 +17,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-#: Rows of an Arrow batch of texts, wherever this package deals texts to Python.
-BATCH_ROWS = 500
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts: keep a worker's batch at a few MB. One value for all operators, so that lazy plans agree."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def gathered(batches, rows: int = 8192):
     """Batches of numbers joined to about so many rows, which vectorised steps need to be worth their calls."""
     held, size = [], 0

@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
+#: Rows of an Arrow batch of texts, wherever this package deals texts to Python.
+BATCH_ROWS = 500
+
 
 def session(master: str = "local[*]", **conf: str) -> SparkSession:
     """A session with adaptive execution, Arrow and UTC; conf overrides any of it."""
@@ -24,6 +27,7 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": str(os.cpu_count() or 8),
         "spark.ui.enabled": "false",
@@ -31,8 +35,15 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     return SparkSession.builder.master(master).config(map=own | conf).getOrCreate()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts: keep a worker's batch at a few MB, however many rows a task has. One value for all operators, so
+    that lazy plans agree."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def share_code(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, wherever the driver was started from."""
+    """Let Python workers import this package, wherever the driver was started from, and deal them small batches."""
+    small_batches(spark)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:

@@ -3,11 +3,13 @@
 import os
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as driver
 from lodestone.plans import landed  # noqa: F401  adds its queries
 from lodestone.plans.registry import QUERIES, SQL
+from lodestone.session import small_batches
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -51,3 +53,14 @@ def test_entry(spark):
     out = driver.entry(spark)
     assert out.columns == ["lang", "chunks", "words", "largest"] and out.count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def test_queries_deal_small_batches_to_python(spark):
+    """A batch of texts must not grow with a task's rows: every query sets it, before any plan of it is made."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        driver.queries()["clean_text_docs"](spark, SF)
+        sizes = spark.range(0, 2000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        assert max(r["n"] for r in sizes.collect()) == 500
+    finally:
+        small_batches(spark)
