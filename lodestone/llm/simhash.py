@@ -338,13 +338,18 @@ def _far_labels(classes: DataFrame, similarity: float, bucket: int) -> tuple[Dat
     wide = counts.where(F.col("others") > bucket).select("key", "b")
     if not wide.isEmpty():
         members = members.join(wide.select("key"), "key", "left_semi")
-        further = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", hashed(F.col("keys")))
-        further = written(further.join(wide.select("key", F.lit(True).alias("wide")), "key", "left"), "further")
-        labels, more, counts = searched(further.where("wide is null").select("key", "rep"), labels)
+        # What a text shares is told by rows of shared keys only, and taken from its list: no row of an own key goes through a join to be told.
+        shared = lambda keyed, of, name: keyed.join(of.select("key"), "key", "left_semi").groupBy("rep").agg(F.collect_list("key").alias(name))
+        listed = lambda c: F.coalesce(c, F.array().cast("array<long>"))
+        apiece = lambda rows, keys: rows.select("rep", F.explode(keys).alias("key"))
+        further = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.transform("keys", lambda x: F.xxhash64(x)).alias("all"))
+        further = further.join(shared(apiece(further, F.col("all")), wide, "wide"), "rep", "left")
+        further = written(further.select("rep", F.size("all").alias("all"), F.array_except("all", listed(F.col("wide"))).alias("own")), "further")
+        labels, more, counts = searched(apiece(further, F.col("own")), labels)
         whole = whole.unionByName(hubs(more, counts.where(F.col("others") <= bucket), labels))
         wider = counts.where(F.col("others") > bucket).select("key", "b")
-        told = further.join(wider.select("key", F.lit(True).alias("wider")), "key", "left").groupBy("rep")
-        few = told.agg(F.count_if(F.col("wide").isNull() & F.col("wider").isNull()).alias("own"), F.count(F.lit(1)).alias("all"))
+        told = further.join(shared(more, wider, "wider"), "rep", "left")
+        few = told.select("rep", "all", (F.size("own") - F.size(listed(F.col("wider")))).alias("own"))
         few = few.where((F.col("own") < ENOUGH) & (F.col("own") * 2 < F.col("all"))).select("rep")
         last = members.unionByName(more).join(few, "rep", "left_semi")
         whole = whole.unionByName(hubs(last, wide.unionByName(wider), labels))

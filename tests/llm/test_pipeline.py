@@ -106,3 +106,23 @@ def test_near_duplicates_in_large_mixed_buckets(spark, bucket):
     got = sorted((x["doc_id"], x["component_id"]) for x in simhash.similar_components(df, k=5, similarity=0.8, bucket=bucket).collect())
     want = sorted((i, c) for i, _, c in plain(docs, 80, 5))
     assert got == want and 20 < len({c for _, c in want}) < len(docs)
+
+
+def test_own_keys_are_not_marked_by_joins(spark, monkeypatch):
+    """Texts with a passage in common: what they share is told from rows of shared keys; a text's other keys stay a list, a row a text."""
+    r = random.Random(3)
+    passage = words(900, 40)
+    df = spark.createDataFrame([(i, " ".join(words(1000 + i, r.choice([70, 80])) + passage)) for i in range(60)], "doc_id long, text string")
+    held = {}
+
+    def kept(rows, name, written=simhash.written):
+        out = written(rows, name)
+        if name == "further":
+            held[name] = out.count(), out.select("rep").distinct().count()
+        return out
+
+    monkeypatch.setattr(simhash, "written", kept)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_components(df, k=5, similarity=0.8, bucket=16).collect()}
+    assert held["further"][0] == held["further"][1] > 16
+    docs = [tuple(x) for x in df.collect()]
+    assert got == {i: c for i, _, c in plain(docs, 80, 5)}
