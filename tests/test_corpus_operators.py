@@ -425,6 +425,19 @@ def test_references_without_a_semicolon_are_text(spark):
     assert set(got) == {"a&&amp\nb <'"}
 
 
+def test_post_content_of_cut_references(spark, tmp_path):
+    """Titles cut inside `&amp;` and `&quot;`: each page as it is and behind a <main>, as the SQL has them."""
+    import duckdb
+
+    from lodestone.plans.registry import QUERIES, SQL
+
+    rows = [(i, f"<html><body><article><h1>a &amp;&amp;{cut}</h1><p>b &quot;c&quot;{cut}</p></article></body></html>") for i, cut in enumerate(("", "&", "&a", "&amp", "&quo", "&quot", "&lt", "&#39"))]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert {tuple(r) for r in QUERIES["post_content"](spark, str(tmp_path)).collect()} == set(con.execute(SQL["post_content"]).fetchall())
+
+
 def test_crawl(spark):
     e = spark.createDataFrame([(1, "a", 2, "a"), (2, "a", 3, "a"), (3, "a", 1, "a"), (1, "a", 9, "b"), (3, "a", 4, "a")], "src long, src_section string, dst long, dst_section string")
     assert {(r["page"], r["depth"]) for r in crawl.crawl(e, 1).collect()} == {(1, 0), (2, 1), (3, 2), (4, 3)}
