@@ -7,6 +7,8 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
+from stat import S_ISDIR, S_ISREG
 
 import pandas as pd
 from pyspark import TaskContext
@@ -19,8 +21,8 @@ from ..session import temporary, written
 
 #: Bytes moved at a time; hex digits of a leaf's bucket in a folder's digest, taken off two at a time on the way to the root.
 CHUNK, DIGITS = 1 << 20, 8
-#: Bytes that a task of a copy is dealt, about.
-TASK_BYTES = 1 << 28
+#: Bytes that a task of a copy is dealt, about; files of a folder that are told of at a time.
+TASK_BYTES, LISTED = 1 << 28, 2000
 
 
 def file_system(path: str):
@@ -115,19 +117,36 @@ def write_files(df: DataFrame, path: str, mode: str = "append") -> None:
 # Manifests ---------------------------------------------------------------------------------------
 
 
+def entries(path: str) -> Iterator[tuple[str, int, bool]]:
+    """Name, length and whether it is a folder, of what lies in a folder, hidden or not, in any order. Local folders are read entry by entry;
+    other file systems give a folder's list at once."""
+    fs, root = file_system(path)
+    if fs.type_name != "local":
+        from pyarrow.fs import FileSelector
+
+        yield from ((f.base_name, f.size or 0, not f.is_file) for f in fs.get_file_info(FileSelector(root, allow_not_found=True)))
+    elif os.path.isdir(root):
+        with os.scandir(root) as found:
+            for f in found:
+                try:
+                    s = f.stat()
+                except FileNotFoundError:  # gone since, or a link to nothing
+                    continue
+                if S_ISREG(s.st_mode) or S_ISDIR(s.st_mode):
+                    yield f.name, s.st_size if S_ISREG(s.st_mode) else 0, S_ISDIR(s.st_mode)
+
+
 def listed(spark: SparkSession, folder: str) -> DataFrame:
     """path, file (the path below the folder), length of all files below a folder but hidden ones (names that begin with _ or .), empty files
-    included. Folders are listed on the executors, level by level; a folder that is not there has no files."""
+    included. Folders are listed on the executors, level by level; a folder that is not there has no files. A task holds LISTED files of a
+    local folder, however many that has."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow.fs import FileSelector
-
         for part in parts:
             for path, file in zip(part["path"], part["file"], strict=True):
-                fs, root = file_system(path)
-                found = [f for f in fs.get_file_info(FileSelector(root, allow_not_found=True)) if f.base_name[0] not in "._"]
-                rows = [(f"{path}/{f.base_name}", f"{file}{f.base_name}", f.size or 0, not f.is_file) for f in found]
-                yield pd.DataFrame(rows, columns=["path", "file", "length", "folder"]).astype({"length": "int64", "folder": bool})
+                shown = ((f"{path}/{name}", f"{file}{name}", length, folder) for name, length, folder in entries(path) if name[0] not in "._")
+                for rows in batched(shown, LISTED):
+                    yield pd.DataFrame(rows, columns=["path", "file", "length", "folder"]).astype({"length": "int64", "folder": bool})
 
     level = spark.createDataFrame([(folder.rstrip("/"), "")], "path string, file string")
     with temporary(spark) as keep:

@@ -4,6 +4,7 @@ import hashlib
 import json
 import threading
 import time
+import tracemalloc
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
@@ -61,6 +62,25 @@ def test_manifests(spark, tmp_path):
     assert (empty["size"], empty["files"], empty["digest"]) == (0, 0, sha(""))
 
 
+def test_a_large_folder_is_listed_entry_by_entry(spark, tmp_path):
+    """What a task holds does not grow with a folder; links to nothing are no files, others are what they lead to."""
+    for i in range(5000):
+        (tmp_path / f"{i}.txt").touch()
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x").write_text("abc")
+    (tmp_path / "l").symlink_to(tmp_path / "d" / "x")
+    (tmp_path / "gone").symlink_to(tmp_path / "nothing")
+    next(files.entries(str(tmp_path)))  # what is imported counts for nothing
+    tracemalloc.start()
+    n = sum(1 for _ in files.entries(str(tmp_path)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 5002 and peak < 100_000  # a list of them takes ten times as much
+    got = {r["file"]: r["length"] for r in files.listed(spark, f"{tmp_path}/").collect()}
+    assert got == {f"{i}.txt": 0 for i in range(5000)} | {"d/x": 3, "l": 3}
+    assert list(files.entries(f"{tmp_path}/nothing")) == []
+
+
 def test_pointer_is_a_tree_of_sorted_hashes(spark):
     rows = [(f"f{i}", i, hashlib.sha256(str(i).encode()).hexdigest()) for i in range(3000)]
     level = {}
