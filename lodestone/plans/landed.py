@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking
-from ..session import fresh_path, written
+from ..session import fresh_path, spread, written
 from ..sources import fetching, files, readers, writers
 from . import drivers
 from .registry import CHUNKS_SQL, CLEANED_SQL, EXACT, INSIDE_SQL, QUOTA, ROUNDS, SEGMENTS_SQL, STARTS, link_graph, query, segments_view, sql_merged, sql_rounds, sql_transcript, sql_words, table
@@ -199,9 +199,9 @@ def chunked_pages(spark, sf_dir):
 
 
 def mirrored(rows: DataFrame) -> str:
-    """A mirror of pages (url, html): a folder with a file a url, named by the url's digest."""
+    """A mirror of pages (url, html): a folder with a file a url, named by the url's digest, written over all cores."""
     path = fresh_path(rows.sparkSession, "mirror")
-    files.write_files(rows.select(F.concat(F.md5("url"), F.lit(".html")).alias("name"), F.col("html").alias("value")), path)
+    files.write_files(spread(rows).select(F.concat(F.md5("url"), F.lit(".html")).alias("name"), F.col("html").alias("value")), path)
     return path
 
 

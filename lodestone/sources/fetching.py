@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 from pyspark import cloudpickle
@@ -31,8 +32,8 @@ from .files import file_system
 
 Opener = Callable[[str], str]
 PAGES = "url string, host string, html string, error string, scraped_at string"
-#: Urls of a lane, about.
-LANE = 1000
+#: Urls of a lane, about; lanes that a task reads one after the other at most, where no host is waited for and there are many.
+LANE, TOGETHER = 1000, 8
 
 
 def open_url(url: str, timeout: float = 30.0) -> str:
@@ -96,12 +97,14 @@ def stage_urls(urls: DataFrame, path: str, seen: DataFrame | None = None, lane:
     shared = F.concat(F.lit("s-"), F.pmod(F.xxhash64("host"), F.lit(max(1, int(small)))).cast("string"))
     dealt = todo.join(hosts.select("host", "share"), "host").select("url", "host", "share", F.when(F.col("share") == 1, shared).otherwise(own).alias("lane"))
     batch = f"{time.time_ns():020d}"
-    dealt.repartition("lane").write.partitionBy("lane").parquet(f"{path}/batch={batch}")
+    # a lane is a file, however small: dealt over all cores, as a number that is not given would be lowered to what the bytes need
+    dealt.repartition(spark.sparkContext.defaultParallelism, "lane").write.partitionBy("lane").parquet(f"{path}/batch={batch}")
 
 
 @dataclass
 class Lane(InputPartition):
     path: str
+    more: tuple[str, ...] = ()  # lanes that are read after it
 
 
 class FetchedPages(DataSource):
@@ -154,16 +157,23 @@ class LaneReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return _lanes(self.options["path"])
+        """A lane each; without a rate, where a task's start would take longer than a lane, as many as leave 64 tasks, TOGETHER at most."""
+        lanes = _lanes(self.options["path"])
+        if float(self.options.get("rate", 1)):
+            return lanes
+        k = max(1, min(TOGETHER, len(lanes) // 64))
+        return [Lane(own.path, tuple(x.path for x in more)) for own, *more in batched(lanes, k)]
 
     def read(self, partition: Lane | None) -> Iterator[tuple]:
-        if partition is None:  # nothing is staged
-            return
+        for path in (partition.path, *partition.more) if partition else ():  # none: nothing is staged
+            yield from self._read(path)
+
+    def _read(self, lane: str) -> Iterator[tuple]:
         import pyarrow.parquet as pq
 
         opener = cloudpickle.loads(base64.b64decode(self.options["opener"])) if "opener" in self.options else open_url
         attempts, rate = int(self.options.get("attempts", 3)), float(self.options.get("rate", 1))
-        fs, path = file_system(partition.path)
+        fs, path = file_system(lane)
         with fs.open_input_file(path) as f:
             rows = pq.ParquetFile(f).read(["url", "host", "share"]).to_pylist()  # a lane's
         last: dict[str, float] = {}

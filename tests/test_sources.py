@@ -212,3 +212,22 @@ def test_transcript_files(spark, tmp_path):
     got = readers.read_transcript_texts(spark, f"{tmp_path}/t").collect()
     assert sorted(map(tuple, got)) == sorted((t, v, u, x) for t, v, u, x in rows)
     assert json.dumps(rows[0][3]) in json.dumps([r["transcript"] for r in got])
+
+
+def test_many_small_files_and_lanes_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """A table of few bytes can mean many files: neither a mirror nor lanes are left to one task, and a task reads several lanes without a rate."""
+    from lodestone.plans import landed
+
+    urls = spark.range(0, 3000, 1, 1).select(F.concat(F.lit("http://p/"), "id").alias("url"), F.lit("x").alias("html"))
+    mirrored, write = [], files.write_files
+    monkeypatch.setattr(files, "write_files", lambda df, *a: (mirrored.append(df.rdd.getNumPartitions()), write(df, *a)))
+    folder = landed.mirrored(urls)
+    assert mirrored[0] > 1
+    fetching.stage_urls(urls, f"{tmp_path}/lanes", lane=20)
+    lanes = list((tmp_path / "lanes").rglob("*.parquet"))
+    assert len(lanes) > 128 and len({p.name.split("-")[1] for p in lanes}) > 1
+    parts = lambda rate: fetching.LaneReader({"path": f"{tmp_path}/lanes", "rate": rate}).partitions()
+    assert len(parts("1")) == len(lanes) and not any(p.more for p in parts("1"))  # a host's lanes side by side
+    assert 64 <= len(parts("0")) < len(lanes) and sorted(x for p in parts("0") for x in (p.path, *p.more)) == sorted(map(str, lanes))
+    got = fetching.pages(spark, f"{tmp_path}/lanes", fetching.mirror(folder), 1, 0).collect()
+    assert len(got) == 3000 and {(r["html"], r["error"]) for r in got} == {("x", None)} and len({r["url"] for r in got}) == 3000
