@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql.types import StructType
 from ..functions.text import token_estimate, word_count
 
 SEPARATORS = ("\n\n", "\n", ". ", " ")
+#: Characters of chunks that a task holds before it passes them on, about.
+HELD = 1 << 20
 
 
 def _packed(sizes: list[int], limit: int) -> list[tuple[int, int, bool]]:
@@ -78,23 +81,34 @@ def overlapped(chunks: list[str], overlap: int = 150) -> list[str]:
     return out
 
 
+def chunk_batches(b: pa.RecordBatch, keys: list[str], cut: Callable[[str | None], list[str]], overlap: int = 0, held: int = HELD) -> Iterator[pa.RecordBatch]:
+    """A batch (keys and a text) as batches of keys, pos, total_chunks, chunk. Texts are taken out one at a time and chunks passed on by about
+    `held` characters, so that a task holds few MB besides the batch, however long its texts are."""
+    at, pos, total, out, size = [], [], [], [], 0
+    for i, t in enumerate(b.column(len(keys))):
+        chunks = cut(t.as_py())
+        at += [i] * len(chunks)
+        pos += range(len(chunks))
+        total += [len(chunks)] * len(chunks)
+        out += overlapped(chunks, overlap)
+        size += sum(map(len, chunks))
+        if at and (size >= held or i + 1 == b.num_rows):
+            cols = [b.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(pos, pa.int32()), pa.array(total, pa.int32()), pa.array(out, pa.string())], [*keys, "pos", "total_chunks", "chunk"])
+            at, pos, total, out, size = [], [], [], [], 0
+
+
 def exploded(docs: DataFrame, key: str | tuple[str, ...], text: str, method: str = "recursive", tokens: int = 800, least: int = 100, overlap: int = 0) -> DataFrame:
     """The key columns, pos, total_chunks and chunk of every chunk; null and empty texts give none. One pass over each text, in Arrow batches."""
     keys = [key] if isinstance(key, str) else list(key)
     own = docs.select(*keys, text)
 
-    def run(batches):
+    def cut(t: str | None) -> list[str]:
+        return (recursive_chunks(t, tokens, least) if method == "recursive" else fixed_chunks(t, tokens)) if t else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, pos, total, out = [], [], [], []
-            for i, t in enumerate(b.column(len(keys)).to_pylist()):
-                chunks = (recursive_chunks(t, tokens, least) if method == "recursive" else fixed_chunks(t, tokens)) if t else []
-                at += [i] * len(chunks)
-                pos += range(len(chunks))
-                total += [len(chunks)] * len(chunks)
-                out += overlapped(chunks, overlap)
-            at = pa.array(at, pa.int64())
-            cols = [b.column(i).take(at) for i in range(len(keys))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(pos, pa.int32()), pa.array(total, pa.int32()), pa.array(out, pa.string())], [*keys, "pos", "total_chunks", "chunk"])
+            yield from chunk_batches(b, keys, cut, overlap)
 
     schema = StructType([*own.schema.fields[: len(keys)], *StructType.fromDDL("pos int, total_chunks int, chunk string").fields])
     return own.mapInArrow(run, schema)

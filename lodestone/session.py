@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
-#: Rows of an Arrow batch of texts, wherever this package deals texts to Python.
-BATCH_ROWS = 500
+#: Rows of an Arrow batch of texts, wherever this package deals texts to Python; bytes of it, where its rows are long (one row at least).
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def session(master: str = "local[*]", **conf: str) -> SparkSession:
@@ -28,6 +28,7 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": str(os.cpu_count() or 8),
         "spark.ui.enabled": "false",
@@ -36,9 +37,10 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts: keep a worker's batch at a few MB, however many rows a task has. One value for all operators, so
-    that lazy plans agree."""
+    """Arrow batches of whole texts: keep a worker's batch at a few MB, however many rows a task has and however long they are. One
+    value for all operators, so that lazy plans agree."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def share_code(spark: SparkSession) -> SparkSession:

@@ -7,6 +7,7 @@ import unicodedata
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,18 @@ def test_chunk_plans(spark):
     assert {r["lang"]: r["chunks"] > 1 for r in chunk_report(df).collect()} == {"en": True, "de": True, None: True}
 
 
+def test_chunks_of_long_texts_are_passed_on_in_pieces():
+    """A batch of 40 long texts, some without chunks: what was one batch of chunks comes in several, with the same rows."""
+    texts = [None if i % 7 == 3 else "" if i % 7 == 5 else f"w{i} " * 20000 for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": texts})
+    cut = lambda t: chunking.recursive_chunks(t) if t else []
+    got = list(chunking.chunk_batches(batch, ["doc_id"], cut, 150))
+    assert len(got) > 1 and max(g.nbytes for g in got) < 3 << 20
+    rows = [r for g in got for r in zip(*g.to_pydict().values(), strict=True)]
+    assert rows == [(i, p, len(c), x) for i, t in enumerate(texts) for c in [chunking.overlapped(cut(t), 150)] for p, x in enumerate(c)]
+    assert list(chunking.chunk_batches(batch.slice(3, 1), ["doc_id"], cut)) == []
+
+
 def test_chunk_records(spark):
     text = "word " * 2000
     df = spark.createDataFrame([(1, text, None), (2, "", "u"), (3, None, "v")], "doc_id int, text string, url string")

@@ -64,3 +64,15 @@ def test_queries_deal_small_batches_to_python(spark):
         assert max(r["n"] for r in sizes.collect()) == 500
     finally:
         small_batches(spark)
+
+
+def test_queries_bound_the_bytes_of_batches(spark):
+    """Nor with the length of its texts: 60 MB of texts of 200 KB each came as one batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    try:
+        driver.queries()["clean_text_docs"](spark, SF)
+        long = spark.range(0, 300, 1, 1).selectExpr("repeat(char(97 + id % 26), 200000) AS text")
+        sizes = long.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+        assert max(r["n"] for r in sizes.collect()) <= (8 << 20) + 200_100
+    finally:
+        small_batches(spark)
